@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +59,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_task(spark: SparkSession, f: Callable, *args: object) -> object:
+    """``f(*args)`` run in one task: linear algebra of a size that parameters bound.
+
+    Spark gives a worker as many BLAS threads as a task has cores; the driver's own pool can hang
+    after the fork that starts the JVM.
+    """
+    shared = spark.sparkContext.broadcast(args)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(f(*shared.value))], pa.binary())], names=["x"])
+
+    return pickle.loads(spark.range(1).coalesce(1).mapInArrow(run, "x binary").first().x)
+
+
 class WordHash(dict):
     """64-bit hash by word, kept for words seen before; emptied when it grows past ``most``."""
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_task
+
 _FOLD = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 #: Words of a passage, and from one passage's start to the next.
 PASSAGE, STEP = 64, 32
@@ -172,21 +174,23 @@ def latent_basis(docs: DataFrame, space: Space, items: list[list[bytes]], rank:
     """
     v = len(space.idf)
     l = min(v, rank + 8)
-    test = np.linalg.qr(np.random.default_rng(seed).normal(size=(v, l)))[0]
+    test = in_task(docs.sparkSession, lambda: np.linalg.qr(np.random.default_rng(seed).normal(size=(v, l)))[0])
     y = _sketch(docs, space, test)
     row, word, value, *_ = space.rows(items)
-    if len(row):
-        own = np.zeros((int(row.max()) + 1, v))
-        own[row, word] = value
-        y += max(1.0, 10 * np.abs(y).max()) * (own.T @ (own @ test))
-    shift = np.finfo(float).eps * max(1.0, np.linalg.norm(y)) * 100
-    y = y + shift * test
-    core = test.T @ y
-    values, vectors = np.linalg.eigh((core + core.T) / 2)
-    good = values > values.max(initial=0) * 1e-12
-    root = y @ (vectors[:, good] / np.sqrt(values[good]))
-    u, s, _ = np.linalg.svd(root, full_matrices=False)
-    return u[:, : min(rank, int((s > s.max(initial=0) * 1e-9).sum()))]
+
+    def factors(y: np.ndarray, test: np.ndarray) -> np.ndarray:
+        if len(row):
+            own = np.zeros((int(row.max()) + 1, v))
+            own[row, word] = value
+            y = y + max(1.0, 10 * np.abs(y).max()) * (own.T @ (own @ test))
+        y = y + np.finfo(float).eps * max(1.0, np.linalg.norm(y)) * 100 * test
+        core = test.T @ y
+        values, vectors = np.linalg.eigh((core + core.T) / 2)
+        good = values > values.max(initial=0) * 1e-12
+        u, s, _ = np.linalg.svd(y @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
+        return u[:, : min(rank, int((s > s.max(initial=0) * 1e-9).sum()))]
+
+    return in_task(docs.sparkSession, factors, y, test)
 
 
 def contaminated(

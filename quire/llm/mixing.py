@@ -65,7 +65,7 @@ def mix(
     max_copies: int = 3,
     budget: float | None = None,
     chunk_rows: int = 4096,
-    fill_rounds: int = 5,
+    fill_rounds: int = 3,
 ) -> DataFrame:
     """``docs`` with a column ``mix``: struct of size, source_size, target, rate, copies, taken.
 
@@ -74,8 +74,9 @@ def mix(
     null source is a source of its own. Rates become copies chunk by chunk: a source's rows are
     dealt by a hash of doc_id into chunks of about ``chunk_rows`` rows, so a source that holds a
     third of all rows is many tasks. In a chunk, by falling size, every 1/fraction-th document
-    gets the copy more; what is still missing from the chunk's share goes to the largest documents
-    that fit, in ``fill_rounds`` rounds that each at least halve the rest. No sampling and no
+    gets the copy more. What the chunk still has too few or too many goes to the largest documents
+    that fit: in ``fill_rounds`` rounds by one copy up or down to the rate's whole neighbours, then in
+    as many between 0 and ``max_copies``; each round at least halves the rest. No sampling and no
     random numbers: reruns agree. Repeated rows are rows like any other. An empty table gives an
     empty result.
     """
@@ -95,18 +96,22 @@ def mix(
     )
     base = F.floor("rate")
     rows = rows.withColumn("base", base).withColumn("part", F.col("rate") - base).withColumn("i", F.row_number().over(order))
-    share = lambda i: F.floor(F.col("part") * i + 1e-6)
-    rows = rows.withColumn("more", (share(F.col("i")) - share(F.col("i") - 1)).cast("int"))
-    rows = rows.withColumn(
-        "rest", F.col("part") * F.sum("size").over(whole) - F.sum(F.col("more") * F.col("size")).over(whole)
-    )
-    for _ in range(fill_rounds):
-        fits = (F.col("more") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("rest") + 0.5)
+    share = lambda i, shift: F.floor(F.col("part") * i + 1e-6 + shift)
+    every = lambda shift: (share(F.col("i"), shift) - share(F.col("i") - 1, shift)).cast("int")
+    missing = lambda more: F.col("part") * F.sum("size").over(whole) - F.sum(more * F.col("size")).over(whole)
+    rows = rows.withColumn("rest_0", missing(every(0.0))).withColumn("rest_1", missing(every(0.5)))
+    later = F.abs(F.col("rest_1")) < F.abs(F.col("rest_0"))
+    rows = rows.withColumn("more", F.when(later, every(0.5)).otherwise(every(0.0)))
+    rows = rows.withColumn("rest", F.when(later, F.col("rest_1")).otherwise(F.col("rest_0"))).drop("rest_0", "rest_1")
+    for k in range(2 * fill_rounds):
+        high, low = (F.lit(1), F.lit(0)) if k < fill_rounds else (max_copies - F.col("base"), -F.col("base"))
+        gap = F.abs(F.col("rest")) + 0.5
+        room = F.when(F.col("rest") > 0, F.col("more") < high).otherwise(F.col("more") > low)
+        fits = room & (F.col("size") > 0) & (F.col("size") <= gap)
         rows = rows.withColumn("upto", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(upto))
-        take = fits & (F.col("upto") <= F.col("rest") + 0.5)
-        rows = rows.withColumn("take", take)
-        rows = rows.withColumn("more", F.col("more") + F.col("take").cast("int")).withColumn(
-            "rest", F.col("rest") - F.sum(F.when(F.col("take"), F.col("size")).otherwise(0)).over(whole)
+        rows = rows.withColumn("step", F.when(fits & (F.col("upto") <= gap), F.signum("rest")).otherwise(0).cast("int"))
+        rows = rows.withColumn("more", F.col("more") + F.col("step")).withColumn(
+            "rest", F.col("rest") - F.sum(F.col("step") * F.col("size")).over(whole)
         )
     copies = (F.col("base") + F.col("more")).cast("int")
     result = F.struct(

@@ -17,8 +17,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import deleted, written
+from .common import deleted, in_task, written
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "upper", "digits", "symbols", "pipes", "exclamations", "commas_stops",
@@ -140,8 +141,8 @@ def fit(
     added = rows.mapInArrow(normal, "i int, sums binary").groupBy("i").applyInPandas(add, "i int, sums binary").collect()
     table = np.array([np.frombuffer(r.sums, np.int64) for r in sorted(added, key=lambda r: r.i)], float)
     gram = table[:-1] * STEP**2 + np.eye(features + 1) * ridge * n / features
-    inverse = np.linalg.inv(gram)
-    weights = inverse @ (table[-1] * STEP)
+    right = table[-1] * STEP
+    inverse, weights = in_task(spark, lambda g, r: (np.linalg.inv(g), np.linalg.solve(g, r)), gram, right)
     linear = Model(mean, scale, projection, phase, weights, np.zeros(1), np.zeros(1))
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +172,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
             scores = model.score(_table(batch)) if batch.num_rows else np.empty(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, column])
 
-    schema = docs.schema.add(column, "double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

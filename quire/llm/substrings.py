@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import WordHash, deleted, finish, signed, window_hashes, written
 
@@ -178,8 +179,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, run: int = RUN, most_cells:
                 out.append({"kept_text": left.decode(), "n_words": len(words), "n_removed": int(len(words) - keep.sum())})
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, _DEDUP)], names=["row", "dedup"])
 
-    schema = rows.select("row").schema.add("dedup", "struct<kept_text:string,n_words:long,n_removed:long>")
+    schema = StructType([*rows.select("row").schema.fields, StructField("dedup", _DEDUP_TYPE)])
     return rows.mapInArrow(cut_out, schema).select("row.*", "dedup")
 
 
+_DEDUP_TYPE = StructType([StructField("kept_text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
 _DEDUP = pa.struct([("kept_text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
