@@ -160,29 +160,41 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
-def linked(listed: DataFrame, left: DataFrame, right: DataFrame, possible, confirmed) -> DataFrame:
+def linked(listed: DataFrame, left: DataFrame, right: DataFrame, possible, confirmed, dense=None, hot: int = 64) -> DataFrame:
     """Components (id, component) of the links among nodes that meet in a list.
 
     ``listed`` has (v, node): node is in list v. ``left`` and ``right`` have (a, ...) and (b, ...): what
     the column ``possible`` looks at; ``confirmed`` keeps the true links of (a, b) rows. Every list
     first links its members to its smallest one, a number of rows in proportion to the lists. Only
     members that are then outside that one's component meet the rest of the list, again only in rows
-    that ``possible`` lets out, so a large list of alike nodes never becomes all its pairs.
+    that ``possible`` lets out. With ``dense``, lists of more than ``hot`` members never become pairs:
+    nodes that such lists connect are a group, and ``dense`` finds the links between the components
+    of a group, given (node, part, grp), part being the component so far.
     """
     lists = listed.groupBy("v").agg(F.min("node").alias("first"), F.count("*").alias("often")).filter("often > 1")
-    members = cut(listed.join(lists.drop("often"), "v"))
+    members = cut(listed.join(lists, "v"))
     stars = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     stars = cut(stars.join(right, "b").join(left, "a").filter(possible).select("a", "b"))
     links = cut(confirmed(stars))
     found = connected(links)
     part = found.withColumnRenamed("id", "node")
-    placed = members.join(part, "node", "left").select("v", "node", "first", F.coalesce("component", "node").alias("part"))
+    placed = members.join(part, "node", "left").select("v", "node", "first", "often", F.coalesce("component", "node").alias("part"))
     heads = found.select(F.col("id").alias("first"), F.col("component").alias("head"))
-    placed = cut(placed.join(heads, "first", "left").select("v", "node", "part", F.coalesce("head", "first").alias("head")))
-    outside = placed.filter("part <> head")
-    held = placed.join(outside.select("v").distinct(), "v", "left_semi")
+    placed = placed.join(heads, "first", "left").select("v", "node", "first", "often", "part", F.coalesce("head", "first").alias("head"))
+    placed = cut(placed)
+    small = placed.filter(F.col("often") <= hot) if dense else placed
+    outside = small.filter("part <> head")
+    held = small.join(outside.select("v").distinct(), "v", "left_semi")
     one = outside.select("v", F.col("node").alias("a"), F.col("part").alias("part_a")).join(left, "a")
     two = held.select("v", F.col("node").alias("b"), F.col("part").alias("part_b"), F.expr("part <> head").alias("out")).join(right, "b")
     apart = (F.col("part_a") != F.col("part_b")) & (~F.col("out") | (F.col("a") < F.col("b")))
     rest = cut(one.join(two, "v").filter(apart & possible).select("a", "b").distinct())
-    return found if rest.isEmpty() else connected(links.union(confirmed(rest)))
+    more = [] if rest.isEmpty() else [confirmed(rest)]
+    large = placed.filter(F.col("often") > hot) if dense else None
+    if dense and not large.isEmpty():
+        groups = connected(large.select(F.col("first").alias("a"), F.col("node").alias("b")))
+        own = large.select("node", "part").distinct().join(groups.withColumnRenamed("id", "node"), "node", "left")
+        more.append(dense(cut(own.select("node", "part", F.coalesce("component", "node").alias("grp")))))
+    for found_more in more:
+        links = links.union(found_more)
+    return connected(links) if more else found

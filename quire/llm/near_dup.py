@@ -12,6 +12,7 @@ documents hold (a passage in a third of all rows) are the first to go.
 
 Components need no pair of every two copies: every list first links its members to its smallest
 one; only members left outside that member's component are then compared with the rest of the list.
+Long lists (near copies by the thousand, not all alike enough) are compared block by block instead.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 from math import ceil, comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -30,6 +32,8 @@ from .common import WordHash, cut, deleted, finish, linked, signed, window_hashe
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Pairs to verify with fewer nodes than this fetch their texts by a broadcast of ids (8 bytes each).
 BROADCAST_IDS = 500_000
+#: Nodes of a block of a dense group.
+BLOCK = 1024
 
 
 def shingle_set(text: str | None, width: int, hashes: WordHash) -> np.ndarray:
@@ -101,6 +105,57 @@ def _possible(size: int, shared: int, similarity: Column) -> Column:
     return sizes & F.when(whole, both >= similarity * F.size(union) - 1e-9).otherwise(both >= shared)
 
 
+def _dense_links(docs: DataFrame, nodes: DataFrame, own: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links that join components of dense groups: (a, b), a spanning few of each pair of blocks.
+
+    A group is dealt by a hash into blocks of about BLOCK nodes; each two blocks are one small task
+    that holds their full sets and counts exact intersections by postings. Nothing but links that join
+    two components leaves it, so a group of n alike nodes sends n rows a block, not its pairs.
+    """
+    mixed = own.groupBy("grp").agg(F.count("*").alias("n"), F.count_distinct("part").alias("parts")).filter("parts > 1")
+    own = cut(own.join(mixed, "grp"))
+    sets = _sets(docs, cut(own.select("node").join(nodes.select("node", "doc_id"), "node")), width)
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = own.join(sets, "node").select("grp", "node", "part", "set", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("i"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    rows = rows.select("grp", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "node", "part", "set")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        side, node, part = group["i"].to_numpy(), group["node"].to_numpy(), group["part"].to_numpy()
+        lo, hi = group["lo"].iloc[0], group["hi"].iloc[0]
+        one, two = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+        sets = group["set"].tolist()
+        size = np.array([len(s) for s in sets])
+        values, place = np.unique(np.concatenate([sets[k] for k in one] or [np.empty(0, np.int64)]), return_inverse=True)
+        owner = np.repeat(np.arange(len(one)), size[one])
+        order = np.argsort(place, kind="stable")
+        owner, ends = owner[order], np.searchsorted(place[order], np.arange(len(values) + 1))
+        root = {p: p for p in part.tolist()}
+
+        def top(p):
+            while root[p] != p:
+                root[p] = root[root[p]]
+                p = root[p]
+            return p
+
+        out = []
+        for k in two:
+            at = np.searchsorted(values, sets[k])
+            at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == sets[k])] if len(values) else at[:0]
+            if not len(at):
+                continue
+            both = np.bincount(np.concatenate([owner[a:b] for a, b in zip(ends[at], ends[at + 1], strict=True)]), minlength=len(one))
+            hit = both * 100 >= (size[one] + size[k] - both) * percent
+            for m in np.flatnonzero(hit & (part[one] != part[k])).tolist():
+                a, b = top(part[one[m]]), top(part[k])
+                if a != b:
+                    root[a] = b
+                    out.append((node[one[m]], node[k]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("grp", "lo", "hi").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, size: int = 32) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
 
@@ -148,7 +203,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, size: in
             .select("a", "b")
         )
 
-    whole = linked(listed, x, y, possible, confirmed)
+    def dense(own: DataFrame) -> DataFrame:
+        return _dense_links(docs, nodes, own, width, percent)
+
+    whole = linked(listed, x, y, possible, confirmed, dense)
     named = nodes.select("node", "doc_id").join(whole.withColumnRenamed("id", "node"), "node")
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("own"))
     heads = smallest.join(nodes.select(F.col("node").alias("component"), F.col("doc_id").alias("its")), "component")
