@@ -1,19 +1,809 @@
-"""Registered queries of the document jobs."""
+"""Registered queries of the document jobs: one or more for each operator, with their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import fixtures as fx
+from .functions import boxes, markup, text
+from .operators import assembly, evals, extraction, index, layout, packets, parse, runs
+from .plans import jobs
+from .sources import storage
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(x, name: str):
+    return F.round(F.col(x) if isinstance(x, str) else x, 6).alias(name)
+
+
+def _box(b: str = "bbox") -> list:
+    return [r6(f"{b}.{k}", k) for k in "xywh"]
+
+
+SQL_BOX = "round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h"
+TAXONOMY = [("invoice", "bill with total amount due and payment terms"), ("prose", "the and of that with entre dans avec"), ("list", "und der die das nicht von")]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    return p13_blended_rollup(spark, sf_dir)
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.corpus_blocks(fx.spans(spark, sf_dir))
+
+
+# --- sources and sinks -------------------------------------------------------------------------
+
+
+@_query("SELECT '1' AS workspace_id, doc_id || '.txt' AS filename, sha256(text) AS file_hash_sha256, strlen(text) AS byte_size FROM documents")
+def s01_register_files(spark, sf_dir):
+    files = fx.table(spark, sf_dir, "documents").select(F.concat(F.lit("/in/"), "doc_id", F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return storage.registered(files, "1").select("workspace_id", "filename", "file_hash_sha256", "byte_size")
+
+
+@_query("SELECT '/' || (doc_id % 5) || '/' || doc_id || '/originals/document.pdf' AS path, doc_id FROM documents")
+def s02_artifact_paths(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5).alias("workspace_id"), F.col("doc_id").alias("document_id"))
+    return rows.select(runs.artifact_path("originals", F.lit("document.pdf")).alias("path"), "doc_id")
+
+
+@_query(
+    f"WITH {fx.BLOCKS} SELECT parse_run_id, count(*) AS n_blocks, string_agg(block_id, ',' ORDER BY page, ord) AS block_ids FROM blocks GROUP BY parse_run_id"
+)
+def s03_document_ast(spark, sf_dir):
+    found = F.from_json("ast", "blocks array<struct<block_id:string>>").blocks
+    return storage.asts(fx.ranked(_blocks(spark, sf_dir))).select(
+        "parse_run_id", F.size(found).cast("long").alias("n_blocks"), F.array_join(F.transform(found, lambda b: b.block_id), ",").alias("block_ids")
+    )
+
+
+@_query("SELECT 'parse' AS stage, event_type AS event, CAST(event_id AS VARCHAR) AS run, props AS error FROM events")
+def s04_log_round_trip(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "events").select(F.lit("parse").alias("stage"), F.col("event_type").alias("event"), F.col("event_id").alias("run"), F.col("props").alias("error"))
+    return storage.parsed_log(storage.log_lines(rows)).select("stage", "event", "run", "error")
+
+
+@_query(
+    "SELECT vec_id AS point_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0"
+)
+def s08_upsert_points(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), "label")
+    new = rows.filter("point_id % 3 = 0").select("point_id", (F.col("label") + 100).alias("label"))
+    return index.upserted(rows.filter("point_id % 2 = 0"), new)
+
+
+# --- projections and filters -------------------------------------------------------------------
+
+
+@_query(f"WITH {fx.RUNS} SELECT parse_run_id, status FROM runs WHERE workspace_id = '2'")
+def p01_tenant_filter(spark, sf_dir):
+    return runs.of_workspace(fx.runs(spark, sf_dir), F.lit("2")).select("parse_run_id", "status")
+
+
+@_query(f"WITH {fx.RUNS} SELECT parse_run_id FROM runs WHERE status IN ('intake_complete', 'succeeded')")
+def p02_readable_runs(spark, sf_dir):
+    return runs.eligible(fx.runs(spark, sf_dir), readable=True).select("parse_run_id")
+
+
+_CLAMP = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, {}))"
+
+
+@_query(
+    "SELECT l_orderkey, l_linenumber, round({}, 6) AS x, round({}, 6) AS y, round(greatest({}, 0.000001::DOUBLE), 6) AS w, round(greatest({}, 0.000001::DOUBLE), 6) AS h FROM lineitem".format(
+        _CLAMP.format("(l_quantity * 20 - 50) / 612.0::DOUBLE"), _CLAMP.format("l_discount * 9000 / 792.0::DOUBLE"),
+        _CLAMP.format("greatest(0.0::DOUBLE, CAST(l_tax * 5000 - (l_quantity * 20 - 50) AS DOUBLE)) / 612.0::DOUBLE"),
+        _CLAMP.format("greatest(0.0::DOUBLE, CAST(l_quantity * 9 - l_discount * 9000 AS DOUBLE)) / 792.0::DOUBLE"),
+    )
+)
+def p04_point_boxes(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "lineitem")
+    x0, y0 = F.col("l_quantity") * 20 - 50, F.col("l_discount") * 9000
+    b = boxes.from_edges(x0, y0, F.col("l_tax") * 5000, F.col("l_quantity") * 9, F.lit(612.0), F.lit(792.0))
+    return rows.select("l_orderkey", "l_linenumber", b.alias("bbox")).select("l_orderkey", "l_linenumber", *_box())
+
+
+_DETECTED = """detected AS (SELECT l_orderkey, l_linenumber, l_quantity * 10 AS l, l_linenumber * 60 AS t, l_quantity * 10 + l_linenumber * 30 - 20 AS r, l_linenumber * 60 + 700 * l_discount - 5 AS b FROM lineitem)"""
+
+
+@_query(
+    f"WITH {_DETECTED}, c AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, l / 400.0::DOUBLE)) AS x1, greatest(0.0::DOUBLE, least(1.0::DOUBLE, t / 400.0::DOUBLE)) AS y1, "
+    "greatest(0.0::DOUBLE, least(1.0::DOUBLE, r / 400.0::DOUBLE)) AS x2, greatest(0.0::DOUBLE, least(1.0::DOUBLE, b / 400.0::DOUBLE)) AS y2 FROM detected) "
+    "SELECT l_orderkey, l_linenumber, round(x1, 6) AS x, round(y1, 6) AS y, round(x2 - x1, 6) AS w, round(y2 - y1, 6) AS h FROM c WHERE x2 > x1 AND y2 > y1"
+)
+def p05_detector_boxes(spark, sf_dir):
+    q, n = F.col("l_quantity"), F.col("l_linenumber")
+    rows = fx.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", (q * 10).alias("left"), (n * 60).alias("top"), (q * 10 + n * 30 - 20).alias("right"),
+        (n * 60 + 700 * F.col("l_discount") - 5).alias("bottom"), F.lit(400.0).alias("image_w"), F.lit(400.0).alias("image_h"),
+        F.lit(None).cast("double").alias("confidence"), F.lit("text").alias("label"),
+    )
+    return layout.detector_regions(rows).select("l_orderkey", "l_linenumber", *_box())
+
+
+@_query(
+    f"WITH {fx.SPANS} SELECT parse_run_id, page, string_agg('Native text at bbox [' || printf('%.6f,%.6f,%.6f,%.6f', x, y, w, h) || ']: ''' || replace(text, '''', '\\''') || '''', chr(10) ORDER BY ord) AS anchor_text FROM spans GROUP BY ALL"
+)
+def p06_anchor_text(spark, sf_dir):
+    rows = fx.spans(spark, sf_dir).filter(~text.is_blank(F.col("text")))
+    lines = F.array_sort(F.collect_list(F.struct("ord", text.anchor(F.col("text"), F.col("bbox")).alias("a"))))
+    return rows.groupBy("parse_run_id", "page").agg(F.array_join(F.transform(lines, lambda x: x.a), "\n").alias("anchor_text"))
+
+
+@_query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'table' WHEN 1 THEN 'header' WHEN 2 THEN 'figure' WHEN 3 THEN 'equation' WHEN 4 THEN 'footer' ELSE 'paragraph' END AS type FROM part")
+def p07_label_types(spark, sf_dir):
+    labels = F.array(*map(F.lit, ("Table", "section_header", "picture", "formula", "page_footer", "unknown")))
+    return fx.table(spark, sf_dir, "part").select("p_partkey", text.block_type_of_label(F.get(labels, (F.col("p_partkey") % 6).cast("int"))).alias("type"))
+
+
+@_query(f"WITH {fx.REGIONS} SELECT parse_run_id, page, ord, block_id, type, route, text, CAST(n_spans AS BIGINT) AS n_spans, round(layout_confidence, 6) AS layout_confidence FROM regions")
+def p08_region_types_and_routes(spark, sf_dir):
+    """P08, P09, P10, W01, A04, A05 together."""
+    found = layout.regions(layout.group_spans(fx.spans(spark, sf_dir)))
+    return found.select("parse_run_id", "page", "ord", "block_id", "type", "route", "text", "n_spans", r6("layout_confidence", "layout_confidence"))
+
+
+@_query(f"WITH {fx.REGIONS} SELECT parse_run_id, page, ord, {SQL_BOX} FROM regions")
+def p11_padded_boxes(spark, sf_dir):
+    return layout.regions(layout.group_spans(fx.spans(spark, sf_dir))).select("parse_run_id", "page", "ord", *_box())
+
+
+@_query(f"WITH {fx.SPANS} SELECT parse_run_id, ord, CASE WHEN x + w / 2 > 0.62 THEN 1 ELSE 0 END AS col_hint FROM spans")
+def p12_column_hint(spark, sf_dir):
+    return fx.spans(spark, sf_dir).select("parse_run_id", "ord", boxes.column_hint(F.col("bbox")).alias("col_hint"))
+
+
+@_query(f"WITH {fx.BLOCKS} SELECT parse_run_id, count(*) AS n_blocks, count(*) FILTER (WHERE type = 'table') AS n_tables, round(avg(calibrated), 6) AS mean_confidence FROM blocks GROUP BY parse_run_id")
+def p13_blended_rollup(spark, sf_dir):
+    """Corpus parse to a rollup by run."""
+    rows = _blocks(spark, sf_dir)
+    return rows.groupBy("parse_run_id").agg(F.count("*").alias("n_blocks"), F.count_if(F.col("type") == "table").alias("n_tables"), r6(F.avg("confidence.calibrated"), "mean_confidence"))
+
+
+@_query(f"WITH {fx.BLOCKS} SELECT parse_run_id, block_id, page, substr(text, 1, 120) AS matching_text, {SQL_BOX} FROM blocks")
+def p14_block_citations(spark, sf_dir):
+    """P14 and O08."""
+    rows = parse.citation_rows(_blocks(spark, sf_dir)).withColumn("b", F.get("bboxes", F.lit(0)))
+    return rows.select("parse_run_id", "block_id", "page", "matching_text", *_box("b"))
+
+
+_FLAGGED = f"WITH {fx.BLOCKS}, flagged AS (SELECT *, calibrated < 0.5 OR length(text) % 7 = 0 AS needs FROM blocks) "
+
+
+def _reviewed(spark, sf_dir):
+    flag = (F.col("confidence.calibrated") < 0.5) | (F.length("text") % 7 == 0) | F.col("needs_review")
+    return _blocks(spark, sf_dir).withColumn("needs_review", flag)
+
+
+@_query(_FLAGGED + "SELECT workspace_id, parse_run_id, block_id, 'verifier' AS actor_id, 'needs_review' AS action FROM flagged WHERE needs")
+def p16_review_queue(spark, sf_dir):
+    """P15 and P16."""
+    return parse.review_actions(_reviewed(spark, sf_dir)).drop("payload")
+
+
+@_query("SELECT doc_id, CASE WHEN least(1.0::DOUBLE, n_chars / 5000) >= 0.85 THEN 'high' WHEN least(1.0::DOUBLE, n_chars / 5000) >= 0.7 THEN 'good' WHEN least(1.0::DOUBLE, n_chars / 5000) >= 0.5 THEN 'fair' ELSE 'low' END AS band FROM documents JOIN labels USING (doc_id)")
+def p17_confidence_bands(spark, sf_dir):
+    return fx.calibration(spark, sf_dir).select("doc_id", text.confidence_band(F.col("score")).alias("band"))
+
+
+@_query(
+    f"WITH {fx.RUNS} SELECT parse_run_id AS run_id, CASE WHEN status = 'succeeded' THEN 'complete' WHEN status IN ('queued', 'running') THEN status ELSE 'failed' END AS status, "
+    "CASE WHEN status = 'succeeded' THEN substr(text, 1, 10) END AS data, 'shown' AS keys, substr(text, 1, 5) AS error FROM runs"
+)
+def p19_public_view(spark, sf_dir):
+    rows = fx.runs(spark, sf_dir).select(
+        F.col("parse_run_id").alias("run_id"), "status", F.substring("error", 1, 10).alias("data"),
+        F.create_map(F.lit("shown"), F.lit("1"), F.lit("_error"), F.substring("error", 1, 5)).alias("metadata"),
+    )
+    return extraction.public_view(rows).withColumn("keys", F.array_join(F.map_keys("metadata"), ",")).drop("metadata")
+
+
+@_query(
+    f"WITH {fx.SPANS}, {fx.RUNS.strip()}, totals AS (SELECT parse_run_id, max(page) + 1 AS page_count FROM spans GROUP BY parse_run_id) "
+    "SELECT parse_run_id, 'succeeded' AS status, page_count, doc_id % 11 AS intake, page_count * 10 AS verify FROM runs JOIN totals USING (parse_run_id)"
+)
+def p20_completed_runs(spark, sf_dir):
+    totals = fx.spans(spark, sf_dir).groupBy("parse_run_id").agg((F.max("page") + 1).alias("page_count"))
+    totals = totals.select("parse_run_id", "page_count", F.lit("h").alias("file_hash"), F.create_map(F.lit("verify"), F.col("page_count") * 10).alias("timings"))
+    done = runs.completed(fx.runs(spark, sf_dir).drop("page_count"), totals)
+    at = lambda k: F.try_element_at("agent_timings_ms", F.lit(k)).cast("long").alias(k)
+    return done.select("parse_run_id", "status", "page_count", at("intake"), at("verify"))
+
+
+# --- joins -------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {fx.BLOCKS}, {fx.RUNS.strip()} SELECT r.parse_run_id, r.status, b.block_id FROM runs r JOIN blocks b ON r.workspace_id = b.workspace_id AND r.parse_run_id = b.parse_run_id WHERE r.doc_id % 4 <> 0")
+def j01_runs_documents_blocks(spark, sf_dir):
+    docs = fx.table(spark, sf_dir, "documents").filter("doc_id % 4 <> 0").select(
+        (F.col("doc_id") % 5).cast("string").alias("workspace_id"), F.col("doc_id").cast("string").alias("document_id"), "source"
+    ).withColumnRenamed("source", "filename")
+    rows, _ = runs.joined_runs(fx.runs(spark, sf_dir), docs, _blocks(spark, sf_dir))
+    return rows.select("parse_run_id", "status", "block_id")
+
+
+_IOU = "(greatest(0, least(s.x + s.w, r.x + r.w) - greatest(s.x, r.x)) * greatest(0, least(s.y + s.h, r.y + r.h) - greatest(s.y, r.y)))"
+
+
+@_query(
+    f"WITH {fx.REGIONS} SELECT r.parse_run_id, r.page, r.ord, count(*) AS n_spans, string_agg(CAST(s.ord AS VARCHAR), ',' ORDER BY s.ord) AS span_ords FROM regions r JOIN spans s "
+    f"ON s.parse_run_id = r.parse_run_id AND s.page = r.page AND {_IOU} / (s.w * s.h + r.w * r.h - {_IOU}) > 0.01 GROUP BY ALL"
+)
+def j02_spans_in_regions(spark, sf_dir):
+    spans = fx.spans(spark, sf_dir)
+    found = layout.regions(layout.group_spans(spans)).select("parse_run_id", "page", "ord", "bbox")
+    rows = layout.spans_in_regions(spans, found).filter("size(spans) > 0")
+    return rows.select("parse_run_id", "page", "ord", F.size("spans").cast("long").alias("n_spans"), F.array_join(F.transform("spans", lambda s: s.span_ord.cast("string")), ",").alias("span_ords"))
+
+
+@_query(
+    f"WITH {fx.BLOCKS}, p AS (SELECT s.parse_run_id, s.ord AS citation_id, s.page, b.block_id, b.ord, (greatest(0, least(s.x + s.w, b.x + b.w) - greatest(s.x, b.x)) * greatest(0, least(s.y + s.h, b.y + b.h) - greatest(s.y, b.y))) AS shared "
+    "FROM spans s JOIN blocks b ON s.parse_run_id = b.parse_run_id AND s.page = b.page), k AS (SELECT *, row_number() OVER (PARTITION BY parse_run_id, citation_id ORDER BY shared DESC, ord) AS i FROM p) "
+    "SELECT parse_run_id, citation_id, page, block_id, round(shared, 6) AS shared FROM k WHERE i = 1"
+)
+def j03_source_block(spark, sf_dir):
+    spans = fx.spans(spark, sf_dir).select("parse_run_id", F.col("ord").alias("citation_id"), "page", "bbox")
+    return parse.source_block(spans, _blocks(spark, sf_dir)).withColumn("shared", F.round("shared", 6))
+
+
+def _fields(spark, sf_dir):
+    """One schema for all runs, its field names and patterns taken from words of the corpus."""
+    schema = (
+        '{"properties": {"the_of": {"type": "string"}, "number": {"type": "number", "pattern": "\\\\\\\\d+", "minimum": 1}, '
+        '"de_la": {"type": "array", "aliases": ["de la", "und die"]}, "license": {"type": "string", "title": "License"}}, "required": ["license"]}'
+    ).replace("\\\\\\\\d", "\\\\d")
+    rows = fx.table(spark, sf_dir, "region").filter("r_regionkey = 0").select(F.col("r_regionkey").alias("schema_id"), F.lit(schema).alias("json_schema"))
+    return extraction.schema_fields(rows)
+
+
+@_query()
+def j04_extracted_fields(spark, sf_dir):
+    """Fields of every run with value, validators, confidence, citation."""
+    blocks = _blocks(spark, sf_dir).withColumn("schema_id", F.lit(0))
+    found = extraction.extract(blocks, _fields(spark, sf_dir))
+    return found.select(
+        "parse_run_id", "field_name", "value", F.to_json("typed").alias("typed"), F.to_json("validators").alias("validators"), r6("raw_confidence", "raw_confidence"), "block_id"
+    )
+
+
+@_query(
+    f"WITH {fx.BLOCKS}, f AS (SELECT unnest(['the of', 'de la', 'und die']) AS alias), t AS (SELECT parse_run_id, page, ord, block_id, list_distinct([w for w in regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+') if w <> '']) AS tokens FROM blocks), "
+    "s AS (SELECT *, len(list_intersect(tokens, string_split(alias, ' '))) / 2.0::DOUBLE AS score FROM t, f), k AS (SELECT *, row_number() OVER (PARTITION BY parse_run_id, alias ORDER BY score DESC, page, ord) AS i FROM s) "
+    "SELECT parse_run_id, alias AS field_name, block_id, round(score, 6) AS score FROM k WHERE i = 1"
+)
+def j04_candidate_blocks(spark, sf_dir):
+    """J04, F01 and W13."""
+    names = F.explode(F.array(*map(F.lit, ("the of", "de la", "und die")))).alias("field_name")
+    null = lambda t: F.lit(None).cast(t)
+    fields = fx.table(spark, sf_dir, "region").filter("r_regionkey = 0").select(F.lit(0).alias("schema_id"), names)
+    fields = fields.select("*", F.array("field_name").alias("aliases"), null("string").alias("pattern"))
+    rows = extraction.candidates(_blocks(spark, sf_dir).withColumn("schema_id", F.lit(0)), fields)
+    return rows.select("parse_run_id", "field_name", "block.block_id", r6("block.score", "score"))
+
+
+@_query()
+def j05_classified_pages(spark, sf_dir):
+    """Every packet page against every category."""
+    done = jobs.classify_pages(fx.packets(spark, sf_dir), TAXONOMY)
+    return done.select("parse_run_id", "page", "label", "confidence", F.to_json("scores").alias("scores"), F.array_join("alternatives", ",").alias("alternatives"))
+
+
+_AFTER = (
+    "CASE WHEN r.page <> l.page THEN r.page > l.page WHEN r.col <> l.col THEN r.col > l.col AND r.y >= l.y - 0.08::DOUBLE "
+    "ELSE r.y > l.y OR (abs(r.y - l.y) < 0.02::DOUBLE AND r.x > l.x) END"
+)
+_WEIGHT = (
+    "0.4::DOUBLE * least(1.0::DOUBLE, sqrt(power((r.x + (r.x + r.w)) / 2 - (l.x + (l.x + l.w)) / 2, 2) + power((r.y + (r.y + r.h)) / 2 - (l.y + (l.y + l.h)) / 2, 2))) "
+    "+ 0.3::DOUBLE * CASE WHEN regexp_matches(trim(l.text), '[-,;]$') AND regexp_matches(trim(r.text), '^\\p{Ll}') THEN 0.0::DOUBLE ELSE 0.2::DOUBLE END "
+    "+ 0.3::DOUBLE * CASE WHEN l.col = r.col THEN 0.0::DOUBLE ELSE 0.8::DOUBLE END"
+)
+
+
+@_query(
+    f"WITH {fx.BLOCKS}, c AS (SELECT *, CASE WHEN x + w / 2 > 0.62 THEN 1 ELSE 0 END AS col FROM blocks), "
+    f"p AS (SELECT l.parse_run_id, l.block_id, r.block_id AS next_id, {_WEIGHT} AS weight, r.page AS rp, r.ord AS ro FROM c l JOIN c r ON l.parse_run_id = r.parse_run_id AND l.block_id <> r.block_id AND {_AFTER}) "
+    "SELECT parse_run_id, block_id, round(min(weight), 6) AS weight FROM p GROUP BY ALL"
+)
+def j06_successors(spark, sf_dir):
+    """J06, W03 and W04."""
+    return assembly.successors(_blocks(spark, sf_dir)).select("parse_run_id", "block_id", r6("weight", "weight"))
+
+
+@_query(_FLAGGED + "SELECT parse_run_id, block_id, needs AND NOT (CAST(parse_run_id AS INT) % 2 = 0 AND page = 0) AS needs_review FROM flagged")
+def j07_corrections(spark, sf_dir):
+    blocks = _reviewed(spark, sf_dir)
+    fixes = blocks.filter("cast(parse_run_id as int) % 2 = 0 and page = 0").select("workspace_id", "parse_run_id", "block_id", F.lit("x").alias("corrected_text"))
+    return parse.corrected(blocks, fixes)[0].select("parse_run_id", "block_id", "needs_review")
+
+
+@_query(
+    "SELECT CAST(doc_id AS VARCHAR) AS parse_run_id, 'lang' AS field_name, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN source ELSE lang END AS value FROM documents"
+)
+def j08_overlay(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").withColumn("parse_run_id", F.col("doc_id").cast("string")).withColumn("field_name", F.lit("lang"))
+    rules = d.select("parse_run_id", "field_name", F.col("lang").alias("value"))
+    model = d.filter("doc_id % 3 < 2").select("parse_run_id", "field_name", F.when(F.col("doc_id") % 3 == 1, F.col("source")).alias("value"), F.lit(True).alias("present"))
+    return extraction.overlaid(rules, model).select("parse_run_id", "field_name", "value")
+
+
+@_query("SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = b.item_id AND d.doc_id % 3 = 0)")
+def j09_missing_cases(spark, sf_dir):
+    expected = fx.table(spark, sf_dir, "benchmark").select("item_id")
+    actual = fx.table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select(F.col("doc_id").alias("item_id"))
+    return evals.missing(expected, actual, ["item_id"])
+
+
+# --- aggregations ------------------------------------------------------------------------------
+
+
+@_query(f"WITH {fx.PACKETS} SELECT parse_run_id, page, text FROM pages")
+def a01_page_text(spark, sf_dir):
+    return packets.page_text(fx.packets(spark, sf_dir))
+
+
+@_query(
+    f"WITH {fx.BLOCKS}, g AS (SELECT parse_run_id, page, string_agg(text, chr(10) ORDER BY ord) AS text, string_agg(block_id, ',' ORDER BY ord) AS block_ids, min(x) AS x, min(y) AS y, max(x + w) AS x2, max(y + h) AS y2 FROM blocks GROUP BY ALL) "
+    "SELECT parse_run_id, page, text, block_ids, round(x, 6) AS x, round(y, 6) AS y, round(x2 - x, 6) AS w, round(y2 - y, 6) AS h FROM g"
+)
+def a02_page_chunks(spark, sf_dir):
+    """A02, A03 and J10."""
+    rows = index.page_chunks(_blocks(spark, sf_dir))
+    return rows.select("parse_run_id", "page", "text", F.array_join("block_ids", ",").alias("block_ids"), *_box())
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
+_TERMS = (
+    fx.PACKETS + f""",
+kept AS (SELECT parse_run_id, page, [w for w in regexp_extract_all(lower(substr(text, 1, 2048)), '[\\p{{L}}\\p{{N}}_]{{2,}}') if NOT list_contains({_STOP}, w)] AS k FROM pages),
+own AS (SELECT parse_run_id, page, unnest(list_concat(k, [k[i] || ' ' || k[i + 1] for i in range(1, len(k))])) AS term FROM kept),
+tf AS (SELECT parse_run_id, page, term, count(*) AS tf FROM own GROUP BY ALL),
+df AS (SELECT parse_run_id, term, count(*) AS df FROM tf GROUP BY ALL),
+np AS (SELECT parse_run_id, count(*) AS n FROM pages GROUP BY ALL),
+raw AS (SELECT tf.*, tf.tf * (ln((1 + n) / (1 + df)) + 1) AS v FROM tf JOIN df USING (parse_run_id, term) JOIN np USING (parse_run_id)),
+norms AS (SELECT parse_run_id, page, sqrt(sum(v * v)) AS norm FROM raw GROUP BY ALL),
+weights AS (SELECT raw.parse_run_id, raw.page, term, v / norm AS weight FROM raw JOIN norms USING (parse_run_id, page))"""
+)
+
+
+@_query(f"WITH {_TERMS} SELECT parse_run_id, page, term, round(weight, 6) AS weight FROM weights")
+def a06_term_weights(spark, sf_dir):
+    rows = packets.term_weights(packets.page_text(fx.packets(spark, sf_dir)))
+    return rows.select("parse_run_id", "page", "term", r6("weight", "weight"))
+
+
+@_query(f"WITH {fx.BLOCKS} SELECT parse_run_id, block_id, CASE WHEN route = 'mineru' THEN 'native_spans_only' ELSE 'native_pdf_anchor' END AS engine, round(raw, 6) AS raw, round(calibrated, 6) AS calibrated FROM blocks")
+def a07_parse_outcomes(spark, sf_dir):
+    """A07, O05 and P13."""
+    return _blocks(spark, sf_dir).select("parse_run_id", "block_id", "engine", r6("confidence.raw", "raw"), r6("confidence.calibrated", "calibrated"))
+
+
+@_query(
+    "WITH g AS (SELECT l_orderkey, string_agg(l_returnflag, ' ' ORDER BY l_linenumber) AS text, avg(l_tax) AS c FROM lineitem GROUP BY l_orderkey) SELECT CAST(l_orderkey AS VARCHAR) AS parse_run_id, text, round(c, 4) AS confidence FROM g"
+)
+def a08_ocr_regions(spark, sf_dir):
+    q, n = F.col("l_quantity").cast("double"), F.col("l_linenumber").cast("double")
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    rows = fx.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("parse_run_id"), F.lit("b").alias("block_id"), F.col("l_linenumber").alias("ord"), F.col("l_returnflag").alias("text"),
+        F.col("l_tax").cast("double").alias("confidence"), F.array(point(q, n), point(q + 40, n), point(q + 40, n + 9), point(q, n + 9)).alias("polygon"),
+        F.lit(100).alias("image_w"), F.lit(100).alias("image_h"),
+    )
+    return parse.ocr_regions(rows).select("parse_run_id", "text", "confidence")
+
+
+@_query(_FLAGGED + "SELECT parse_run_id, count(*) AS n_blocks, count(*) FILTER (WHERE needs) AS n_flagged, round(avg(calibrated), 6) AS mean_confidence FROM flagged GROUP BY parse_run_id")
+def a09_run_rollup(spark, sf_dir):
+    return runs.rollup(_reviewed(spark, sf_dir)).withColumn("mean_confidence", F.round("mean_confidence", 6))
+
+
+@_query(
+    f"WITH {fx.BLOCKS} SELECT workspace_id AS collection_id, count(DISTINCT parse_run_id) AS queued_documents, count(DISTINCT parse_run_id || ':' || page) AS pages_indexed FROM blocks GROUP BY workspace_id"
+)
+def a10_sync_counts(spark, sf_dir):
+    return index.sync_counts(index.page_chunks(_blocks(spark, sf_dir)).withColumn("collection_id", F.col("workspace_id")))
+
+
+@_query(f"WITH {fx.EVENTS} SELECT workspace_id, round(sum(cost_credits), 4) AS cost_credits, count(DISTINCT parse_run_id) AS n_runs FROM run_events GROUP BY workspace_id")
+def a11_tenant_costs(spark, sf_dir):
+    return runs.tenant_costs(fx.run_events(spark, sf_dir)).withColumn("cost_credits", F.round("cost_credits", 4))
+
+
+@_query(
+    f"WITH {fx.EVENTS}, s AS (SELECT 'intake' AS stage, intake_ms AS ms FROM run_events UNION ALL SELECT 'layout', layout_ms FROM run_events) "
+    "SELECT stage, count(*) AS n, round(avg(ms), 6) AS mean_ms, round(quantile_cont(ms, 0.5), 6) AS median_ms, round(quantile_cont(ms, 0.95), 6) AS p95_ms FROM s GROUP BY stage"
+)
+def a11_stage_timings(spark, sf_dir):
+    rows = runs.stage_timings(fx.run_events(spark, sf_dir))
+    return rows.select("stage", "n", *[r6(c, c) for c in ("mean_ms", "median_ms", "p95_ms")])
+
+
+_EDGES = ", ".join(repr(i * 0.1) + "::DOUBLE" for i in range(10))
+
+
+@_query(
+    f"WITH c AS (SELECT least(1.0::DOUBLE, n_chars / 5000) AS score, quality AS truth FROM documents JOIN labels USING (doc_id)), e AS (SELECT *, len([x for x in [{_EDGES}] if x <= score]) AS bin FROM c), "
+    "b AS (SELECT bin, count(*) AS n, abs(avg(score) - avg(truth)) AS gap FROM e GROUP BY bin) SELECT round(sum(n * gap) / sum(n), 6) AS ece, CAST(sum(n) AS BIGINT) AS n_rows FROM b"
+)
+def a12_calibration_error(spark, sf_dir):
+    return evals.calibration_error(fx.calibration(spark, sf_dir)).withColumn("ece", F.round("ece", 6))
+
+
+@_query(
+    "WITH r AS (SELECT label AS query_id, vec_id % 4 AS ranking_id, vec_id // 4 % 20 AS doc_id, row_number() OVER (PARTITION BY label, vec_id % 4 ORDER BY vec_id) AS rank FROM embeddings) "
+    "SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM r GROUP BY query_id, doc_id"
+)
+def a13_rank_fusion(spark, sf_dir):
+    order = Window.partitionBy("query_id", "ranking_id").orderBy("vec_id")
+    rows = fx.table(spark, sf_dir, "embeddings").select(F.col("label").alias("query_id"), (F.col("vec_id") % 4).alias("ranking_id"), (F.floor(F.col("vec_id") / 4) % 20).alias("doc_id"), "vec_id")
+    return index.reciprocal_rank_fusion(rows.withColumn("rank", F.row_number().over(order))).withColumn("score", F.round("score", 6))
+
+
+@_query(f"WITH {fx.BLOCKS} SELECT parse_run_id, string_agg(text, chr(10) || chr(10) ORDER BY page, ord) AS markdown FROM blocks WHERE text <> '' GROUP BY parse_run_id")
+def a14_markdown(spark, sf_dir):
+    return runs.markdown(fx.ranked(_blocks(spark, sf_dir)))
+
+
+@_query(
+    f"WITH {fx.BLOCKS}, p AS (SELECT DISTINCT workspace_id, document_id, page FROM blocks), r AS (SELECT document_id, string_agg('/' || workspace_id || '/' || document_id || '/renders/' || lpad(CAST(page AS VARCHAR), 4, '0') || '.png', ',' ORDER BY page) AS renders FROM p GROUP BY ALL), "
+    "c AS (SELECT document_id, count(*) AS n_crops FROM blocks GROUP BY ALL) SELECT document_id, renders, n_crops FROM r JOIN c USING (document_id)"
+)
+def a16_manifest(spark, sf_dir):
+    blocks = _blocks(spark, sf_dir)
+    rows = runs.manifest(fx.spans(spark, sf_dir).select("workspace_id", "document_id", "parse_run_id", "page").distinct(), blocks)
+    return rows.select("document_id", F.array_join("renders", ",").alias("renders"), F.size("crops").cast("long").alias("n_crops"))
+
+
+@_query(
+    f"WITH {fx.BLOCKS}, {fx.RUNS.strip()}, d AS (SELECT parse_run_id, count(DISTINCT page) AS done, string_agg(block_id, ',' ORDER BY page, ord) AS ids FROM blocks GROUP BY ALL) "
+    "SELECT parse_run_id, status, CASE WHEN status IN ('intake_complete', 'succeeded') THEN coalesce(done, 0) ELSE 0 END AS pages_done, CASE WHEN status IN ('intake_complete', 'succeeded') THEN coalesce(ids, '') ELSE '' END AS block_ids FROM runs LEFT JOIN d USING (parse_run_id)"
+)
+def a17_run_progress(spark, sf_dir):
+    rows = runs.progress(fx.runs(spark, sf_dir), fx.ranked(_blocks(spark, sf_dir)))
+    return rows.select("parse_run_id", "status", F.col("pages_done").cast("long").alias("pages_done"), F.array_join("block_ids", ",").alias("block_ids"))
+
+
+# --- windows and folds -------------------------------------------------------------------------
+
+
+@_query(f"WITH {fx.REGIONS} SELECT parse_run_id, page, ord, CAST(region AS INT) AS region FROM numbered")
+def w01_span_groups(spark, sf_dir):
+    return layout.group_spans(fx.spans(spark, sf_dir)).select("parse_run_id", "page", "ord", "region")
+
+
+@_query(
+    f"WITH {fx.BLOCKS} SELECT parse_run_id, block_id, row_number() OVER (PARTITION BY parse_run_id ORDER BY page, CASE WHEN x + w / 2 > 0.62 THEN 1 ELSE 0 END, y, x, ord) - 1 AS rank_hint FROM blocks"
+)
+def w02_baseline_order(spark, sf_dir):
+    return assembly.baseline_order(_blocks(spark, sf_dir)).select("parse_run_id", "block_id", F.col("rank_hint").cast("long").alias("rank_hint"))
+
+
+@_query()
+def w05_reading_order(spark, sf_dir):
+    return assembly.reading_order(_blocks(spark, sf_dir)).select("parse_run_id", "block_id", "rank")
+
+
+@_query()
+def w06_assembled_blocks(spark, sf_dir):
+    """Order, merged paragraphs, stitched tables, final rank."""
+    rows = jobs.corpus_parse(fx.spans(spark, sf_dir))
+    return rows.select("parse_run_id", "block_id", "page", "type", "text", F.array_join("children", ",").alias("children"), "reading_order_rank")
+
+
+@_query(
+    "WITH p AS (SELECT l_orderkey, l_linenumber, l_returnflag AS ha, lag(l_returnflag) OVER o AS hb, CAST(l_tax AS DOUBLE) AS wa, CAST(lag(l_tax) OVER o AS DOUBLE) AS wb, CAST(l_discount AS DOUBLE) AS c FROM lineitem WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber)) "
+    "SELECT l_orderkey, l_linenumber, round(0.4::DOUBLE * CASE WHEN ha = hb THEN 1 ELSE 0 END + 0.3::DOUBLE * (1 - least(1.0::DOUBLE, abs(wa - wb) / greatest(wa, 1.0::DOUBLE))) + 0.2::DOUBLE * c + 0.1::DOUBLE * CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 0 END, 6) AS score FROM p WHERE hb IS NOT NULL"
+)
+def w08_stitch_score(spark, sf_dir):
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    rows = fx.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("ha"), F.lag("l_returnflag").over(order).alias("hb"),
+        F.array(F.col("l_tax").cast("double")).alias("wa"), F.array(F.lag("l_tax").over(order).cast("double")).alias("wb"), F.col("l_discount").cast("double").alias("c"),
+    ).filter("hb is not null")
+    score = assembly.stitch_score(*map(F.col, ("ha", "hb", "wa", "wb", "c")), F.col("l_linenumber") % 2 == 0)
+    return rows.select("l_orderkey", "l_linenumber", r6(score, "score"))
+
+
+_LIKE = _TERMS + """,
+steps AS (SELECT * FROM (SELECT parse_run_id, page, lag(page) OVER (PARTITION BY parse_run_id ORDER BY page) AS before FROM pages) WHERE before IS NOT NULL),
+dots AS (SELECT s.parse_run_id, s.page, sum(a.weight * b.weight) AS dot FROM steps s JOIN weights a ON a.parse_run_id = s.parse_run_id AND a.page = s.page
+  JOIN weights b ON b.parse_run_id = s.parse_run_id AND b.page = s.before AND a.term = b.term GROUP BY ALL),
+likes AS (SELECT s.*, coalesce(dot, 0.0) AS similarity FROM steps s LEFT JOIN dots USING (parse_run_id, page))"""
+
+
+@_query(f"WITH {_LIKE} SELECT parse_run_id, page, before, round(similarity, 6) AS similarity FROM likes")
+def w10_adjacent_similarity(spark, sf_dir):
+    pages = packets.page_text(fx.packets(spark, sf_dir))
+    return packets.adjacent_similarity(pages, packets.term_weights(pages)).withColumn("similarity", F.round("similarity", 6))
+
+
+_BOUND = _LIKE + """,
+firsts AS (SELECT parse_run_id, min(page) AS page FROM pages GROUP BY ALL),
+cuts AS (SELECT parse_run_id, page FROM firsts UNION SELECT parse_run_id, page FROM likes WHERE similarity < 0.35),
+lasts AS (SELECT parse_run_id, max(page) AS last FROM cuts GROUP BY ALL),
+heads AS (SELECT DISTINCT parse_run_id, page FROM packets WHERE page > 0 AND (type = 'header' OR regexp_matches(lower(trim(text)), '^(section|exhibit|appendix|schedule)'))),
+starts AS (SELECT * FROM cuts UNION SELECT h.parse_run_id, h.page FROM heads h JOIN likes l USING (parse_run_id, page) JOIN lasts USING (parse_run_id) WHERE l.similarity < 0.55 AND h.page - last >= 1)"""
+
+
+@_query(f"WITH {_BOUND} SELECT parse_run_id, page FROM starts")
+def w11_split_boundaries(spark, sf_dir):
+    """W11, F17 and O06."""
+    rows = fx.packets(spark, sf_dir)
+    pages = packets.page_text(rows)
+    return packets.boundaries(pages, packets.adjacent_similarity(pages, packets.term_weights(pages)), packets.heading_pages(rows))
+
+
+@_query(
+    f"WITH {_BOUND}, seg AS (SELECT p.parse_run_id, p.page, p.text, l.similarity, s.page IS NOT NULL AS st, sum(CASE WHEN s.page IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY p.parse_run_id ORDER BY p.page) AS segment "
+    "FROM pages p LEFT JOIN starts s ON s.parse_run_id = p.parse_run_id AND s.page = p.page LEFT JOIN likes l ON l.parse_run_id = p.parse_run_id AND l.page = p.page), "
+    "g AS (SELECT parse_run_id, segment, min(page) AS start_page, max(page) AS last_page, count(*) AS n, avg(CASE WHEN NOT st THEN similarity END) AS m FROM seg GROUP BY ALL), "
+    "e AS (SELECT *, coalesce(lead(start_page) OVER (PARTITION BY parse_run_id ORDER BY segment) - 1, last_page) AS end_page, sum(n) OVER (PARTITION BY parse_run_id) AS np FROM g) "
+    "SELECT parse_run_id, start_page, end_page, end_page - start_page + 1 AS page_count, round(CASE WHEN np = 1 THEN 0.8::DOUBLE WHEN n = 1 THEN 1.0::DOUBLE ELSE least(1.0, greatest(0.0, m)) END, 3) AS confidence, "
+    "round((end_page - start_page + 1) / (max(end_page) OVER (PARTITION BY parse_run_id) + 1), 6) AS share FROM e"
+)
+def w12_segments(spark, sf_dir):
+    """W12, A15, W15 and F16."""
+    rows = jobs.split_packets(fx.packets(spark, sf_dir).filter(~text.is_blank(F.col("text"))))
+    return rows.select("parse_run_id", "start_page", "end_page", "page_count", F.round("confidence", 3).alias("confidence"), r6("share", "share"))
+
+
+_COS = """pts AS (SELECT vec_id // 8 AS point_id, vec_id, embedding FROM embeddings), qs AS (SELECT vec_id // 4 AS query_id, vec_id AS token, embedding AS q FROM embeddings WHERE vec_id < 20),
+best AS (SELECT query_id, token, point_id, max(list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS c FROM qs, pts GROUP BY ALL),
+scores AS (SELECT query_id, point_id, sum(c) AS score FROM best GROUP BY ALL)"""
+
+
+@_query(f"WITH {_COS}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM scores) SELECT query_id, point_id, rank, round(score, 6) AS score FROM k WHERE rank <= 5")
+def w14_top_hits(spark, sf_dir):
+    """R01 with partial top k, and W14."""
+    found = index.top_hits(index.max_sim(fx.page_vectors(spark, sf_dir), fx.query_vectors(spark, sf_dir), 5), 5)
+    return found.select("query_id", "point_id", F.col("rank").cast("long").alias("rank"), r6("score", "score"))
+
+
+# --- sorts, prompts ----------------------------------------------------------------------------
+
+
+@_query(f"WITH {fx.BLOCKS} SELECT parse_run_id, page, row_number() OVER (PARTITION BY parse_run_id ORDER BY page, ord) - 1 AS reading_order_rank, block_id FROM blocks")
+def o01_block_listing(spark, sf_dir):
+    rows = runs.listing(fx.ranked(_blocks(spark, sf_dir)))
+    return rows.select("parse_run_id", "page", F.col("reading_order_rank").cast("long").alias("reading_order_rank"), "block_id")
+
+
+@_query(
+    f"WITH {fx.BLOCKS}, k AS (SELECT *, row_number() OVER (PARTITION BY parse_run_id ORDER BY page, ord) AS i FROM blocks) "
+    "SELECT parse_run_id, string_agg('[Page ' || page || ', ' || type || ']: ' || text, chr(10) ORDER BY i) AS context FROM k WHERE i <= 60 GROUP BY parse_run_id"
+)
+def o03_document_context(spark, sf_dir):
+    return extraction.document_context(fx.ranked(_blocks(spark, sf_dir)))
+
+
+@_query(
+    f"WITH {fx.BLOCKS} SELECT parse_run_id, 'Extract fields matching this JSON schema: {{}}' || chr(10) || string_agg('Block page=' || page || ' bbox=[' || printf('%.6f,%.6f,%.6f,%.6f', x, y, w, h) || ']: ' || text, chr(10) ORDER BY page, ord) AS prompt FROM blocks GROUP BY parse_run_id"
+)
+def o04_structured_prompt(spark, sf_dir):
+    return extraction.structured_prompt(fx.ranked(_blocks(spark, sf_dir)), "{}")
+
+
+@_query()
+def o09_region_prompts(spark, sf_dir):
+    return extraction.region_prompts(layout.regions(layout.group_spans(fx.spans(spark, sf_dir))))
+
+
+# --- scalar functions --------------------------------------------------------------------------
+
+
+@_query(
+    "SELECT doc_id, CASE WHEN a = '' AND b = '' THEN 0 WHEN a = '' OR b = '' THEN 1 ELSE round(least(1.0::DOUBLE, levenshtein(a, b) / length(a)), 6) END AS cer FROM (SELECT doc_id, substr(t, 1, 60) AS a, substr(t, 20, 60) AS b FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM documents))"
+)
+def f09_character_error_rate(spark, sf_dir):
+    plain = F.regexp_replace("text", "[^ -~]", "")  # the SQL's edit distance counts bytes
+    rate = text.character_error_rate(F.substring(plain, 1, 60), F.substring(plain, 20, 60))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", r6(rate, "cer"))
+
+
+_METRICS = "SELECT l_orderkey, l_linenumber, 1 - CAST(l_discount AS DOUBLE) AS ssim, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE CAST(l_tax AS DOUBLE) END AS cer, 1 - CAST(l_tax AS DOUBLE) * 2 AS iou, CASE WHEN l_linenumber % 7 = 0 THEN NULL ELSE 1 - CAST(l_discount AS DOUBLE) * 3 END AS clip, l_orderkey % 50 = 0 AS bad FROM lineitem"
+
+
+@_query(
+    f"WITH m AS ({_METRICS}), l AS (SELECT *, 0.35::DOUBLE * (1 - ssim) + 0.25::DOUBLE * coalesce(cer, 0.0::DOUBLE) + 0.25::DOUBLE * (1 - iou) + 0.15::DOUBLE * (1 - coalesce(clip, 1.0::DOUBLE)) AS loss FROM m) "
+    "SELECT l_orderkey, l_linenumber, CASE WHEN bad THEN 0.5::DOUBLE ELSE round(round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - loss)), 9), 3) END AS score, bad OR loss > 0.1501::DOUBLE AS flagged FROM l"
+)
+def f10_verify_loss(spark, sf_dir):
+    d, t, n = F.col("l_discount").cast("double"), F.col("l_tax").cast("double"), F.col("l_linenumber")
+    rows = fx.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", (1 - d).alias("ssim"), F.when(n % 5 != 0, t).alias("cer"), (1 - t * 2).alias("layout_iou"),
+        F.when(n % 7 != 0, 1 - d * 3).alias("clip_sim"), (F.col("l_orderkey") % 50 == 0).alias("is_degraded"),
+    )
+    out = parse.verified(rows, flag_over=0.1501)
+    return out.select("l_orderkey", "l_linenumber", F.round("verifier.score", 3).alias("score"), F.col("verifier.flag_for_repair").alias("flagged"))
+
+
+@_query(
+    "WITH b AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS q, CAST(l_linenumber * 6 AS INT) AS n FROM lineitem), "
+    "i AS (SELECT *, greatest(0, least(q + 20, n + 25) - greatest(q, n)) * greatest(0, least(30, n + 20) - greatest(0, n)) AS inter FROM b) SELECT l_orderkey, l_linenumber, round(inter / (20 * 30 + 25 * 20 - inter), 6) AS iou FROM i"
+)
+def f11_box_set_iou(spark, sf_dir):
+    q, n = F.col("l_quantity").cast("int"), (F.col("l_linenumber") * 6).cast("int")
+    box = lambda a, b, c, d: F.array(F.struct(a.alias("x1"), b.alias("y1"), c.alias("x2"), d.alias("y2")))
+    found = boxes.set_iou(box(q, F.lit(0), q + 20, F.lit(30)), box(n, n, n + 25, n + 20))
+    return fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r6(found, "iou"))
+
+
+@_query()
+def f12_html_text(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "pages").select("page_id", markup.html_text(F.col("html")).alias("text"), markup.html_text(F.col("html"), ("script", "style")).alias("visible"))
+    return rows
+
+
+@_query(
+    "SELECT page_id, CAST(len(regexp_extract_all(replace(replace(html, '<nav', '<table'), '</nav>', '</table>'), '(?is)<table.*?>.*?</table>')) AS BIGINT) AS n_tables, array_to_string(regexp_extract_all(replace(replace(html, '<nav', '<table'), '</nav>', '</table>'), '(?is)<table.*?>.*?</table>'), '|') AS tables FROM pages"
+)
+def f13_html_tables(spark, sf_dir):
+    html = F.replace(F.replace(F.col("html"), F.lit("<nav"), F.lit("<table")), F.lit("</nav>"), F.lit("</table>"))
+    found = markup.html_tables(html)
+    return fx.table(spark, sf_dir, "pages").select("page_id", F.size(found).cast("long").alias("n_tables"), F.array_join(found, "|").alias("tables"))
+
+
+@_query()
+def f14_markdown_tables(spark, sf_dir):
+    rows = F.regexp_replace("text", r"(?m)^(\S+) (\S+) ", "| $1 | $2 |\n")
+    return fx.table(spark, sf_dir, "documents").filter("n_chars < 2000").select("doc_id", markup.markdown_to_html(rows).alias("html"))
+
+
+@_query(
+    "SELECT item_id, '<table><tbody><tr>' || array_to_string([('<td>' || replace(replace(replace(replace(w, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</td>') for w in regexp_split_to_array(text, '\\s+') if w <> ''], '') || '</tr></tbody></table>' AS html FROM benchmark"
+)
+def f15_one_row_table(spark, sf_dir):
+    return fx.table(spark, sf_dir, "benchmark").select("item_id", markup.one_row_table(F.col("text")).alias("html"))
+
+
+@_query(
+    "SELECT doc_id, CASE WHEN regexp_matches(substr(lower(text), 1, 500), 'invoice|bill to|amount due|payment|line items') THEN 'invoice' "
+    "WHEN regexp_matches(substr(lower(text), 1, 500), 'agreement|hereby agrees|terms and conditions|whereas|party') THEN 'contract' "
+    "WHEN regexp_matches(substr(lower(text), 1, 500), 'appendix|exhibit|schedule|attachment|supporting') THEN 'appendix' WHEN regexp_matches(substr(lower(text), 1, 500), 'contents') THEN 'table_of_contents' "
+    "WHEN regexp_matches(substr(lower(text), 1, 500), 'balance sheet|income statement|cash flow|profit|revenue') THEN 'financial' WHEN regexp_matches(substr(lower(text), 1, 500), 'court|plaintiff|defendant|pursuant|statute') THEN 'legal' "
+    "WHEN regexp_matches(substr(lower(text), 1, 500), 'executive summary|findings|methodology|conclusion') THEN 'report' ELSE 'document' END AS label FROM documents"
+)
+def f16_segment_labels(spark, sf_dir):
+    return fx.table(spark, sf_dir, "documents").select("doc_id", text.segment_label(F.col("text")).alias("label"))
+
+
+@_query()
+def f23_point_ids(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents")
+    return d.select("doc_id", index.uuid5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("0"))).alias("point_id"))
+
+
+@_query(
+    "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT vec_id, round(list_sum([x for x in e]) / sqrt(list_sum([x * x for x in e])), 6) AS total, CAST(list_sum([CASE WHEN x >= 0 THEN 1 ELSE -1 END for x in e]) AS BIGINT) AS signs FROM v"
+)
+def f25_normalise_and_quantise(spark, sf_dir):
+    total = F.aggregate(index.normalised(F.col("embedding")), F.lit(0.0), lambda s, x: s + x)
+    signs = F.aggregate(index.sign_quantised(F.col("embedding")), F.lit(0), lambda s, x: s + x)
+    return fx.table(spark, sf_dir, "embeddings").select("vec_id", r6(total, "total"), signs.cast("long").alias("signs"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, round(0.30::DOUBLE * l_discount + 0.20::DOUBLE * l_tax + 0.30::DOUBLE * (l_quantity / 50) + 0.10::DOUBLE + 0.10::DOUBLE * 0.5::DOUBLE, 6) AS score FROM lineitem")
+def f26_hybrid_score(spark, sf_dir):
+    c = lambda name: F.col(name).cast("double")
+    score = index.hybrid(c("l_discount"), c("l_tax"), c("l_quantity") / 50, F.lit(1.0), F.lit(0.5))
+    return fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r6(score, "score"))
+
+
+@_query()
+def f29_run_level_labels(spark, sf_dir):
+    done = packets.run_level(jobs.classify_pages(fx.packets(spark, sf_dir), TAXONOMY))
+    return done.select("parse_run_id", F.to_json("page_labels").alias("page_labels"), F.to_json("scores").alias("scores"))
+
+
+# --- retrieval, calibration, evaluation --------------------------------------------------------
+
+
+@_query(f"WITH {_COS} SELECT query_id, point_id, round(score, 6) AS score FROM scores")
+def r01_max_sim(spark, sf_dir):
+    found = index.max_sim(fx.page_vectors(spark, sf_dir), fx.query_vectors(spark, sf_dir))
+    return found.select("query_id", "point_id", r6("score", "score"))
+
+
+@_query(
+    f"WITH {_COS}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM scores WHERE point_id % 5 = 3) "
+    "SELECT query_id, point_id, rank, '/3/' || point_id || '/renders/0.png' AS render_path, round(score, 6) AS score FROM k WHERE rank <= 5"
+)
+def r02_tenant_retrieval(spark, sf_dir):
+    found = index.retrieve(fx.page_vectors(spark, sf_dir), fx.query_vectors(spark, sf_dir), F.lit("3"))
+    return found.select("query_id", "point_id", F.col("rank").cast("long").alias("rank"), "render_path", r6("score", "score"))
+
+
+@_query(
+    "WITH c AS (SELECT label, i, avg(v) AS m FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL), n AS (SELECT label, list(m ORDER BY i) AS e, sqrt(sum(m * m)) AS len FROM c GROUP BY label), "
+    "s AS (SELECT vec_id, n.label AS cat, list_inner_product(CAST(v.embedding AS DOUBLE[]), n.e) / len AS score FROM embeddings v, n), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, cat) AS i FROM s) "
+    "SELECT vec_id, CASE WHEN score >= 0.25 THEN CAST(cat AS VARCHAR) ELSE 'uncertain' END AS label, round(round(greatest(0.0, least(1.0, score)), 4), 3) AS confidence FROM k WHERE i = 1"
+)
+def r03_dense_classification(spark, sf_dir):
+    rows = fx.unit_vectors(spark, sf_dir)
+    flat = rows.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    centre = F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x.m)
+    cats = flat.groupBy("label").agg(index.normalised(centre).alias("embedding")).select(F.lit(0).alias("taxonomy_id"), F.col("label").alias("ord"), F.col("label").cast("string").alias("label"), "embedding")
+    pages = rows.select(F.col("vec_id").cast("string").alias("parse_run_id"), F.lit(0).alias("page"), F.lit(0).alias("taxonomy_id"), "embedding")
+    done = packets.decide(packets.dense_scores(pages, cats), 0.25)
+    return done.select(F.col("parse_run_id").cast("long").alias("vec_id"), "label", F.round("confidence", 3).alias("confidence"))
+
+
+@_query()
+def r04_isotonic_calibration(spark, sf_dir):
+    rows = fx.calibration(spark, sf_dir)
+    return evals.calibrated(rows, evals.fit_calibrator(rows)).select("doc_id", r6("score", "score"), r6("calibrated", "calibrated"))
+
+
+@_query(
+    "WITH p AS (SELECT d.doc_id, regexp_replace(lower(d.text), '[^a-z0-9.]+', '', 'g') AS a, list_distinct([regexp_replace(lower(t), '[^a-z0-9.]+', '', 'g') for t in regexp_extract_all(b.text, '[A-Za-z0-9.$,]+') if length(t) > 1 AND NOT list_contains(['table', 'tr', 'td', 'th'], lower(t))]) AS ts "
+    "FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40) SELECT doc_id, round(CASE WHEN len(ts) > 0 THEN len([t for t in ts if contains(a, t)]) / len(ts) ELSE 0 END, 6) AS score FROM p"
+)
+def e01_table_score(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
+    rows = d.join(fx.table(spark, sf_dir, "benchmark").withColumnRenamed("text", "expected"), "item_id")
+    return rows.select("doc_id", r6(evals.table_score(F.col("text"), F.col("expected")), "score"))
+
+
+@_query(
+    "SELECT d.doc_id, contains(regexp_replace(lower(d.text), '[^a-z0-9.]+', '', 'g'), regexp_replace(lower(substr(b.text, 1, 12)), '[^a-z0-9.]+', '', 'g')) AS present FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40"
+)
+def e02_value_present(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
+    rows = d.join(fx.table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 12).alias("v")), "item_id")
+    return rows.select("doc_id", evals.value_present(F.col("text"), F.col("v"), F.lit(None).cast("double")).alias("present"))
+
+
+@_query(
+    "SELECT doc_id, array_to_string([x for x in ['text', CASE WHEN regexp_matches(t, 'invoice|statement|agreement|notes|form 10-k|receipt|understanding') THEN 'heading' END, CASE WHEN regexp_matches(t, 'item|qty|amount|balance|accuracy|total') THEN 'table' END, "
+    "CASE WHEN regexp_matches(t, 'formula|e = mc') THEN 'formula' END, CASE WHEN contains(t, 'signature') THEN 'signature' END, CASE WHEN contains(t, 'footer') THEN 'footer' END] if x IS NOT NULL], ',') AS types FROM (SELECT doc_id, lower(text) AS t FROM documents)"
+)
+def e03_inferred_types(spark, sf_dir):
+    return fx.table(spark, sf_dir, "documents").select("doc_id", F.array_join(evals.inferred_types(F.col("text")), ",").alias("types"))
+
+
+@_query(
+    f"WITH {_COS}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM scores), q AS (SELECT DISTINCT vec_id // 4 AS query_id, vec_id // 4 // 2 AS point_id FROM embeddings WHERE vec_id < 20) "
+    "SELECT q.query_id, round(coalesce(1 / log2(k.rank + 1), 0.0), 6) AS ndcg FROM q LEFT JOIN k ON k.query_id = q.query_id AND k.point_id = q.point_id AND k.rank <= 5"
+)
+def e04_ndcg(spark, sf_dir):
+    queries = fx.query_vectors(spark, sf_dir)
+    hits = index.top_hits(index.max_sim(fx.page_vectors(spark, sf_dir), queries, 5), 5)
+    expected = queries.select("query_id", F.floor(F.col("query_id") / 2).alias("point_id"))
+    return evals.ndcg(hits, expected).withColumn("ndcg", F.round("ndcg", 6))
+
+
+# --- run state ---------------------------------------------------------------------------------
+
+
+@_query(
+    f"WITH {fx.EVENTS}, k AS (SELECT parse_run_id, state, row_number() OVER (PARTITION BY parse_run_id ORDER BY state IN ('succeeded', 'failed', 'cancelled') DESC, ts DESC, event_id DESC) AS i FROM run_events) SELECT parse_run_id, state FROM k WHERE i = 1"
+)
+def t02_latest_run_state(spark, sf_dir):
+    return runs.latest_state(fx.run_events(spark, sf_dir)).select("parse_run_id", "state")
+
+
+@_query(f"WITH {fx.RUNS} SELECT parse_run_id, right(substr(text, 1, 6000), 4000) AS error FROM runs WHERE status = 'failed'")
+def t04_dead_letters(spark, sf_dir):
+    return runs.failures(fx.runs(spark, sf_dir))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
