@@ -84,13 +84,13 @@ class Space:
     def rows(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, word, value) of a batch's unit passage vectors, and each row's text and passage."""
         docs, passages, ids = [], [], []
-        get = self.vocabulary.get
+        known = self.vocabulary
         for k, ws in enumerate(texts):
-            found = np.fromiter((get(w, -1) for w in ws), np.int64, len(ws))
-            at = np.flatnonzero(found >= 0)
-            if len(at):
-                which, passage = passages_of(at, len(ws))
-                ids.append(found[at[which]])
+            at = [i for i, w in enumerate(ws) if w in known]
+            if at:
+                found = np.array([known[ws[i]] for i in at])
+                which, passage = passages_of(np.array(at), len(ws))
+                ids.append(found[which])
                 passages.append(passage)
                 docs.append(np.full(len(passage), k))
         if not ids:
@@ -103,7 +103,7 @@ class Space:
         rows, row = np.unique(place, return_inverse=True)
         value = count * self.idf[word]
         norm = np.sqrt(np.bincount(row, value**2, len(rows)))
-        return row, word, value / norm[row], rows // (int(passage.max()) + 1), rows % (int(passage.max()) + 1)
+        return row, word, (value / norm[row]).astype(np.float32), rows // (int(passage.max()) + 1), rows % (int(passage.max()) + 1)
 
 
 def _times(row: np.ndarray, value: np.ndarray, right: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -134,6 +134,7 @@ def _counts(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray,
 def _sketch(docs: DataFrame, space: Space, test: np.ndarray) -> np.ndarray:
     """X'(X test) over all passages of ``docs``."""
     v, l = test.shape
+    test = test.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((v, l))
@@ -190,7 +191,7 @@ def latent_basis(docs: DataFrame, space: Space, items: list[list[bytes]], rank:
         u, s, _ = np.linalg.svd(y @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
         return u[:, : min(rank, int((s > s.max(initial=0) * 1e-9).sum()))]
 
-    return in_task(docs.sparkSession, factors, y, test)
+    return in_task(docs.sparkSession, factors, y, test).astype(np.float32)
 
 
 def contaminated(

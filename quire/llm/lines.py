@@ -129,7 +129,7 @@ def remove_repeated_lines(docs: DataFrame, similarity: float = 0.9, least_words:
     first = grouped.groupBy("part").agg(F.min("at").alias("first"))
     firsts = grouped.join(first, "part").select("node", "first")
     gone = rows.join(firsts, "node").filter(F.struct("doc_id", "no") != F.col("first"))
-    gone, _ = written(gone.groupBy("doc_id").agg(F.collect_set("no").alias("gone")), "lines-gone")
+    gone, _ = written(gone.groupBy("doc_id").agg(F.collect_set("no").alias("__gone")), "lines-gone")
     deleted(spark, place)
 
     kept = [c for c in docs.columns if c != "lines"]
@@ -138,11 +138,11 @@ def remove_repeated_lines(docs: DataFrame, similarity: float = 0.9, least_words:
         F.col("doc_id").cast("long").alias("doc_id"),
     ).join(gone, "doc_id", "left")
     lines = F.split("text", "\n")
-    gone_or_none = F.coalesce("gone", F.array().cast("array<int>"))
+    gone_or_none = F.coalesce("__gone", F.array().cast("array<int>"))
     stay = F.filter(lines, lambda _, i: ~F.array_contains(gone_or_none, i))
     lines_out = F.struct(
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")).alias("kept_text"),
+        F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")).alias("kept_text"),
         F.size(lines).cast("long").alias("n_lines"),
         F.size(gone_or_none).cast("long").alias("n_removed"),
     )
-    return texts.select("row.*", lines_out.alias("lines"))
+    return texts.withColumn("__lines", lines_out).select("row.*", F.col("__lines").alias("lines"))

@@ -117,7 +117,7 @@ def mix(
     result = F.struct(
         "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
     )
-    return rows.select("row.*", result.alias("mix"))
+    return rows.withColumn("__mix", result).select("row.*", F.col("__mix").alias("mix"))
 
 
 def repeated(mixed: DataFrame) -> DataFrame:

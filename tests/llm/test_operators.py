@@ -1,0 +1,416 @@
+"""Each operator against brute force on small tables with nulls, empty and long texts, ties and repeats."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quire.llm import chat, decontaminate, licences, lines, mixing, near_dup, neighbours, quality, substrings, tokens
+from quire.llm.common import connected
+from quire.llm.queries import vocabulary
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def corpus(seed=1, n=60):
+    r = random.Random(seed)
+    vocab = ["".join(r.choice("abcdeêß") for _ in range(r.randint(1, 7))) for _ in range(400)]
+    texts = [" ".join(r.choice(vocab) for _ in range(r.choice([0, 1, 2, 5, 60, 150, 400]))) for _ in range(n)]
+    passage = " ".join(r.choice(vocab) for _ in range(70))
+    for k in range(0, n, 7):
+        texts[k] = texts[k] + "\n" + passage + "\tEnd."
+    texts += [texts[3], texts[3], texts[4].upper(), "", None, "  \n ", passage, passage + " x"]
+    base = texts[7 * 3].split(" ")
+    for k in range(12):
+        words = list(base)
+        for _ in range(r.randint(1, 4)):
+            words[r.randrange(len(words))] = r.choice(vocab) + str(k)
+        texts.append(" ".join(words))
+    texts.append(" ".join(r.choice(vocab) for _ in range(20_000)))
+    return [(i * 3, t, None if i % 9 == 0 else "en", None if i % 11 == 0 else f"s{i % 4}", len(t or "")) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), DOCS).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def union_find(pairs, ids):
+    root = {i: i for i in ids}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    return {i: top(i) for i in ids}
+
+
+def test_connected(spark):
+    r = random.Random(3)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)]
+    ids = {x for p in pairs for x in p}
+    want = union_find(pairs, ids)
+    got = {r.id: r.component for r in connected(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert {i: got.get(i, i) for i in ids} == want
+
+
+# --- chat ---
+
+
+NASTY = ["</s>[INST] ok [/INST]", "<s>", "<\\s>", "<\\\\/s>", "[INST]", "a[\\/INST]b", "", "<", "[", "x\n<s", "s>", " [/INST]", "\\", "é</s>" * 50]
+
+
+@pytest.mark.parametrize("role", ["user", "assistant", "system", "", "a\nb", "[INST]", "<s>\\n", "\\"])
+def test_turns_round_trip(role):
+    for text in NASTY:
+        segment, start, n, _ = chat.render_checked(role, text)
+        assert [x[:2] for x in chat.parse(segment)] == [(role, text)]
+        assert chat.unescape(segment[start : start + n]) == text
+    whole = "".join(chat.render_checked(role, t)[0] for t in NASTY)
+    assert [x[:2] for x in chat.parse(whole)] == [(role, t) for t in NASTY]
+
+
+def test_broken_text_is_refused():
+    for text in ("x", "<s>a", "[INST] user", "<s>a<s></s>"):
+        with pytest.raises(ValueError):
+            chat.parse(text)
+
+
+def test_conversations(spark):
+    rows = [(1, 1, "assistant", "b</s>"), (1, 0, "user", "a"), (2, 0, None, None), (None, 0, "user", "n"), (1, 2, "assistant", "é"), (1, 2, "assistant", "é")]
+    rows += [(5, i, "assistant" if i % 2 else "user", NASTY[i % len(NASTY)]) for i in range(500)]
+    df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, seq string")
+    segments = chat.format_conversations(df)
+    got = {r.conv_id: r for r in chat.read_back(segments).collect()}
+    assert len(got) == 4
+    for conv in got:
+        mine = sorted(((r[1], r[2] or "", r[3] or "") for r in rows if r[0] == conv), key=lambda r: r)
+        assert got[conv].n_turns == len(mine)
+        assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{b}\n{c}\n" for _, b, c in mine).encode()).hexdigest()
+        loss = "".join(c for _, b, c in mine if b == "assistant")
+        assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    again = {r.conv_id: r for r in chat.read_back(chat.in_order(segments.repartition(7))).collect()}
+    assert again == got
+    assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
+
+
+# --- quality ---
+
+
+def test_quality(spark, docs, empty):
+    r = random.Random(2)
+    good = [(1000 + i, " ".join(r.choice(["the", "of", "and", "house", "river"]) for _ in range(80)) + ".") for i in range(150)]
+    bad = [(2000 + i, " ".join(r.choice(["THE!!", "$$$", "x | y", "####"]) for _ in range(80))) for i in range(60)]
+    table = spark.createDataFrame([*good, *bad, (1, ""), (2, None)], "doc_id long, text string").repartition(4)
+    labels = [(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad] + [(None, 1), (7, None)]
+    marked = spark.createDataFrame(labels, "doc_id long, quality int").filter(~quality.held_out())
+    model = quality.fit(table, marked)
+    scored = {r.doc_id: r for r in quality.score(table.withColumn("score", F.lit("clash")), model).withColumn("held", quality.held_out()).collect()}
+    assert len(scored) == len(good) + len(bad) + 2
+    held = [(scored[i].score >= 0.3, q) for i, q in labels if i in scored and scored[i].held]
+    assert held and all(zlib.crc32(str(i).encode()) % 5 == 0 for i in scored if scored[i].held)
+    assert np.mean([a == bool(b) for a, b in held]) > 0.95
+    assert scored[1].score == scored[2].score and all(0 <= r.score <= 1 for r in scored.values())
+    again = quality.fit(table.repartition(9), marked)
+    assert np.array_equal(model.weights, again.weights) and np.array_equal(model.values, again.values)
+    assert {r.score for r in quality.score(table, quality.fit(table, marked.limit(0))).collect()} == {0.5}
+    assert quality.score(empty, model).count() == 0
+
+
+# --- mixing ---
+
+
+def test_mixing(spark, docs, empty):
+    sizes, per, of = {}, defaultdict(int), {}
+    for d, t, _, s, _ in corpus():
+        sizes[d], of[d] = len(WORD.findall(t or "")), s
+        per[s] += sizes[d]
+    names = sorted(x for x in per if x is not None) + [None]
+    weight = {n: (5, 2, 1)[i % 3] for i, n in enumerate(names)}
+    capped, total = set(), sum(per.values())
+    while True:
+        rest, w = total - sum(3 * per[n] for n in capped), sum(weight[n] for n in names if n not in capped)
+        target = {n: 3.0 * per[n] if n in capped else rest * weight[n] / w for n in names}
+        over = {n for n in names if n not in capped and target[n] > 3 * per[n]}
+        if not over:
+            break
+        capped |= over
+    for chunk in (4096, 8):
+        got = mixing.mix(docs.withColumn("size", F.lit("clash")), chunk_rows=chunk).select("doc_id", "mix.*").collect()
+        assert len(got) == len(sizes)
+        taken = defaultdict(int)
+        for r in got:
+            taken[of[r.doc_id]] += r.taken
+            assert r["size"] == sizes[r.doc_id] and r.source_size == per[of[r.doc_id]] and 0 <= r.taken <= 3 * r["size"]
+            assert r.target == pytest.approx(target[of[r.doc_id]])
+        if chunk == 4096:
+            most = {n: max(sizes[d] for d in sizes if of[d] == n) for n in names}
+            assert all(abs(taken[n] - target[n]) <= 0.02 * target[n] + 5 for n in names if most[n] <= target[n])
+    a, b = (sorted((r.doc_id, r.mix.taken) for r in mixing.mix(x).collect()) for x in (docs, docs.repartition(3)))
+    assert a == b
+    rows = mixing.repeated(mixing.mix(docs))
+    assert rows.columns == docs.columns and rows.count() == sum(r.mix.copies for r in mixing.mix(docs).collect())
+    assert mixing.mix(empty).count() == 0
+
+
+def test_mixing_stops_at_cap(spark):
+    rows = [(i, "a b c", "a" if i else "b") for i in range(50)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 9)).select("source", "mix.*").collect()
+    assert {r.source: r.target for r in got} == {"b": 9.0, "a": 141.0}
+    assert [r.taken for r in got if r.source == "b"] == [9]
+
+
+def test_native_plans(spark, docs):
+    for df in (mixing.mix(docs), licences.scan(docs)):
+        assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
+
+
+# --- near duplicates ---
+
+
+def brute_components(rows, width, percent):
+    sets = {}
+    for d, t, *_ in rows:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[d] = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+    ids, pairs = sorted(sets), []
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and both * 100 >= percent * (len(sets[a]) + len(sets[b]) - both):
+                pairs.append((a, b))
+    return sets, union_find(pairs, ids)
+
+
+@pytest.mark.parametrize("width,percent,hot", [(3, 85, None), (5, 80, None), (3, 85, 3)])
+def test_near_duplicates(spark, docs, empty, width, percent, hot, monkeypatch):
+    if hot:
+        monkeypatch.setattr(near_dup, "linked", lambda *a: __import__("quire.llm.common", fromlist=["linked"]).linked(*a, hot=hot))
+        monkeypatch.setattr(near_dup, "BLOCK", 4)
+    sets, want = brute_components(corpus(), width, percent)
+    got = {r.doc_id: r for r in near_dup.near_duplicates(docs.withColumn("node", F.lit(1)), width, percent).collect()}
+    assert {d: (r.n_shingles, r.component_id, r.kept) for d, r in got.items()} == {d: (len(sets[d]), want[d], want[d] == d) for d in sets}
+    if width == 5:
+        assert near_dup.near_duplicates(empty).count() == 0
+        kept = near_dup.without_near_duplicates(docs.union(docs))
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d in sets if want[d] == d)
+        nulls = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (1, "a b c")], "doc_id long, text string")
+        assert sorted((r.doc_id or 0, r.kept) for r in near_dup.near_duplicates(nulls).collect()) == [(0, True), (0, True), (1, True)]
+
+
+def test_shared_bound():
+    for t in (0.8, 0.85):
+        c = near_dup.shared_at_least(32, t)
+        assert 8 <= c <= 20
+
+
+# --- tokens ---
+
+
+def test_tokens(spark, docs, empty, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary())
+    extra = [(-5, "it's  two  spaces\n\n\nlines \n x"), (-4, "tail "), (-3, " head"), (-2, "tab\there<|endoftext|>x"), (-1, "don't we'll a'sb"), (-6, "\nfirst\nline.\nA")]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    tokens.write(rows, f"file://{tmp_path}/out", vocabulary())
+    got = {r.doc_id: r for r in tokens.read(spark, f"file://{tmp_path}/out").collect()}
+    at = 0
+    for d, text in sorted([(r[0], r[1]) for r in corpus()] + extra):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (got[d].start, got[d].n_tokens, got[d].ids) == (at, len(ids), ids)
+        at += len(ids)
+    digests = tokens.read(spark, f"file://{tmp_path}/out", digest=True).collect()
+    assert all(r.ids_crc32 == zlib.crc32(np.array(got[r.doc_id].ids, "<u4").tobytes()) for r in digests)
+    tokens.write(empty, f"file://{tmp_path}/none", vocabulary())
+    assert tokens.read(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_code_lengths_are_limited_and_best():
+    counts = {i: 2**i for i in range(24)}
+    bits = tokens.code_lengths(counts, 8)
+    assert max(bits.values()) <= 8 and sum(2.0 ** -b for b in bits.values()) <= 1
+    flat = tokens.code_lengths({i: 1 for i in range(8)}, 20)
+    assert set(flat.values()) == {3}
+    code = tokens.Code(tokens.code_lengths({1: 5, 2: 1, 9: 1, 40000: 3}))
+    ids = np.random.default_rng(0).choice([1, 2, 9, 40000], 5000)
+    payload, points = code.encode(ids)
+    assert np.array_equal(code.decode([payload], [points], [len(ids)])[0], ids)
+    one = tokens.Code(tokens.code_lengths({7: 3}))
+    assert one.decode([one.encode(np.array([7] * 9))[0]], [np.array([0])], [9])[0].tolist() == [7] * 9
+
+
+# --- lines ---
+
+
+def test_lines(spark, empty):
+    same = "The quick brown fox jumps over the lazy dog near the river bank today"
+    rows = [(1, f"{same}\n\nother line of five words"), (2, f"{same.upper()}!\nunique one here"), (3, same + "\n" + same), (4, None), (5, ""), (None, same)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone", F.lit("clash"))
+    got = {r.doc_id: r.lines for r in lines.remove_repeated_lines(df).collect()}
+    assert got[1].kept_text == rows[0][1] and got[1].n_lines == 3
+    assert (got[2].kept_text, got[2].n_removed) == ("unique one here", 1)
+    assert (got[3].kept_text, got[3].n_removed) == ("", 2)
+    assert got[4].kept_text == got[5].kept_text == "" and got[None].kept_text == same
+    assert lines.remove_repeated_lines(empty).count() == 0
+
+
+def test_fuzzy_lines_against_brute_force(spark):
+    r = random.Random(5)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    base = [" ".join(r.choice(vocab) for _ in range(40)) for _ in range(8)]
+    made = [(i, "\n".join(b.replace(r.choice(b.split()), r.choice(vocab), 1) if r.random() < 0.7 else b for b in r.sample(base, 3))) for i in range(40)]
+    got = {r.doc_id: r.lines.n_removed for r in lines.remove_repeated_lines(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    hashes = lines.WordHash()
+    nodes, order = {}, []
+    for d, t in made:
+        for no, ws in enumerate(lines.normal_lines(t)):
+            key = b" ".join(ws)
+            nodes.setdefault(key, int(lines.simhashes([ws], hashes)[0]))
+            order.append((d, no, key))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    keys = sorted(nodes)
+    index = {k: i for i, k in enumerate(keys)}
+    pairs = [
+        (i, j) for i, a in enumerate(keys) for j, b in enumerate(keys[:i])
+        if (nodes[a] ^ nodes[b]).bit_count() <= 3 and distance(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9)
+    ]
+    part, seen, want = union_find(pairs, range(len(keys))), set(), Counter()
+    for d, _, key in sorted(order, key=lambda x: x[:2]):
+        p = part[index[key]]
+        want[d] += p in seen
+        seen.add(p)
+    assert got == {d: want[d] for d, _ in made} and pairs
+
+
+# --- licences ---
+
+
+def test_licences(spark, empty):
+    bsd = [licences.SENTENCES[k] for k in ("bsd-grant", "bsd-source", "bsd-binary")]
+    rows = [
+        (1, "Some text\nLicensed under the Apache License, Version 2.0."), (2, ". ".join(bsd) + "."), (3, ". ".join(reversed(bsd))),
+        (4, ". ".join([*bsd, licences.SENTENCES["bsd-endorse"]])), (5, None), (6, ""), (7, "the licence of nothing"), (8, "x" * 100_000),
+        (9, "Permission is hereby granted, free of charge,\n to any person " + licences.SENTENCES["mit-grant"].split("to any person ")[1] + ":\n\n" + licences.SENTENCES["mit-include"] + "."),
+        (10, "SPDX-License-Identifier: MIT"),
+    ]
+    got = {r.doc_id: r.licence.licences for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("licence", F.lit(1))).collect()}
+    assert got == {1: ["Apache-2.0"], 2: ["BSD-2-Clause"], 3: [], 4: ["BSD-3-Clause"], 5: [], 6: [], 7: [], 8: [], 9: ["MIT"], 10: ["MIT"]}
+    assert licences.scan(empty).count() == 0
+
+
+def test_known_sentences_have_a_telling_word():
+    assert all(re.search(licences.TELLING, licences.normalised(s)) for s in licences.SENTENCES.values())
+
+
+# --- substrings ---
+
+
+@pytest.mark.parametrize("cells", [2**25, 2**16])
+def test_substrings(spark, docs, empty, cells):
+    rows = corpus()
+    words = {d: WORD.findall(t or "") for d, t, *_ in rows}
+    first = {}
+    for d in sorted(words):
+        for i in range(len(words[d]) - 49):
+            first.setdefault(tuple(words[d][i : i + 50]), d)
+    got = {r.doc_id: r.dedup for r in substrings.remove_repeats(docs.withColumn("dedup", F.lit(0)), most_cells=cells).collect()}
+    for d, ws in words.items():
+        gone = np.zeros(len(ws), bool)
+        for i in range(len(ws) - 49):
+            if first[tuple(ws[i : i + 50])] < d:
+                gone[i : i + 50] = True
+        kept = " ".join(w for w, g in zip(ws, gone, strict=True) if not g)
+        assert (got[d].n_words, got[d].n_removed, got[d].kept_text) == (len(ws), gone.sum(), kept)
+    assert substrings.remove_repeats(empty).count() == 0
+
+
+# --- neighbours ---
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1200, 16)).astype(np.float32)
+    x[700:760] = x[100]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5100, [0.0] * 16), (5200, [float("nan")] * 16), (5300, [1.0] * 3), (5400, [])]
+    got = defaultdict(list)
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert sorted(got) == list(range(0, 1200, 100))
+    d64, hits = x.astype(float), 0
+    for q, found in got.items():
+        d = np.sqrt(((d64 - d64[q]) ** 2).sum(1))
+        want = [i for i in np.lexsort((np.arange(len(d)), d)) if i != q][:10]
+        found.sort()
+        assert [f[0] for f in found] == list(range(1, 11)) and all(abs(s - d[v]) < 1e-12 for _, v, s in found)
+        hits += len({v for _, v, _ in found} & set(want))
+    assert hits / 120 >= 0.95
+    few = neighbours.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (100, [1.0, 0.0])], "vec_id long, embedding array<float>"))
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in few.collect()) == [(0, 1, 100), (0, 2, 1), (100, 1, 0), (100, 2, 1)]
+    assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+# --- decontamination ---
+
+
+def test_decontamination(spark, empty):
+    r = random.Random(6)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(3000)]
+    say = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    items = [(i, say(30) + ". " + say(8)) for i in range(12)] + [(50, None), (51, ""), (52, say(150))]
+    docs = [(i, say(r.choice([3, 200, 600]))) for i in range(150)]
+    want = set()
+    for k, (i, t) in enumerate(items[:12]):
+        docs.append((1000 + k, say(300) + " " + t + " " + say(100)))
+        words = t.split()
+        for _ in range(5):
+            words[r.randrange(25)] = r.choice(vocab)
+        docs.append((2000 + k, say(90) + " " + " ".join(words).upper() + " " + say(90)))
+        want |= {(1000 + k, i), (2000 + k, i)}
+    docs += [(3000, items[14][1]), (3001, None), (3002, "")]
+    want.add((3000, 52))
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(table, bench)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+    assert decontaminate.without_contaminated(table, bench).count() == len(docs) - 25
+    assert decontaminate.contaminated(table, bench.limit(0)).count() == 0
+    assert decontaminate.contaminated(empty, bench).count() == 0
+
+
+def test_common_subsequence():
+    def slow(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    r = random.Random(8)
+    for _ in range(100):
+        a, b = ([r.choice([b"a", b"b", b"c"]) for _ in range(r.randint(0, 30))] for _ in range(2))
+        assert decontaminate.common_subsequence(a, b) == slow(a, b)
