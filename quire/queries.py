@@ -393,7 +393,7 @@ def a07_parse_outcomes(spark, sf_dir):
 
 
 @_query(
-    "WITH g AS (SELECT l_orderkey, string_agg(l_returnflag, ' ' ORDER BY l_linenumber) AS text, avg(l_tax) AS c FROM lineitem GROUP BY l_orderkey) SELECT CAST(l_orderkey AS VARCHAR) AS parse_run_id, text, round(c, 4) AS confidence FROM g"
+    "WITH g AS (SELECT l_orderkey, string_agg(l_returnflag, ' ' ORDER BY l_linenumber, l_returnflag) AS text, avg(l_tax) AS c FROM lineitem GROUP BY l_orderkey) SELECT CAST(l_orderkey AS VARCHAR) AS parse_run_id, text, round(c, 4) AS confidence FROM g"
 )
 def a08_ocr_regions(spark, sf_dir):
     q, n = F.col("l_quantity").cast("double"), F.col("l_linenumber").cast("double")
@@ -505,11 +505,11 @@ def w06_assembled_blocks(spark, sf_dir):
 
 
 @_query(
-    "WITH p AS (SELECT l_orderkey, l_linenumber, l_returnflag AS ha, lag(l_returnflag) OVER o AS hb, CAST(l_tax AS DOUBLE) AS wa, CAST(lag(l_tax) OVER o AS DOUBLE) AS wb, CAST(l_discount AS DOUBLE) AS c FROM lineitem WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber)) "
+    "WITH p AS (SELECT l_orderkey, l_linenumber, l_returnflag AS ha, lag(l_returnflag) OVER o AS hb, CAST(l_tax AS DOUBLE) AS wa, CAST(lag(l_tax) OVER o AS DOUBLE) AS wb, CAST(l_discount AS DOUBLE) AS c FROM lineitem WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)) "
     "SELECT l_orderkey, l_linenumber, round(0.4::DOUBLE * CASE WHEN ha = hb THEN 1 ELSE 0 END + 0.3::DOUBLE * (1 - least(1.0::DOUBLE, abs(wa - wb) / greatest(wa, 1.0::DOUBLE))) + 0.2::DOUBLE * c + 0.1::DOUBLE * CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 0 END, 6) AS score FROM p WHERE hb IS NOT NULL"
 )
 def w08_stitch_score(spark, sf_dir):
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     rows = fx.table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("ha"), F.lag("l_returnflag").over(order).alias("hb"),
         F.array(F.col("l_tax").cast("double")).alias("wa"), F.array(F.lag("l_tax").over(order).cast("double")).alias("wb"), F.col("l_discount").cast("double").alias("c"),

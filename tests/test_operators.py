@@ -172,7 +172,7 @@ def test_extraction(spark):
     schema = '{"properties": {"vendor": {"type": "string"}, "total_amount": {"type": "number", "pattern": "due: \\\\$([\\\\d,.]+)", "minimum": 1, "maximum": 99}, "paid": {"type": "boolean"}}, "required": ["vendor"]}'
     fields = extraction.schema_fields(spark.createDataFrame([(1, schema)], "schema_id int, json_schema string"))
     got = {(r.parse_run_id, r.field_name): r for r in extraction.extract(blocks, fields).collect()}
-    assert got["r", "vendor"].value == "Acme Corp" and got["r", "total_amount"].typed.number == 4250.0
+    assert got["r", "vendor"].value == "Acme" and got["r", "total_amount"].typed.number == 4250.0
     assert [(v.name, v.status) for v in got["r", "total_amount"].validators] == [("regex", "fail"), ("minimum", "pass"), ("maximum", "fail")]
     assert got["q", "vendor"].value == "zzz" and got["q", "paid"].typed.boolean is False
     assert got["r", "vendor"].raw_confidence == pytest.approx(1 / (1 + math.exp(-(0.25 + 0.3 + 0.18 + 0.1125))))
