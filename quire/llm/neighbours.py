@@ -112,7 +112,7 @@ def _starts(nodes: DataFrame, n: int, tables: int, k: int, seed: int) -> DataFra
     return _top(_compare(groups, k), k)
 
 
-def graph(nodes: DataFrame, k: int = 24, rounds: int = 5, tables: int = 3, seed: int = 11) -> DataFrame:
+def graph(nodes: DataFrame, k: int = 32, rounds: int = 5, tables: int = 3, seed: int = 11) -> DataFrame:
     """(a, b, d): the ``k`` nearest found of each of ``nodes`` (node, v as bytes)."""
     knn = cut(_starts(nodes, nodes.count(), tables, k, seed))
     for _ in range(rounds):
@@ -123,7 +123,7 @@ def graph(nodes: DataFrame, k: int = 24, rounds: int = 5, tables: int = 3, seed:
         part = F.pmod(F.xxhash64("node", "pivot"), F.ceil(F.col("n") / HUB))
         rows = links.join(degree, "pivot").select("pivot", "node", part.alias("part")).join(info, "node")
         groups = rows.groupBy("pivot", "part").agg(F.collect_list(F.struct("node", "v", "worst")).alias("members"))
-        knn = cut(_top(knn.union(_compare(groups, 10)), k))
+        knn = cut(_top(knn.union(_compare(groups, 16)), k))
     return knn
 
 
@@ -141,7 +141,7 @@ def _distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "q long, node long, d float")
 
 
-def search(nodes: DataFrame, knn: DataFrame, queries: DataFrame, width: int = 64, most_rounds: int = 8) -> DataFrame:
+def search(nodes: DataFrame, knn: DataFrame, queries: DataFrame, width: int = 192, most_rounds: int = 6) -> DataFrame:
     """(q, node, d): the ``width`` nearest nodes that a greedy search from each query node finds.
 
     A query (q, a node of the graph) starts at its own place. Each round opens, for all queries at
@@ -163,7 +163,7 @@ def search(nodes: DataFrame, knn: DataFrame, queries: DataFrame, width: int = 64
     return seen.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= width).select("q", "node", "d")
 
 
-def nearest(rows: DataFrame, top: int = 10, every: int = 100, k: int = 24, rounds: int = 5, width: int = 64) -> DataFrame:
+def nearest(rows: DataFrame, top: int = 10, every: int = 100, k: int = 32, rounds: int = 5, width: int = 192) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` nearest found of each query.
 
     Queries are the rows of ``rows`` (vec_id, embedding) whose vec_id is divisible by ``every``; all
