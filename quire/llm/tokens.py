@@ -11,7 +11,6 @@ table look-up per id for all runs side by side.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,47 +26,77 @@ MOST_BITS = 20
 STRIDE = 1024
 BLOCK_IDS = 65_536
 
-#: White space that isn't one space or line feed between two words: such texts are encoded whole.
-_ODD = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")
+# White space other than space and line feed, by code point.
+_OTHER_SPACE = [chr(c) for c in (9, 11, 12, 13, *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_RUNS = ("  ", " \n", "\n ", "\n\n")
 _tokenizers: dict[str, Encoder] = {}
 
 
+def _plain(text: str) -> bool:
+    """If all white space in a text is single spaces or line feeds between words."""
+    if not text or text[0] in " \n" or text[-1] in " \n":
+        return False
+    return not any(r in text for r in _RUNS) and not any(c in text for c in _OTHER_SPACE)
+
+
+def _byte_signs() -> dict[int, str]:
+    """The sign that byte-level vocabularies write for each byte: printable ones stand for themselves."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+
 class Encoder:
     """Ids of texts under a byte-level BPE file of the tokenizers library.
 
     Such tokenizers never join over the start of " word" or a line feed, so a text is cut there and
-    each distinct piece is encoded once and kept, which gives the ids of the whole text.
+    each distinct piece is encoded once and kept, which gives the ids of the whole text. A piece of
+    letters only, but for a full stop or comma at its end, is one word to the tokenizer (and one more
+    for the sign); such words go to its BPE model directly. Texts with other white space, and special
+    tokens, are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.pieces = Tokenizer.from_file(path), most, {}
-        self.special = re.compile("|".join(map(re.escape, (t.content for t in self.tokenizer.get_added_tokens_decoder().values()))) or r"\Z\A.")
+        self.model, self.signs = self.tokenizer.model, _byte_signs()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = {c: self._ids([c])[0] for c in ".,"}
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes | None] = [None] * len(texts)
         cut: list[tuple[int, list[str]]] = []
         for i, text in enumerate(texts):
-            if not text or _ODD.search(text) or self.special.search(text):
-                out[i] = self._ids([text])[0]
+            if _plain(text) and not any(x in text for x in self.special):
+                cut.append((i, ("\0" + text.replace("\n", " \n")).split(" ")))  # \0 marks the first piece
             else:
-                first, *rest = text.replace("\n", " \n").split(" ")
-                cut.append((i, rest))
-                out[i] = self._ids([first])[0]
+                out[i] = self._ids([text])[0]
         if len(self.pieces) > self.most:
             self.pieces.clear()
-        new = [*set().union(*(x for _, x in cut)).difference(self.pieces)]
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            self.pieces.update(zip(some, self._ids([w if w[0] == "\n" else f" {w}" for w in some]), strict=True))
-        get = self.pieces.__getitem__
-        for i, rest in cut:
-            out[i] += b"".join(map(get, rest))
+        new, pieces = set().union(*(x for _, x in cut)).difference(self.pieces), self.pieces
+        rest = []
+        for piece in new:
+            stem = piece[:-1] if piece[-1] in ".," else piece
+            if stem.isalpha():
+                raw = self._word(f" {stem}")
+                pieces[piece] = raw if stem is piece else raw + self.marks[piece[-1]]
+            else:
+                rest.append(piece)
+        for k in range(0, len(rest), 4096):
+            some = rest[k : k + 4096]
+            pieces.update(zip(some, self._ids([w[1:] if w[0] == "\0" else w if w[0] == "\n" else f" {w}" for w in some]), strict=True))
+        get = pieces.__getitem__
+        for i, parts in cut:
+            out[i] = b"".join(map(get, parts))
         return out
 
+    def _word(self, word: str) -> bytes:
+        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.signs))
+        return np.array([t.id for t in tokens], "<u4").tobytes()
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
