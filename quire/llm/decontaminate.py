@@ -4,15 +4,18 @@ Documents and benchmark items are cut into overlapping passages of words. Passag
 over the words of the benchmark that aren't common in the corpus. A randomised SVD, whose one pass
 over the corpus sums ``X'(XO)`` partition by partition for a random O, gives the latent space; items
 are rows of X with a weight, so that their directions are in it. Passages near an item by cosine are
-candidates; a longest common subsequence of words, or a shorter one together with the item's answer,
-confirms them, so that paraphrases and spliced items are found and mere likeness isn't enough.
+candidates, and so are passages that share as many of the item's words, common ones too, as any
+accepted passage must; the second kind misses nothing where a group of copies makes words common. A
+longest common subsequence of words, or a shorter one together with the item's answer, confirms
+them, so that paraphrases and spliced items are found and mere likeness isn't enough.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil, log
 
 import numpy as np
 import pandas as pd
@@ -57,7 +60,9 @@ def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
 @dataclass(frozen=True)
 class Rules:
     """When a candidate counts as the item: a common subsequence of at least ``verbatim`` of the item's
-    words, or at least ``paraphrase`` of them and ``answered`` of the answer's words."""
+    words; or at least ``paraphrase`` of them and ``answered`` of the answer's words, if the
+    passage is near by ``cosine`` or holds ``paraphrase`` of the words' weight among the items (else
+    stop words alone would do)."""
 
     cosine: float = 0.3
     verbatim: float = 0.7
@@ -112,6 +117,61 @@ def _times(row: np.ndarray, value: np.ndarray, right: np.ndarray, word: np.ndarr
     return np.add.reduceat(right[word] * value[:, None], starts, axis=0)
 
 
+class Overlap:
+    """Which passages share enough different words with an item to be accepted, by exact counts.
+
+    A common subsequence of c of an item's n words, d of them different, has at least ``c - (n - d)``
+    different ones. Counts of whole texts, then of windows that hold any passage's region, leave few
+    to the subsequence itself.
+    """
+
+    def __init__(self, items: list[list[bytes]], share: float):
+        self.place = {w: k for k, w in enumerate(sorted({w for ws in items for w in ws}))}
+        self.least = np.array([ceil(share * len(ws) - 1e-9) for ws in items])
+        self.different = np.maximum(1, self.least - np.array([len(ws) - len({*ws}) for ws in items]))
+        self.holds = np.zeros((len(items), len(self.place) + -len(self.place) % 64), bool)
+        for i, ws in enumerate(items):
+            self.holds[i, [self.place[w] for w in ws]] = True
+        self.count, self.bits = self.holds.T.astype(np.float32), np.packbits(self.holds, axis=1).view(np.uint64)
+        region = PASSAGE + 2 * max(map(len, items))
+        self.step = -(-max(PASSAGE, region // 2) // STEP) * STEP
+        self.window = region + self.step
+
+    def candidates(self, texts: list[list[bytes]], items: list[list[bytes]]) -> Iterator[tuple[int, int, int]]:
+        """(text, item, passage) that can be accepted."""
+        known = self.place.get
+        ids = [np.array([known(w, -1) for w in ws], np.int64) for ws in texts]
+        there = np.zeros((len(texts), self.holds.shape[1]), np.float32)
+        for k, x in enumerate(ids):
+            there[k, x[x >= 0]] = 1
+        text, item = np.nonzero(there @ self.count >= self.different)
+        for k, t in enumerate(texts):
+            asked = item[text == k]
+            if not len(asked):
+                continue
+            last = max(0, -(-(len(t) - PASSAGE) // STEP))
+            at = np.flatnonzero(ids[k] >= 0)
+            starts = range(0, max(1, len(t) - self.window + self.step), self.step)  # the last one reaches the end
+            both = np.concatenate([self._shared(ids[k], at, starts[c : c + 256], asked) for c in range(0, len(starts), 256)])
+            passages: set[tuple[int, int]] = set()
+            for i, j in np.argwhere(both >= self.different[asked]).tolist():
+                q, start = int(asked[j]), starts[i]
+                want = items[q]
+                if common_subsequence(want, t[start : start + self.window]) >= self.least[q]:
+                    low = -(-(start + len(want)) // STEP) if start else 0
+                    high = last if start == starts[-1] else (start + self.window - PASSAGE - len(want)) // STEP
+                    passages.update((q, p) for p in range(low, min(high, last) + 1))
+            yield from ((k, q, p) for q, p in sorted(passages))
+
+    def _shared(self, ids: np.ndarray, at: np.ndarray, starts: range, asked: np.ndarray) -> np.ndarray:
+        """Different words of the ``asked`` items in the windows at ``starts``, window by item."""
+        seen = np.zeros((len(starts), self.holds.shape[1]), bool)
+        for i, start in enumerate(starts):
+            a, b = np.searchsorted(at, (start, start + self.window))
+            seen[i, ids[at[a:b]]] = True
+        return np.bitwise_count(np.packbits(seen, axis=1).view(np.uint64)[:, None] & self.bits[asked]).sum(axis=2, dtype=np.int64)
+
+
 def _counts(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, int]:
     """In how many documents each word of the vocabulary occurs, and how many documents there are."""
 
@@ -200,8 +260,10 @@ def contaminated(
     """(doc_id, item_id, common, n_item, answered, cosine): each document and item that it contains.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; whole texts are read, other columns
-    are ignored. Words in more than ``most_common`` of the documents don't count towards likeness
-    (for an item that has no other words, all its words count). Null and empty texts hold and are
+    are ignored. Words in more than ``most_common`` of the documents don't count towards ``cosine``
+    (for an item that has no other words, all its words count). They count for the subsequence, and for
+    the weight of the item's words that a passage holds, which is how rare they are among the items of
+    the whole benchmark. Null and empty texts hold and are
     nothing; repeated rows of documents are reported once for each row; items with equal texts are
     each reported. Empty tables give an empty result.
 
@@ -211,6 +273,10 @@ def contaminated(
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, common int, n_item int, answered double, cosine double"
     result = None
+    among, n_items = Counter(), 0
+    for r in benchmark.select("text").toLocalIterator():
+        among.update({*words(r.text)})
+        n_items += 1
     block: list[tuple[int, str]] = []
 
     def searched(block: list[tuple[int, str]]) -> DataFrame | None:
@@ -229,33 +295,52 @@ def contaminated(
         row, word, value, text, _ = space.rows([x[1] for x in items])
         asked = _times(row, value, basis, word)
         asked /= np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-12)
-        shared = spark.sparkContext.broadcast((space, basis, asked, text, items))  # bounded by BLOCK_ITEMS and rank
+        weight = {w: log((1 + n_items) / (1 + among[w])) for w in names}  # no group of copies in the documents can change it
+        overlap = Overlap([x[1] for x in items], min(rules.verbatim, rules.paraphrase))
+        shared = spark.sparkContext.broadcast((space, basis, asked, text, items, overlap, weight))  # bounded by BLOCK_ITEMS and rank
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            space, basis, asked, text, items = shared.value
+            space, basis, asked, text, items, overlap, weight = shared.value
+            wants = [x[1] for x in items]
+            total = [sum(weight[w] for w in {*ws}) for ws in wants]
             for batch in batches:
                 out: list[tuple] = []
                 ids = batch.column("doc_id").to_pylist()
                 for k in range(0, batch.num_rows, 500):
                     texts = [words(t) for t in batch.column("text")[k : k + 500].to_pylist()]
                     row, word, value, of, passage = space.rows(texts)
-                    if not len(row):
-                        continue
-                    x = _times(row, value, basis, word)
-                    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                    near = x @ asked.T
+                    cosines: dict[tuple[int, int, int], float] = dict.fromkeys(overlap.candidates(texts, wants), 0.0)
+                    if len(row):
+                        x = _times(row, value, basis, word)
+                        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                        near = x @ asked.T
+                        at = {(d, p): r for r, (d, p) in enumerate(zip(of.tolist(), passage.tolist(), strict=True))}
+                        asked_by: dict[int, list[int]] = defaultdict(list)
+                        for q, t in enumerate(text.tolist()):
+                            asked_by[t].append(q)
+                        for d, t, p in cosines:
+                            if (r := at.get((d, p))) is not None:
+                                cosines[d, t, p] = float(max((near[r, q] for q in asked_by[t]), default=0.0))
+                        for r, q in np.argwhere(near >= rules.cosine).tolist():
+                            key = (int(of[r]), int(text[q]), int(passage[r]))
+                            cosines[key] = max(cosines.get(key, 0.0), float(near[r, q]))
                     best: dict[tuple[int, int], tuple] = {}
-                    for r, q in np.argwhere(near >= rules.cosine).tolist():
-                        d, (item, want, answer_) = int(of[r]), items[int(text[q])]
-                        start = int(passage[r]) * STEP
+                    for (d, t, p), cosine in cosines.items():
+                        _, want, answer_ = items[t]
+                        start = p * STEP
                         region = texts[d][max(0, start - len(want)) : start + PASSAGE + len(want)]
-                        if len({*want}.intersection(region)) < rules.paraphrase * len({*want}) * 0.8:
+                        held = {*want}.intersection(region)
+                        if len(held) < overlap.different[t]:
                             continue
                         common = common_subsequence(want, region)
+                        if common < overlap.least[t]:
+                            continue
                         told = common_subsequence(answer_, region) / len(answer_)
-                        if common >= rules.verbatim * len(want) or (common >= rules.paraphrase * len(want) and told >= rules.answered):
-                            key, found = (d, int(text[q])), (common, told, float(near[r, q]))
-                            best[key] = max(best.get(key, found), found)
+                        near_enough = cosine >= rules.cosine or sum(weight[w] for w in held) >= rules.paraphrase * total[t] > 0
+                        paraphrased = near_enough and common >= rules.paraphrase * len(want) and told >= rules.answered
+                        if paraphrased or common >= rules.verbatim * len(want):
+                            found = (common, told, cosine)
+                            best[d, t] = max(best.get((d, t), found), found)
                     out += [(ids[k + d], items[t][0], c, len(items[t][1]), told, cos) for (d, t), (c, told, cos) in best.items()]
                 columns = [*zip(*out, strict=True)] or [[]] * 6
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64())

@@ -401,6 +401,40 @@ def test_decontamination(spark, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0
 
 
+def test_decontamination_of_common_words(spark):
+    """Copies in a third of all rows, a quarter or two fifths of their words replaced: what they kept is common."""
+    r = random.Random(16)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(3000)]
+    say = lambda n: [r.choice(vocab) for _ in range(n)]
+    items = [(i, " ".join(f"item{i}x{k}" for k in range(30)) + ". " + " ".join(f"answer{i}x{k}" for k in range(6))) for i in range(40)]
+    docs = [(i, " ".join(say(r.choice([3, 200, 700])))) for i in range(60)]
+    for item, gone in ((2, range(0, 27, 3)), (7, range(0, 28, 2))):
+        copy = items[item][1].split()
+        for k in gone:
+            copy[k] = f"other{k}"
+        docs += [(1000 * item + i, " ".join(say(r.choice([0, 90, 900])) + copy + say(r.choice([0, 60, 500])))) for i in range(30)]
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(table, bench).collect()
+    hits = sorted((x.doc_id, x.item_id) for x in got)
+    assert hits == [(1000 * item + i, item) for item in (2, 7) for i in range(30)]
+
+
+def test_overlap_misses_nothing():
+    """Every passage whose region has a subsequence long enough is a candidate."""
+    r = random.Random(17)
+    some = lambda n: [b"%d" % r.randrange(30) for _ in range(n)]
+    items, texts = [some(n) for n in (1, 5, 12, 40, 150)], [some(n) for n in (0, 1, 64, 65, 200, 900)]
+    texts += [some(300) + items[4] + some(70), items[3][:20] + some(400) + items[3]]
+    overlap, step, size = decontaminate.Overlap(items, 0.5), decontaminate.STEP, decontaminate.PASSAGE
+    got = set(overlap.candidates(texts, items))
+    for d, t in enumerate(texts):
+        for q, want in enumerate(items):
+            for p in range(max(0, -(-(len(t) - size) // step)) + 1):
+                region = t[max(0, p * step - len(want)) : p * step + size + len(want)]
+                if decontaminate.common_subsequence(want, region) * 2 >= len(want):
+                    assert (d, q, p) in got
+
+
 def test_common_subsequence():
     def slow(a, b):
         row = [0] * (len(b) + 1)
