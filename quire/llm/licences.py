@@ -102,6 +102,11 @@ def sentences(text: Column) -> Column:
     return _clean(F.split(cut, "\u0001"))
 
 
+def clauses(text: Column) -> Column:
+    """As ``sentences``, and cut at semicolons that end a line too."""
+    return sentences(F.regexp_replace(text, r";[ \t\r]*\n", ";\n\n"))
+
+
 def line_sentences(text: Column) -> Column:
     """Normalised sentences where every line stands for itself."""
     return _clean(F.split(F.regexp_replace(text, r"([.!?])[ \t\r]+|\n", "$1\u0001"), "\u0001"))
@@ -111,19 +116,30 @@ def _known() -> dict[str, str]:
     return {normalised(sentence): name for name, sentence in SENTENCES.items()}
 
 
+def _placed(parts: Column, known: Column) -> Column:
+    """(at, id) of the known sentences: ``at`` is the letters and digits before it, the same however the text is cut."""
+    none = F.array().cast("array<struct<at:int,id:string>>")
+
+    def step(x: Column, s: Column) -> Column:
+        hit = F.struct(x["at"].alias("at"), F.try_element_at(known, s).alias("id"))
+        found = F.when(hit["id"].isNotNull(), F.concat(x["found"], F.array(hit))).otherwise(x["found"])
+        return F.struct((x["at"] + F.length(F.replace(s, F.lit(" "), F.lit("")))).alias("at"), found.alias("found"))
+
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda x: x["found"])
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with ``licence``: struct of licences (sorted, distinct), sentence_ids (in order), n_sentences.
 
-    A text is read as wrapped sentences and line by line; the reading that finds more known sentences
-    counts, the first if they tie. Whole texts are scanned; null and empty texts have none. Other columns pass through and a column
+    A text is read as wrapped sentences, as wrapped clauses and line by line; what the readings find is
+    merged by where it starts, once if they agree. Whole texts are scanned; null and empty texts have none. Other columns pass through and a column
     called ``licence`` is replaced. One narrow pass without shuffle: repeated rows are scanned alike,
     an empty table gives an empty result.
     """
     known = F.create_map(*[F.lit(x) for pair in _known().items() for x in pair])
     telling = F.lower(F.col("text")).rlike(TELLING)
-    look_up = lambda parts: F.filter(F.transform(parts, lambda s: F.try_element_at(known, s)), lambda s: s.isNotNull())
-    wrapped, single = look_up(sentences(F.col("text"))), look_up(line_sentences(F.col("text")))
-    found = F.when(F.size(single) > F.size(wrapped), single).otherwise(wrapped)
+    found = F.array_sort(F.array_distinct(F.concat(*[_placed(f(F.col("text")), known) for f in (sentences, clauses, line_sentences)])))
+    found = F.transform(found, lambda x: x["id"])
     none = F.array().cast("array<string>")
     rows = docs.drop("licence").withColumn("__ids", F.when(telling, found).otherwise(none))
     text = F.concat(F.lit("|"), F.array_join("__ids", "|"), F.lit("|"))

@@ -322,6 +322,30 @@ def test_licences(spark, empty):
     assert licences.scan(empty).count() == 0
 
 
+def test_whole_licence_headers(spark):
+    apache = """Copyright 2020 A B
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+    mit = licences.SENTENCES["mit-grant"].replace(" files ", "\nfiles ") + ":\n\n" + licences.SENTENCES["mit-include"] + ".\n\nOther parts\nLicensed under the BSD License\nend"
+    gpl = licences.SENTENCES["gpl-terms-2"].replace("Foundation; ", "Foundation;\n") + "."
+    df = spark.createDataFrame([(1, apache), (2, mit), (3, gpl), (4, apache.replace("\n", "\r\n"))], "doc_id long, text string")
+    got = {r.doc_id: r.licence for r in licences.scan(df).collect()}
+    assert [got[k].licences for k in (1, 2, 3, 4)] == [["Apache-2.0"], ["BSD", "MIT"], ["GPL-2.0"], ["Apache-2.0"]]
+    assert got[1].sentence_ids == got[4].sentence_ids == ["apache-header", "apache-use", "apache-copy", "apache-asis", "apache-see"]
+    assert got[2].sentence_ids == ["mit-grant", "mit-include", "bsd-notice"]
+
+
 def test_known_sentences_have_a_telling_word():
     assert all(re.search(licences.TELLING, licences.normalised(s)) for s in licences.SENTENCES.values())
 
