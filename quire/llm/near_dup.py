@@ -5,8 +5,8 @@ Nodes meet in the inverted lists of retained values; pairs pass if the sketch of
 from both sketches, allows the similarity; exact Jaccard on the full sets confirms them.
 
 Links that the similarity asks for are kept by two bounds. (1) The sketches of a pair at the
-threshold share at least ``shared`` values but for a chance under 1e-7, and sets no larger than k are
-kept whole and are exact. (2) By the prefix principle such a pair also meets in a list when each
+threshold share at least ``shared`` values but for a chance under 1e-7; pairs of sets no larger than k
+are exact, and where only one is, ``least_shared`` has the bound. (2) By the prefix principle such a pair also meets in a list when each
 node only enters the lists of its ``size - shared + 1`` rarest values; values that very many
 documents hold (a passage in a third of all rows) are the first to go.
 
@@ -58,6 +58,29 @@ def shared_at_least(size: int, similarity: float, chance: float = 1e-7) -> int:
     return size
 
 
+def least_shared(size: int, percent: int, shared: int, chance: float = 1e-7) -> list[int]:
+    """Sketch values that a set of 1, 2, ... ``size`` shingles, and of more, shares with a partner at the threshold.
+
+    A partner that is whole too shares the intersection itself. One of more than ``size`` shingles
+    only shows its ``size`` smallest: how many of those are shared is hypergeometric, and the least
+    number but for ``chance`` over all such partners counts.
+    """
+    out = []
+    for n in range(1, size + 1):
+        least = -(-n * percent // 100)
+        for m in range(size + 1, n * 100 // percent + 1):
+            both = -(-(n + m) * percent // (100 + percent))  # intersection at the threshold
+            below, x = 0.0, max(0, size - (m - both))
+            while x < min(both, size):
+                below += comb(both, x) * comb(m - both, size - x) / comb(m, size)
+                if below > chance:
+                    break
+                x += 1
+            least = min(least, x)
+        out.append(max(1, least))
+    return [*out, min(shared, min(out[size * percent // 100 :]))]
+
+
 def _signatures(docs: DataFrame, width: int, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -174,7 +197,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, size: in
     nodes = cut(usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     keys = nodes.select("node", F.size("sketch").alias("m"), "n", F.explode("sketch").alias("v"))
     often = keys.groupBy("v").agg(F.count("*").alias("often")).filter("often > 1")
-    needed = F.when(F.col("n") > size, F.lit(shared)).otherwise(F.ceil(F.col("n") * percent / 100))
+    needed = F.element_at(F.array(*[F.lit(x) for x in least_shared(size, percent, shared)]), F.least("n", F.lit(size + 1)).cast("int"))
     listed = (
         keys.join(often, "v")
         .groupBy("node")

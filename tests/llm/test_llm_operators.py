@@ -213,6 +213,19 @@ def test_near_duplicates(spark, docs, empty, width, percent, hot, monkeypatch):
         assert sorted((r.doc_id or 0, r.kept) for r in near_dup.near_duplicates(nulls).collect()) == [(0, True), (0, True), (1, True)]
 
 
+def test_near_duplicates_beside_the_sketch_size(spark):
+    """Sets that a sketch holds whole against slightly larger ones that it doesn't."""
+    rows, pairs = [], []
+    for k in range(30):
+        for n in range(28, 33):
+            for m in range(33, n * 100 // 85 + 1):
+                ws = [f"w{len(rows)}x{i}" for i in range(m)]
+                pairs.append(len(rows))
+                rows += [(len(rows), " ".join(ws)), (len(rows) + 1, " ".join(ws[:n]))]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 85).collect()}
+    assert [d for d in pairs if got[d + 1] != d] == []
+
+
 def test_shared_bound():
     for t in (0.8, 0.85):
         c = near_dup.shared_at_least(32, t)
