@@ -660,7 +660,7 @@ def f13_html_tables(spark, sf_dir):
 @_query()
 def f14_markdown_tables(spark, sf_dir):
     rows = F.regexp_replace("text", r"(?m)^(\S+) (\S+) ", "| $1 | $2 |\n")
-    return fx.table(spark, sf_dir, "documents").filter("n_chars < 2000").select("doc_id", markup.markdown_to_html(rows).alias("html"))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", markup.markdown_to_html(rows).alias("html"))
 
 
 @_query(
