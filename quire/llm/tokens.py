@@ -52,8 +52,8 @@ class Encoder:
     Such tokenizers never join over the start of " word" or a line feed, so a text is cut there and
     each distinct piece is encoded once and kept, which gives the ids of the whole text. A piece of
     letters only, but for a full stop or comma at its end, is one word to the tokenizer (and one more
-    for the sign); such words go to its BPE model directly. Texts with other white space, and special
-    tokens, are encoded whole.
+    for the sign); such words go to its BPE model directly. Texts with other white space, NULs
+    (the mark of first pieces) or special tokens are encoded whole.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -70,7 +70,7 @@ class Encoder:
         out: list[bytes | None] = [None] * len(texts)
         cut: list[tuple[int, list[str]]] = []
         for i, text in enumerate(texts):
-            if _plain(text) and not any(x in text for x in self.special):
+            if "\0" not in text and _plain(text) and not any(x in text for x in self.special):
                 cut.append((i, ("\0" + text.replace("\n", " \n")).split(" ")))  # \0 marks the first piece
             else:
                 out[i] = self._ids([text])[0]

@@ -254,6 +254,14 @@ def test_tokens(spark, docs, empty, tmp_path):
     assert tokens.read(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_tokens_of_texts_with_nul():
+    from tokenizers import Tokenizer
+
+    t, encode = Tokenizer.from_file(vocabulary()), tokens.Encoder(vocabulary())
+    for text in ("foo \0bar", "\0bar foo", "foo bar", "bar foo", "\0", "a \0", "a\0 b", "a \0\0b"):
+        assert np.frombuffer(encode.batch([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_code_lengths_are_limited_and_best():
     counts = {i: 2**i for i in range(24)}
     bits = tokens.code_lengths(counts, 8)
