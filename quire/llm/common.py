@@ -10,8 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -74,21 +74,96 @@ def in_task(spark: SparkSession, f: Callable, *args: object) -> object:
     return pickle.loads(spark.range(1).coalesce(1).mapInArrow(run, "x binary").first().x)
 
 
-class WordHash(dict):
-    """64-bit hash by word, kept for words seen before; emptied when it grows past ``most``."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_SLICE = 1 << 17
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def __init__(self, most: int = 1_000_000):
-        super().__init__()
-        self.most = most
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+def _power(n: int) -> list[np.ndarray]:
+    """Powers of _BASE and of its inverse, 0 to at least ``n`` - 1."""
+    if len(_powers[0]) < n:
+        n = 1 << n.bit_length()
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps)
+    return _powers
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+def folded(table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """For ``word_hashes``: each byte's value and if it parts words, after ``table`` has replaced it."""
+    to = np.frombuffer(table, np.uint8)
+    own = finish(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+    return np.where(_SPACE[to], np.uint64(0), own[to]), _SPACE[to]
+
+
+PLAIN_BYTES = bytes(range(256))
+
+
+def word_hashes(texts: pa.Array, fold: tuple[np.ndarray, np.ndarray] | None = None, sizes: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and where each text's words begin (one entry more than texts).
+
+    ``sizes`` takes arrays of the words' characters.
+
+    A word is a run of bytes that don't part words (ASCII white space, or what ``fold`` says). Its hash
+    is a polynomial in its bytes, taken from running sums over slices of the texts' own buffer, so
+    no word becomes an object. Null texts have no words.
+    """
+    value, space_of = fold or _plain_fold
+    texts = texts.cast(pa.large_string()).fill_null("")
+    _, where, data = texts.buffers()
+    bounds = np.frombuffer(where, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data or b"", np.uint8)
+    end, lo, hashes, places = int(bounds[-1]), int(bounds[0]), [], []
+    while lo < end:
+        hi = min(end, lo + _SLICE)
+        while hi < end:  # go on to the next white space
+            ahead = np.flatnonzero(space_of[data[hi : hi + _SLICE]])
+            if len(ahead):
+                hi += int(ahead[0])
+                break
+            hi = min(end, hi + _SLICE)
+        raw = data[lo:hi]
+        up, down = _power(hi - lo)
+        space = space_of[raw]
+        cut_at = bounds[np.searchsorted(bounds, lo, "right") : np.searchsorted(bounds, hi, "left")] - lo
+        first, last = ~space, ~space
+        first[1:] &= space[:-1]
+        last[:-1] &= space[1:]
+        first[cut_at] = ~space[cut_at]
+        last[cut_at - 1] = ~space[cut_at - 1]
+        first, last = np.flatnonzero(first), np.flatnonzero(last)
+        terms = value[raw] * up[: hi - lo]
+        sums = np.cumsum(terms)
+        hashes.append(finish((sums[last] - sums[first] + terms[first]) * down[first]))
+        places.append(first + lo)
+        if sizes is not None:
+            letters = np.cumsum(raw & 0xC0 != 0x80)
+            sizes.append(letters[last] - letters[first] + 1)
+        lo = hi
+    h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+    at = np.concatenate(places) if places else np.empty(0, np.int64)
+    return h, np.searchsorted(at, bounds)
+
+
+def run_hashes(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Hash of each run of ``n`` word hashes from place ``first`` on; ``n`` is 1 at least."""
+    up, down = _power(len(h))
+    terms = h * up[: len(h)]
+    sums = np.cumsum(terms)
+    return finish((sums[first + n - 1] - sums[first] + terms[first]) * down[first] + n.astype(np.uint64))
+
+
+def slices(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``most`` bytes of its texts; a longer text is a part of its own."""
+    ends = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def finish(x: np.ndarray) -> np.ndarray:
@@ -121,37 +196,63 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Smallest id reachable from each id of ``edges`` (a, b): rows (id, component).
+_plain_fold = folded(PLAIN_BYTES)
+
 
-    Rounds of "large star" and "small star" link every node to smaller neighbours until each only
-    points to a root; each round is a few grouped shuffles of the remaining links and is checkpointed.
-    No link or component comes to the driver.
+#: Links that one task of ``connected`` contracts; tasks are as many as that takes.
+LINKS_A_TASK = 500_000
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Each partition's ``edges`` (a, b) as links (a, b) of every node to the smallest one it reaches there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                a, b = top(a), top(b)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+        rows = [(x, top(x)) for x in list(root)]
+        rows = [(a, b) for a, b in rows if a != b]
+        for k in range(0, len(rows), 65_536):
+            a, b = zip(*rows[k : k + 65_536], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
+def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """Smallest id reachable from each id of ``edges`` (a, b) that isn't the smallest: rows (id, component).
+
+    Every partition contracts its own links, first as they come, then in tasks of about LINKS_A_TASK.
+    Unless that was one task, rounds of hooking and pointer jumping follow: a node keeps its smallest
+    link, its others link what they point to with the smallest, and links to a node that has a smaller
+    link itself go there. A round that finds neither is the last. Rows are grouped by the larger
+    end, of which a task holds one link, so a component of a third of all nodes isn't a hot
+    group; the jump joins only targets. No link or component comes to the driver.
     """
-    links = cut(
-        edges.filter("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
+    links = cut(_contracted(edges.filter("a is not null and b is not null and a <> b")))
+    by_node = Window.partitionBy("a").orderBy("b")
     for _ in range(most_rounds):
-        ends = links.select(F.col("a").alias("x"), F.lit(1).alias("up")).union(links.select("b", F.lit(0)))
-        ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
-        if ends.filter("up > 1 or (up > 0 and least = 0)").isEmpty():  # every node only points to a root
-            return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = (
-            both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        )
-        small = large.filter("a <> b").distinct()
-        low = small.groupBy("a").agg(F.min("b").alias("m"))
-        links = cut(
-            small.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .union(low.select("a", F.col("m").alias("b")))
-            .filter("a <> b")
-            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-            .distinct()
-        )
+        tasks = -(-links.count() // LINKS_A_TASK)
+        if tasks < 2:
+            return cut(_contracted(links.coalesce(1))).select(F.col("a").alias("id"), F.col("b").alias("component"))
+        links = _contracted(links.coalesce(tasks))
+        low = cut(links.select("a", "b", F.row_number().over(by_node).alias("i"), F.first("b").over(by_node).alias("m")))
+        firsts = low.filter("i = 1").select("a", "m")
+        hooks = low.filter("i > 1 and b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = firsts.select("m").distinct().join(firsts.select(F.col("a").alias("m"), F.col("m").alias("up")), "m")
+        if not moved.select("m").union(hooks.select("b")).count():
+            return firsts.select(F.col("a").alias("id"), F.col("m").alias("component"))
+        jumps = firsts.join(moved, "m", "left").select("a", F.coalesce("up", "m").alias("b"))
+        links = cut(jumps.union(hooks))
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
@@ -190,6 +291,7 @@ def linked(listed: DataFrame, left: DataFrame, right: DataFrame, possible, confi
         groups = connected(large.select(F.col("first").alias("a"), F.col("node").alias("b")))
         own = large.select("node", "part").distinct().join(groups.withColumnRenamed("id", "node"), "node", "left")
         more.append(dense(cut(own.select("node", "part", F.coalesce("component", "node").alias("grp")))))
+    stars = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
     for found_more in more:
-        links = links.union(found_more)
-    return connected(links) if more else found
+        stars = stars.union(found_more)
+    return connected(stars) if more else found

@@ -1,88 +1,233 @@
 """Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity.
 
-Lines that normalise alike are one node. Two nodes are linked if their 64-bit SimHashes differ in at
-most 3 bits and their edit similarity is high enough. 3 changed bits touch at most 3 of 5 blocks, so
-two blocks stay equal: nodes meet in lists keyed by each two of the 5 blocks, and none is lost.
+Lines that normalise alike are one node. A line's words are dealt into shares by a hash of the word, and
+each share has a SimHash of its own, in which longer words weigh more: a block of the line's signature. A changed word touches the share
+that it left and the one that it came to, so by the pigeonhole principle blocks stay equal while fewer
+shares are touched than there are. Short lines meet in lists keyed by two of their blocks, long ones,
+which have more shares, by one; a line near the limit between two numbers of shares is in both kinds
+of lists. Pairs whose whole SimHashes are far apart are left out, edit similarity confirms the rest.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, cut, deleted, linked, signed, written
+from .common import cut, deleted, finish, folded, linked, run_hashes, signed, slices, word_hashes, written
 
-BITS = 3
-_SPANS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
-_FOLD = bytes(
-    c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c if c >= 128 or 97 <= c <= 122 or c == 10 else 32 for c in range(256)
-)
+_SIGNS = bytes(c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
+_FOLD = folded(_SIGNS)
+#: Most bits in which the SimHashes of two lines of edit similarity 0.9 differ; unrelated ones differ in 32 on average.
+BITS = 30
+#: Up to so many words a line has so many shares and meets others by so many blocks at once; from 25 words on
+#: it has 8 shares, and twice as many for each doubling, and meets others by one block.
+SHARES = ((24, 6, 2),)
+#: Letters beyond three a word that a key stands on at least, by the blocks that it has.
+LEAST_STRENGTH = {1: 8, 2: 2}
 #: More lines to verify than this are fetched by a join instead of a broadcast of their places.
 BROADCAST_LINES = 500_000
 
 
-def normal_lines(text: str | None) -> list[list[bytes]]:
-    """Words of each line: A-Z lower-cased, digits made 0, other ASCII signs dropped."""
-    return [line.split() for line in (text or "").encode().translate(_FOLD).split(b"\n")]
+def normal_line(line: str) -> str:
+    """Words of a line: A-Z lower-cased, digits made 0, other ASCII signs dropped."""
+    return b" ".join(line.encode().translate(_SIGNS).split()).decode()
 
 
-def simhashes(lines: list[list[bytes]], hashes: WordHash) -> np.ndarray:
-    """SimHash over the words of each (not empty) line."""
-    flat = hashes.of([w for line in lines for w in line])
-    starts = np.cumsum([0, *map(len, lines)])[:-1]
-    sums = np.add.reduceat(np.unpackbits(flat.view(np.uint8)).reshape(-1, 64), starts, axis=0, dtype=np.int32)
-    return np.packbits(sums * 2 > np.array([*map(len, lines)])[:, None], axis=1).view(np.uint64).ravel()
+def edit_distance(a: str, b: str, most: int) -> int | None:
+    """Edit distance of two strings, None if it is above ``most``."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > most:
+        return None
+    start, end = _same(a, b), 0
+    a, b = a[start:], b[start:]
+    end = _same(a[::-1], b[::-1])
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    if not a:
+        return len(b)
+    one, two = Counter(a), Counter(b)
+    if max((one - two).total(), (two - one).total()) > most:
+        return None
+    row, full = (1 << len(a)) - 1, (1 << len(a)) - 1  # vertical steps up and down of a row of the table, as bits
+    up, down, last, places = row, 0, 1 << (len(a) - 1), {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    distance = len(a)
+    for j, c in enumerate(b, 1):
+        eq = places.get(c, 0)
+        diagonal = (((eq & up) + up) ^ up) | eq | down
+        right, left = (down | ~(diagonal | up)) & full, up & diagonal
+        distance += bool(right & last) - bool(left & last)
+        if distance - (len(b) - j) > most:
+            return None
+        right, left = (right << 1 | 1) & full, left << 1 & full
+        up, down = (left | ~(diagonal | right)) & full, right & diagonal
+    return distance if distance <= most else None
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
+def _same(a: str, b: str) -> int:
+    """Length of the common start."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    lo, hi = 0, n
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid
+    return lo
+
+
+def shares_of(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of shares, and of blocks in a key, of lines of ``n`` words."""
+    shares, blocks = 8 << np.maximum(0, np.log2(np.maximum(n, 1) / 25).astype(np.int64)), np.ones(len(n), np.int64)
+    for most, c, together in reversed(SHARES):
+        shares, blocks = np.where(n <= most, c, shares), np.where(n <= most, together, blocks)
+    return shares, blocks
+
+
+def _signatures(h: np.ndarray, size: np.ndarray, n: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Blocks of lines of ``n`` words ``h`` of ``size`` letters: line, share, SimHash, strength; and each line's SimHash."""
+    line = np.repeat(np.arange(len(n)), n)
+    share = ((h >> np.uint64(40)) % shares[line].astype(np.uint64)).astype(np.int64)
+    order = np.argsort(line * int(shares.max(initial=1)) + share, kind="stable")
+    line, share, weight = line[order], share[order], np.minimum(size[order], 255).astype(np.uint8)
+    bits = np.unpackbits(h[order].view(np.uint8)).reshape(-1, 64) * weight[:, None]
+    starts = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (share[1:] != share[:-1])]))
+    sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    total = np.add.reduceat(weight, starts, dtype=np.int32)
+    strength = np.add.reduceat(np.maximum(weight, 3) - np.uint8(3), starts, dtype=np.int32)
+    of = line[starts]
+    heads = np.searchsorted(of, np.arange(len(n)))
+    simhash = lambda s, n: np.packbits(s * 2 > n[:, None], axis=1).view(np.uint64).ravel()
+    return of, share[starts], simhash(sums, total), strength, simhash(np.add.reduceat(sums, heads, axis=0), np.add.reduceat(total, heads))
+
+
+def line_keys(h: np.ndarray, size: np.ndarray, n: np.ndarray, shares: np.ndarray, together: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key) of the lists of lines of ``n`` words ``h`` of ``size`` letters, and the SimHash of each line.
+
+    Keys of less than LEAST_STRENGTH, which would bring together all lines that hold some common word,
+    take in the next share's block, and if that is too weak as well they are the whole line's SimHash.
+    """
+    line, share, block, strength, whole = _signatures(h, size, n, shares)
+    lines, keys = [], []
+    for c in np.unique(shares).tolist():
+        there = np.flatnonzero(shares == c)
+        at = np.searchsorted(there, line[shares[line] == c])
+        table, strong = np.zeros((len(there), c), np.uint64), np.zeros((len(there), c), np.int64)
+        mine = shares[line] == c
+        table[at, share[mine]], strong[at, share[mine]] = finish(block[mine] + (c * 1_000_003 + share[mine]).astype(np.uint64)), strength[mine]
+        blocks = int(together[there[0]])
+        for some in combinations(range(c), blocks):
+            key, force = np.zeros(len(there), np.uint64), np.zeros(len(there), np.int64)
+            for k in some:
+                key, force = finish(key + table[:, k]), force + strong[:, k]
+            if blocks == 1:
+                weak = force < LEAST_STRENGTH[1]
+                after = (some[0] + 1) % c
+                key, force = np.where(weak, finish(key + table[:, after]), key), force + weak * strong[:, after]
+            key = np.where(force < LEAST_STRENGTH[blocks], finish(whole[there] + np.uint64(1)), key)
+            lines.append(there)
+            keys.append(key)
+    line, key = np.concatenate(lines), np.concatenate(keys)
+    order = np.lexsort((key, line))
+    line, key = line[order], key[order]
+    new = np.concatenate([[True], (line[1:] != line[:-1]) | (key[1:] != key[:-1])])
+    return line[new], key[new], whole
+
+
+def _occurrences(docs: DataFrame, least_words: int) -> DataFrame:
+    """Each line with words: (doc_id, text_id, no, node, sim, chars, keys)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
         for batch in batches:
-            no, node, sim, words = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                lines = normal_lines(text)
-                there = [i for i, line in enumerate(lines) if line]
-                some = [lines[i] for i in there]
-                no.append(there)
-                node.append([xxhash.xxh64_intdigest(b" ".join(line)) - 2**63 for line in some])
-                sim.append(signed(simhashes(some, hashes)) if some else [])
-                words.append([len(line) for line in some])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(no, pa.list_(pa.int32())), *(pa.array(x, pa.list_(pa.int64())) for x in (node, sim)), pa.array(words, pa.list_(pa.int32()))],
-                names=["doc_id", "no", "node", "sim", "words"],
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.mapInArrow(run, "doc_id long, no array<int>, node array<long>, sim array<long>, words array<int>")
-    return rows.select("doc_id", F.inline(F.arrays_zip("no", "node", "sim", "words")))
+            for part in slices(batch):
+                lines = pc.split_pattern(part.column("text").fill_null(""), "\n")
+                per, flat = lines.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lines.flatten()
+                sizes: list[np.ndarray] = []
+                h, bounds = word_hashes(flat, _FOLD, sizes)
+                size, n = np.concatenate([*sizes, np.empty(0, np.int64)]), np.diff(bounds)
+                filled = np.flatnonzero(n)
+                if not len(filled):
+                    continue
+                row = np.repeat(np.arange(len(per)), per)
+                no = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+                n, sim, at, keys = n[filled], np.zeros(len(filled), np.uint64), [], []
+                chars = np.add.reduceat(size, bounds[filled]) + n - 1
+                fuzzy = n >= least_words
+                if fuzzy.any():
+                    place, some, word, letters = np.flatnonzero(fuzzy), n[fuzzy], h[np.repeat(fuzzy, n)], size[np.repeat(fuzzy, n)]
+                    own = shares_of(some)
+                    for near in (some, np.floor(some * 0.93), np.ceil(some * 1.07)):
+                        shares, together = shares_of(near)
+                        other = np.ones(len(some), bool) if near is some else (shares != own[0]) & (near >= least_words)
+                        if other.any():
+                            there = np.repeat(other, some)
+                            line, key, whole = line_keys(word[there], letters[there], some[other], shares[other], together[other])
+                            at.append(place[other][line])
+                            keys.append(key)
+                            if near is some:
+                                sim[place] = whole
+                at, keys = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((at, np.int64), (keys, np.uint64)))
+                order = np.argsort(at, kind="stable")
+                ends = np.searchsorted(at[order], np.arange(len(filled) + 1))
+                take = pa.array(row[filled])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id").take(take), part.column("text_id").take(take), pa.array(no[filled], pa.int32()),
+                        pa.array(signed(run_hashes(h, bounds[filled], n))), pa.array(signed(sim)), pa.array(chars.astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(keys[order]))),
+                    ],
+                    names=["doc_id", "text_id", "no", "node", "sim", "chars", "keys"],
+                )
+
+    return _named(docs).mapInArrow(run, "doc_id long, text_id long, no int, node long, sim long, chars int, keys array<long>")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id"), "text")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, line) for the ``wanted`` places (node, doc_id, no)."""
+    """(node, line) for the ``wanted`` places (node, doc_id, text_id, no)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, line = [], []
             for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                lines = normal_lines(text)
+                lines = (text or "").split("\n")
                 for p in places:
-                    if p["no"] < len(lines):
-                        words = b" ".join(lines[p["no"]])
-                        if xxhash.xxh64_intdigest(words) - 2**63 == p["node"]:
-                            node.append(p["node"])
-                            line.append(words.decode())
+                    node.append(p["node"])
+                    line.append(normal_line(lines[p["no"]]))
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(line, pa.string())], names=["node", "line"])
 
     small = wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
-    places = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("node", "no")).alias("places"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(places) if small else places, "doc_id")
-    return rows.select("text", "places").mapInArrow(run, "node long, line string").dropDuplicates(["node"])
+    places = wanted.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("node", "no")).alias("places"))
+    rows = _named(docs).join(F.broadcast(places) if small else places, ["doc_id", "text_id"])
+    return rows.select("text", "places").mapInArrow(run, "node long, line string")
+
+
+def _near(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b, la, lb) whose lines have the edit similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = []
+            for one, two in zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist(), strict=True):
+                most = int((1 - similarity) * max(len(one), len(two)) + 1e-9)
+                hit.append(edit_distance(one, two, most) is not None)
+            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    return pairs.select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
 
 
 def remove_repeated_lines(docs: DataFrame, similarity: float = 0.9, least_words: int = 5) -> DataFrame:
@@ -90,53 +235,49 @@ def remove_repeated_lines(docs: DataFrame, similarity: float = 0.9, least_words:
 
     Of each connected group of lines one occurrence stays, the first by doc_id and place; all others
     are removed. Lines that normalise alike are always linked; lines of ``least_words`` words or more
-    also if their SimHashes differ in at most 3 bits and 1 - edit distance / longer length, of the
-    normalised lines, is at least ``similarity``. Lines that normalise to nothing stay. Null and empty
-    texts have no lines to remove. Rows with a null doc_id take no part and stay whole. Rows that
-    share a doc_id count as one document: what goes from one goes from all. Other columns pass
-    through and a column called ``lines`` is replaced. An empty table gives an empty result.
+    also if they meet in a list and 1 - edit distance / longer length, of the normalised lines, is at
+    least ``similarity``. Lines that normalise to nothing stay. Null and empty texts have no lines to
+    remove. Rows with a null doc_id take no part and stay whole. Rows that share a doc_id are told
+    apart by their texts; rows that share both are one document. Other columns pass through and a
+    column called ``lines`` is replaced. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows, place = written(_occurrences(docs.filter("doc_id is not null")), "lines")
-    nodes = cut(
-        rows.groupBy("node").agg(F.min(F.struct("doc_id", "no")).alias("at"), F.first("sim").alias("sim"), F.first("words").alias("words"))
-    )
-    sim = F.col("sim")
-    block = [F.shiftrightunsigned(sim, a).bitwiseAND(2 ** (b - a) - 1) for a, b in _SPANS]
-    keys = [
-        F.shiftleft(block[i], 13).bitwiseOR(block[j]).bitwiseOR(F.lit(k << 32)) for k, (i, j) in enumerate(combinations(range(5), 2))
-    ]
-    fuzzy = nodes.filter(F.col("words") >= least_words)
-    listed = fuzzy.select("node", F.explode(F.array(*keys)).alias("v"))
-    left = nodes.select(F.col("node").alias("a"), F.col("sim").alias("x"))
-    right = nodes.select(F.col("node").alias("b"), F.col("sim").alias("y"))
-    possible = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= BITS
+    rows, place = written(_occurrences(docs.filter("doc_id is not null"), least_words), "lines")
+    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_id", "no")).alias("at"), F.first("sim").alias("sim"), F.first("chars").alias("chars"))
+    nodes, place_2 = written(nodes, "line-nodes")
+    by_list = Window.partitionBy("v").orderBy("node")
+    listed = rows.select("node", F.explode("keys").alias("v")).withColumn("before", F.lag("node").over(by_list))
+    listed = listed.filter("before is null or before <> node")
+    listed = listed.withColumn("i", F.row_number().over(by_list)).withColumn("next", F.lead("node").over(by_list))
+    listed = cut(listed.filter("i > 1 or next is not null").select("v", "node"))  # of lists with two members at least
+    left = nodes.select(F.col("node").alias("a"), F.col("sim").alias("x"), F.col("chars").alias("nx"))
+    right = nodes.select(F.col("node").alias("b"), F.col("sim").alias("y"), F.col("chars").alias("ny"))
+    sizes = F.abs(F.col("nx") - F.col("ny")) <= (1 - similarity) * F.greatest("nx", "ny") + 1e-9
+    possible = sizes & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= BITS)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
-        texts = cut(_texts(docs, cut(wanted.select("node", "at.doc_id", "at.no"))))
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "at"), "node")
+        texts = cut(_texts(docs, cut(wanted.select("node", "at.doc_id", "at.text_id", "at.no"))))
         one = texts.select(F.col("node").alias("a"), F.col("line").alias("la"))
         two = texts.select(F.col("node").alias("b"), F.col("line").alias("lb"))
-        longer = F.greatest(F.length("la"), F.length("lb"))
-        most = F.floor((1 - similarity) * longer + 1e-9).cast("int")
-        close = F.length("la") - F.length("lb")
-        far = F.call_function("levenshtein", F.col("la"), F.col("lb"), most)  # -1 beyond most
-        near = (F.abs(close) <= most) & (far >= 0)
-        return pairs.join(two, "b").join(one, "a").filter(near).select("a", "b")
+        return _near(pairs.join(two, "b").join(one, "a"), similarity)
 
     whole = linked(listed, left, right, possible, confirmed)
     grouped = nodes.join(whole.withColumnRenamed("id", "node"), "node", "left").select("node", "at", F.coalesce("component", "node").alias("part"))
     first = grouped.groupBy("part").agg(F.min("at").alias("first"))
-    firsts = grouped.join(first, "part").select("node", "first")
-    gone = rows.join(firsts, "node").filter(F.struct("doc_id", "no") != F.col("first"))
-    gone, _ = written(gone.groupBy("doc_id").agg(F.collect_set("no").alias("__gone")), "lines-gone")
-    deleted(spark, place)
+    firsts = cut(grouped.join(first, "part").select("node", "first"))
+    gone = rows.select("doc_id", "text_id", "no", "node").join(firsts, "node").filter(F.struct("doc_id", "text_id", "no") != F.col("first"))
+    gone, _ = written(gone.groupBy("doc_id", "text_id").agg(F.collect_set("no").alias("__gone")), "lines-gone")
+    deleted(spark, place, place_2)
 
     kept = [c for c in docs.columns if c != "lines"]
     texts = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce("text", F.lit("")).alias("text"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-    ).join(gone, "doc_id", "left")
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id"),
+    )
+    size = gone.agg(F.count("*"), F.sum(F.size("__gone"))).first()
+    small = size[0] + (size[1] or 0) <= BROADCAST_LINES
+    texts = texts.join(F.broadcast(gone) if small else gone, ["doc_id", "text_id"], "left")
     lines = F.split("text", "\n")
     gone_or_none = F.coalesce("__gone", F.array().cast("array<int>"))
     stay = F.filter(lines, lambda _, i: ~F.array_contains(gone_or_none, i))

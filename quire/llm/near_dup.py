@@ -24,28 +24,30 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, cut, deleted, finish, linked, signed, window_hashes, written
+from .common import cut, deleted, finish, folded, linked, signed, window_hashes, word_hashes, written
 
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: A-Z lower-cased.
+_FOLD = folded(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))
 #: Pairs to verify with fewer nodes than this fetch their texts by a broadcast of ids (8 bytes each).
 BROADCAST_IDS = 500_000
 #: Nodes of a block of a dense group.
 BLOCK = 1024
 
 
-def shingle_set(text: str | None, width: int, hashes: WordHash) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; of the whole sequence if it is shorter."""
-    words = (text or "").encode().translate(_LOWER).split()
-    if not words:
-        return np.empty(0, np.int64)
-    h = hashes.of(words)
-    found = window_hashes(h, min(width, len(words)))
-    if len(words) < width:
-        found = finish(found + np.uint64(len(words)))
-    return np.unique(signed(found))
+def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct hashes of its word shingles; of the whole sequence if it is shorter."""
+    h, bounds = word_hashes(texts, _FOLD)
+    shingles = signed(window_hashes(h, width))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if b - a >= width:
+            yield np.unique(shingles[a : b - width + 1])
+        elif b > a:
+            yield signed(finish(window_hashes(h[a:b], b - a) + np.uint64(b - a)))
+        else:
+            yield np.empty(0, np.int64)
 
 
 def shared_at_least(size: int, similarity: float, chance: float = 1e-7) -> int:
@@ -83,30 +85,31 @@ def least_shared(size: int, percent: int, shared: int, chance: float = 1e-7) ->
 
 def _signatures(docs: DataFrame, width: int, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
         for batch in batches:
             n, node, sketch = [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(text, width, hashes)
+            for s in shingle_sets(batch.column("text"), width):
                 n.append(len(s))
                 node.append(xxhash.xxh64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
                 sketch.append(s[:size])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "node", "sketch"],
+                [batch.column("doc_id"), batch.column("text_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))],
+                names=["doc_id", "text_id", "n_shingles", "node", "sketch"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, sketch array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_id().alias("text_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_id long, n_shingles long, node long, sketch array<long>")
+
+
+def _text_id() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(node, set) of the ``wanted`` nodes (node, doc_id), from the whole text of one document each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
         for batch in batches:
-            sets = [shingle_set(t, width, hashes) for t in batch.column("text").to_pylist()]
+            sets = [*shingle_sets(batch.column("text"), width)]
             same = [xxhash.xxh64_intdigest(s.tobytes()) - 2**63 for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), pa.array(same, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "same", "set"]
@@ -180,15 +183,16 @@ def _dense_links(docs: DataFrame, nodes: DataFrame, own: DataFrame, width: int,
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, size: int = 32) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept, part, text_id) for each row of ``docs`` (doc_id, text).
 
     Two documents are linked if their sets of distinct ``width``-word shingles (A-Z lower-cased,
     words by ASCII white space, whole texts) have a Jaccard similarity of ``percent`` or more. A
     text with fewer words has its whole word sequence as its one shingle. ``component_id`` is the
     smallest doc_id reachable; kept means that it is the row's own. Null and empty texts have empty
     sets and are linked with nothing, not even each other; rows with a null doc_id take no part
-    (component null, kept true). Rows that share a doc_id keep a set each. Other columns are
-    ignored. An empty table gives an empty result.
+    (component null, kept true). Rows that share a doc_id keep a set each. ``part`` names a row's
+    component without its doc_ids, ``text_id`` its text. Other columns are ignored. An empty table
+    gives an empty result.
     """
     spark, t = docs.sparkSession, percent / 100
     shared = shared_at_least(size, t)
@@ -235,22 +239,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, size: in
     heads = smallest.join(nodes.select(F.col("node").alias("component"), F.col("doc_id").alias("its")), "component")
     least = heads.select("component", F.least("own", "its").alias("component_id"))
     members_of = whole.select(F.col("id").alias("node"), "component").union(heads.select(F.col("component").alias("node"), "component"))
-    ids = cut(members_of.join(least, "component").select("node", "component_id"))
+    ids = cut(members_of.join(least, "component").select("node", "component", "component_id"))
     first = nodes.select("node", F.col("doc_id").alias("copy_of"))
     result = rows.join(first, "node", "left").join(ids, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "copy_of"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    result = result.select("doc_id", "n_shingles", component.alias("component_id"))
-    result = cut(result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+    part = F.coalesce("component", "node", "text_id")
+    result = result.select("doc_id", "n_shingles", component.alias("component_id"), part.alias("part"), "text_id")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    result = cut(result.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "part", "text_id"))
     deleted(spark, place)
     return result
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, size: int = 32) -> DataFrame:
-    """The rows of ``docs`` with one document of each component, the one with the smallest doc_id.
+    """The rows of ``docs`` with one row of each component, the one with the smallest doc_id.
 
-    Rows that repeat a kept doc_id go too. Rows with a null doc_id stay.
+    Rows that share a doc_id are told apart by their texts: of a component the one with the smallest
+    text hash stays, and of rows with one doc_id and text one stays, the first by a hash of all its columns.
+    Texts without words are linked with nothing, so each different one stays. Rows with a null doc_id stay.
     """
-    kept = near_duplicates(docs, width, percent, size).filter("kept and doc_id is not null").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    rows = near_duplicates(docs, width, percent, size).filter("kept and doc_id is not null")
+    chosen = rows.groupBy("doc_id", "part").agg(F.min("text_id").alias("__text_id")).select("doc_id", "__text_id").distinct()
+    texts = docs.withColumn("__text_id", _text_id()).join(chosen, ["doc_id", "__text_id"], "left_semi")
+    order = Window.partitionBy("doc_id", "__text_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    first = texts.withColumn("__i", F.row_number().over(order)).filter("__i = 1")
+    return first.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.filter("doc_id is null"))

@@ -44,7 +44,8 @@ def op3_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+    done = near_dup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+    return done.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

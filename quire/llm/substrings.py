@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import WordHash, deleted, finish, signed, window_hashes, written
+from .common import deleted, finish, signed, slices, window_hashes, word_hashes, written
 
 RUN = 8
 TABLES = 3
@@ -34,11 +34,14 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-gap], x[gap:]) if gap else x
 
 
-def anchors(h: np.ndarray, width: int, run: int) -> np.ndarray:
-    """Anchor of each window."""
-    if len(h) < width:
-        return np.empty(0, np.uint64)
-    return _sliding_min(window_hashes(h, run), width - run + 1)
+def anchors(texts: pa.Array, width: int, run: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Word hashes, anchors of windows by their first word, and (text, first window, last + 1) of each text that has some."""
+    h, bounds = word_hashes(texts)
+    first, last = bounds[:-1], bounds[1:] - width + 1
+    long = np.flatnonzero(last > first)
+    runs = window_hashes(h, run)
+    smallest = _sliding_min(runs, width - run + 1) if len(h) >= width else np.empty(0, np.uint64)
+    return h, smallest, [*zip(long.tolist(), first[long].tolist(), last[long].tolist(), strict=True)]
 
 
 def _cells(values: np.ndarray, cells: int) -> list[np.ndarray]:
@@ -65,13 +68,10 @@ def repeated_cells(docs: DataFrame, width: int, run: int, cells: int) -> list[np
     """Count-min tables merged over all partitions, as bit maps of the cells that reach 2."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, table = WordHash(), np.zeros((TABLES, cells), np.uint8)
-        for batch in batches:
-            found = []
-            for text in batch.column("text").to_pylist():
-                a = anchors(hashes.of((text or "").encode().split()), width, run)
-                if len(a):
-                    found.append(np.unique(a[_edges(a)]))
+        table = np.zeros((TABLES, cells), np.uint8)
+        for part in (x for batch in batches for x in slices(batch)):
+            _, anchor, windows = anchors(part.column("text"), width, run)
+            found = [np.unique((a := anchor[i:j])[_edges(a)]) for _, i, j in windows]
             if found:
                 for d, at in enumerate(_cells(np.concatenate(found), cells)):
                     at, n = np.unique(at, return_counts=True)
@@ -109,15 +109,13 @@ def _estimated(docs: DataFrame, width: int, run: int, cells: int, maps: list[np.
     shared = docs.sparkSession.sparkContext.broadcast(maps)  # TABLES * cells bits, bounded by most_cells
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, tables = WordHash(), shared.value
-        for batch in batches:
+        tables = shared.value
+        for batch in (x for b in batches for x in slices(b)):
             rows: list[tuple] = []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                words = (text or "").encode().split()
-                if len(words) < width:
-                    continue
-                h = hashes.of(words)
-                a = anchors(h, width, run)
+            h, anchor, windows = anchors(batch.column("text"), width, run)
+            whole = window_hashes(h, width)
+            for k, i, j in windows:
+                a = anchor[i:j]
                 edge = _edges(a)
                 value = a[edge]
                 hit = np.ones(len(value), bool)
@@ -125,7 +123,7 @@ def _estimated(docs: DataFrame, width: int, run: int, cells: int, maps: list[np.
                     hit &= (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
                 if hit.any():
                     keep = np.flatnonzero(np.repeat(hit, np.diff(np.append(edge, len(a)))))
-                    rows.append((k, keep.astype(np.int32), signed(window_hashes(h, width)[keep]), (a[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                    rows.append((k, keep.astype(np.int32), signed(whole[i:j][keep]), (a[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
             at, h, anchor = ([r[i] for r in rows] for i in (1, 2, 3))
             take = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -153,9 +151,10 @@ def remove_repeats(docs: DataFrame, width: int = 50, run: int = RUN, most_cells:
     cells = sketch_cells(docs, width, most_cells)
     windows, place = written(_estimated(ids, width, run, cells, repeated_cells(docs, width, run, cells)), "windows")
     first = windows.groupBy("h", "anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    hits = windows.join(first.drop("last"), ["h", "anchor"]).filter("doc_id > first")
+    first, place_0 = written(first.drop("last"), "windows-first")  # a table of its own: Spark can split the join's hot windows
+    hits = windows.join(first, ["h", "anchor"]).filter("doc_id > first")
     spans, place_2 = written(hits.groupBy("doc_id", "text_id").agg(F.collect_set("at").alias("at")), "spans")
-    deleted(docs.sparkSession, place)
+    deleted(docs.sparkSession, place, place_0)
 
     kept = [c for c in docs.columns if c != "dedup"]
     rows = docs.select(

@@ -7,10 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, licences, lines, mixing, near_dup, neighbours, quality, substrings, tokens
+from quire.llm import chat, common, decontaminate, licences, lines, mixing, near_dup, neighbours, quality, substrings, tokens
 from quire.llm.common import connected
 from quire.llm.queries import vocabulary
 
@@ -60,7 +61,22 @@ def union_find(pairs, ids):
     return {i: top(i) for i in ids}
 
 
-def test_connected(spark):
+def test_word_hashes(monkeypatch):
+    """Equal words and no others have equal hashes, however the texts' buffer is cut into slices."""
+    monkeypatch.setattr(common, "_SLICE", 7)
+    r, names = random.Random(1), {}
+    for _ in range(200):
+        texts = [None if r.random() < 0.1 else "".join(r.choice("ab \n\té") for _ in range(r.randint(0, 30))) for _ in range(r.randint(0, 6))]
+        h, bounds = common.word_hashes(pa.array(["zz b", *texts, "q"], pa.string()).slice(1, len(texts)))
+        words = [WORD.findall(t or "") for t in texts]
+        assert np.diff(bounds).tolist() == [*map(len, words)]
+        assert all(names.setdefault(w, x) == x for w, x in zip([w for ws in words for w in ws], h.tolist(), strict=True))
+    assert len({*names.values()}) == len(names)
+
+
+@pytest.mark.parametrize("links_a_task", [500_000, 20])
+def test_connected(spark, links_a_task, monkeypatch):
+    monkeypatch.setattr(common, "LINKS_A_TASK", links_a_task)
     r = random.Random(3)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)]
     ids = {x for p in pairs for x in p}
@@ -209,6 +225,8 @@ def test_near_duplicates(spark, docs, empty, width, percent, hot, monkeypatch):
         assert near_dup.near_duplicates(empty).count() == 0
         kept = near_dup.without_near_duplicates(docs.union(docs))
         assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d in sets if want[d] == d)
+        again = spark.createDataFrame([(1, "a b c", "x"), (1, "a b c", "y"), (1, "d e f", "z"), (1, "", "u"), (1, " ", "v"), (2, "a b c", "w")], "doc_id long, text string, part string")
+        assert sorted(r.text for r in near_dup.without_near_duplicates(again).collect()) == ["", " ", "a b c", "d e f"]
         nulls = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (1, "a b c")], "doc_id long, text string")
         assert sorted((r.doc_id or 0, r.kept) for r in near_dup.near_duplicates(nulls).collect()) == [(0, True), (0, True), (1, True)]
 
@@ -258,8 +276,8 @@ def test_tokens_of_texts_with_nul():
     from tokenizers import Tokenizer
 
     t, encode = Tokenizer.from_file(vocabulary()), tokens.Encoder(vocabulary())
-    for text in ("foo \0bar", "\0bar foo", "foo bar", "bar foo", "\0", "a \0", "a\0 b", "a \0\0b"):
-        assert np.frombuffer(encode.batch([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    for text in ("a \1 b", "\1", "a\n\1", "foo \0bar", "\0bar foo", "foo bar", "bar foo", "\0", "a \0", "a\0 b", "a \0\0b"):
+        assert np.frombuffer(encode.batch(pa.array([text, "x"]))[0], "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
 
 
 def test_code_lengths_are_limited_and_best():
@@ -297,28 +315,10 @@ def test_fuzzy_lines_against_brute_force(spark):
     base = [" ".join(r.choice(vocab) for _ in range(40)) for _ in range(8)]
     made = [(i, "\n".join(b.replace(r.choice(b.split()), r.choice(vocab), 1) if r.random() < 0.7 else b for b in r.sample(base, 3))) for i in range(40)]
     got = {r.doc_id: r.lines.n_removed for r in lines.remove_repeated_lines(spark.createDataFrame(made, "doc_id long, text string")).collect()}
-    hashes = lines.WordHash()
-    nodes, order = {}, []
-    for d, t in made:
-        for no, ws in enumerate(lines.normal_lines(t)):
-            key = b" ".join(ws)
-            nodes.setdefault(key, int(lines.simhashes([ws], hashes)[0]))
-            order.append((d, no, key))
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    keys = sorted(nodes)
+    order = [(d, no, lines.normal_line(line)) for d, t in made for no, line in enumerate(t.split("\n"))]
+    keys = sorted({key for *_, key in order})
     index = {k: i for i, k in enumerate(keys)}
-    pairs = [
-        (i, j) for i, a in enumerate(keys) for j, b in enumerate(keys[:i])
-        if (nodes[a] ^ nodes[b]).bit_count() <= 3 and distance(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9)
-    ]
+    pairs = [(i, j) for i, a in enumerate(keys) for j, b in enumerate(keys[:i]) if slow_distance(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9)]
     part, seen, want = union_find(pairs, range(len(keys))), set(), Counter()
     for d, _, key in sorted(order, key=lambda x: x[:2]):
         p = part[index[key]]
@@ -327,6 +327,50 @@ def test_fuzzy_lines_against_brute_force(spark):
     assert got == {d: want[d] for d, _ in made} and pairs
 
 
+def slow_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edit_distance():
+    r = random.Random(1)
+    for _ in range(3000):
+        a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 14))) for _ in range(2))
+        d, most = slow_distance(a, b), r.randint(0, 14)
+        assert lines.edit_distance(a, b, most) == (d if d <= most else None)
+
+
+def test_lines_with_a_changed_sign_are_found(spark):
+    """Of pairs of lines of 5 to 80 words that differ in one sign nine in ten are linked at least."""
+    r = random.Random(9)
+    vocab = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    rows, of = [], {}
+    for n in (5, 6, 7, 8, 12, 13, 20, 24, 25, 40, 49, 50, 80):
+        for _ in range(40):
+            line = " ".join(r.choice(vocab) for _ in range(n))
+            i = r.randrange(len(line))
+            other = line[:i] + r.choice([r.choice("xyz"), "", "q" + line[i]]) + line[i + 1 :]
+            of[len(rows) + 1] = n
+            rows += [(len(rows), line), (len(rows) + 1, other)]
+    got = {x.doc_id: x.lines.n_removed for x in lines.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(got[d] for d, _ in rows if d % 2 == 0)
+    share = {n: np.mean([got[d] for d in of if of[d] == n]) for n in set(of.values())}
+    assert min(share.values()) >= 0.8 and np.mean([*share.values()]) >= 0.95
+
+
+def test_lines_of_rows_that_share_a_doc_id(spark):
+    one, two, long = "one line that both of the rows hold here", "a unique line that stands nowhere else at all", "w " * 60_000
+    rows = [(2, one), (2, f"{one}\n{two}"), (2, f"{one}\n{two}"), (3, f"{long}\n{two}"), (4, long), (4, None)]
+    got = lines.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").withColumn("lines", F.lit("clash"))).collect()
+    kept = sorted((r.doc_id, r.lines.kept_text) for r in got)
+    assert [k for k in kept if k[0] > 2] == [(3, long), (4, ""), (4, "")]
+    assert sorted(k[1].count(one) for k in kept if k[0] == 2) in ([0, 0, 1], [0, 1, 1]) and sum(two in k[1] for k in kept) == 2
+
+
 # --- licences ---
 
 
