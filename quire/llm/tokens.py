@@ -10,35 +10,32 @@ table look-up per id for all runs side by side.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import deleted, scratch
+from .common import deleted, scratch, slices
 
 END_ID = 2
 MOST_BITS = 20
 STRIDE = 1024
 BLOCK_IDS = 65_536
 
-# White space other than space and line feed, by code point.
-_OTHER_SPACE = [chr(c) for c in (9, 11, 12, 13, *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-_RUNS = ("  ", " \n", "\n ", "\n\n")
+# White space other than space and line feed.
+_OTHER_SPACE = r"\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Texts that aren't words parted by single spaces or line feeds, or that hold a mark used below.
+_NOT_PLAIN = rf"\A\z|\A[ \n]|[ \n]\z|[ \n][ \n]|[\x00\x01{_OTHER_SPACE}]"
 _tokenizers: dict[str, Encoder] = {}
 
 
-def _plain(text: str) -> bool:
-    """If all white space in a text is single spaces or line feeds between words."""
-    if not text or text[0] in " \n" or text[-1] in " \n":
-        return False
-    return not any(r in text for r in _RUNS) and not any(c in text for c in _OTHER_SPACE)
-
-
 def _byte_signs() -> dict[int, str]:
     """The sign that byte-level vocabularies write for each byte: printable ones stand for themselves."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -47,51 +44,81 @@ def _byte_signs() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of texts under a byte-level BPE file of the tokenizers library.
-
-    Such tokenizers never join over the start of " word" or a line feed, so a text is cut there and
-    each distinct piece is encoded once and kept, which gives the ids of the whole text. A piece of
-    letters only, but for a full stop or comma at its end, is one word to the tokenizer (and one more
-    for the sign); such words go to its BPE model directly. Texts with other white space, NULs
-    (the mark of first pieces) or special tokens are encoded whole.
+    """Ids of texts under a vocabulary file of the tokenizers library.
+
+    Byte-level tokenizers with the usual pattern never join over the start of " word" or a line feed,
+    so texts are cut there, Arrow numbers the distinct pieces of many texts at once, and each is encoded
+    once and kept, which gives the ids of the whole texts. A piece of letters only, but for a full
+    stop or comma at its end, is one word to the tokenizer (and one more for the sign); such words go to
+    its BPE model directly. Texts with other white space, marks (\\0, \\1) or special tokens, and all texts
+    if the file has another pre-tokenizer or a normaliser, are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, end_id: int = END_ID, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.pieces = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.end = np.array([end_id], "<u4").tobytes()
+        rules = json.loads(self.tokenizer.to_str())
+        step = rules["pre_tokenizer"] or {}
+        self.cuts = rules["normalizer"] is None and rules["model"]["type"] == "BPE"
+        self.cuts &= (step.get("type"), step.get("use_regex"), step.get("add_prefix_space")) == ("ByteLevel", True, False)
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([_NOT_PLAIN, *(re.escape(t) for t in special)])
         self.model, self.signs = self.tokenizer.model, _byte_signs()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = {c: self._ids([c])[0] for c in ".,"}
+        self.pieces = self._first_pieces()
+
+    def _first_pieces(self) -> dict[str, bytes]:
+        return {"\1": self.end, "\n": self._ids(["\n"])[0]}
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def batch(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text and the end id as little-endian unsigned 32-bit integers; null texts are empty."""
+        texts = texts.fill_null("")
+        whole = pc.match_substring_regex(texts, self.whole) if self.cuts else pa.array([True] * len(texts), pa.bool_())
         out: list[bytes | None] = [None] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
-        for i, text in enumerate(texts):
-            if "\0" not in text and _plain(text) and not any(x in text for x in self.special):
-                cut.append((i, ("\0" + text.replace("\n", " \n")).split(" ")))  # \0 marks the first piece
-            else:
-                out[i] = self._ids([text])[0]
+        at = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        for i, ids in zip(at.tolist(), self._ids(texts.take(pa.array(at)).to_pylist()), strict=True):
+            out[i] = ids + self.end
+        at = np.flatnonzero(~whole.to_numpy(zero_copy_only=False))
+        if len(at):
+            marked = pc.replace_substring(texts.take(pa.array(at)), "\n", " \n \0")  # \0: no space before the piece; \1: end
+            parts = pc.split_pattern(pc.binary_join_element_wise("\0", marked, " \1", ""), " ")
+            numbered = parts.flatten().dictionary_encode()
+            raw = self._pieces(numbered.dictionary.to_pylist())
+            size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+            flat, number = np.frombuffer(b"".join(raw), "<u4"), numbered.indices.to_numpy()
+            each = size[number]
+            ends = np.cumsum(each)
+            ids = flat[np.arange(ends[-1]) + np.repeat((np.cumsum(size) - size)[number] - (ends - each), each)]
+            stops = ends[np.cumsum(parts.value_lengths().to_numpy()) - 1].tolist()
+            for i, a, b in zip(at.tolist(), [0, *stops], stops, strict=False):
+                out[i] = ids[a:b].tobytes()
+        return out
+
+    def _pieces(self, wanted: list[str]) -> list[bytes]:
         if len(self.pieces) > self.most:
-            self.pieces.clear()
-        new, pieces = set().union(*(x for _, x in cut)).difference(self.pieces), self.pieces
-        rest = []
-        for piece in new:
-            stem = piece[:-1] if piece[-1] in ".," else piece
-            if stem.isalpha():
-                raw = self._word(f" {stem}")
-                pieces[piece] = raw if stem is piece else raw + self.marks[piece[-1]]
-            else:
-                rest.append(piece)
+            self.pieces = self._first_pieces()
+        pieces, rest = self.pieces, []
+        for piece in wanted:
+            if piece not in pieces:
+                word = piece[1:] if piece[0] == "\0" else f" {piece}"
+                last = word[-1]
+                stem = word[:-1] if last in ".," else word
+                name = piece[: len(piece) + len(stem) - len(word)]
+                bare = stem.removeprefix(" ")
+                if not (bare.isalpha() and (bare.isascii() or max(bare) < "\u0370")):  # letters to any Unicode version
+                    rest.append((piece, word))
+                    continue
+                if name not in pieces:
+                    pieces[name] = self._word(stem)
+                if name is not piece and name != piece:
+                    pieces[piece] = pieces[name] + self.marks[last]
         for k in range(0, len(rest), 4096):
             some = rest[k : k + 4096]
-            pieces.update(zip(some, self._ids([w[1:] if w[0] == "\0" else w if w[0] == "\n" else f" {w}" for w in some]), strict=True))
-        get = pieces.__getitem__
-        for i, parts in cut:
-            out[i] = b"".join(map(get, parts))
-        return out
+            pieces.update(zip((p for p, _ in some), self._ids([w for _, w in some]), strict=True))
+        return [pieces[p] for p in wanted]
 
     def _word(self, word: str) -> bytes:
         tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.signs))
@@ -101,11 +128,12 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a worker process and file."""
-    if path not in _tokenizers:
-        _tokenizers[path] = Encoder(path)
-    return _tokenizers[path]
+def encoder(path: str, end_id: int = END_ID) -> Encoder:
+    """One encoder a worker process, file and end id."""
+    key = f"{end_id} {path}"
+    if key not in _tokenizers:
+        _tokenizers[key] = Encoder(path, end_id)
+    return _tokenizers[key]
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
@@ -118,12 +146,11 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part, at = encoder(vocabulary).batch, TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        encode, part, at = encoder(vocabulary, end_id).batch, TaskContext.get().partitionId(), 0
+        for batch in (x for b in batches for x in slices(b, 1 << 23)):
             ids, starts = [], []
-            for raw in encode([t or "" for t in batch.column("text").to_pylist()]):
-                x = np.frombuffer(raw + end, "<u4")
+            for raw in encode(batch.column("text")):
+                x = np.frombuffer(raw, "<u4")
                 ids.append(b"\2" + x.astype("<u2").tobytes() if x.max() < 65536 else b"\4" + x.tobytes())
                 starts.append(at)
                 at += len(x)
@@ -264,17 +291,18 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, m
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, base = Code(shared.value[0]), shared.value[1]
         for batch in batches:
-            out, held, index = [], [], []
+            out, held, index, total = [], [], [], 0
             columns = (batch.column(c).to_pylist() for c in ("part", "doc_id", "at", "ids"))
             for k, (part, doc_id, at, raw) in enumerate(zip(*columns, strict=True)):
                 ids = _unpacked(raw)
                 held.append(ids)
+                total += len(ids)
                 index.append({"doc_id": doc_id, "start": base[part] + at, "n": len(ids)})
-                if sum(map(len, held)) >= BLOCK_IDS or k == batch.num_rows - 1:
+                if total >= BLOCK_IDS or k == batch.num_rows - 1:
                     x = np.concatenate(held)
                     payload, points = code.encode(x)
                     out.append((index[0]["start"], len(x), payload, points, index))
-                    held, index = [], []
+                    held, index, total = [], [], 0
             columns = [*zip(*out, strict=True)] or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _BLOCK_TYPES, strict=True)], names=["start", "n", "payload", "checkpoints", "docs"])
 
