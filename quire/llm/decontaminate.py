@@ -2,17 +2,20 @@
 
 Documents and benchmark items are cut into overlapping passages of words. Passages are TF-IDF vectors
 over the words of the benchmark that aren't common in the corpus. A randomised SVD, whose one pass
-over the corpus sums ``X'(XO)`` partition by partition for a random O, gives the latent space; items
-are rows of X with a weight, so that their directions are in it. Passages near an item by cosine are
-candidates, and so are passages that share as many of the item's words, common ones too, as any
-accepted passage must; the second kind misses nothing where a group of copies makes words common. A
+over the corpus sums ``X'(XO)`` partition by partition for a random O, gives one latent space for the
+whole benchmark; items are rows of X too, as heavy together as all corpus passages. Passages near an item by
+cosine are candidates, and so are passages that share as many of the item's words, common ones too, as
+any accepted passage must; the second kind misses nothing where a group of copies makes words common. A
 longest common subsequence of words, or a shorter one together with the item's answer, confirms
 them, so that paraphrases and spliced items are found and mere likeness isn't enough.
+
+Words are 64-bit hashes, texts are rows of numbers of the benchmark's words, and subsequences of many
+candidates advance side by side, an item's words being the bits of a 64-bit number.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil, log
@@ -20,34 +23,36 @@ from math import ceil, log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_task
+from .common import folded, in_task, slices, word_hashes
 
-_FOLD = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
+_FOLD = folded(bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256)))
 #: Words of a passage, and from one passage's start to the next.
 PASSAGE, STEP = 64, 32
-#: Items of a benchmark that share one latent space; further items are another search.
+#: Items that are compared with a slice of texts at once; a pass over the documents goes through all of them.
 BLOCK_ITEMS = 200
 
 
-def words(text: str | None) -> list[bytes]:
-    """Lower-case words without ASCII punctuation."""
-    return (text or "").lower().encode().translate(_FOLD).split()
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-case words without ASCII punctuation of all texts, and where each text's begin."""
+    return word_hashes(pc.utf8_lower(texts), _FOLD)
 
 
-def answer(text: str | None) -> list[bytes]:
-    """The item's last sentence or line that has words: what a paraphrase must still contain."""
-    parts = [words(p) for p in (text or "").replace("\n", ". ").split(". ")]
-    return next((p for p in reversed(parts) if len(p) > 1), words(text))
+def answer(text: str | None) -> str:
+    """The item's last sentence or line of two words or more: what a paraphrase must still contain."""
+    parts = (text or "").replace("\n", ". ").split(". ")
+    sizes = np.diff(words(pa.array(parts, pa.string()))[1])
+    return next((p for p, n in zip(reversed(parts), sizes[::-1], strict=True) if n > 1), text or "")
 
 
-def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
+def common_subsequence(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, by bit rows."""
-    places: dict[bytes, int] = defaultdict(int)
+    places: dict[int, int] = {}
     for i, w in enumerate(a):
-        places[w] |= 1 << i
+        places[w] = places.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1
     row = full
     for w in b:
@@ -57,6 +62,44 @@ def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - row.bit_count()
 
 
+class Sequences:
+    """Longest common subsequences of some word sequences with many stretches of texts at once.
+
+    ``sequences`` are arrays of word numbers below ``n_words``; other words are ``n_words``.
+    """
+
+    def __init__(self, sequences: list[np.ndarray], n_words: int):
+        self.sequences, self.size = sequences, np.array([len(x) for x in sequences])
+        self.bits = np.zeros((len(sequences), n_words + 1), np.uint64)
+        for k, x in enumerate(sequences):
+            if len(x) <= 64:
+                np.bitwise_or.at(self.bits[k], x, np.uint64(1) << np.arange(len(x), dtype=np.uint64))
+
+    def common(self, which: np.ndarray, ids: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """For each (which, start, stop) the common length of that sequence and ``ids[start:stop]``."""
+        out = np.zeros(len(which), np.int64)
+        long = self.size[which] > 64
+        for k in np.flatnonzero(long).tolist():
+            q = int(which[k])
+            out[k] = common_subsequence(self.sequences[q].tolist(), ids[start[k] : stop[k]].tolist())
+        short = np.flatnonzero(~long)
+        short = short[np.argsort(start[short] - stop[short], kind="stable")]  # the longest first
+        for k in range(0, len(short), 32_768):
+            some = short[k : k + 32_768]
+            q, at, n = which[some], start[some], (stop - start)[some]
+            row, active = np.full(len(some), 2**64 - 1, np.uint64), len(some)
+            for step in range(int(n[0])):
+                while n[active - 1] <= step:
+                    active -= 1
+                r = row[:active]
+                u = r & self.bits[q[:active], ids[at[:active] + step]]
+                row[:active] = (r + u) | (r - u)
+            size = self.size[q].astype(np.uint64)
+            low = np.where(size == 64, np.uint64(2**64 - 1), (np.uint64(1) << (size & np.uint64(63))) - np.uint64(1))
+            out[some] = self.size[q] - np.bitwise_count(row & low)
+        return out
+
+
 @dataclass(frozen=True)
 class Rules:
     """When a candidate counts as the item: a common subsequence of at least ``verbatim`` of the item's
@@ -70,10 +113,14 @@ class Rules:
     answered: float = 0.8
 
 
-def passages_of(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(occurrence, passage) pairs for words at places ``at`` of a text of ``n`` words."""
-    last = max(0, -(-(n - PASSAGE) // STEP))
-    high = at // STEP
+def last_passage(n: np.ndarray) -> np.ndarray:
+    """Number of the last passage of texts of ``n`` words."""
+    return np.maximum(0, -(-(n - PASSAGE) // STEP))
+
+
+def passages_of(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(occurrence, passage) pairs for words at places ``at`` of texts of ``n`` words."""
+    last, high = last_passage(n), at // STEP
     one, two = np.minimum(high, last), high - 1
     where = np.arange(len(at))
     second = (two >= 0) & (two != one) & (two <= last)
@@ -81,40 +128,51 @@ def passages_of(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Space:
-    """Weighted words of passages, and with ``basis`` their latent vectors."""
-
-    def __init__(self, vocabulary: dict[bytes, int], idf: np.ndarray):
-        self.vocabulary, self.idf = vocabulary, idf
-
-    def rows(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row, word, value) of a batch's unit passage vectors, and each row's text and passage."""
-        docs, passages, ids = [], [], []
-        known = self.vocabulary
-        for k, ws in enumerate(texts):
-            at = [i for i, w in enumerate(ws) if w in known]
-            if at:
-                found = np.array([known[ws[i]] for i in at])
-                which, passage = passages_of(np.array(at), len(ws))
-                ids.append(found[which])
-                passages.append(passage)
-                docs.append(np.full(len(passage), k))
-        if not ids:
-            return (np.empty(0, np.int64),) * 2 + (np.empty(0),) + (np.empty(0, np.int64),) * 2
-        doc, passage, word = np.concatenate(docs), np.concatenate(passages), np.concatenate(ids)
-        v = len(self.idf)
-        key = (doc * (int(passage.max()) + 1) + passage) * v + word
+    """Weighted words of passages: ``idf`` by word number, 0 for words that don't count."""
+
+    def __init__(self, known: np.ndarray, idf: np.ndarray):
+        self.known, self.idf = known, np.append(idf, 0.0)
+        self.place = np.cumsum(self.idf > 0) - 1  # a word's place among those that count
+        self.size = int((self.idf > 0).sum())
+
+    def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's number (that of ``known``, else its length), and where each text's words begin."""
+        h, bounds = words(texts)
+        return numbered(h, self.known), bounds
+
+    def rows(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, word, value) of the unit passage vectors in order of row, and each row's text and passage."""
+        at = np.flatnonzero(self.idf[ids] > 0)
+        if not len(at):
+            return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.float32),) + (np.empty(0, np.int64),) * 2
+        doc = np.searchsorted(bounds, at, "right") - 1
+        which, passage = passages_of(at - bounds[doc], np.diff(bounds)[doc])
+        many = int(passage.max()) + 1
+        key = (doc[which] * many + passage) * self.size + self.place[ids[at[which]]]
         key, count = np.unique(key, return_counts=True)
-        place, word = key // v, key % v
-        rows, row = np.unique(place, return_inverse=True)
-        value = count * self.idf[word]
-        norm = np.sqrt(np.bincount(row, value**2, len(rows)))
-        return row, word, (value / norm[row]).astype(np.float32), rows // (int(passage.max()) + 1), rows % (int(passage.max()) + 1)
+        place, word = key // self.size, key % self.size
+        starts = _starts(place)
+        row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(place))))
+        value = count * self.idf[self.idf > 0][word]
+        norm = np.sqrt(np.add.reduceat(value**2, starts))
+        return row, word, (value / norm[row]).astype(np.float32), place[starts] // many, place[starts] % many
+
+
+def numbered(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Places of hashes among the sorted ``known`` ones; the number of those where there is none."""
+    if not len(known):
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[at] == h, at, len(known))
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
 
 
 def _times(row: np.ndarray, value: np.ndarray, right: np.ndarray, word: np.ndarray) -> np.ndarray:
     """X times ``right`` for the rows of X given by entries in order of row."""
-    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    return np.add.reduceat(right[word] * value[:, None], starts, axis=0)
+    return np.add.reduceat(right[word] * value[:, None], _starts(row), axis=0) if len(row) else np.empty((0, right.shape[1]), right.dtype)
 
 
 class Overlap:
@@ -125,95 +183,101 @@ class Overlap:
     to the subsequence itself.
     """
 
-    def __init__(self, items: list[list[bytes]], share: float):
-        self.place = {w: k for k, w in enumerate(sorted({w for ws in items for w in ws}))}
+    def __init__(self, items: list[np.ndarray], share: float, n_words: int):
+        self.sequences = Sequences(items, n_words)
         self.least = np.array([ceil(share * len(ws) - 1e-9) for ws in items])
-        self.different = np.maximum(1, self.least - np.array([len(ws) - len({*ws}) for ws in items]))
-        self.holds = np.zeros((len(items), len(self.place) + -len(self.place) % 64), bool)
+        self.different = np.maximum(1, self.least - np.array([len(ws) - len({*ws.tolist()}) for ws in items]))
+        own = np.unique(np.concatenate(items))
+        self.place = np.full(n_words + 1, len(own))
+        self.place[own] = np.arange(len(own))
+        self.holds = np.zeros((len(own) + 1, len(items)), np.float32)
         for i, ws in enumerate(items):
-            self.holds[i, [self.place[w] for w in ws]] = True
-        self.count, self.bits = self.holds.T.astype(np.float32), np.packbits(self.holds, axis=1).view(np.uint64)
-        region = PASSAGE + 2 * max(map(len, items))
+            self.holds[self.place[ws], i] = 1
+        region = PASSAGE + 2 * int(self.sequences.size.max())
         self.step = -(-max(PASSAGE, region // 2) // STEP) * STEP
         self.window = region + self.step
 
-    def candidates(self, texts: list[list[bytes]], items: list[list[bytes]]) -> Iterator[tuple[int, int, int]]:
-        """(text, item, passage) that can be accepted."""
-        known = self.place.get
-        ids = [np.array([known(w, -1) for w in ws], np.int64) for ws in texts]
-        there = np.zeros((len(texts), self.holds.shape[1]), np.float32)
-        for k, x in enumerate(ids):
-            there[k, x[x >= 0]] = 1
-        text, item = np.nonzero(there @ self.count >= self.different)
-        for k, t in enumerate(texts):
-            asked = item[text == k]
-            if not len(asked):
-                continue
-            last = max(0, -(-(len(t) - PASSAGE) // STEP))
-            at = np.flatnonzero(ids[k] >= 0)
-            starts = range(0, max(1, len(t) - self.window + self.step), self.step)  # the last one reaches the end
-            both = np.concatenate([self._shared(ids[k], at, starts[c : c + 256], asked) for c in range(0, len(starts), 256)])
-            passages: set[tuple[int, int]] = set()
-            for i, j in np.argwhere(both >= self.different[asked]).tolist():
-                q, start = int(asked[j]), starts[i]
-                want = items[q]
-                if common_subsequence(want, t[start : start + self.window]) >= self.least[q]:
-                    low = -(-(start + len(want)) // STEP) if start else 0
-                    high = last if start == starts[-1] else (start + self.window - PASSAGE - len(want)) // STEP
-                    passages.update((q, p) for p in range(low, min(high, last) + 1))
-            yield from ((k, q, p) for q, p in sorted(passages))
-
-    def _shared(self, ids: np.ndarray, at: np.ndarray, starts: range, asked: np.ndarray) -> np.ndarray:
-        """Different words of the ``asked`` items in the windows at ``starts``, window by item."""
-        seen = np.zeros((len(starts), self.holds.shape[1]), bool)
-        for i, start in enumerate(starts):
-            a, b = np.searchsorted(at, (start, start + self.window))
-            seen[i, ids[at[a:b]]] = True
-        return np.bitwise_count(np.packbits(seen, axis=1).view(np.uint64)[:, None] & self.bits[asked]).sum(axis=2, dtype=np.int64)
-
-
-def _counts(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, int]:
-    """In how many documents each word of the vocabulary occurs, and how many documents there are."""
+    def _shared(self, ids: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """How many different words of each item stand in each stretch of ``ids``."""
+        n = stop - start
+        at = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+        seen = np.zeros((len(start), len(self.holds)), np.float32)
+        seen[np.repeat(np.arange(len(start)), n), self.place[ids[at]]] = 1
+        return seen[:, :-1] @ self.holds[:-1]
+
+    def candidates(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """(text, item, passage) that can be accepted, as rows."""
+        first, n = bounds[:-1], np.diff(bounds)
+        out = [np.empty((0, 3), np.int64)]
+        block = max(1, (1 << 24) // len(self.holds))
+        for k in range(0, len(n), block):
+            asked = self._shared(ids, first[k : k + block], bounds[1:][k : k + block]) >= self.different
+            texts = np.flatnonzero(asked.any(axis=1))
+            windows = np.maximum(1, -(-(n[k + texts] - self.window) // self.step) + 1)  # the last one reaches the end
+            text = np.repeat(texts, windows)
+            place = (np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)) * self.step
+            for j in range(0, len(text), block):
+                t, start = text[j : j + block], place[j : j + block]
+                size = n[k + t]
+                begin = first[k + t] + start
+                stop = first[k + t] + np.minimum(size, start + self.window)
+                w, q = np.nonzero((self._shared(ids, begin, stop) >= self.different) & asked[t])
+                good = self.sequences.common(q, ids, begin[w], stop[w]) >= self.least[q]
+                w, q = w[good], q[good]
+                want, start, size, t = self.sequences.size[q], start[w], size[w], t[w]
+                last = last_passage(size)
+                low = np.where(start > 0, -(-(start + want) // STEP), 0)
+                high = np.where(start + self.window >= size, last, np.minimum(last, (start + self.window - PASSAGE - want) // STEP))
+                many = np.maximum(0, high - low + 1)
+                passage = np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)
+                out.append(np.stack([np.repeat(k + t, many), np.repeat(q, many), passage], axis=1))
+        return np.unique(np.concatenate(out), axis=0)
+
+
+def _counts(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many documents each known word occurs, and how many documents there are."""
+    space = Space(known, np.zeros(len(known)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(vocabulary) + 1, np.int64), 0
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                total[[vocabulary[w] for w in vocabulary.keys() & set(words(text))]] += 1
-            n += batch.num_rows
-        total[-1] = n
+        total = np.zeros(len(known) + 1, np.int64)
+        for part in (x for b in batches for x in slices(b)):
+            ids, bounds = space.numbers(part.column("text"))
+            at = np.flatnonzero(ids < len(known))
+            doc = np.searchsorted(bounds, at, "right") - 1
+            once = np.unique(doc * len(known) + ids[at])
+            total[:-1] += np.bincount(once % max(1, len(known)), minlength=len(known))
+            total[-1] += part.num_rows
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], names=["i", "n"])
 
-    out = np.zeros(len(vocabulary) + 1, np.int64)
+    out = np.zeros(len(known) + 1, np.int64)
     for r in docs.select("text").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
         out[r.i] = r.n
     return out[:-1], int(out[-1])
 
 
-def _sketch(docs: DataFrame, space: Space, test: np.ndarray) -> np.ndarray:
-    """X'(X test) over all passages of ``docs``."""
+def _sketch(docs: DataFrame, space: Space, test: np.ndarray) -> tuple[np.ndarray, float]:
+    """X'(X test) over all passages of ``docs``, and how many those are."""
     v, l = test.shape
     test = test.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((v, l))
+        total, n = np.zeros((v, l)), 0
         touched = np.zeros(v, bool)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                row, word, value, *_ = space.rows([words(t) for t in batch.column("text")[k : k + 500].to_pylist()])
-                if not len(row):
-                    continue
-                y = _times(row, value, test, word)
-                order = np.argsort(word, kind="stable")
-                w = word[order]
-                starts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-                total[w[starts]] += np.add.reduceat(y[row[order]] * value[order][:, None], starts, axis=0)
-                touched[w[starts]] = True
+        for part in (x for b in batches for x in slices(b)):
+            row, word, value, of, _ = space.rows(*space.numbers(part.column("text")))
+            if not len(row):
+                continue
+            y = _times(row, value, test, word)
+            order = np.argsort(word, kind="stable")
+            w = word[order]
+            starts = _starts(w)
+            total[w[starts]] += np.add.reduceat(y[row[order]] * value[order][:, None], starts, axis=0)
+            touched[w[starts]] = True
+            n += len(of)
         there = np.flatnonzero(touched)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(there, pa.int64()), pa.array([r.astype("<f4").tobytes() for r in total[there]], pa.binary())], names=["i", "sums"]
-        )
+        rows = [r.astype("<f4").tobytes() for r in total[there]] + [np.full(l, n, "<f4").tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([*there.tolist(), v], pa.int64()), pa.array(rows, pa.binary())], names=["i", "sums"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(l)
@@ -221,29 +285,29 @@ def _sketch(docs: DataFrame, space: Space, test: np.ndarray) -> np.ndarray:
             total += np.frombuffer(x, "<f4")
         return pd.DataFrame({"i": group["i"].iloc[:1], "sums": [total.tobytes()]})
 
-    out = np.zeros((v, l))
-    for r in docs.select("text").mapInArrow(run, "i long, sums binary").groupBy("i").applyInPandas(add, "i long, sums binary").collect():
+    out = np.zeros((v + 1, l))
+    for r in docs.select("text").mapInArrow(run, "i long, sums binary").groupBy("i").applyInPandas(add, "i long, sums binary").toLocalIterator():
         out[r.i] = np.frombuffer(r.sums)
-    return out
+    return out[:-1], float(out[-1, 0])
 
 
-def latent_basis(docs: DataFrame, space: Space, items: list[list[bytes]], rank: int, seed: int = 5) -> np.ndarray:
+def latent_basis(docs: DataFrame, space: Space, items: tuple, rank: int, seed: int = 5) -> np.ndarray:
     """Right singular vectors (words by at most ``rank``) of the corpus' and the items' passages.
 
     Nystrom form of the randomised SVD: one pass over the corpus. Its result on the driver is bounded
-    by the benchmark's words times ``rank``. Items are rows of X, weighted to be in the space for sure.
+    by the benchmark's words times ``rank``. Items are rows of X that weigh as much as the corpus together.
     """
-    v = len(space.idf)
+    v = space.size
     l = min(v, rank + 8)
     test = in_task(docs.sparkSession, lambda: np.linalg.qr(np.random.default_rng(seed).normal(size=(v, l)))[0])
-    y = _sketch(docs, space, test)
-    row, word, value, *_ = space.rows(items)
+    y, n = _sketch(docs, space, test)
+    row, word, value, of, _ = items
 
     def factors(y: np.ndarray, test: np.ndarray) -> np.ndarray:
         if len(row):
-            own = np.zeros((int(row.max()) + 1, v))
-            own[row, word] = value
-            y = y + max(1.0, 10 * np.abs(y).max()) * (own.T @ (own @ test))
+            own = np.zeros_like(y)
+            np.add.at(own, word, _times(row, value, test, word)[row] * value[:, None])
+            y = y + max(1.0, n / len(of)) * own
         y = y + np.finfo(float).eps * max(1.0, np.linalg.norm(y)) * 100 * test
         core = test.T @ y
         values, vectors = np.linalg.eigh((core + core.T) / 2)
@@ -263,100 +327,98 @@ def contaminated(
     are ignored. Words in more than ``most_common`` of the documents don't count towards ``cosine``
     (for an item that has no other words, all its words count). They count for the subsequence, and for
     the weight of the item's words that a passage holds, which is how rare they are among the items of
-    the whole benchmark. Null and empty texts hold and are
-    nothing; repeated rows of documents are reported once for each row; items with equal texts are
-    each reported. Empty tables give an empty result.
+    the whole benchmark. Null and empty texts hold and are nothing; repeated rows of documents are
+    reported once for each row; items with equal texts are each reported. Empty tables give an empty result.
 
-    The benchmark is the query set: it is read on the driver in blocks of BLOCK_ITEMS items, and each
-    block is one search over all documents, so what a task holds doesn't grow with the benchmark.
+    The benchmark is the query set, read on the driver; documents are read three times whatever its
+    size. Inside a task items go by in blocks of BLOCK_ITEMS; an item's result doesn't depend on its block.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, common int, n_item int, answered double, cosine double"
-    result = None
-    among, n_items = Counter(), 0
-    for r in benchmark.select("text").toLocalIterator():
-        among.update({*words(r.text)})
-        n_items += 1
-    block: list[tuple[int, str]] = []
-
-    def searched(block: list[tuple[int, str]]) -> DataFrame | None:
-        items = [(i, words(t), answer(t)) for i, t in block]
-        items = [x for x in items if x[1]]
-        names = sorted({w for _, ws, _ in items for w in ws})
-        if not names:
-            return None
-        df, n = _counts(docs, {w: k for k, w in enumerate(names)})
-        rare = {w for w, c in zip(names, df.tolist(), strict=True) if c <= max(most_common * n, 1)}
-        rare |= {w for _, ws, _ in items if not rare.intersection(ws) for w in ws}
-        place = {w: k for k, w in enumerate(w for w in names if w in rare)}
-        idf = np.log((1 + n) / (1 + np.array([c for w, c in zip(names, df, strict=True) if w in rare]))) + 1
-        space = Space(place, idf)
-        basis = latent_basis(docs, space, [x[1] for x in items], rank)
-        row, word, value, text, _ = space.rows([x[1] for x in items])
-        asked = _times(row, value, basis, word)
-        asked /= np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-12)
-        weight = {w: log((1 + n_items) / (1 + among[w])) for w in names}  # no group of copies in the documents can change it
-        overlap = Overlap([x[1] for x in items], min(rules.verbatim, rules.paraphrase))
-        shared = spark.sparkContext.broadcast((space, basis, asked, text, items, overlap, weight))  # bounded by BLOCK_ITEMS and rank
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            space, basis, asked, text, items, overlap, weight = shared.value
-            wants = [x[1] for x in items]
-            total = [sum(weight[w] for w in {*ws}) for ws in wants]
-            for batch in batches:
-                out: list[tuple] = []
-                ids = batch.column("doc_id").to_pylist()
-                for k in range(0, batch.num_rows, 500):
-                    texts = [words(t) for t in batch.column("text")[k : k + 500].to_pylist()]
-                    row, word, value, of, passage = space.rows(texts)
-                    cosines: dict[tuple[int, int, int], float] = dict.fromkeys(overlap.candidates(texts, wants), 0.0)
-                    if len(row):
-                        x = _times(row, value, basis, word)
-                        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                        near = x @ asked.T
-                        at = {(d, p): r for r, (d, p) in enumerate(zip(of.tolist(), passage.tolist(), strict=True))}
-                        asked_by: dict[int, list[int]] = defaultdict(list)
-                        for q, t in enumerate(text.tolist()):
-                            asked_by[t].append(q)
-                        for d, t, p in cosines:
-                            if (r := at.get((d, p))) is not None:
-                                cosines[d, t, p] = float(max((near[r, q] for q in asked_by[t]), default=0.0))
-                        for r, q in np.argwhere(near >= rules.cosine).tolist():
-                            key = (int(of[r]), int(text[q]), int(passage[r]))
-                            cosines[key] = max(cosines.get(key, 0.0), float(near[r, q]))
-                    best: dict[tuple[int, int], tuple] = {}
-                    for (d, t, p), cosine in cosines.items():
-                        _, want, answer_ = items[t]
-                        start = p * STEP
-                        region = texts[d][max(0, start - len(want)) : start + PASSAGE + len(want)]
-                        held = {*want}.intersection(region)
-                        if len(held) < overlap.different[t]:
-                            continue
-                        common = common_subsequence(want, region)
-                        if common < overlap.least[t]:
-                            continue
-                        told = common_subsequence(answer_, region) / len(answer_)
-                        near_enough = cosine >= rules.cosine or sum(weight[w] for w in held) >= rules.paraphrase * total[t] > 0
-                        paraphrased = near_enough and common >= rules.paraphrase * len(want) and told >= rules.answered
-                        if paraphrased or common >= rules.verbatim * len(want):
-                            found = (common, told, cosine)
-                            best[d, t] = max(best.get((d, t), found), found)
-                    out += [(ids[k + d], items[t][0], c, len(items[t][1]), told, cos) for (d, t), (c, told, cos) in best.items()]
-                columns = [*zip(*out, strict=True)] or [[]] * 6
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "common", "n_item", "answered", "cosine"])
-
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        return rows.mapInArrow(run, schema)
-
-    for r in benchmark.select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == BLOCK_ITEMS:
-            found, block = searched(block), []
-            result = found if result is None else result.union(found) if found is not None else result
-    found = searched(block) if block else None
-    result = found if result is None else result.union(found) if found is not None else result
-    return spark.createDataFrame([], schema) if result is None else result
+    rows = benchmark.select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator()
+    told = [(r[0], r[1], answer(r[1])) for r in rows]
+    h, bounds = words(pa.array([t for _, t, _ in told], pa.string()))
+    known = np.unique(h)
+    if not len(known):
+        return spark.createDataFrame([], schema)
+    ids = numbered(h, known)
+    items = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    h, bounds = words(pa.array([a for *_, a in told], pa.string()))
+    answers = [x for x in np.split(numbered(h, known), bounds[1:-1])]
+    filled = [k for k, x in enumerate(items) if len(x)]
+    names, items, answers = ([x[k] for k in filled] for x in ([t[0] for t in told], items, answers))
+    df, n = _counts(docs, known)
+    counts = df <= max(most_common * n, 1)
+    for x in items:
+        if not counts[x].any():
+            counts[x] = True
+    space = Space(known, np.where(counts, np.log((1 + n) / (1 + df)) + 1, 0.0))
+    of_items = space.rows(np.concatenate(items), np.cumsum([0, *map(len, items)]))
+    basis = latent_basis(docs, space, of_items, rank)
+    row, word, value, text, _ = of_items
+    asked = _times(row, value, basis, word)
+    asked /= np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-12)
+    among = Counter(w for x in items for w in {*x.tolist()})
+    weight = np.array([log((1 + len(told)) / (1 + among[w])) for w in range(len(known))] + [0.0])  # no copies in the documents change it
+    blocks = []
+    share = min(rules.verbatim, rules.paraphrase)
+    for k in range(0, len(items), BLOCK_ITEMS):
+        of = (text >= k) & (text < k + BLOCK_ITEMS)
+        own = items[k : k + BLOCK_ITEMS]
+        total = np.array([weight[np.unique(x)].sum() for x in own])
+        blocks.append((k, own, answers[k : k + BLOCK_ITEMS], asked[of], text[of] - k, total))
+    shared = spark.sparkContext.broadcast((space, basis, blocks, names, weight))  # bounded by the benchmark's words and rank
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space, basis, blocks, names, weight = shared.value
+        n_words = len(space.known)
+        tools = [(Overlap(own, share, n_words), Sequences(said, n_words)) for _, own, said, *_ in blocks]
+        for part in (x for b in batches for x in slices(b)):
+            ids, bounds = space.numbers(part.column("text"))
+            row, word, value, doc, passage = space.rows(ids, bounds)
+            x = _times(row, value, basis, word)
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            best: dict[tuple[int, int], tuple] = {}
+            for (first, own, said, asked, text, total), (overlap, ends) in zip(blocks, tools, strict=True):
+                for found in _hits(ids, bounds, x, doc, passage, own, said, asked, text, total, overlap, ends, weight, rules):
+                    key = (found[0], first + found[1])
+                    best[key] = max(best.get(key, found[2:]), found[2:])
+            column = part.column("doc_id").to_pylist()
+            out = [(column[d], names[q], c, n, told, cosine) for (d, q), (c, n, told, cosine) in best.items()]
+            columns = [*zip(*out, strict=True)] or [[]] * 6
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "common", "n_item", "answered", "cosine"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+def _hits(ids, bounds, x, doc, passage, own, said, asked, text, total, overlap, ends, weight, rules) -> Iterator[tuple]:
+    """(text, item, common, size, answered, cosine) of each passage of some texts that is accepted for one of ``own``."""
+    exact = overlap.candidates(ids, bounds)
+    pairs = [exact]
+    for k in range(0, len(x), 65_536):
+        r, q = np.nonzero(x[k : k + 65_536] @ asked.T >= rules.cosine)
+        pairs.append(np.stack([doc[k + r], text[q], passage[k + r]], axis=1))
+    d, t, p = np.unique(np.concatenate(pairs), axis=0).T
+    n, want = np.diff(bounds)[d], overlap.sequences.size[t]
+    start = bounds[d] + np.maximum(0, p * STEP - want)
+    stop = bounds[d] + np.minimum(n, p * STEP + PASSAGE + want)
+    common = overlap.sequences.common(t, ids, start, stop)
+    good = common >= overlap.least[t]
+    d, t, p, start, stop, common = (z[good] for z in (d, t, p, start, stop, common))
+    told = ends.common(t, ids, start, stop) / ends.size[t]
+    key = doc * (int(passage.max(initial=0)) + 1) + passage  # in order
+    many = int(passage.max(initial=0)) + 1
+    for k in range(len(d)):
+        size, cosine, mine = len(own[t[k]]), 0.0, int(d[k]) * many + int(p[k])
+        at = int(np.searchsorted(key, mine))
+        if p[k] < many and at < len(key) and key[at] == mine:
+            cosine = float((x[at] @ asked[text == t[k]].T).max(initial=0.0))
+        held = np.intersect1d(own[t[k]], ids[start[k] : stop[k]])
+        near_enough = cosine >= rules.cosine or weight[held].sum() >= rules.paraphrase * total[t[k]] > 0
+        paraphrased = near_enough and common[k] >= rules.paraphrase * size and told[k] >= rules.answered
+        if paraphrased or common[k] >= rules.verbatim * size:
+            yield int(d[k]), int(t[k]), int(common[k]), size, float(told[k]), cosine
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
