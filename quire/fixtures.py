@@ -83,12 +83,25 @@ def page_vectors(spark: SparkSession, sf_dir: str, per: int = 8) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four vectors in a row are the tokens of a query: the 20 first vectors."""
-    rows = table(spark, sf_dir, "embeddings").filter("vec_id < 20").select(F.floor(F.col("vec_id") / 4).alias("query_id"), "vec_id", "embedding")
+    """The stated query set: every vector whose id is divisible by 100 and the three behind it are a query's tokens."""
+    rows = table(spark, sf_dir, "embeddings").filter("vec_id % 100 < 4").select(F.floor(F.col("vec_id") / 100).alias("query_id"), "vec_id", "embedding")
     listed = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("p"))
     return listed.select("query_id", F.transform("p", lambda x: x.embedding).alias("tokens"))
 
 
+def grey_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as an image of 8 x 8 grey pixels."""
+    rows = table(spark, sf_dir, "embeddings").filter("size(embedding) = 64")
+    grey = F.transform("embedding", lambda v: F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), 250 + 100 * v.cast("double")))).cast("int"))
+    data = F.unhex(F.array_join(F.transform(grey, lambda g: F.lpad(F.hex(g), 2, "0")), ""))
+    return rows.select("vec_id", F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), data.alias("data")).alias("image"))
+
+
+IMAGES = """
+pixels AS (SELECT vec_id, (i - 1) % 8 AS px, (i - 1) // 8 AS py, floor(least(255.0::DOUBLE, greatest(0.0::DOUBLE, 250 + 100 * CAST(v AS DOUBLE)))) AS g
+  FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE len(embedding) = 64))"""
+
+
 def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
 
@@ -100,9 +113,12 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as state changes of runs, one run a user."""
+    return run_events_of(table(spark, sf_dir, "events"))
+
+
+def run_events_of(rows: DataFrame) -> DataFrame:
     state = {"signup": "queued", "view": "running", "click": "intake_complete", "purchase": "succeeded", "error": "failed"}
     names = F.create_map(*[F.lit(x) for pair in state.items() for x in pair])
-    rows = table(spark, sf_dir, "events")
     ms = F.create_map(F.lit("intake"), F.pmod(F.col("event_id"), F.lit(100)).cast("int"), F.lit("layout"), F.pmod(F.col("event_id"), F.lit(37)).cast("int"))
     return rows.select(
         (F.col("user_id") % 5).cast("string").alias("workspace_id"), F.col("user_id").cast("string").alias("parse_run_id"), F.col("event_id"),
@@ -123,7 +139,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         (d % 5).cast("string").alias("workspace_id"), d.cast("string").alias("document_id"), d.cast("string").alias("parse_run_id"),
         F.get(names, (d % 7 % 5).cast("int")).alias("status"), F.lit(None).cast("int").alias("page_count"),
-        F.create_map(F.lit("intake"), (d % 11).cast("int"), F.lit("verify"), (d % 13).cast("int")).alias("agent_timings_ms"), F.substring("text", 1, 6000).alias("error"),
+        F.create_map(F.lit("intake"), (d % 11).cast("int"), F.lit("verify"), (d % 13).cast("int")).alias("agent_timings_ms"), F.col("text").alias("error"),
     )
 
 

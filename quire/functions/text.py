@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Words that open a header region, marks of table and equation regions, labels that may follow a value.
+HEADER_STARTS = ("chapter", "section", "appendix")
+TABLE_MARKS = ("|", " total ", " amount ", " qty ", "table ")
+EQUATION_MARKS = ("=", "∑", "\\frac", " equation ")
+NEXT_LABEL = r"(?iu)\s+(?:invoice\s*(?:no|number)|total|date|vendor|amount\s*due|due\s*date)\s*[:#-]\s*"
+
 #: Unicode white space, for trims like Python's.
 SPACE = r"(?U)^\s+|\s+$"
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -71,12 +77,12 @@ def region_type(text: Column, average_size: Column, y: Column) -> Column:
     """Type of a region by the first rule that holds."""
     low = F.lower(text)
     has = lambda *marks: F.greatest(*[F.contains(low, F.lit(m)) for m in marks])
-    starts = F.greatest(*[F.startswith(low, F.lit(w)) for w in ("chapter", "section", "appendix")])
+    starts = F.greatest(*[F.startswith(low, F.lit(w)) for w in HEADER_STARTS])
     return (
         F.when(y > 0.92, "footer")
         .when((average_size >= 16) | starts, "header")
-        .when(has("|", " total ", " amount ", " qty ", "table "), "table")
-        .when(has("=", "∑", "\\frac", " equation "), "equation")
+        .when(has(*TABLE_MARKS), "table")
+        .when(has(*EQUATION_MARKS), "equation")
         .otherwise("paragraph")
     )
 
@@ -115,10 +121,8 @@ def terms(text: Column, stop: list[str], most_chars: int = 2048) -> Column:
     """Words of two letters or more and pairs of neighbours, lower case, without stop words."""
     words = F.regexp_extract_all(F.lower(F.substring(text, 1, most_chars)), F.lit(TOKEN), F.lit(0))
     kept = F.filter(words, lambda w: ~w.isin(stop))
-    pairs = F.when(
-        F.size(kept) > 1,
-        F.transform(F.sequence(F.lit(1), F.size(kept) - 1), lambda i: F.concat_ws(" ", F.get(kept, i - 1), F.get(kept, i))),
-    ).otherwise(F.array().cast("array<string>"))
+    n = F.greatest(F.size(kept) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(kept, 1, n), F.slice(kept, 2, n), lambda a, b: F.concat_ws(" ", a, b))
     return F.concat(kept, pairs)
 
 
@@ -134,8 +138,7 @@ def token_overlap(alias: Column, text_tokens: Column) -> Column:
 
 def trimmed_label(value: Column) -> Column:
     """A value cut before a following label such as ``Date:`` or ``Total #``."""
-    label = r"(?iu)\s+(?:invoice\s*(?:no|number)|total|date|vendor|amount\s*due|due\s*date)\s*[:#-]\s*"
-    at = F.regexp_instr(value, F.lit(label))
+    at = F.regexp_instr(value, F.lit(NEXT_LABEL))
     return F.when(at > 0, stripped(F.substring(value, F.lit(1), at - 1))).otherwise(value)
 
 

@@ -81,6 +81,17 @@ def missing(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFram
     return expected.join(actual.select(*keys).distinct(), keys, "left_anti")
 
 
+def summary(table_scores: DataFrame, ndcgs: DataFrame, scored: DataFrame) -> DataFrame:
+    """(metric, value) of an evaluation run: mean table score, mean nDCG at 5, expected calibration error."""
+    row = lambda rows, name, value: rows.select(F.lit(name).alias("metric"), value.alias("value"))
+    mean = lambda rows, c: rows.agg(F.coalesce(F.avg(c), F.lit(0.0)).alias("v"))
+    return (
+        row(mean(table_scores, "score"), "table_teds", F.col("v"))
+        .unionByName(row(mean(ndcgs, "ndcg"), "retrieval_ndcg_at_5", F.col("v")))
+        .unionByName(row(calibration_error(scored), "confidence_ece", F.col("ece")))
+    )
+
+
 def ndcg(hits: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, ndcg): 1 / log2(rank + 1) of the expected point within the first ``k`` hits, else 0."""
     found = hits.filter(F.col("rank") <= k).join(expected, ["query_id", "point_id"]).groupBy("query_id").agg(F.min("rank").alias("rank"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes, text
+from .sizes import broadcast_if_small
 
 FIELD = "struct<type:string,pattern:string,aliases:array<string>,title:string,description:string,minimum:double,maximum:double>"
 
@@ -39,7 +40,7 @@ def candidates(blocks: DataFrame, fields: DataFrame) -> DataFrame:
     partial results are combined before the shuffle. Blocks need schema_id, page, ord, block_id, text.
     """
     b = blocks.select("parse_run_id", "schema_id", "page", "ord", "block_id", "text", "bbox", "confidence", text.token_set(F.coalesce("text", F.lit(""))).alias("tokens"))
-    pair = b.join(fields, "schema_id")
+    pair = b.join(broadcast_if_small(fields), "schema_id")
     overlap = F.coalesce(F.array_max(F.transform("aliases", lambda a: text.token_overlap(a, F.col("tokens")))), F.lit(0.0))
     score = F.greatest(overlap, F.when(_found(F.col("pattern"), F.col("text")), 1.0).otherwise(0.0))
     first = F.struct((-F.col("page")).alias("p"), (-F.col("ord")).alias("o"))
@@ -49,13 +50,18 @@ def candidates(blocks: DataFrame, fields: DataFrame) -> DataFrame:
     return pair.groupBy("parse_run_id", "field_name").agg(best.alias("block"), *[F.any_value(c).alias(c) for c in keep])
 
 
+# A group in a pattern, and what follows an alias up to the next label or end.
+_GROUP = r"(?<!\\)\((?!\?)"
+_AFTER_ALIAS = r"\s*[:#-]?\s*(.+?)(?=\s+[A-Z][A-Za-z ]{1,30}\s*[:#-]|\n|;|\||$)"
+
+
 def value_text(raw: Column, aliases: Column, pattern: Column) -> Column:
     """Pattern's first group or match; else what follows an alias; else the whole text."""
     folded = F.concat(F.lit("(?iu)"), pattern)
-    grouped = pattern.rlike(r"(?<!\\)\((?!\?)")
+    grouped = pattern.rlike(_GROUP)
     by_pattern = F.when(_found(pattern, raw), F.call_function("regexp_extract", raw, folded, F.when(grouped, 1).otherwise(0)))
     escaped = lambda a: F.regexp_replace(F.regexp_replace(a, r"([\\.\[\]{}()*+?^$|#&~\-])", r"\\$1"), " ", r"\\s+")
-    rule = lambda a: F.concat(F.lit("(?iu)"), escaped(a), F.lit(r"\s*[:#-]?\s*(.+?)(?=\s+[A-Z][A-Za-z ]{1,30}\s*[:#-]|\n|;|\||$)"))
+    rule = lambda a: F.concat(F.lit("(?iu)"), escaped(a), F.lit(_AFTER_ALIAS))
     got = F.transform(aliases, lambda a: F.when(F.call_function("regexp_like", raw, rule(a)), F.call_function("regexp_extract", raw, rule(a), F.lit(1))))
     by_alias = text.trimmed_label(text.stripped(F.get(F.array_compact(got), F.lit(0))))
     return F.coalesce(by_pattern, by_alias, text.stripped(raw), F.lit(""))
@@ -94,8 +100,12 @@ def raw_confidence(fit: Column, grounding: Column, parser: Column, agreement: Co
     return 1 / (1 + F.exp(-z))
 
 
-def extract(blocks: DataFrame, fields: DataFrame) -> DataFrame:
-    """One row per run and field: value, typed value, validators, raw confidence and citation."""
+def extract(blocks: DataFrame, fields: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """One row per run and field: value, typed value, validators, raw confidence and citation.
+
+    With ``runs`` (parse_run_id, schema_id) the runs among them that have no blocks have rows too: the
+    empty value of the field's type, a failed ``required``, no confidence and no citation.
+    """
     rows = candidates(blocks, fields)
     rows = rows.withColumn("raw_text", F.coalesce("block.text", F.lit("")))
     rows = rows.withColumn("value", value_text(F.col("raw_text"), F.col("aliases"), F.col("pattern")))
@@ -107,9 +117,19 @@ def extract(blocks: DataFrame, fields: DataFrame) -> DataFrame:
     parser = F.coalesce("block.confidence.calibrated", F.lit(0.65))
     raw = raw_confidence(fit, ground, parser, F.lit(0.75), F.when(F.col("value") != "", 0.0).otherwise(0.25))
     cited = F.struct(F.col("block.page").alias("page"), F.col("raw_text").alias("matching_text"), F.array(F.coalesce("block.bbox", boxes.FULL_PAGE())).alias("bboxes"))
-    return rows.select(
+    found = rows.select(
         "parse_run_id", "field_name", "value", "typed", "validators", raw.alias("raw_confidence"), F.array(cited).alias("citations"), F.col("block.block_id").alias("block_id")
     )
+    if runs is None:
+        return found
+    bare = runs.select("parse_run_id", "schema_id").join(blocks.select("parse_run_id").distinct(), "parse_run_id", "left_anti")
+    bare = bare.join(broadcast_if_small(fields), "schema_id").withColumn("value", F.lit(""))
+    missed = F.array(F.struct(F.lit("required").alias("name"), F.lit("fail").alias("status")))
+    empty = bare.select(
+        "parse_run_id", "field_name", "value", coerced(F.col("value"), F.col("type")).alias("typed"), missed.alias("validators"), F.lit(0.0).alias("raw_confidence"),
+        F.array().cast(found.schema["citations"].dataType).alias("citations"), F.lit(None).cast("string").alias("block_id"),
+    )
+    return found.unionByName(empty)
 
 
 def without_citations(metadata: DataFrame) -> DataFrame:
@@ -145,19 +165,13 @@ def structured_prompt(blocks: DataFrame, schema_line: str) -> DataFrame:
 
 # What the two region prompts say around the anchors.
 _REGION = "Native PDF text in this region:\n"
-_COPY = (
-    "Transcribe the complete content of this document region accurately. "
-    "Preserve table structure, mathematical notation, and reading order."
-)
-_STRUCTURE = (
-    "Extract the complete structured content. For tables, output valid HTML table. "
-    "For formulas, output LaTeX. Preserve all values exactly."
-)
+_COPY = "Transcribe the complete content of this document region accurately. Preserve table structure, mathematical notation, and reading order."
+_STRUCTURE = "Extract the complete structured content. For tables, output valid HTML table. For formulas, output LaTeX. Preserve all values exactly."
 
 
 def region_prompts(regions: DataFrame) -> DataFrame:
     """Batch prompts of the regions that go to a model: anchors of their spans and an instruction by route."""
-    lines = F.array_join(F.transform(F.filter("spans", lambda s: ~text.is_blank(s.text)), lambda s: F.concat(F.lit("Native text: '"), F.replace(s.text, F.lit("'"), F.lit("\\'")), F.lit("'"))), "\n")
+    lines = F.array_join(F.transform(F.filter("spans", lambda s: ~text.is_blank(s.text)), lambda s: text.anchor(s.text, s.bbox)), "\n")
     head = F.concat(F.lit(_REGION), lines, F.lit("\n\n"))
     structure = F.concat(head, F.lit("Region type: "), F.col("type"), F.lit("\n" + _STRUCTURE))
     prompt = F.when(F.col("route") == "mineru", structure).otherwise(F.concat(F.lit("<image>\n"), head, F.lit(_COPY)))

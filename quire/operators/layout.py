@@ -36,7 +36,7 @@ def group_spans(spans: DataFrame, gap_y: float = 0.035, gap_x: float = 0.08) ->
 
 def regions(grouped: DataFrame, source_type: str = "native") -> DataFrame:
     """One row per region of ``group_spans``: box, text, size, type, route, confidence, block_id."""
-    lines = F.array_sort(F.collect_list(F.struct(F.col("bbox.y").alias("y"), F.col("bbox.x").alias("x"), "ord", "text")))
+    lines = F.array_sort(F.collect_list(F.struct(F.col("bbox.y").alias("y"), F.col("bbox.x").alias("x"), "ord", "text", "bbox")))
     b = F.col("bbox")
     out = grouped.groupBy(*RUN, "page", "region").agg(
         F.min(b.x).alias("x1"), F.min(b.y).alias("y1"), F.max(b.x + b.w).alias("x2"), F.max(b.y + b.h).alias("y2"),
@@ -53,7 +53,7 @@ def regions(grouped: DataFrame, source_type: str = "native") -> DataFrame:
     return out.select(
         *RUN, "page", F.col("region").alias("ord"), block_id.alias("block_id"), "type", "bbox", "text", "average_size",
         "n_spans", route.alias("route"), layout_confidence(F.col("n_spans"), F.col("has_text") == 1).alias("layout_confidence"),
-        F.array_sort(F.transform("lines", lambda s: F.struct(s.y, s.x, s.ord, s.text))).alias("spans"),
+        F.array_sort(F.transform("lines", lambda s: F.struct(s.y, s.x, s.ord, s.text, s.bbox))).alias("spans"),
     )
 
 

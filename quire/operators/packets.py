@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from .folds import fold
+from .sizes import broadcast_if_small
 
 KEY = ["parse_run_id"]
 PAGE = ["parse_run_id", "page"]
@@ -133,6 +134,18 @@ def empty_run_segments(runs: DataFrame, pages: DataFrame) -> DataFrame:
     return rest.selectExpr("parse_run_id", "0 as start_page", "0 as end_page", "1 as page_count", "'document' as label", "0.5D as confidence", "'no parse blocks' as evidence", "1.0D as share")
 
 
+#: Categories of a taxonomy at most: they are a parameter and are read on the driver.
+MOST_CATEGORIES = 1_000
+
+
+def categories_of(rows: DataFrame) -> list[tuple[str, str]]:
+    """(label, description) of a table of categories (ord, label, description), in order."""
+    found = taxonomy(rows).orderBy("ord").limit(MOST_CATEGORIES + 1).collect()
+    if len(found) > MOST_CATEGORIES:
+        raise ValueError(f"a taxonomy has {MOST_CATEGORIES} categories at most")
+    return [(r.label, r.description) for r in found]
+
+
 def taxonomy(rows: DataFrame) -> DataFrame:
     """(ord, label, description): blank labels go, a missing description is the label."""
     label = text.stripped(F.col("label"))
@@ -191,7 +204,7 @@ def decide(scores: DataFrame, threshold: float) -> DataFrame:
 def dense_scores(pages: DataFrame, categories: DataFrame) -> DataFrame:
     """Scores from unit vectors of pages and of the categories (ord, label) of each page's taxonomy_id."""
     cats = categories.select("taxonomy_id", "ord", "label", F.col("embedding").alias("c"))
-    return pages.join(cats, "taxonomy_id").select(*PAGE, "ord", "label", dot(F.col("embedding"), F.col("c")).alias("score"))
+    return pages.join(broadcast_if_small(cats), "taxonomy_id").select(*PAGE, "ord", "label", dot(F.col("embedding"), F.col("c")).alias("score"))
 
 
 def run_level(decided: DataFrame) -> DataFrame:

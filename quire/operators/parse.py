@@ -57,7 +57,7 @@ def ocr_regions(lines: DataFrame) -> DataFrame:
     )
     rows = lines.withColumn("b", b).groupBy("parse_run_id", "block_id").agg(
         F.array_sort(F.collect_list(F.struct("ord", "text", F.round("confidence", 4).alias("confidence"), "b"))).alias("words"),
-        F.round(F.avg("confidence"), 4).alias("confidence"),
+        F.round(F.avg(F.col("confidence").cast("decimal(18,10)")), 4).cast("double").alias("confidence"),  # decimals: the same in any order
     )
     body = text.stripped(F.array_join(F.transform("words", lambda w: w.text), " "))
     rows = rows.withColumn("text", body).filter("text <> ''")
@@ -116,6 +116,16 @@ def citation_rows(blocks: DataFrame) -> DataFrame:
     return rows.select("workspace_id", "parse_run_id", "block_id", F.lit(None).cast("string").alias("field_name"), "c.*")
 
 
+def all_citations(blocks: DataFrame, fields: DataFrame) -> DataFrame:
+    """Block citations and those of ``fields`` (workspace_id, parse_run_id, field_name, block_id, citations) in one table.
+
+    Private fields (``_``) are left out; fields without citations give no row.
+    """
+    public = fields.filter(~F.startswith("field_name", F.lit("_")))
+    rows = public.select("workspace_id", "parse_run_id", "block_id", "field_name", F.explode("citations").alias("c"))
+    return citation_rows(blocks).unionByName(rows.select("workspace_id", "parse_run_id", "block_id", "field_name", "c.*"))
+
+
 def source_block(citations: DataFrame, blocks: DataFrame) -> DataFrame:
     """Each citation (parse_run_id, citation_id, page, bbox) with the block of its page that it overlaps most.
 

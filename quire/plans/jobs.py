@@ -26,12 +26,16 @@ def split_packets(blocks: DataFrame, split_under: float = 0.35, heading_under: f
     return packets.segments(pages, like, starts).unionByName(packets.empty_run_segments(blocks, pages))
 
 
-def classify_pages(blocks: DataFrame, categories: list[tuple[str, str]], threshold: float = 0.25, stop: list[str] = text.STOP_WORDS) -> DataFrame:
-    pages = packets.page_text(blocks, "\n")
-    return packets.decide(packets.lexical_scores(pages, categories, stop), min(threshold, 0.15))
+def category_scores(blocks: DataFrame, categories: DataFrame, stop: list[str] = text.STOP_WORDS) -> DataFrame:
+    """Score of every page for every category of a table (ord, label, description)."""
+    return packets.lexical_scores(packets.page_text(blocks, "\n"), packets.categories_of(categories), stop)
 
 
-def extract_fields(blocks: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(fields, fields to reject for want of a citation)."""
-    found = extraction.extract(blocks, fields)
+def classify_pages(blocks: DataFrame, categories: DataFrame, threshold: float = 0.25, stop: list[str] = text.STOP_WORDS) -> DataFrame:
+    return packets.decide(category_scores(blocks, categories, stop), min(threshold, 0.15))
+
+
+def extract_fields(blocks: DataFrame, fields: DataFrame, runs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(fields, fields to reject for want of a citation); ``runs`` without blocks have only the latter."""
+    found = extraction.extract(blocks, fields, runs)
     return found, extraction.without_citations(found)

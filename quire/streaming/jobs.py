@@ -12,14 +12,14 @@ from ..operators import runs
 from ..sources import storage
 
 
-def incremental(stream: DataFrame, job: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str) -> StreamingQuery:
-    """Run ``job`` on each micro-batch of documents and upsert its rows at ``path`` by ``key``.
+def incremental(stream: DataFrame, job: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str, order: str | None = None) -> StreamingQuery:
+    """Run ``job`` on each micro-batch of documents and upsert its rows into the collection at ``path`` by ``key``.
 
     A document never spans batches, so no state is kept; replays of a batch write the same rows.
     """
 
     def each(batch: DataFrame, _: int) -> None:
-        storage.upsert_collection(batch.sparkSession, job(batch), path, key)
+        storage.upsert_collection(batch.sparkSession, job(batch), path, key, order)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -198,7 +198,7 @@ def test_split_and_classify(spark):
     assert jobs.split_packets(packet(spark, pages), min_pages=9).count() == 1
     assert jobs.split_packets(packet(spark, [(2, "", "one page")])).first().confidence == 0.8
     assert jobs.split_packets(packet(spark, [(2, "", "  ")])).first().evidence == "no parse blocks"
-    cats = [("invoice", "bill amount due payment"), ("contract", "agreement party")]
+    cats = spark.createDataFrame([(0, "invoice", "bill amount due payment"), (1, "  ", "blank"), (2, "contract", "agreement party")], "ord int, label string, description string")
     done = {r.page: r for r in jobs.classify_pages(packet(spark, [*pages, (7, "", "qqq www")]), cats).collect()}
     assert done[0].label == "invoice" and done[0].confidence > 0.25 and done[3].label == "contract" and done[7].label == "uncertain"
     assert packets.run_level(jobs.classify_pages(packet(spark, pages), cats)).first().page_labels[0] == "invoice"
@@ -209,7 +209,11 @@ def test_markup_and_images(spark):
     want = "<p>Intro &amp; co</p>\n<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>&lt;2&gt;</td></tr></table>\n<p>end</p>\n<table><tr><th>solo</th></tr></table>"
     assert one(spark, markup.markdown_to_html(F.lit(md))) == want
     assert one(spark, markup.html_text(F.lit("<p> a  b</p><script>x</script>"), ("script",))) == "a b"
-    assert markup.visible_text("<br>") == "" and markup.visible_text(None) is None
+    assert one(spark, markup.html_text(F.lit("<br>"))) == "" and one(spark, markup.html_text(F.lit(None).cast("string"))) is None
+    raw = '<!-- c > d --><p title="a>b">x &lt; &amp;amp; y</p>a < b<br/>\xa0c<script>var t = "</p>";</script>d'
+    assert one(spark, markup.html_text(F.lit(raw))) == 'x < &amp; y a < b c var t = "</p>"; d'
+    assert one(spark, markup.html_text(F.lit(raw), ("script", "style"))) == "x < &amp; y a < b c d"
+    assert one(spark, markup.html_text(F.lit("<script>x</script>"), ("script",))) == "x"
     assert one(spark, markup.one_row_table(F.lit("  "))) == "<table></table>"
     rng = np.random.default_rng(1)
     a = rng.integers(0, 255, (20, 30, 3)).astype(float)
@@ -238,13 +242,42 @@ def test_streams_equal_batches(spark, tmp_path):
     for _ in range(2):
         source = streams.document_stream(spark, f"{tmp_path}/in", df.schema, 1)
         streams.incremental(source, job, f"{tmp_path}/out", f"{tmp_path}/ck", "doc_id").awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(tuple, job(df).collect()))
+    assert sorted(map(tuple, storage.read_collection(spark, f"{tmp_path}/out").collect())) == sorted(map(tuple, job(df).collect()))
     events = spark.createDataFrame([("r", "succeeded", 1, 1), ("r", "running", 2, 2), ("q", "queued", 1, 3)], "parse_run_id string, state string, ts int, event_id int")
     assert {r.parse_run_id: r.state for r in runs.latest_state(events).collect()} == {"r": "succeeded", "q": "queued"}
     good, bad = streams.with_dead_letters(df, F.when(F.col("doc_id") == 3, F.repeat(F.lit("x"), F.lit(5000))))
     assert good.count() == 19 and len(bad.first().error) == 4000
 
 
+def test_collections(spark, tmp_path):
+    path, points = str(tmp_path / "c"), lambda rows: spark.createDataFrame(rows, "point_id long, v string, at int")
+    state = lambda: {r.point_id: r.v for r in storage.read_collection(spark, path).collect()}
+    with pytest.raises(FileNotFoundError):
+        storage.read_collection(spark, path)
+    storage.upsert_collection(spark, points([(1, "a", 1), (2, "b", 1), (2, "c", 3), (2, "d", 2)]), path, order="at")
+    assert state() == {1: "a", 2: "c"}
+    storage.upsert_collection(spark, points([(2, "e", 1), (3, "f", 1)]), path, order="at")
+    storage.upsert_collection(spark, points([]), path)
+    assert state() == {1: "a", 2: "e", 3: "f"}
+    points([(9, "lost", 0)]).withColumn("__bucket", F.lit(0)).write.partitionBy("__bucket").parquet(f"{path}/v=000000099")
+    (tmp_path / "c" / "v=000000099" / "_SUCCESS").unlink()  # a writer that crashed
+    assert state() == {1: "a", 2: "e", 3: "f"}
+    storage.rebuild_collection(points([(7, "g", 1)]), path)
+    assert state() == {7: "g"}
+
+
+def test_rows_of_runs_without_blocks(spark):
+    fields = extraction.schema_fields(spark.createDataFrame([(0, '{"properties": {"n": {"type": "number"}, "_l": {"type": "array"}, "b": {"type": "boolean"}, "s": {"type": "string"}}}')], "schema_id int, json_schema string"))
+    box = "struct<x:double,y:double,w:double,h:double,coord_space:string>"
+    blocks = spark.createDataFrame([("r1", 0, 0, 0, "b", "n: 3", None, None)], f"parse_run_id string, schema_id int, page int, ord int, block_id string, text string, bbox {box}, confidence struct<raw:double,calibrated:double>")
+    runs_ = spark.createDataFrame([("r1", 0), ("r2", 0)], "parse_run_id string, schema_id int")
+    found, rejected = jobs.extract_fields(blocks, fields, runs_)
+    empty = {r.field_name: r for r in found.filter("parse_run_id = 'r2'").collect()}
+    assert (empty["n"].typed.number, empty["b"].typed.boolean, empty["_l"].typed.array, empty["s"].typed.string) == (0.0, False, [], "")
+    assert all(r.citations == [] and r.raw_confidence == 0.0 and r.validators[0].status == "fail" for r in empty.values()) and len(empty) == 4
+    assert sorted(r.field_name for r in rejected.collect()) == ["b", "n", "s"]
+
+
 def test_storage(spark, tmp_path):
     lines = spark.createDataFrame([('stage=a event=b c run=7 error={"k": 1, "x": 2}',)], "line string")
     got = storage.parsed_log(lines).first()
