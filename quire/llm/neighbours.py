@@ -2,12 +2,15 @@
 
 Equal vectors are one node, so a vector that a third of all rows hold is one node with many rows.
 The graph starts from random directions (nodes that share their nearest direction, in groups of
-bounded size) and gets better by local joins: the neighbours of a node, in both directions, are
-compared with each other in blocks, and what improves a node's list is merged into it.
+bounded size) and gets better by local joins: nodes that have a neighbour in common meet there, in
+blocks of bounded size, and what improves a node's list is merged into it, until little changes. A
+query starts at its own place; all queries go one step of the greedy search at once, in joins of
+ids, and only vectors of nodes that a query hasn't seen are sent.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, scratch
 
-#: Most members of a block that is compared all with all.
-BLOCK = 512
-HUB = 96
+#: Most members of a block that is compared all with all: of a direction, and of a common neighbour.
+BLOCK, HUB = 512, 128
+#: Larger tables of nodes that very many others have as a neighbour are joined instead of broadcast.
+BROADCAST_HUBS = 500_000
+_LISTS = "node long, ids array<long>, ds array<float>"
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -37,8 +42,12 @@ def usable(rows: DataFrame) -> DataFrame:
     return kept.filter(F.size("v") == (length.d if length else 0))
 
 
-def _binary(column: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<f4").reshape(len(column), -1)
+def _binary(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(len(column), -1)
+
+
+def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind))
 
 
 def _packed(nodes: DataFrame) -> DataFrame:
@@ -53,17 +62,16 @@ def _packed(nodes: DataFrame) -> DataFrame:
 
 
 def _compare(groups: DataFrame, keep: int) -> DataFrame:
-    """(a, b, d): of each member of ``groups`` (array of node, v, worst) the ``keep`` best under its worst."""
+    """Of each member of ``groups`` (array of node, v, worst) the ``keep`` best in its group under its worst, as lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, d = [], [], []
+            out = []
             column = batch.column("members")
             flat = column.flatten()
-            ids, worst = flat.field("node").to_numpy(), flat.field("worst").to_numpy()
-            vectors = flat.field("v").to_pylist()
+            node, worst, vectors = flat.field("node").to_numpy(), flat.field("worst").to_numpy(), flat.field("v")
             ends = np.cumsum([0, *column.value_lengths().to_pylist()])
-            for i, j in zip(ends[:-1], ends[1:], strict=True):
+            for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 if j - i < 2:
                     continue
                 x = _binary(vectors[i:j])
@@ -73,20 +81,55 @@ def _compare(groups: DataFrame, keep: int) -> DataFrame:
                 k = min(keep, j - i - 1)
                 best = np.argpartition(dist, k - 1, axis=1)[:, :k]
                 got = np.take_along_axis(dist, best, 1)
-                r, c = np.nonzero(got < worst[i:j, None])
-                a.append(ids[i:j][r])
-                b.append(ids[i:j][best[r, c]])
-                d.append(got[r, c])
-            out = [np.concatenate(z) if z else np.empty(0, t) for z, t in ((a, np.int64), (b, np.int64), (d, np.float32))]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float32())], names=["a", "b", "d"])
+                good = got < worst[i:j, None]
+                some = good.any(axis=1)
+                out.append((node[i:j][some], node[i:j][best[good]], got[good], good.sum(axis=1)[some]))
+            a, b, d, n = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.empty(0, t) for t in (np.int64, np.int64, np.float32, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), _lists(b, n, pa.int64()), _lists(d, n, pa.float32())], names=["node", "ids", "ds"])
+
+    return groups.select("members").mapInArrow(run, _LISTS)
 
-    return groups.select("members").mapInArrow(run, "a long, b long, d float")
 
+def _best(rows: DataFrame, k: int) -> DataFrame:
+    """(node, v, ids, ds, changed): the ``k`` nearest in all lists of a node; ``changed`` are those not in its own one.
+
+    ``rows`` has (node, v, ids, ds), v only in the node's own row.
+    """
 
-def _top(edges: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("a").orderBy("d", "b")
-    best = edges.groupBy("a", "b").agg(F.min("d").alias("d"))
-    return best.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= k).drop("i")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, own = batch.column("ids"), batch.column("own")
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            ids, d = lists.flatten().to_numpy(), batch.column("ds").flatten().to_numpy()
+            order = np.lexsort((d, ids, row))
+            order = order[_firsts(row[order], ids[order])]
+            order = order[np.lexsort((ids[order], d[order], row[order]))]
+            row, ids, d = row[order], ids[order], d[order]
+            begin = np.searchsorted(row, np.arange(batch.num_rows))
+            top = np.arange(len(row)) - begin[row] < k
+            row, ids, d = row[top], ids[top], d[top]
+            n = np.bincount(row, minlength=batch.num_rows)
+            before = [set(x) for x in own.to_pylist()]
+            changed = [sum(i not in before[r] for i in x) for r, x in enumerate(map(np.ndarray.tolist, np.split(ids, np.cumsum(n)[:-1])))] if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), batch.column("v"), _lists(ids, n, pa.int64()), _lists(d, n, pa.float32()), pa.array(changed, pa.int32())],
+                names=["node", "v", "ids", "ds", "changed"],
+            )
+
+    own = F.first(F.when(F.col("v").isNotNull(), F.col("ids")), ignorenulls=True)
+    merged = rows.groupBy("node").agg(
+        F.first("v", ignorenulls=True).alias("v"), F.flatten(F.collect_list("ids")).alias("ids"), F.flatten(F.collect_list("ds")).alias("ds"), own.alias("own")
+    )
+    return merged.mapInArrow(run, "node long, v binary, ids array<long>, ds array<float>, changed int")
+
+
+def _firsts(row: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return np.concatenate([[True], (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])])[: len(row)]
+
+
+def _alone(nodes: DataFrame) -> DataFrame:
+    """Each of ``nodes`` (node, v) with empty lists."""
+    return nodes.select("node", "v", F.array().cast("array<long>").alias("ids"), F.array().cast("array<float>").alias("ds"))
 
 
 def _starts(nodes: DataFrame, n: int, tables: int, k: int, seed: int) -> DataFrame:
@@ -97,73 +140,113 @@ def _starts(nodes: DataFrame, n: int, tables: int, k: int, seed: int) -> DataFra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = batch.column("v").to_pylist()
-            x, cell = _binary(v), []
+            x, cell = _binary(batch.column("v")), []
             for t in range(tables):
                 rays = np.random.default_rng(seed + t).normal(size=(directions, x.shape[1])).astype(np.float32)
                 rays /= np.linalg.norm(rays, axis=1, keepdims=True)
                 cell.append(np.argmax(x @ rays.T, axis=1) + t * directions)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("v"), pa.array([*np.stack(cell, 1).astype(np.int32)], pa.list_(pa.int32()))], names=["node", "v", "cell"])
+            cells = pa.array([*np.stack(cell, 1).astype(np.int32)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("v"), cells], names=["node", "v", "cell"])
+
+    rows = cut(nodes.mapInArrow(cells, "node long, v binary, cell array<int>")).select("node", "v", F.explode("cell").alias("cell"))
+    sizes = F.broadcast(rows.groupBy("cell").agg(F.count("*").alias("n")))  # tables * directions rows at most
+    part = F.pmod(F.xxhash64("node", "cell"), F.ceil(F.col("n") / (BLOCK / 2)))
+    groups = rows.join(sizes, "cell").groupBy("cell", part.alias("part"))
+    groups = groups.agg(F.collect_list(F.struct("node", "v", F.lit(float("inf")).cast("float").alias("worst"))).alias("members"))
+    return _best(_alone(nodes).unionByName(_compare(groups, k), allowMissingColumns=True), k)
 
-    rows = nodes.mapInArrow(cells, "node long, v binary, cell array<int>").select("node", "v", F.explode("cell").alias("cell"))
-    sizes = rows.groupBy("cell").agg(F.count("*").alias("n"))
-    rows = rows.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("node", "cell"), F.ceil(F.col("n") / (BLOCK / 2))))
-    groups = rows.groupBy("cell", "part").agg(F.collect_list(F.struct("node", "v", F.lit(float("inf")).cast("float").alias("worst"))).alias("members"))
-    return _top(_compare(groups, k), k)
 
+def graph(nodes: DataFrame, k: int = 32, rounds: int = 8, tables: int = 3, settled: float = 0.03, seed: int = 11) -> DataFrame:
+    """(node, v, ids, ds, changed): the ``k`` nearest found of each of ``nodes`` (node, v as bytes), nearest first.
 
-def graph(nodes: DataFrame, k: int = 32, rounds: int = 5, tables: int = 3, seed: int = 11) -> DataFrame:
-    """(a, b, d): the ``k`` nearest found of each of ``nodes`` (node, v as bytes)."""
-    knn = cut(_starts(nodes, nodes.count(), tables, k, seed))
+    Rounds end when less than ``settled`` of all entries change, or after ``rounds`` of them. A round
+    sends every node with its vector to its neighbours, and what they find back: two exchanges, and a
+    small one that counts how many come to a node.
+    """
+    n = nodes.count()
+    knn = cut(_starts(nodes, n, tables, k, seed))
     for _ in range(rounds):
-        links = knn.select(F.col("a").alias("pivot"), F.col("b").alias("node")).union(knn.select("b", "a")).distinct()
-        worst = knn.groupBy("a").agg(F.when(F.count("*") < k, F.lit(float("inf"))).otherwise(F.max("d")).cast("float").alias("worst"))
-        info = nodes.join(worst.withColumnRenamed("a", "node"), "node", "left").fillna(float("inf"), ["worst"])
-        degree = links.groupBy("pivot").agg(F.count("*").alias("n"))
-        part = F.pmod(F.xxhash64("node", "pivot"), F.ceil(F.col("n") / HUB))
-        rows = links.join(degree, "pivot").select("pivot", "node", part.alias("part")).join(info, "node")
-        groups = rows.groupBy("pivot", "part").agg(F.collect_list(F.struct("node", "v", "worst")).alias("members"))
-        knn = cut(_top(knn.union(_compare(groups, 16)), k))
+        worst = F.when(F.size("ids") < k, F.lit(float("inf"))).otherwise(F.array_max("ds")).cast("float")
+        sent = knn.select(F.explode(F.concat("ids", F.array("node"))).alias("pivot"), "node", "v", worst.alias("worst"))
+        hubs = cut(sent.groupBy("pivot").agg(F.count("*").alias("n")).filter(F.col("n") > HUB))
+        small = hubs.count() <= BROADCAST_HUBS
+        sent = sent.join(F.broadcast(hubs) if small else hubs, "pivot", "left")
+        part = F.pmod(F.xxhash64("node", "pivot"), F.ceil(F.coalesce("n", F.lit(1)) / HUB))
+        groups = sent.groupBy("pivot", part.alias("part")).agg(F.collect_list(F.struct("node", "v", "worst")).alias("members"))
+        knn = cut(_best(knn.drop("changed").unionByName(_compare(groups, 16), allowMissingColumns=True), k))
+        if (knn.agg(F.sum("changed")).first()[0] or 0) <= settled * n * k:
+            break
     return knn
 
 
-def _distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(q, node, d) of (q, node) rows; both are nodes."""
+def _distances(pairs: DataFrame) -> DataFrame:
+    """(q, node, d) of rows (q, qv, node, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = np.empty(0, np.float32)
-            if batch.num_rows:
-                d = np.linalg.norm(_binary(batch.column("qv").to_pylist()) - _binary(batch.column("v").to_pylist()), axis=1)
+            d = np.linalg.norm(_binary(batch.column("qv")) - _binary(batch.column("v")), axis=1) if batch.num_rows else np.empty(0, np.float32)
             yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("node"), pa.array(d, pa.float32())], names=["q", "node", "d"])
 
-    rows = pairs.join(nodes, "node").join(nodes.select(F.col("node").alias("q"), F.col("v").alias("qv")), "q")
-    return rows.mapInArrow(run, "q long, node long, d float")
+    return pairs.select("q", "qv", "node", "v").mapInArrow(run, "q long, node long, d float")
 
 
-def search(nodes: DataFrame, knn: DataFrame, queries: DataFrame, width: int = 192, most_rounds: int = 6) -> DataFrame:
-    """(q, node, d): the ``width`` nearest nodes that a greedy search from each query node finds.
+_SEEN = "q long, qv binary, ids array<long>, ds array<float>, opened array<long>, front array<long>"
+
+
+def _advance(rows: DataFrame, width: int) -> DataFrame:
+    """Searches (q, qv, ids, ds, opened) with the nodes to open next: those among the ``width`` nearest that aren't open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            opened, front = [], []
+            for ids, ds, done in zip(*(batch.column(c).to_pylist() for c in ("ids", "ds", "opened")), strict=True):
+                near = [i for _, i in sorted(zip(ds, ids, strict=True))[:width]]
+                new = [i for i in near if i not in {*done}]
+                front.append(new)
+                opened.append(done + new)
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (opened, front)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("q", "qv", "ids", "ds")), *lists], names=["q", "qv", "ids", "ds", "opened", "front"])
+
+    return rows.select("q", "qv", "ids", "ds", "opened").mapInArrow(run, _SEEN)
+
+
+def search(knn: DataFrame, queries: DataFrame, width: int = 96, most_rounds: int = 64) -> DataFrame:
+    """(q, node): the ``width`` nearest nodes that a greedy search from each query node finds.
 
     A query (q, a node of the graph) starts at its own place. Each round opens, for all queries at
-    once, the nodes among its ``width`` nearest that aren't open yet, until none is left.
+    once, the nodes among its ``width`` nearest that aren't open yet, until none is left. The graph is
+    a table in buckets of nodes, so rounds send queries to it and don't move it.
     """
-    links = cut(knn.select(F.col("a").alias("node"), F.col("b").alias("to")).union(knn.select("b", "a")).distinct())
-    order = Window.partitionBy("q").orderBy("d", "node")
-    seen = cut(queries.select("q", F.col("q").alias("node"), F.lit(0.0).cast("float").alias("d"), F.lit(False).alias("open")))
+    spark = knn.sparkSession
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"neighbours_{uuid.uuid4().hex}"
+    kept = knn.select("node", "v", "ids").repartition(buckets, "node")
+    kept.write.bucketBy(buckets, "node").sortBy("node").option("path", scratch(spark, "graph")).saveAsTable(name)
+    table = spark.table(name)
+    start = knn.join(queries.select(F.col("q").alias("node")), "node")
+    own = lambda kind, value: F.array(F.lit(value).cast(kind))
+    start = start.select(
+        F.col("node").alias("q"), F.col("v").alias("qv"), F.concat(F.array("node"), "ids").alias("ids"),
+        F.concat(own("float", 0.0), "ds").alias("ds"), F.array("node").alias("opened"),
+    )
+    seen = cut(_advance(start, width))
     for _ in range(most_rounds):
-        ranked = seen.withColumn("i", F.row_number().over(order)).withColumn("now", (F.col("i") <= width) & ~F.col("open"))
-        ranked = cut(ranked.drop("i"))
-        front = ranked.filter("now").select("q", "node")
-        if front.isEmpty():
+        front = seen.select("q", F.explode("front").alias("node"))
+        if not front.agg(F.count("*")).first()[0]:
             break
-        new = front.join(links, "node").select("q", F.col("to").alias("node")).distinct()
-        new = new.join(seen.select("q", "node"), ["q", "node"], "left_anti")
-        opened = ranked.select("q", "node", "d", (F.col("open") | F.col("now")).alias("open"))
-        seen = cut(opened.union(_distances(new, nodes).withColumn("open", F.lit(False))))
-    return seen.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= width).select("q", "node", "d")
-
-
-def nearest(rows: DataFrame, top: int = 10, every: int = 100, k: int = 32, rounds: int = 5, width: int = 192) -> DataFrame:
+        reach = front.join(table.select("node", "ids"), "node").groupBy("q").agg(F.flatten(F.collect_list("ids")).alias("reach"))
+        fresh = seen.join(reach, "q").select("q", "qv", F.explode(F.array_except("reach", "ids")).alias("node"))
+        met = _distances(fresh.join(table.select("node", "v"), "node")).groupBy("q").agg(F.collect_list("node").alias("new"), F.collect_list("d").alias("far"))
+        both = lambda old, new, kind: F.concat(old, F.coalesce(new, F.array().cast(f"array<{kind}>"))).alias(old)
+        seen = seen.join(met, "q", "left").select("q", "qv", both("ids", "new", "long"), both("ds", "far", "float"), "opened")
+        seen = cut(_advance(seen, width))
+    else:
+        raise RuntimeError(f"searches did not end in {most_rounds} rounds")
+    spark.sql(f"DROP TABLE {name}")
+    near = F.slice(F.array_sort(F.arrays_zip("ds", "ids")), 1, width)
+    return seen.select("q", F.explode(near).alias("x")).select("q", F.col("x.ids").alias("node"))
+
+
+def nearest(rows: DataFrame, top: int = 10, every: int = 100, k: int = 32, rounds: int = 8, width: int = 96) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` nearest found of each query.
 
     Queries are the rows of ``rows`` (vec_id, embedding) whose vec_id is divisible by ``every``; all
@@ -175,11 +258,10 @@ def nearest(rows: DataFrame, top: int = 10, every: int = 100, k: int = 32, round
     """
     good = usable(rows)
     nodes = cut(good.groupBy("v").agg(F.min("vec_id").alias("least")).select(F.xxhash64("v").alias("node"), "v"))
-    packed = cut(_packed(nodes))
     ids = good.select(F.xxhash64("v").alias("node"), "vec_id").distinct()
-    knn = graph(packed, max(k, top + 1), rounds)
+    knn = graph(cut(_packed(nodes)), max(k, top + 1), rounds)
     asked = cut(ids.filter(F.pmod("vec_id", F.lit(every)) == 0))
-    found = search(packed, knn, asked.select(F.col("node").alias("q")).distinct(), max(width, 2 * top))
+    found = search(knn, asked.select(F.col("node").alias("q")).distinct(), max(width, 2 * top))
     first = ids.withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).filter(F.col("i") <= top + 1)
     first = first.select("node", "vec_id")
     original = nodes.select("node", "v")
