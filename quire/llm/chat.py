@@ -148,7 +148,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = loss_chars = chars = 0
     for batch in batches:
         out = []
-        for conv, segment, start in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment", "loss_start")), strict=True):
+        columns = (batch.column(c).to_pylist() for c in ("conv_id", "segment", "loss_start", "loss_chars"))
+        for conv, segment, start, masked in zip(*columns, strict=True):
             if conv != now or turns is None:
                 if turns is not None:
                     out.append((now, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
@@ -156,10 +157,11 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 turns, loss = hashlib.sha256(), hashlib.sha256()
             for role, text, _, _ in parse(segment):
                 turns.update(f"{role}\n{text}\n".encode())
-                if start is not None:
-                    loss.update(text.encode())
-                    loss_chars += len(text)
                 n += 1
+            if start is not None:  # the mask is a stretch of the conversation's text, of which ``chars`` came before
+                text = unescape(segment[start - chars : start - chars + masked])
+                loss.update(text.encode())
+                loss_chars += len(text)
             chars += len(segment)
         yield _batch(out, _DIGEST_TYPES)
     if turns is not None:
@@ -167,7 +169,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(segments: DataFrame) -> DataFrame:
-    """Digests of each conversation as parsed from the rendered ``segments``.
+    """Digests of each conversation as parsed from the rendered ``segments``, the loss as its mask cuts it out.
 
     The rows of ``format_conversations`` can be given as they come. Rows read from storage are first
     put in order again by ``in_order``.
