@@ -44,9 +44,39 @@ SENTENCES = {
     "cc-by-nc-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
     "unlicense": "This is free and unencumbered software released into the public domain",
     "reserved": "All rights reserved",
+    "apache-title": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    "apache-grant": "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form",
+    "apache-patent": "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable (except as stated in this section) patent license to make, have made, use, offer to sell, sell, import, and otherwise transfer the Work, where such license applies only to those patent claims licensable by such Contributor that are necessarily infringed by their Contribution(s) alone or by combination of their Contribution(s) with the Work to which such Contribution(s) was submitted",
+    "gpl-title-3": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gpl-title-2": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "lgpl-title-3": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "lgpl-title-21": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "agpl-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "gnu-verbatim": "Everyone is permitted to copy and distribute verbatim copies",
+    "lgpl-terms-21": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+    "agpl-terms": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "mpl-title": "Mozilla Public License Version 2.0",
+    "mpl-grant": "Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license",
+    "epl-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "boost-title": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "boost-notice": "Distributed under the Boost Software License, Version 1.0",
+    "boost-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following",
+    "zlib-asis": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "isc-asis": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS',
+    "cc-by-sa-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "spdx-mit": "SPDX-License-Identifier: MIT",
     "spdx-apache": "SPDX-License-Identifier: Apache-2.0",
     "spdx-gpl": "SPDX-License-Identifier: GPL-3.0-only",
+    "spdx-gpl-2": "SPDX-License-Identifier: GPL-2.0-only",
+    "spdx-lgpl-21": "SPDX-License-Identifier: LGPL-2.1-only",
+    "spdx-agpl": "SPDX-License-Identifier: AGPL-3.0-only",
+    "spdx-bsd-2": "SPDX-License-Identifier: BSD-2-Clause",
+    "spdx-epl": "SPDX-License-Identifier: EPL-2.0",
+    "spdx-boost": "SPDX-License-Identifier: BSL-1.0",
+    "spdx-zlib": "SPDX-License-Identifier: Zlib",
+    "spdx-cc0": "SPDX-License-Identifier: CC0-1.0",
     "spdx-bsd": "SPDX-License-Identifier: BSD-3-Clause",
     "spdx-isc": "SPDX-License-Identifier: ISC",
     "spdx-mpl": "SPDX-License-Identifier: MPL-2.0",
@@ -55,6 +85,7 @@ SENTENCES = {
 RULES = [
     ("Apache-2.0", ("apache-notice",)),
     ("Apache-2.0", ("apache-header", "apache-use")),
+    ("Apache-2.0", ("apache-title", "apache-grant", "apache-patent")),
     ("Apache-2.0", ("spdx-apache",)),
     ("MIT", ("mit-notice",)),
     ("MIT", ("mit-notice-2",)),
@@ -64,20 +95,41 @@ RULES = [
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD-3-Clause", ("spdx-bsd",)),
     ("BSD", ("bsd-notice",)),
+    ("BSD-2-Clause", ("spdx-bsd-2",)),
     ("ISC", ("isc-grant",)),
     ("ISC", ("spdx-isc",)),
     ("GPL-3.0", ("gpl-notice",)),
     ("GPL-3.0", ("gpl-notice-2",)),
     ("GPL-3.0", ("gpl-terms-3",)),
     ("GPL-2.0", ("gpl-terms-2",)),
+    ("GPL-3.0", ("gpl-title-3", "gnu-verbatim")),
     ("GPL-3.0", ("spdx-gpl",)),
+    ("GPL-2.0", ("gpl-title-2", "gnu-verbatim")),
+    ("GPL-2.0", ("spdx-gpl-2",)),
+    ("LGPL-3.0", ("lgpl-title-3", "gnu-verbatim")),
+    ("LGPL-2.1", ("lgpl-title-21", "gnu-verbatim")),
+    ("LGPL-2.1", ("lgpl-terms-21", "lgpl-hope")),
+    ("LGPL-2.1", ("spdx-lgpl-21",)),
+    ("AGPL-3.0", ("agpl-title", "gnu-verbatim")),
+    ("AGPL-3.0", ("agpl-terms", "gpl-hope")),
+    ("AGPL-3.0", ("spdx-agpl",)),
     ("MPL-2.0", ("mpl-notice",)),
+    ("MPL-2.0", ("mpl-title", "mpl-grant")),
     ("MPL-2.0", ("spdx-mpl",)),
+    ("EPL-2.0", ("epl-notice",)),
+    ("EPL-2.0", ("spdx-epl",)),
+    ("BSL-1.0", ("boost-title", "boost-grant")),
+    ("BSL-1.0", ("boost-notice",)),
+    ("BSL-1.0", ("spdx-boost",)),
+    ("Zlib", ("zlib-asis", "zlib-grant")),
+    ("Zlib", ("spdx-zlib",)),
+    ("CC0-1.0", ("spdx-cc0",)),
     ("CC-BY-4.0", ("cc-by-notice",)),
     ("CC-BY-4.0", ("cc-by-work",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-notice",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-work",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-notice",)),
+    ("CC-BY-SA-4.0", ("cc-by-sa-work",)),
     ("Unlicense", ("unlicense",)),
     ("Proprietary", ("reserved",)),
 ]
