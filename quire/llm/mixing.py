@@ -1,12 +1,18 @@
-"""Mixing sources to target weights by entropy balancing, with DataFrame functions only."""
+"""Mixing sources to target weights by entropy balancing, with DataFrame functions only.
+
+Document rates are exponentially tilted by size, the tilts come from distributed Newton iterations on
+the convex dual, and rates are rounded into copies.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -16,18 +22,13 @@ def source_targets(
     max_copies: int = 3,
     budget: float | None = None,
 ) -> DataFrame:
-    """One row per source: size, target words and rate.
+    """One row per source: size, target words, number of documents.
 
     ``sizes`` has ``source`` and ``size``. Sources ordered by code point, null last, take the
     ``weights`` in turn and share ``budget`` words (all words by default); a target stops at
     ``max_copies`` times its source's size and the excess is shared again by weight. That fixed
     point is "level times weight, at most the cap"; the level comes from running sums over the
     sources ordered by cap over weight.
-
-    The rate solves the entropy-balancing dual: minimise, over tokens, the divergence of the
-    document rates from 1 subject to each source's token total. Its solution tilts every document
-    by ``exp(dual of its source)``. The dual's gradient and curvature are token sums, gathered in
-    one distributed aggregation; Newton's steps run for all sources at once on those sums.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -50,13 +51,47 @@ def source_targets(
     target = F.least(cap.cast("double"), F.when(cap > 0, F.col("level") * F.col("w")).otherwise(0.0))
     per = per.withColumn("target", target)
 
-    def newton(dual: Column, _: Column) -> Column:
-        tilted = F.col("source_size") * F.exp(dual)  # gradient is tilted - target, curvature is tilted
-        return dual - (tilted - F.col("target")) / tilted
+    return per.select("source", "source_size", "n", "target")
+
 
-    dual = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.lit(0.0), newton)
-    rate = F.when(F.col("target") > 0, F.round(F.least(F.exp(dual), F.lit(float(max_copies))), 9)).otherwise(0.0)
-    return per.select("source", "source_size", "n", "target", rate.alias("rate"))
+def balanced(sizes: DataFrame, targets: DataFrame, max_copies: int = 3, tolerance: float = 1e-7, most_rounds: int = 60) -> DataFrame:
+    """``targets`` with ``tilt``: a document of ``size`` words has the rate ``least(exp(tilt * size), max_copies)``.
+
+    Entropy balancing: of all rates between 0 and ``max_copies`` whose words add up to each source's
+    target, those nearest to 1 in the sum of ``r ln r - r + 1`` over documents. The convex dual has one
+    unknown a source, its tilt; gradient (words taken less the target) and curvature are sums over
+    documents, taken from the table of distinct sizes. Each round is one distributed aggregation for
+    all sources: a Newton step where it stays in the interval that holds the solution, else its middle.
+    Rounds end when every source is within ``tolerance`` of its target. A source at its cap or
+    without words has no tilt (null).
+    """
+    hist = sizes.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("c"))
+    hist = cut(hist.select(F.col("source").alias("s"), "size", "c"))
+    smallest = hist.groupBy("s").agg(F.min("size").alias("least"))
+    cap = F.col("source_size") * max_copies
+    open_ = targets.filter((F.col("target") > 0) & (F.col("target") < cap * (1 - 1e-12)))
+    open_ = open_.join(smallest, F.col("source").eqNullSafe(F.col("s"))).withColumn("edge", F.log(F.col("target") / F.col("source_size")) / F.col("least"))
+    state = open_.select(
+        F.col("source").alias("of"), "target", F.least("edge", F.lit(0.0)).alias("lo"), F.greatest("edge", F.lit(0.0)).alias("hi"),
+        (F.log(F.col("target") / F.col("source_size")) / (F.col("source_size") / F.col("n"))).alias("tilt"), F.lit(1.0).alias("gap"),
+    )
+    state = cut(state)
+    for _ in range(most_rounds):
+        rate = F.exp(F.col("tilt") * F.col("size"))
+        words = F.col("c") * F.col("size") * F.least(rate, F.lit(float(max_copies)))
+        bend = F.when(rate < max_copies, F.col("c") * F.col("size") * F.col("size") * rate).otherwise(0.0)
+        sums = hist.join(state, F.col("s").eqNullSafe(F.col("of"))).groupBy("of", "target", "lo", "hi", "tilt").agg(F.sum(words).alias("words"), F.sum(bend).alias("bend"))
+        over = F.col("words") > F.col("target")
+        sums = sums.withColumn("lo", F.when(over, F.col("lo")).otherwise(F.col("tilt"))).withColumn("hi", F.when(over, F.col("tilt")).otherwise(F.col("hi")))
+        step = F.col("tilt") - F.try_divide(F.col("words") - F.col("target"), F.col("bend"))
+        inside = (step >= F.col("lo")) & (step <= F.col("hi"))
+        gap = F.abs(F.col("words") / F.col("target") - 1)
+        tilt = F.when(gap <= tolerance, F.col("tilt")).when(F.coalesce(inside, F.lit(False)), step).otherwise((F.col("lo") + F.col("hi")) / 2)
+        state = cut(sums.select("of", "target", "lo", "hi", tilt.alias("tilt"), gap.alias("gap")))
+        if (state.agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
+            break
+    found = state.select("of", "tilt")
+    return targets.join(found, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
 
 
 def mix(
@@ -71,10 +106,10 @@ def mix(
 
     ``docs`` needs doc_id, text and source; other columns pass through, and a column called
     ``mix`` is replaced. A document's size is its number of words, 0 for null or empty texts; a
-    null source is a source of its own. Rates become copies chunk by chunk: a source's rows are
-    dealt by a hash of doc_id into chunks of about ``chunk_rows`` rows, so a source that holds a
-    third of all rows is many tasks. In a chunk, by falling size, every 1/fraction-th document
-    gets the copy more. What the chunk still has too few or too many goes to the largest documents
+    null source is a source of its own. ``balanced`` gives the documents' rates. They become copies chunk
+    by chunk: a source's rows are dealt by a hash of doc_id and text into chunks of about ``chunk_rows``
+    rows, so a source that holds a third of all rows is many tasks. In a chunk, by falling size,
+    fractions add up, and where the sum passes a whole number the document gets the copy more. What the chunk still has too few or too many goes to the largest documents
     that fit: in ``fill_rounds`` rounds by one copy up or down to the rate's whole neighbours, then in
     as many between 0 and ``max_copies``; each round at least halves the rest. No sampling and no
     random numbers: reruns agree. Repeated rows are rows like any other. An empty table gives an
@@ -83,11 +118,13 @@ def mix(
     kept = [c for c in docs.columns if c != "mix"]
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("source"), size.alias("size"))
-    per = source_targets(rows, weights, max_copies, budget).withColumnRenamed("source", "per_source")
+    per = balanced(rows, cut(source_targets(rows, weights, max_copies, budget)), max_copies).withColumnRenamed("source", "per_source")
     rows = rows.join(per, F.col("source").eqNullSafe(F.col("per_source")), "left")
-    turn = F.xxhash64(F.col("row.doc_id"), F.col("size"))
+    turn = F.xxhash64(F.col("row.doc_id"), F.col("row.text"))
+    tilted = F.round(F.least(F.exp(F.col("tilt") * F.col("size")), F.lit(float(max_copies))), 9)
+    rate = F.when(F.col("target") <= 0, 0.0).when(F.col("tilt").isNull(), float(max_copies)).otherwise(tilted)
     rows = rows.select(
-        "row", "source", "size", "source_size", "target", "rate", turn.alias("turn"),
+        "row", "source", "size", "source_size", "target", rate.alias("rate"), turn.alias("turn"),
         F.pmod(turn, F.greatest(F.lit(1), F.ceil(F.col("n") / chunk_rows))).alias("chunk"),
     )
     order = Window.partitionBy("source", "chunk").orderBy(F.col("size").desc(), "turn", "row.doc_id")
@@ -95,14 +132,15 @@ def mix(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
     base = F.floor("rate")
-    rows = rows.withColumn("base", base).withColumn("part", F.col("rate") - base).withColumn("i", F.row_number().over(order))
-    share = lambda i, shift: F.floor(F.col("part") * i + 1e-6 + shift)
-    every = lambda shift: (share(F.col("i"), shift) - share(F.col("i") - 1, shift)).cast("int")
-    missing = lambda more: F.col("part") * F.sum("size").over(whole) - F.sum(more * F.col("size")).over(whole)
-    rows = rows.withColumn("rest_0", missing(every(0.0))).withColumn("rest_1", missing(every(0.5)))
+    rows = rows.withColumn("base", base).withColumn("part", F.col("rate") - base).withColumn("added", F.round(F.sum("part").over(upto), 6))
+    before = F.coalesce(F.lag("added").over(order), F.lit(0.0))
+    every = lambda shift: (F.floor(F.col("added") + shift) - F.floor(before + shift)).cast("int")
+    missing = lambda more: F.sum(F.col("part") * F.col("size")).over(whole) - F.sum(more * F.col("size")).over(whole)
+    rows = rows.withColumn("more_0", every(0.0)).withColumn("more_1", every(0.5))
+    rows = rows.withColumn("rest_0", missing(F.col("more_0"))).withColumn("rest_1", missing(F.col("more_1")))
     later = F.abs(F.col("rest_1")) < F.abs(F.col("rest_0"))
-    rows = rows.withColumn("more", F.when(later, every(0.5)).otherwise(every(0.0)))
-    rows = rows.withColumn("rest", F.when(later, F.col("rest_1")).otherwise(F.col("rest_0"))).drop("rest_0", "rest_1")
+    rows = rows.withColumn("more", F.when(later, F.col("more_1")).otherwise(F.col("more_0")))
+    rows = rows.withColumn("rest", F.when(later, F.col("rest_1")).otherwise(F.col("rest_0"))).drop("rest_0", "rest_1", "more_0", "more_1")
     for k in range(2 * fill_rounds):
         high, low = (F.lit(1), F.lit(0)) if k < fill_rounds else (max_copies - F.col("base"), -F.col("base"))
         gap = F.abs(F.col("rest")) + 0.5
