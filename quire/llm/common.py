@@ -53,6 +53,22 @@ def deleted(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """Scratch tables of one job, deleted together."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        df, path = written(df, name)
+        self.paths.append(path)
+        return df
+
+    def drop(self) -> None:
+        deleted(self.spark, *self.paths)
+        self.paths = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -256,42 +272,53 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def linked(listed: DataFrame, left: DataFrame, right: DataFrame, possible, confirmed, dense=None, hot: int = 64) -> DataFrame:
+#: Larger tables of components are joined instead of broadcast.
+BROADCAST_PARTS = 1_000_000
+
+
+def listed_members(listed: DataFrame) -> DataFrame:
+    """(v, node, first, often) for rows (v, node): lists of two members or more, with their smallest member and size."""
+    lists = listed.groupBy("v").agg(F.min("node").alias("first"), F.count("*").alias("often")).filter("often > 1")
+    return listed.join(lists, "v")
+
+
+def linked(members: DataFrame, left: DataFrame, right: DataFrame, possible, confirmed, dense=None, hot: int = 64) -> DataFrame:
     """Components (id, component) of the links among nodes that meet in a list.
 
-    ``listed`` has (v, node): node is in list v. ``left`` and ``right`` have (a, ...) and (b, ...): what
-    the column ``possible`` looks at; ``confirmed`` keeps the true links of (a, b) rows. Every list
-    first links its members to its smallest one, a number of rows in proportion to the lists. Only
-    members that are then outside that one's component meet the rest of the list, again only in rows
-    that ``possible`` lets out. With ``dense``, lists of more than ``hot`` members never become pairs:
-    nodes that such lists connect are a group, and ``dense`` finds the links between the components
-    of a group, given (node, part, grp), part being the component so far.
+    ``members`` has (v, node, first): node is in list v, whose smallest member is first (and with ``dense``
+    the list's size ``often``). ``left`` and ``right`` have (a, ...) and (b, ...): what the column
+    ``possible`` looks at; ``confirmed`` keeps the true links of (a, b) rows. Every list first links
+    its members to its smallest one, a number of rows in proportion to the lists. Only members that are
+    then outside that one's component meet the rest of the list, again only in rows that ``possible``
+    lets out. With ``dense``, lists of more than ``hot`` members never become pairs: nodes that such
+    lists connect are a group, and ``dense`` finds the links between the components of a group, given
+    (node, part, grp), part being the component so far.
     """
-    lists = listed.groupBy("v").agg(F.min("node").alias("first"), F.count("*").alias("often")).filter("often > 1")
-    members = cut(listed.join(lists, "v"))
+    scratch = Scratch(members.sparkSession)
+    members = scratch.keep(members, "list-members")
     stars = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    stars = cut(stars.join(right, "b").join(left, "a").filter(possible).select("a", "b"))
-    links = cut(confirmed(stars))
-    found = connected(links)
-    part = found.withColumnRenamed("id", "node")
-    placed = members.join(part, "node", "left").select("v", "node", "first", "often", F.coalesce("component", "node").alias("part"))
-    heads = found.select(F.col("id").alias("first"), F.col("component").alias("head"))
-    placed = placed.join(heads, "first", "left").select("v", "node", "first", "often", "part", F.coalesce("head", "first").alias("head"))
-    placed = cut(placed)
+    stars = scratch.keep(stars.join(right, "b").join(left, "a").filter(possible).select("a", "b"), "list-stars")
+    found = connected(confirmed(stars))
+    part = F.broadcast(found) if found.count() <= BROADCAST_PARTS else found
+    placed = members.join(part.select(F.col("id").alias("node"), F.col("component").alias("part")), "node", "left")
+    placed = placed.join(part.select(F.col("id").alias("first"), F.col("component").alias("head")), "first", "left")
+    placed = placed.withColumn("part", F.coalesce("part", "node")).withColumn("head", F.coalesce("head", "first"))
     small = placed.filter(F.col("often") <= hot) if dense else placed
-    outside = small.filter("part <> head")
+    outside = scratch.keep(small.filter("part <> head").select("v", "node", "part"), "list-outside")
     held = small.join(outside.select("v").distinct(), "v", "left_semi")
     one = outside.select("v", F.col("node").alias("a"), F.col("part").alias("part_a")).join(left, "a")
     two = held.select("v", F.col("node").alias("b"), F.col("part").alias("part_b"), F.expr("part <> head").alias("out")).join(right, "b")
     apart = (F.col("part_a") != F.col("part_b")) & (~F.col("out") | (F.col("a") < F.col("b")))
-    rest = cut(one.join(two, "v").filter(apart & possible).select("a", "b").distinct())
+    rest = scratch.keep(one.join(two, "v").filter(apart & possible).select("a", "b").distinct(), "list-rest")
     more = [] if rest.isEmpty() else [confirmed(rest)]
     large = placed.filter(F.col("often") > hot) if dense else None
     if dense and not large.isEmpty():
         groups = connected(large.select(F.col("first").alias("a"), F.col("node").alias("b")))
         own = large.select("node", "part").distinct().join(groups.withColumnRenamed("id", "node"), "node", "left")
-        more.append(dense(cut(own.select("node", "part", F.coalesce("component", "node").alias("grp")))))
+        more.append(dense(scratch.keep(own.select("node", "part", F.coalesce("component", "node").alias("grp")), "list-groups")))
     stars = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
     for found_more in more:
         stars = stars.union(found_more)
-    return connected(stars) if more else found
+    whole = connected(stars) if more else found
+    scratch.drop()
+    return whole

@@ -20,15 +20,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, deleted, finish, folded, linked, run_hashes, signed, slices, word_hashes, written
+from .common import Scratch, finish, folded, linked, run_hashes, signed, slices, word_hashes, written
 
 _SIGNS = bytes(c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _FOLD = folded(_SIGNS)
-#: Most bits in which the SimHashes of two lines of edit similarity 0.9 differ; unrelated ones differ in 32 on average.
-BITS = 30
-#: Up to so many words a line has so many shares and meets others by so many blocks at once; from 25 words on
-#: it has 8 shares, and twice as many for each doubling, and meets others by one block.
+#: Most bits in which the SimHashes of two lines that are compared differ, and of two of LONG characters or more, of which
+#: the same share of edits leaves more words as they are; unrelated lines differ in 32 on average.
+BITS, LONG_BITS, LONG = 30, 20, 150
+#: Up to so many words a line has so many shares and meets others by so many blocks at once; longer lines have 8 shares,
+#: from 100 words on twice as many for each doubling, and meet others by one block.
 SHARES = ((24, 6, 2),)
+#: Edits up to which diagonals are followed.
+FEW_EDITS = 12
 #: Letters beyond three a word that a key stands on at least, by the blocks that it has.
 LEAST_STRENGTH = {1: 8, 2: 2}
 #: More lines to verify than this are fetched by a join instead of a broadcast of their places.
@@ -41,22 +44,39 @@ def normal_line(line: str) -> str:
 
 
 def edit_distance(a: str, b: str, most: int) -> int | None:
-    """Edit distance of two strings, None if it is above ``most``."""
+    """Edit distance of two strings, None if it is above ``most``.
+
+    Few edits are found by following the farthest places on each diagonal, more by rows of bits.
+    """
     if len(a) > len(b):
         a, b = b, a
     if len(b) - len(a) > most:
         return None
-    start, end = _same(a, b), 0
+    start = _same(a, b, 0, 0)
     a, b = a[start:], b[start:]
-    end = _same(a[::-1], b[::-1])
-    a, b = a[: len(a) - end], b[: len(b) - end]
     if not a:
         return len(b)
+    goal, far = len(b) - len(a), {}
+    for edits in range(min(most, FEW_EDITS) + 1):
+        now = {}
+        for d in range(-edits, edits + 1):
+            i = 0 if not edits else max(far.get(d - 1, -1), far.get(d, -1) + 1, far.get(d + 1, -2) + 1)
+            i = min(i, len(a), len(b) - d)
+            if i >= 0 and i + d >= 0:
+                now[d] = i + _same(a, b, i, i + d)
+        if now.get(goal) == len(a):
+            return edits
+        far = now
+    return _by_rows(a, b, most) if most > FEW_EDITS else None
+
+
+def _by_rows(a: str, b: str, most: int) -> int | None:
+    """Edit distance by rows of the table, whose steps up and down are the bits of two numbers."""
     one, two = Counter(a), Counter(b)
     if max((one - two).total(), (two - one).total()) > most:
         return None
-    row, full = (1 << len(a)) - 1, (1 << len(a)) - 1  # vertical steps up and down of a row of the table, as bits
-    up, down, last, places = row, 0, 1 << (len(a) - 1), {}
+    full, places = (1 << len(a)) - 1, {}
+    up, down, last = full, 0, 1 << (len(a) - 1)
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
     distance = len(a)
@@ -72,44 +92,68 @@ def edit_distance(a: str, b: str, most: int) -> int | None:
     return distance if distance <= most else None
 
 
-def _same(a: str, b: str) -> int:
-    """Length of the common start."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    lo, hi = 0, n
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        if a[lo:mid] == b[lo:mid]:
-            lo = mid
-        else:
-            hi = mid
-    return lo
+def _same(a: str, b: str, i: int, j: int) -> int:
+    """How far ``a`` from ``i`` on and ``b`` from ``j`` on are alike."""
+    n, done, step = min(len(a) - i, len(b) - j), 0, 8
+    while done < n:
+        to = min(n, done + step)
+        if a[i + done : i + to] != b[j + done : j + to]:
+            while to - done > 1:
+                mid = (done + to) // 2
+                if a[i + done : i + mid] == b[j + done : j + mid]:
+                    done = mid
+                else:
+                    to = mid
+            return done
+        done, step = to, step * 2
+    return n
 
 
 def shares_of(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of shares, and of blocks in a key, of lines of ``n`` words."""
-    shares, blocks = 8 << np.maximum(0, np.log2(np.maximum(n, 1) / 25).astype(np.int64)), np.ones(len(n), np.int64)
+    shares, blocks = 8 << np.maximum(0, np.log2(np.maximum(n, 1) / 50).astype(np.int64)), np.ones(len(n), np.int64)
     for most, c, together in reversed(SHARES):
         shares, blocks = np.where(n <= most, c, shares), np.where(n <= most, together, blocks)
     return shares, blocks
 
 
 def _signatures(h: np.ndarray, size: np.ndarray, n: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Blocks of lines of ``n`` words ``h`` of ``size`` letters: line, share, SimHash, strength; and each line's SimHash."""
+    """Blocks of lines of ``n`` words ``h`` of ``size`` letters: line, share, SimHash, strength; and each line's SimHash.
+
+    Where one word outweighs all others of its share the SimHash would be that word's hash; there the block
+    is the sum of the share's hashes.
+    """
     line = np.repeat(np.arange(len(n)), n)
     share = ((h >> np.uint64(40)) % shares[line].astype(np.uint64)).astype(np.int64)
-    order = np.argsort(line * int(shares.max(initial=1)) + share, kind="stable")
-    line, share, weight = line[order], share[order], np.minimum(size[order], 255).astype(np.uint8)
-    bits = np.unpackbits(h[order].view(np.uint8)).reshape(-1, 64) * weight[:, None]
+    order = np.lexsort((h, line * int(shares.max(initial=1)) + share))
+    line, share, h, weight = line[order], share[order], h[order], np.minimum(size[order], 255).astype(np.uint8)
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])])  # a word counts once
+    line, share, h, weight = line[new], share[new], h[new], weight[new]
     starts = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (share[1:] != share[:-1])]))
-    sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    total = np.add.reduceat(weight, starts, dtype=np.int32)
-    strength = np.add.reduceat(np.maximum(weight, 3) - np.uint8(3), starts, dtype=np.int32)
+    total = np.add.reduceat(weight, starts, dtype=np.int64)
+    strength = np.add.reduceat(np.maximum(weight, 3) - np.uint8(3), starts, dtype=np.int64)
+    one_word = np.maximum.reduceat(weight, starts) * np.int64(2) > total
     of = line[starts]
     heads = np.searchsorted(of, np.arange(len(n)))
-    simhash = lambda s, n: np.packbits(s * 2 > n[:, None], axis=1).view(np.uint64).ravel()
-    return of, share[starts], simhash(sums, total), strength, simhash(np.add.reduceat(sums, heads, axis=0), np.add.reduceat(total, heads))
+    lines = np.add.reduceat(total, heads)
+    if lines.max() < 2**16:  # sums of four bits side by side in 64
+        sums = np.add.reduceat(_LANES[h.view(np.uint8).reshape(-1, 8)].reshape(-1, 16) * weight.astype(np.uint64)[:, None], starts, axis=0)
+        both = [x.view(np.uint16).reshape(-1, 64) for x in (sums, np.add.reduceat(sums, heads, axis=0))]
+    else:
+        sums = np.add.reduceat(np.unpackbits(h.view(np.uint8)).reshape(-1, 64) * weight[:, None], starts, axis=0, dtype=np.int64)
+        both = [sums, np.add.reduceat(sums, heads, axis=0)]
+    block, whole = (np.packbits(x > n[:, None] // 2, axis=1).view(np.uint64).ravel() for x, n in zip(both, (total, lines), strict=True))
+    block = np.where(one_word, finish(np.add.reduceat(h, starts)), block)
+    return of, share[starts], block, strength, whole
+
+
+def _lanes() -> np.ndarray:
+    """The eight bits of each byte as eight 16-bit numbers, in two of 64 bits."""
+    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype("<u2")
+    return np.ascontiguousarray(bits).view("<u8")
+
+
+_LANES = _lanes()
 
 
 def line_keys(h: np.ndarray, size: np.ndarray, n: np.ndarray, shares: np.ndarray, together: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,33 +286,35 @@ def remove_repeated_lines(docs: DataFrame, similarity: float = 0.9, least_words:
     column called ``lines`` is replaced. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows, place = written(_occurrences(docs.filter("doc_id is not null"), least_words), "lines")
+    scratch = Scratch(spark)
+    rows = scratch.keep(_occurrences(docs.filter("doc_id is not null"), least_words), "lines")
     nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_id", "no")).alias("at"), F.first("sim").alias("sim"), F.first("chars").alias("chars"))
-    nodes, place_2 = written(nodes, "line-nodes")
+    nodes = scratch.keep(nodes, "line-nodes")
     by_list = Window.partitionBy("v").orderBy("node")
     listed = rows.select("node", F.explode("keys").alias("v")).withColumn("before", F.lag("node").over(by_list))
-    listed = listed.filter("before is null or before <> node")
-    listed = listed.withColumn("i", F.row_number().over(by_list)).withColumn("next", F.lead("node").over(by_list))
-    listed = cut(listed.filter("i > 1 or next is not null").select("v", "node"))  # of lists with two members at least
+    listed = listed.filter("before is null or before <> node").drop("before")
+    listed = listed.withColumn("first", F.first("node").over(by_list)).withColumn("next", F.lead("node").over(by_list))
+    members = listed.filter("node <> first or next is not null").select("v", "node", "first")  # of lists with two members at least
     left = nodes.select(F.col("node").alias("a"), F.col("sim").alias("x"), F.col("chars").alias("nx"))
     right = nodes.select(F.col("node").alias("b"), F.col("sim").alias("y"), F.col("chars").alias("ny"))
     sizes = F.abs(F.col("nx") - F.col("ny")) <= (1 - similarity) * F.greatest("nx", "ny") + 1e-9
-    possible = sizes & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= BITS)
+    most = F.when(F.least("nx", "ny") >= LONG, LONG_BITS).otherwise(BITS)
+    possible = sizes & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "at"), "node")
-        texts = cut(_texts(docs, cut(wanted.select("node", "at.doc_id", "at.text_id", "at.no"))))
+        texts = scratch.keep(_texts(docs, scratch.keep(wanted.select("node", "at.doc_id", "at.text_id", "at.no"), "line-places")), "line-texts")
         one = texts.select(F.col("node").alias("a"), F.col("line").alias("la"))
         two = texts.select(F.col("node").alias("b"), F.col("line").alias("lb"))
         return _near(pairs.join(two, "b").join(one, "a"), similarity)
 
-    whole = linked(listed, left, right, possible, confirmed)
+    whole = linked(members, left, right, possible, confirmed)
     grouped = nodes.join(whole.withColumnRenamed("id", "node"), "node", "left").select("node", "at", F.coalesce("component", "node").alias("part"))
     first = grouped.groupBy("part").agg(F.min("at").alias("first"))
-    firsts = cut(grouped.join(first, "part").select("node", "first"))
+    firsts = scratch.keep(grouped.join(first, "part").select("node", "first"), "line-firsts")
     gone = rows.select("doc_id", "text_id", "no", "node").join(firsts, "node").filter(F.struct("doc_id", "text_id", "no") != F.col("first"))
     gone, _ = written(gone.groupBy("doc_id", "text_id").agg(F.collect_set("no").alias("__gone")), "lines-gone")
-    deleted(spark, place, place_2)
+    scratch.drop()
 
     kept = [c for c in docs.columns if c != "lines"]
     texts = docs.select(

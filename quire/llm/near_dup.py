@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, deleted, finish, folded, linked, signed, window_hashes, word_hashes, written
+from .common import Scratch, cut, finish, folded, linked, listed_members, signed, window_hashes, word_hashes
 
 #: A-Z lower-cased.
 _FOLD = folded(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))
@@ -196,9 +196,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, size: in
     """
     spark, t = docs.sparkSession, percent / 100
     shared = shared_at_least(size, t)
-    rows, place = written(_signatures(docs, width, size), "near-signatures")
+    scratch = Scratch(spark)
+    rows = scratch.keep(_signatures(docs, width, size), "near-signatures")
     usable = rows.filter("node is not null and doc_id is not null")
-    nodes = cut(usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    nodes = usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = scratch.keep(nodes, "near-nodes")
     keys = nodes.select("node", F.size("sketch").alias("m"), "n", F.explode("sketch").alias("v"))
     often = keys.groupBy("v").agg(F.count("*").alias("often")).filter("often > 1")
     needed = F.element_at(F.array(*[F.lit(x) for x in least_shared(size, percent, shared)]), F.least("n", F.lit(size + 1)).cast("int"))
@@ -211,7 +213,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, size: in
         .select("node", F.explode(F.slice("vs", 1, F.col("left").cast("int"))).alias("v"))
         .select("node", F.col("v.v").alias("v"))
     )
-    listed = cut(listed)
     sketches = nodes.select("node", "n", "sketch")
     x = sketches.select(F.col("node").alias("a"), F.col("n").alias("nx"), F.col("sketch").alias("x"))
     y = sketches.select(F.col("node").alias("b"), F.col("n").alias("ny"), F.col("sketch").alias("y"))
@@ -219,7 +220,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, size: in
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = cut(_sets(docs, cut(wanted.join(nodes.select("node", "doc_id"), "node")), width))
+        sets = scratch.keep(_sets(docs, scratch.keep(wanted.join(nodes.select("node", "doc_id"), "node"), "near-wanted"), width), "near-sets")
         left = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
         right = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
@@ -233,7 +234,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, size: in
     def dense(own: DataFrame) -> DataFrame:
         return _dense_links(docs, nodes, own, width, percent)
 
-    whole = linked(listed, x, y, possible, confirmed, dense)
+    whole = linked(listed_members(scratch.keep(listed, "near-lists")), x, y, possible, confirmed, dense)
     named = nodes.select("node", "doc_id").join(whole.withColumnRenamed("id", "node"), "node")
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("own"))
     heads = smallest.join(nodes.select(F.col("node").alias("component"), F.col("doc_id").alias("its")), "component")
@@ -248,7 +249,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, size: in
     result = result.select("doc_id", "n_shingles", component.alias("component_id"), part.alias("part"), "text_id")
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     result = cut(result.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "part", "text_id"))
-    deleted(spark, place)
+    scratch.drop()
     return result
 
 

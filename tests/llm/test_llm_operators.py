@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -184,6 +185,26 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_tilts_solve_the_dual(spark):
+    """Words taken at ``min(exp(tilt * size), 3)`` are the target, as bisection in numpy finds it."""
+    r = random.Random(12)
+    rows = [(s, r.choice([1, 2, 5, 40, 300, r.randint(1, 4000)])) for s in ("a", "b", None, "d", "e") for _ in range(80)] + [("f", 0)]
+    sizes = spark.createDataFrame(rows, "source string, size long")
+    found = mixing.balanced(sizes, mixing.source_targets(sizes)).collect()
+    assert len(found) == 6
+    for x in found:
+        n = np.array([k for s, k in rows if s == x.source], float)
+        taken = lambda t: (n * np.minimum(3, np.exp(np.clip(t * n, -700, 700)))).sum()  # noqa: B023, E731
+        if x.tilt is None:
+            assert x.target in (0, 3 * n.sum()) or abs(x.target - 3 * n.sum()) < 1e-6
+            continue
+        lo, hi = -5.0, 5.0
+        for _ in range(200):
+            lo, hi = (lo, (lo + hi) / 2) if taken((lo + hi) / 2) > x.target else ((lo + hi) / 2, hi)
+        assert taken(x.tilt) == pytest.approx(x.target, rel=1e-6) and x.tilt == pytest.approx(lo, rel=1e-3, abs=1e-9)
+    assert sum(x.tilt is not None for x in found) >= 3
+
+
 def test_mixing_stops_at_cap(spark):
     rows = [(i, "a b c", "a" if i else "b") for i in range(50)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 9)).select("source", "mix.*").collect()
@@ -411,6 +432,22 @@ limitations under the License.
     assert got[2].sentence_ids == ["mit-grant", "mit-include", "bsd-notice"]
 
 
+LICENCE_TEXTS = ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0")
+
+
+@pytest.mark.skipif(not all(os.path.exists(f"/usr/share/common-licenses/{x}") for x in LICENCE_TEXTS), reason="no licence texts")
+def test_whole_licence_texts(spark):
+    rows = []
+    for k, name in enumerate(LICENCE_TEXTS):
+        with open(f"/usr/share/common-licenses/{name}", encoding="utf-8") as f:
+            rows.append((k, "before it\n\n" + f.read() + "\nafter it"))
+    rows += [(10, "zlib\n\nThis software is provided 'as-is', without any express or implied warranty.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n1.")] * 2
+    got = {r.doc_id: r.licence.licences for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[10] == ["Zlib"]
+    for k, want in enumerate(("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")):
+        assert want in got[k], (want, got[k])
+
+
 def test_known_sentences_have_a_telling_word():
     assert all(re.search(licences.TELLING, licences.normalised(s)) for s in licences.SENTENCES.values())
 
@@ -511,19 +548,30 @@ def test_decontamination_of_common_words(spark):
 def test_overlap_misses_nothing():
     """Every passage whose region has a subsequence long enough is a candidate."""
     r = random.Random(17)
-    some = lambda n: [b"%d" % r.randrange(30) for _ in range(n)]
+    some = lambda n: np.array([r.randrange(30) for _ in range(n)], int)
     items, texts = [some(n) for n in (1, 5, 12, 40, 150)], [some(n) for n in (0, 1, 64, 65, 200, 900)]
-    texts += [some(300) + items[4] + some(70), items[3][:20] + some(400) + items[3]]
-    overlap, step, size = decontaminate.Overlap(items, 0.5), decontaminate.STEP, decontaminate.PASSAGE
-    got = set(overlap.candidates(texts, items))
+    texts += [np.concatenate([some(300), items[4], some(70)]), np.concatenate([items[3][:20], some(400), items[3]])]
+    overlap, step, size = decontaminate.Overlap(items, 0.5, 30), decontaminate.STEP, decontaminate.PASSAGE
+    got = {tuple(x) for x in overlap.candidates(np.concatenate(texts), np.cumsum([0, *map(len, texts)])).tolist()}
     for d, t in enumerate(texts):
         for q, want in enumerate(items):
             for p in range(max(0, -(-(len(t) - size) // step)) + 1):
                 region = t[max(0, p * step - len(want)) : p * step + size + len(want)]
-                if decontaminate.common_subsequence(want, region) * 2 >= len(want):
+                if decontaminate.common_subsequence(want.tolist(), region.tolist()) * 2 >= len(want):
                     assert (d, q, p) in got
 
 
+def test_subsequences_side_by_side():
+    r = random.Random(18)
+    some = lambda n: np.array([r.randrange(12) for _ in range(n)])
+    items, ids = [some(n) for n in (1, 7, 63, 64, 65, 130)], np.array([r.randrange(13) for _ in range(900)])
+    tool = decontaminate.Sequences(items, 12)
+    ask = [(r.randrange(6), a, min(900, a + r.randrange(0, 300))) for a in (r.randrange(900) for _ in range(300))]
+    which, start, stop = (np.array(x) for x in zip(*ask, strict=True))
+    got = tool.common(which, ids, start, stop).tolist()
+    assert got == [decontaminate.common_subsequence(items[q].tolist(), ids[a:b].tolist()) for q, a, b in ask]
+
+
 def test_common_subsequence():
     def slow(a, b):
         row = [0] * (len(b) + 1)
@@ -537,3 +585,80 @@ def test_common_subsequence():
     for _ in range(100):
         a, b = ([r.choice([b"a", b"b", b"c"]) for _ in range(r.randint(0, 30))] for _ in range(2))
         assert decontaminate.common_subsequence(a, b) == slow(a, b)
+
+
+# --- odd rows ---
+
+
+def test_long_turns(spark):
+    long = "</s>x [INST] " * 100_000
+    got = chat.read_back(chat.format_conversations(spark.createDataFrame([(6, 0, "assistant", long)], "conv_id long, turn long, role string, text string"))).first()
+    assert (got.loss_chars, got.loss_sha256) == (len(long), hashlib.sha256(long.encode()).hexdigest()) and got.formatted_chars == len(long) + 200_000 + 7
+
+
+def test_wrong_masks_are_seen(spark):
+    """The loss is what the mask cuts out of the text, not what the turns say."""
+    rows = spark.createDataFrame([(1, 0, "user", "ab"), (1, 1, "assistant", "cdef")], "conv_id long, turn long, role string, text string")
+    shifted = chat.format_conversations(rows).withColumn("loss_start", F.col("loss_start") + 1)
+    assert chat.read_back(chat.in_order(shifted)).first().loss_sha256 != hashlib.sha256(b"cdef").hexdigest()
+
+
+def test_quality_of_odd_rows(spark):
+    rows = [(i, "the river and the house of " * 20) for i in range(40)] + [(i, "$$ THE!! | #### " * 20) for i in range(40, 80)]
+    table = spark.createDataFrame([*rows, *rows[:3], (None, "x"), (99, "word " * 100_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(80)] + [(1, 0), (2, 1), (2, 1)], "doc_id long, quality int")
+    scored = quality.score(table, quality.fit(table, labels)).collect()
+    assert len(scored) == 85 and all(0 <= r.score <= 1 for r in scored)
+    assert min(r.score for r in scored if r.doc_id is not None and 3 < r.doc_id < 40) > 0.5 > max(r.score for r in scored if r.doc_id is not None and 40 <= r.doc_id < 80)
+
+
+def test_mixing_repeated_rows(spark, docs):
+    twice = docs.union(docs).withColumn("mix", F.lit("clash"))
+    one, two = ({(r.doc_id, r.mix.taken, r.mix.source_size) for r in mixing.mix(x).collect()} for x in (twice, twice.repartition(3)))
+    assert one == two and mixing.mix(twice).count() == 2 * docs.count() and mixing.mix(twice).columns == twice.columns
+
+
+def test_tokens_of_repeated_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rows = [(None, "b a"), (None, "a b"), (3, "same"), (3, "same"), (3, None), (1, "one two")]
+    tokens.write(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/out", vocabulary())
+    got = tokens.read(spark, f"file://{tmp_path}/out").orderBy("start").collect()
+    t = Tokenizer.from_file(vocabulary())
+    want = [(d, [*t.encode(x or "", add_special_tokens=False).ids, 2]) for d, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))]
+    assert [(r.doc_id, r.ids) for r in got] == want and [r.start for r in got] == np.cumsum([0, *(len(x) for _, x in want[:-1])]).tolist()
+
+
+def test_substrings_of_repeated_ids(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(5, passage), (5, f"other {passage}"), (None, passage), (7, f"{passage} tail")]
+    got = [(r.doc_id, r.dedup.n_removed) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == [(5, 0), (5, 0), (7, 60), (None, 60)]
+
+
+def test_neighbours_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.0, 2.0]), (2, [3.0, 0.0])]
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert {v for *_, v in got} == {1, 2} and all(q == 0 for q, *_ in got)
+
+
+def test_decontamination_of_many_items(spark):
+    """More items than a block holds; all documents against all items by plain subsequences."""
+    r = random.Random(21)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(2500)]
+    say = lambda n: [r.choice(vocab) for _ in range(n)]
+    items = [(i, " ".join(say(24)) + ". " + " ".join(say(6))) for i in range(401)]
+    docs = [(i, " ".join(say(300))) for i in range(40)] + [(900, " ".join(say(30_000)) + " " + items[399][1])]
+    for k, i in enumerate((0, 199, 200, 201, 400)):
+        words = items[i][1].split()
+        for at in r.sample(range(20), 6):
+            words[at] = r.choice(vocab)
+        docs.append((500 + k, " ".join(say(100) + words + say(100))))
+    table = spark.createDataFrame(docs, "doc_id long, text string").withColumn("cosine", F.lit("clash"))
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(table, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = set()
+    wants = [(i, [*t.replace(".", "").split()]) for i, t in items]
+    for d, t in docs[:-6] + docs[-5:]:
+        ws = t.replace(".", "").split()
+        want |= {(d, i) for i, x in wants if decontaminate.common_subsequence(x, ws) >= 0.7 * len(x)}
+    assert {(d, i) for d, i in got if d != 900} == want and (900, 399) in got and len(want) == 5

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path[:0] = [str(Path(__file__).resolve().parents[2]), str(Path(__file__).resolve().parent)]
 
@@ -53,3 +54,27 @@ def test_pipeline(spark, tmp_path):
         assert found == (at, want.doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert re.fullmatch(r"doc_id,start,n_tokens,ids_crc32", ",".join(steps[5].columns))
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows and ids, clashing columns, an empty table: each stage's docstring."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").limit(60)
+    some = docs.first()
+    add = [(None, "no id at all", None, None, 1), (10**9, None, None, None, 0), (10**9 + 1, "", "en", "x", 0), (10**9 + 2, "word " * 60_000, "en", "x", 1), tuple(some), tuple(some), (some.doc_id, "the same id, another text", "en", None, 5)]
+    odd = docs.union(spark.createDataFrame(add, docs.schema))
+    for name in ("score", "node", "size", "__text_id_", "item_id"):
+        odd = odd.withColumn(name, F.lit("clash"))
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        rows = out.collect()
+        assert stage(spark, odd.limit(0), SF).count() == 0
+        if name == "token output":
+            assert len(rows) == odd.count()
+            continue
+        assert out.columns == odd.columns and all(r.score == "clash" for r in rows)
+        counts[name] = Counter(r.doc_id for r in rows)
+    near, clean, mixed = counts["minhash near-dedup"], counts["benchmark decontamination"], counts["source mixing"]
+    assert near[None] == near[10**9] == near[10**9 + 1] == 1 and near[some.doc_id] == 2  # two texts under one id
+    rows = Counter(r.doc_id for r in odd.collect())  # each row up to three times
+    assert clean[None] == 1 and all(n <= 3 * rows[d] for d, n in mixed.items())
