@@ -13,9 +13,21 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Larger tables of sources are joined instead of broadcast.
+BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def size_counts(sizes: DataFrame) -> DataFrame:
+    """(source, size, c): how many rows of ``sizes`` (source, size) have a size; a table of such rows stays as it is."""
+    return sizes if "c" in sizes.columns else sizes.groupBy("source", "size").agg(F.count("*").alias("c"))
+
+
+def _small(sources: DataFrame) -> DataFrame:
+    """A table of one row a source, to be broadcast if it is small, so that a hot source isn't one task."""
+    return F.broadcast(sources) if sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else sources
+
+
 def source_targets(
     sizes: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
@@ -30,7 +42,7 @@ def source_targets(
     point is "level times weight, at most the cap"; the level comes from running sums over the
     sources ordered by cap over weight.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    per = size_counts(sizes).groupBy("source").agg(F.sum(F.col("size") * F.col("c")).alias("source_size"), F.sum("c").alias("n"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(
         F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")
@@ -65,8 +77,8 @@ def balanced(sizes: DataFrame, targets: DataFrame, max_copies: int = 3, toleranc
     Rounds end when every source is within ``tolerance`` of its target. A source at its cap or
     without words has no tilt (null).
     """
-    hist = sizes.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("c"))
-    hist = cut(hist.select(F.col("source").alias("s"), "size", "c"))
+    hist = size_counts(sizes).filter("size > 0").select(F.col("source").alias("s"), "size", "c")
+    hist = hist if "c" in sizes.columns else cut(hist)
     smallest = hist.groupBy("s").agg(F.min("size").alias("least"))
     cap = F.col("source_size") * max_copies
     open_ = targets.filter((F.col("target") > 0) & (F.col("target") < cap * (1 - 1e-12)))
@@ -76,11 +88,12 @@ def balanced(sizes: DataFrame, targets: DataFrame, max_copies: int = 3, toleranc
         (F.log(F.col("target") / F.col("source_size")) / (F.col("source_size") / F.col("n"))).alias("tilt"), F.lit(1.0).alias("gap"),
     )
     state = cut(state)
+    small = state.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     for _ in range(most_rounds):
         rate = F.exp(F.col("tilt") * F.col("size"))
         words = F.col("c") * F.col("size") * F.least(rate, F.lit(float(max_copies)))
         bend = F.when(rate < max_copies, F.col("c") * F.col("size") * F.col("size") * rate).otherwise(0.0)
-        sums = hist.join(state, F.col("s").eqNullSafe(F.col("of"))).groupBy("of", "target", "lo", "hi", "tilt").agg(F.sum(words).alias("words"), F.sum(bend).alias("bend"))
+        sums = hist.join(F.broadcast(state) if small else state, F.col("s").eqNullSafe(F.col("of"))).groupBy("of", "target", "lo", "hi", "tilt").agg(F.sum(words).alias("words"), F.sum(bend).alias("bend"))
         over = F.col("words") > F.col("target")
         sums = sums.withColumn("lo", F.when(over, F.col("lo")).otherwise(F.col("tilt"))).withColumn("hi", F.when(over, F.col("tilt")).otherwise(F.col("hi")))
         step = F.col("tilt") - F.try_divide(F.col("words") - F.col("target"), F.col("bend"))
@@ -91,7 +104,7 @@ def balanced(sizes: DataFrame, targets: DataFrame, max_copies: int = 3, toleranc
         if (state.agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
             break
     found = state.select("of", "tilt")
-    return targets.join(found, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    return targets.join(F.broadcast(found) if small else found, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
 
 
 def mix(
@@ -118,7 +131,8 @@ def mix(
     kept = [c for c in docs.columns if c != "mix"]
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("source"), size.alias("size"))
-    per = balanced(rows, cut(source_targets(rows, weights, max_copies, budget)), max_copies).withColumnRenamed("source", "per_source")
+    hist = cut(size_counts(rows.select("source", "size")))  # texts are read twice: here and for the copies
+    per = _small(cut(balanced(hist, cut(source_targets(hist, weights, max_copies, budget)), max_copies).withColumnRenamed("source", "per_source")))
     rows = rows.join(per, F.col("source").eqNullSafe(F.col("per_source")), "left")
     turn = F.xxhash64(F.col("row.doc_id"), F.col("row.text"))
     tilted = F.round(F.least(F.exp(F.col("tilt") * F.col("size")), F.lit(float(max_copies))), 9)
