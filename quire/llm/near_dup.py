@@ -238,7 +238,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, size: in
     named = nodes.select("node", "doc_id").join(whole.withColumnRenamed("id", "node"), "node")
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("own"))
     heads = smallest.join(nodes.select(F.col("node").alias("component"), F.col("doc_id").alias("its")), "component")
-    least = heads.select("component", F.least("own", "its").alias("component_id"))
+    least = scratch.keep(heads.select("component", F.least("own", "its").alias("component_id")), "near-heads")
+    if least.count() <= BROADCAST_IDS:  # a component of very many nodes isn't one task then
+        least = F.broadcast(least)
     members_of = whole.select(F.col("id").alias("node"), "component").union(heads.select(F.col("component").alias("node"), "component"))
     ids = cut(members_of.join(least, "component").select("node", "component", "component_id"))
     first = nodes.select("node", F.col("doc_id").alias("copy_of"))
