@@ -33,7 +33,7 @@ SHARES = ((24, 6, 2),)
 #: Edits up to which diagonals are followed.
 FEW_EDITS = 12
 #: Letters beyond three a word that a key stands on at least, by the blocks that it has.
-LEAST_STRENGTH = {1: 8, 2: 2}
+LEAST_STRENGTH = {1: 8, 2: 1}
 #: More lines to verify than this are fetched by a join instead of a broadcast of their places.
 BROADCAST_LINES = 500_000
 
