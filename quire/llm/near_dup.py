@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, finish, folded, linked, listed_members, signed, window_hashes, word_hashes
+from .common import Scratch, cut, finish, folded, linked, listed_members, signed, slices, window_hashes, word_hashes
 
 #: A-Z lower-cased.
 _FOLD = folded(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))
@@ -85,7 +85,7 @@ def least_shared(size: int, percent: int, shared: int, chance: float = 1e-7) ->
 
 def _signatures(docs: DataFrame, width: int, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b)):
             n, node, sketch = [], [], []
             for s in shingle_sets(batch.column("text"), width):
                 n.append(len(s))
@@ -108,7 +108,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(node, set) of the ``wanted`` nodes (node, doc_id), from the whole text of one document each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b)):
             sets = [*shingle_sets(batch.column("text"), width)]
             same = [xxhash.xxh64_intdigest(s.tobytes()) - 2**63 for s in sets]
             yield pa.RecordBatch.from_arrays(
