@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licences, lines, mixing, near_dup, neighbours, quality, substrings, tokens
+from . import chat, decontaminate, licences, lines, mixing, near_dup, negatives, neighbours, periodic, pieces, quality, substrings, tokens
 from .common import scratch
 
 #: The conversation that the formatting query adds.
@@ -20,6 +20,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -80,12 +86,53 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    x = F.col("embedding")
+    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform(x, lambda c: F.floor(c.cast("double") * 256))
+    points = rows.filter(finite).select("vec_id", label.alias("label"), whole.alias("v"))
+    return negatives.hard_negatives(points, F.col("vec_id") % 50 == 0)
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = pieces.encoded(_table(spark, sf_dir, "documents"), piece_model())
+    return pieces.decoded(ids, piece_model()).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of ``docs``; in every tenth text, by a checksum of its doc_id, words from a place on repeat with a period."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    rows = rows.withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("w"))
+    rows = rows.withColumn("g", F.expr("h div 10")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, element_at(w, int(a + (i - a) % p + 1)))), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_periods(_table(spark, sf_dir, "documents")))
+    best = F.array_max(F.expr("transform(runs, r -> struct(r.length, -r.start AS before, -r.period AS short))"))
+    lines = F.array_join(F.expr("transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n'))"), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+    return found.select(
+        "doc_id", "n_runs", (-F.col("best.before")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.short")).alias("period"),
+        F.expr("1000 * best.length div -best.short").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_chat_formatting, op2_quality_classifier, op3_entropy_mixing, op4_minhash_near_dedup, op5_token_output,
             op6_fuzzy_line_dedup, op7_licence_scan, op8_substring_dedup, op9_nearest_neighbours, op10_benchmark_decontamination,
+            op11_hard_negatives, op12_sentencepiece, op13_periodic_runs,
         )
     }
 
@@ -126,5 +173,44 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 """
 
 
+#: Inner products of whole numbers; positives and negatives by rank.
+_NEGATIVES_SQL = """
+WITH rows AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+  s.id AS negative_id, positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+#: Places whose next six words recur q words on; q places in a row of them, and six words, are a run.
+_RUNS_SQL = rf"""
+WITH signs AS (SELECT list(v ORDER BY k) AS t FROM (SELECT k, list_reduce(list_prepend(k, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(k))),
+sums AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{_WORD}'), []) AS w0, CASE WHEN doc_id IS NOT NULL THEN xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) END AS h FROM documents, signs),
+places AS (SELECT *, h // 10 AS g, len(w0) AS n, (h // 10) % nullif(len(w0), 0) AS a FROM sums),
+docs AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w0[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w0 END AS w FROM places),
+grams AS (SELECT doc_id, i, hash(w[i + 1], w[i + 2], w[i + 3]) AS x, hash(w[i + 4], w[i + 5], w[i + 6]) AS y FROM (SELECT doc_id, w, unnest(range(len(w) - 5)) AS i FROM docs)),
+pairs AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM grams a JOIN grams b ON a.doc_id = b.doc_id AND a.x = b.x AND a.y = b.y AND a.i < b.i),
+parts AS (SELECT doc_id, q, min(i) AS start, count(*) + 5 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part FROM pairs) GROUP BY doc_id, q, part),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM parts WHERE length >= greatest(12, 2 * q) GROUP BY doc_id, start, length),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM docs),
+kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.i) AS text FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.i = words.i WHERE gone.i IS NULL GROUP BY words.doc_id),
+found AS (SELECT doc_id, count(*) AS n_runs, arg_max({{'s': start, 'l': length, 'p': period}}, [length, -start, -period]) AS best,
+    sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256 FROM runs GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.l AS BIGINT) AS length, CAST(best.p AS BIGINT) AS period,
+  CAST(1000 * best.l // best.p AS BIGINT) AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM docs d LEFT JOIN found USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _CHAT_SQL, "op4_minhash_near_dedup": _NEAR_SQL, "op8_substring_dedup": _REPEATS_SQL}
+    return {
+        "op1_chat_formatting": _CHAT_SQL, "op4_minhash_near_dedup": _NEAR_SQL, "op8_substring_dedup": _REPEATS_SQL,
+        "op11_hard_negatives": _NEGATIVES_SQL, "op13_periodic_runs": _RUNS_SQL,
+    }
