@@ -24,8 +24,10 @@ from .common import slices
 END_ID = 2
 SPACE = "▁"  # fixed value: what the model writes for a space
 LATIN = "\u0100"  # characters before it are encoded side by side
+PAIRS = 500_000  # tested pairs that are kept
 _NEVER = float("-inf")
 _models: dict[str, PieceEncoder] = {}
+_libraries: dict = {}
 
 
 class PieceEncoder(dict):
@@ -37,11 +39,10 @@ class PieceEncoder(dict):
     Characters without a piece become byte pieces, or the unknown id where the model has none.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 200_000):
         import ahocorasick
-        from sentencepiece import SentencePieceProcessor
 
-        self.library, self.most = SentencePieceProcessor(model_file=path), most
+        self.library, self.most = library(path), most
         own, n = self.library, self.library.get_piece_size()
         bare = [i for i in range(n) if not (own.is_control(i) or own.is_byte(i) or own.is_unknown(i))]
         if any(own.is_unused(i) for i in bare):
@@ -111,7 +112,7 @@ class PieceEncoder(dict):
                 pair = before * many + token
                 ok = known.get(pair)
                 if ok is None:
-                    if len(known) > 4_000_000:
+                    if len(known) >= PAIRS:
                         known.clear()
                     ok = known[pair] = self.compatible(before, token)
                 if not ok:
@@ -244,7 +245,7 @@ class SideBySide:
         found = self.fits[slot]
         if len(new):
             known, many = self.own.known, self.own.size
-            if len(known) > 4_000_000:
+            if len(known) >= PAIRS:
                 known.clear()
             value = np.empty(len(new), bool)
             for k, p in enumerate(new.tolist()):
@@ -310,6 +311,15 @@ class SideBySide:
         return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
+def library(path: str):
+    """The library's own processor, one a worker process and file."""
+    from sentencepiece import SentencePieceProcessor
+
+    if path not in _libraries:
+        _libraries[path] = SentencePieceProcessor(model_file=path)
+    return _libraries[path]
+
+
 def encoder(path: str) -> PieceEncoder:
     """One encoder a worker process and file."""
     if path not in _models:
@@ -327,7 +337,7 @@ def encoded(docs: DataFrame, model: str, end_id: int = END_ID) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(model).encode, np.array([end_id], "<i4").tobytes()
-        for batch in (x for b in batches for x in slices(b, 1 << 22)):
+        for batch in (x for b in batches for x in slices(b, 1 << 21)):
             raw = [ids + end for ids in encode(batch.column("text").fill_null("").to_pylist())]
             flat = pa.array(np.frombuffer(b"".join(raw), "<i4"))
             offsets = np.cumsum([0, *(len(r) // 4 for r in raw)]).astype(np.int32)
@@ -346,12 +356,12 @@ def decoded(rows: DataFrame, model: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = encoder(model).library.decode
+        decode = library(model).decode
         for batch in batches:
             ends = np.cumsum(np.diff(batch.column("ids").offsets.to_numpy()))
             at = 0
             while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), "right")))
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 18), "right")))
                 some = batch.slice(at, to - at)
                 texts = decode(some.column("ids").to_pylist())
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
