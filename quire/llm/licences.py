@@ -70,8 +70,14 @@ SENTENCES = {
     "spdx-apache": "SPDX-License-Identifier: Apache-2.0",
     "spdx-gpl": "SPDX-License-Identifier: GPL-3.0-only",
     "spdx-gpl-2": "SPDX-License-Identifier: GPL-2.0-only",
+    "spdx-gpl-later": "SPDX-License-Identifier: GPL-3.0-or-later",
+    "spdx-gpl-2-later": "SPDX-License-Identifier: GPL-2.0-or-later",
     "spdx-lgpl-21": "SPDX-License-Identifier: LGPL-2.1-only",
+    "spdx-lgpl-21-later": "SPDX-License-Identifier: LGPL-2.1-or-later",
+    "spdx-lgpl-3": "SPDX-License-Identifier: LGPL-3.0-only",
+    "spdx-lgpl-3-later": "SPDX-License-Identifier: LGPL-3.0-or-later",
     "spdx-agpl": "SPDX-License-Identifier: AGPL-3.0-only",
+    "spdx-agpl-later": "SPDX-License-Identifier: AGPL-3.0-or-later",
     "spdx-bsd-2": "SPDX-License-Identifier: BSD-2-Clause",
     "spdx-epl": "SPDX-License-Identifier: EPL-2.0",
     "spdx-boost": "SPDX-License-Identifier: BSL-1.0",
@@ -104,15 +110,21 @@ RULES = [
     ("GPL-2.0", ("gpl-terms-2",)),
     ("GPL-3.0", ("gpl-title-3", "gnu-verbatim")),
     ("GPL-3.0", ("spdx-gpl",)),
+    ("GPL-3.0", ("spdx-gpl-later",)),
     ("GPL-2.0", ("gpl-title-2", "gnu-verbatim")),
     ("GPL-2.0", ("spdx-gpl-2",)),
+    ("GPL-2.0", ("spdx-gpl-2-later",)),
     ("LGPL-3.0", ("lgpl-title-3", "gnu-verbatim")),
     ("LGPL-2.1", ("lgpl-title-21", "gnu-verbatim")),
     ("LGPL-2.1", ("lgpl-terms-21", "lgpl-hope")),
     ("LGPL-2.1", ("spdx-lgpl-21",)),
+    ("LGPL-2.1", ("spdx-lgpl-21-later",)),
+    ("LGPL-3.0", ("spdx-lgpl-3",)),
+    ("LGPL-3.0", ("spdx-lgpl-3-later",)),
     ("AGPL-3.0", ("agpl-title", "gnu-verbatim")),
     ("AGPL-3.0", ("agpl-terms", "gpl-hope")),
     ("AGPL-3.0", ("spdx-agpl",)),
+    ("AGPL-3.0", ("spdx-agpl-later",)),
     ("MPL-2.0", ("mpl-notice",)),
     ("MPL-2.0", ("mpl-title", "mpl-grant")),
     ("MPL-2.0", ("spdx-mpl",)),
@@ -134,7 +146,10 @@ RULES = [
     ("Proprietary", ("reserved",)),
 ]
 # Fixed value: every known sentence, normalised, holds one of these.
-TELLING = "licen|permi|warrant|redistribut|public domain|rights reserved|free software|copyright"
+TELLING = "licen|permi|warrant|redistribut|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved|free[^a-z0-9]+software|copyright"
+#: Rules that another one contains: the licence, its rule's last sentence, and the sentence that the longer one ends with.
+#: Each of the latter takes one of the former away; a notice by name counts for itself.
+CONTAINED = ("BSD-2-Clause", "bsd-binary", "bsd-endorse")
 
 
 def normalised(text: str) -> str:
@@ -191,18 +206,26 @@ def scan(docs: DataFrame) -> DataFrame:
     known = F.create_map(*[F.lit(x) for pair in _known().items() for x in pair])
     telling = F.lower(F.col("text")).rlike(TELLING)
     found = F.array_sort(F.array_distinct(F.concat(*[_placed(f(F.col("text")), known) for f in (sentences, clauses, line_sentences)])))
-    found = F.transform(found, lambda x: x["id"])
-    none = F.array().cast("array<string>")
-    rows = docs.drop("licence").withColumn("__ids", F.when(telling, found).otherwise(none))
-    text = F.concat(F.lit("|"), F.array_join("__ids", "|"), F.lit("|"))
+    none, name = F.array().cast("array<string>"), "ids"
+    while name in docs.columns:
+        name += "_"
+    ids = F.col(name)
+    rows = docs.drop("licence").withColumn(name, F.when(telling, F.transform(found, lambda x: x["id"])).otherwise(none))
+    many = lambda s: F.size(F.filter(ids, lambda x: x == s))
+    shorter, last, longer = CONTAINED
     met = [
-        F.when(text.rlike(r"\|" + r"\|(?:[^|]*\|)*".join(ids) + r"\|"), F.lit(licence)) for licence, ids in RULES
+        F.when(_in_order(ids, rule) & ((many(last) > many(longer)) if licence == shorter and last in rule else F.lit(True)), F.lit(licence)) for licence, rule in RULES
     ]
-    licences = F.array_sort(F.array_distinct(F.array_compact(F.array(*met))))
-    licences = F.when(
-        F.array_contains(licences, "BSD-3-Clause"), F.array_remove(licences, "BSD-2-Clause")
-    ).otherwise(licences)
-    licences = F.when(F.size("__ids") > 0, licences).otherwise(none)
-    return rows.withColumn(
-        "licence", F.struct(licences.alias("licences"), F.col("__ids").alias("sentence_ids"), F.size("__ids").alias("n_sentences"))
-    ).drop("__ids")
+    licences = F.when(F.size(ids) > 0, F.array_sort(F.array_distinct(F.array_compact(F.array(*met))))).otherwise(none)
+    return rows.withColumn("licence", F.struct(licences.alias("licences"), ids.alias("sentence_ids"), F.size(ids).alias("n_sentences"))).drop(name)
+
+
+def _in_order(ids: Column, rule: tuple[str, ...]) -> Column:
+    """If the identifiers of a rule stand in ``ids`` in this order, with others between."""
+    met = F.lit(True)
+    for k, wanted in enumerate(rule):
+        at = F.array_position(ids, wanted)
+        met = met & (at > 0)
+        if k + 1 < len(rule):
+            ids = F.slice(ids, (at + 1).cast("int"), F.size(ids))
+    return met
