@@ -353,8 +353,8 @@ def hard_negatives(rows: DataFrame, anchors: Column, positives: int = 5, negativ
     floored = asked.drop("floor", "floor_id").join(floors, "anchor_id", "left").select(asked.columns)
     more = _searched(trees, _routes(floored, trees, "rest"), parts, exact, positives, 0).select("anchor_id", "id", "score")
     first = near.select("anchor_id", "id", "score").unionByName(more).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= positives)
-    least = F.expr(f"(score * {low}) div 100 + int(score * {low} % 100 > 0)")  # rounded up; the other one down
-    most = F.expr(f"(score * {high}) div 100 - int(score * {high} % 100 < 0)")
+    share = lambda percent: F.col("score").cast("decimal(20,0)") * F.lit(percent).cast("decimal(9,0)") / F.lit(100).cast("decimal(3,0)")
+    least, most = F.ceil(share(low)).cast("long"), F.floor(share(high)).cast("long")
     first = scratch.keep(first.select("anchor_id", F.col("id").alias("positive_id"), F.col("score").alias("positive_score"), least.alias("least"), most.alias("most")), "positives")
     windows = first.filter("least <= most").groupBy("anchor_id").agg(F.array_sort(F.collect_set(F.struct("least", "most"))).alias("windows"))
     windowed = asked.drop("windows").join(windows, "anchor_id").select(asked.columns)
