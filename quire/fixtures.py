@@ -14,7 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as spans of pages of 12 lines; every third document has two columns."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+    return spans_of(table(spark, sf_dir, "documents"))
+
+
+def spans_of(docs: DataFrame) -> DataFrame:
+    docs = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
     slot, two = F.col("ord") % 12, F.col("doc_id") % 3 == 0
     row = F.when(two, slot % 6).otherwise(slot)
     x = F.when(two & (slot >= 6), 0.58).otherwise(0.08)

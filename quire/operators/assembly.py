@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField
 
 from ..functions import boxes, text
 from .folds import fold
 from .layout import RUN
+from .successors import by_group, followers, topological
 
 
 def edge_weight(left: Column, right: Column, alpha: float = 0.4, beta: float = 0.3, gamma: float = 0.3) -> Column:
@@ -51,81 +50,51 @@ def baseline_order(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("rank_hint", F.row_number().over(order) - 1)
 
 
+def _followed(blocks: DataFrame, ranked: bool) -> DataFrame:
+    """``blocks`` with next_id and weight, or with rank, run by run."""
+    near = [StructField("next_id", blocks.schema["block_id"].dataType), StructField("weight", DoubleType())]
+
+    def work(batch: pa.RecordBatch, bounds: list[int]) -> list[pa.Array]:
+        box = [pc.fill_null(pc.struct_field(batch.column("bbox"), k).cast(pa.float64()), 0.0).to_pylist() for k in "xywh"]
+        page, texts, ids = batch.column("page").to_pylist(), batch.column("text").to_pylist(), batch.column("block_id").to_pylist()
+        opened = [(t or "").rstrip().endswith(_OPEN) for t in texts]
+        lower = [(t or "").lstrip()[:1].islower() for t in texts]
+        next_id, weight, rank = [], [], []
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            x, y, w, h = (c[lo:hi] for c in box)
+            after, cost = followers(page[lo:hi], x, y, w, h, opened[lo:hi], lower[lo:hi])
+            if ranked:
+                hint = sorted(range(hi - lo), key=lambda i: (page[lo + i], x[i] + w[i] / 2 > 0.62, y[i], x[i]))  # noqa: B023
+                place = [0] * (hi - lo)
+                for k, i in enumerate(hint):
+                    place[i] = k
+                rank += topological(after, place)
+            else:
+                next_id += [ids[lo + j] if j >= 0 else None for j in after]
+                weight += [c if j >= 0 else None for j, c in zip(after, cost, strict=True)]
+        return [pa.array(rank, pa.int32())] if ranked else [pa.array(next_id, batch.schema.field("block_id").type), pa.array(weight, pa.float64())]
+
+    return by_group(blocks, RUN, ["page", "ord", "block_id"], [StructField("rank", IntegerType())] if ranked else near, work)
+
+
 def successors(blocks: DataFrame) -> DataFrame:
-    """(run, block_id, next_id, weight): the cheapest block that may follow each, first in input order on ties.
+    """(run, block_id, next_id, weight): the cheapest block that may follow each, first in input order (page, ord, block_id) on ties.
 
-    As a join: for corpora of short documents and as the plain form of what ``reading_order`` does.
+    Blocks that none may follow are left out. Null texts count as empty, null boxes as points at the page's corner.
     """
-    side = lambda name: blocks.select(
-        *RUN, F.struct("block_id", "page", F.col("page").alias("p"), "ord", "bbox", "text", boxes.column_hint(F.col("bbox")).alias("col")).alias(name)
-    )
-    pairs = side("l").join(side("r"), RUN).filter((F.col("l.block_id") != F.col("r.block_id")) & may_follow(F.col("l"), F.col("r")))
-    pairs = pairs.withColumn("weight", edge_weight(F.col("l"), F.col("r")))
-    best = F.min_by(F.struct(F.col("r.block_id").alias("next_id"), "weight"), F.struct("weight", "r.page", "r.ord"))
-    return pairs.groupBy(*RUN, F.col("l.block_id").alias("block_id")).agg(best.alias("b")).select(*RUN, "block_id", "b.next_id", "b.weight")
+    return _followed(blocks, False).filter("next_id is not null").select(*RUN, "block_id", "next_id", "weight")
 
 
 _OPEN = ("-", ",", ";")
 
 
-def _order(page, x, y, w, h, texts, alpha=0.4, beta=0.3, gamma=0.3) -> np.ndarray:
-    """Rank of each block of one run, given in input order."""
-    n = len(page)
-    col = (x + w / 2 > 0.62).astype(int)
-    hint = np.lexsort((x, y, col, page))
-    rank = np.empty(n, int)
-    rank[hint] = np.arange(n)
-    cx, cy = (x + (x + w)) / 2, (y + (y + h)) / 2
-    ends = np.array([t.rstrip().endswith(_OPEN) for t in texts], bool)
-    starts = np.array([t.lstrip()[:1].islower() for t in texts], bool)
-    follower = np.full(n, -1)
-    for i in range(n):  # one row of the pair matrix at a time: memory in proportion to n
-        other_page, other_col = page != page[i], col != col[i]
-        line = (y > y[i]) | ((np.abs(y - y[i]) < 0.02) & (x > x[i]))
-        after = np.where(other_page, page > page[i], np.where(other_col, (col > col[i]) & (y >= y[i] - 0.08), line))
-        after[i] = False
-        if after.any():
-            gap = np.minimum(1.0, np.sqrt((cx - cx[i]) ** 2 + (cy - cy[i]) ** 2))
-            cost = alpha * gap + beta * np.where(ends[i] & starts, 0.0, 0.2) + gamma * np.where(other_col, 0.8, 0.0)
-            follower[i] = int(np.argmin(np.where(after, cost, np.inf)))
-    degree = np.bincount(follower[follower >= 0], minlength=n)
-    ready = [(rank[i], i) for i in range(n) if degree[i] == 0]
-    heapq.heapify(ready)
-    out = []
-    while ready:
-        _, i = heapq.heappop(ready)
-        out.append(i)
-        j = follower[i]
-        if j >= 0:
-            degree[j] -= 1
-            if degree[j] == 0:
-                heapq.heappush(ready, (rank[j], j))
-    if len(out) != n:
-        return rank
-    result = np.empty(n, int)
-    result[out] = np.arange(n)
-    return result
-
-
 def reading_order(blocks: DataFrame) -> DataFrame:
     """``blocks`` with ``rank``: topological order of the successor graph, ready blocks by baseline order.
 
-    A cycle anywhere gives the whole run its baseline order. One group is one document; its pair
-    matrix is never held, only a row of it.
+    A cycle anywhere gives the whole run its baseline order. One shuffle by run; a task holds the
+    blocks of one document and works in proportion to them, see ``successors``.
     """
-    small = blocks.select(
-        *RUN, "block_id", "page", "ord", F.col("bbox.x").alias("x"), F.col("bbox.y").alias("y"), F.col("bbox.w").alias("w"), F.col("bbox.h").alias("h"), "text"
-    )
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["page", "ord", "block_id"], kind="stable")
-        num = lambda c: group[c].to_numpy(float)
-        rank = _order(group["page"].to_numpy(), num("x"), num("y"), num("w"), num("h"), group["text"].fillna("").tolist())
-        return group[[*RUN, "block_id"]].assign(rank=rank.astype("int32"))
-
-    schema = StructType([*small.select(*RUN, "block_id").schema.fields, StructField("rank", IntegerType())])
-    ranked = small.groupBy(*RUN).applyInPandas(run, schema)
-    return blocks.join(ranked, [*RUN, "block_id"])
+    return _followed(blocks, True)
 
 
 def merge_paragraphs(ranked: DataFrame) -> DataFrame:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes
+from .late import max_sim
 
 # Fixed value: the namespace of page point ids.
 POINT_NAMESPACE = "7f3a2b1c-4d5e-6f70-8a9b-0c1d2e3f4a5b"
@@ -53,70 +50,6 @@ def sign_quantised(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(x >= 0, 1).otherwise(-1))
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(x, axis=-1, keepdims=True)
-    return x / np.where(n == 0, 1.0, n)
-
-
-def max_sim(pages: DataFrame, queries: DataFrame, k: int | None = None, block: int = 256, quantise: bool = False) -> DataFrame:
-    """(query_id, point_id, score): for each query's tokens the best cosine among a page's patches, summed.
-
-    ``queries`` (query_id, tokens) is the stated query set: it is read in blocks of ``block`` queries,
-    each broadcast as one matrix to one pass over ``pages`` (point_id, patches). With ``k`` a
-    task only sends on its ``k`` best a query. Negative scores are kept.
-    """
-    spark = pages.sparkSession
-    schema = "query_id long, point_id long, score double"
-
-    def one(rows: list) -> DataFrame:
-        sizes = [len(r.tokens) for r in rows]
-        ids = [r.query_id for r in rows]
-        q = _unit(np.concatenate([np.array(r.tokens, float).reshape(n, -1) for r, n in zip(rows, sizes, strict=True)]))
-        starts = np.cumsum([0, *sizes])[:-1]
-        shared = spark.sparkContext.broadcast((ids, q, starts))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q, starts = shared.value
-            best: list[tuple] = []
-            for batch in batches:
-                found = []
-                for point, patches in zip(batch.column("point_id").to_pylist(), batch.column("patches").to_pylist(), strict=True):
-                    d = np.array(patches, float)
-                    d = _unit(np.where(d >= 0, 1.0, -1.0) if quantise else d)
-                    score = np.add.reduceat((q @ d.T).max(axis=1), starts)
-                    found += [(i, point, s) for i, s in zip(ids, score.tolist(), strict=True)]
-                if k is None:
-                    yield _rows(found)
-                else:
-                    best = _best(best + found, k)
-            if k is not None:
-                yield _rows(best)
-
-        return pages.select("point_id", "patches").filter("size(patches) > 0").mapInArrow(run, schema)
-
-    result, held = None, []
-    for r in queries.filter("size(tokens) > 0").orderBy("query_id").toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            result, held = one(held) if result is None else result.union(one(held)), []
-    if held:
-        result = one(held) if result is None else result.union(one(held))
-    return spark.createDataFrame([], schema) if result is None else result
-
-
-def _best(rows: list[tuple], k: int) -> list[tuple]:
-    by: dict[int, list[tuple]] = {}
-    for r in rows:
-        by.setdefault(r[0], []).append(r)
-    return [r for v in by.values() for r in sorted(v, key=lambda r: (-r[2], r[1]))[:k]]
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = [*zip(*rows, strict=True)] or [[]] * 3
-    types = (pa.int64(), pa.int64(), pa.float64())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["query_id", "point_id", "score"])
-
-
 def top_hits(scores: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` best (1 to 50) points of each query, ties to the smaller point_id."""
     if not 1 <= k <= 50:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,10 +9,11 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import boxes, images, markup, text
-from .operators import assembly, evals, extraction, index, layout, packets, parse, runs
+from .operators import assembly, evals, extraction, index, late, layout, packets, parse, runs
 from .plans import jobs
-from .sources import storage
+from .sources import collection, files, storage
 from .streaming import jobs as streams
+from .streaming import states, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -102,7 +102,7 @@ def s05_golden_cases(spark, sf_dir):
         F.col("item_id").alias("item"), F.lit("item").alias("doc_type"), F.lit(1).alias("page_count"),
         F.struct(F.col("text").alias("query"), F.col("item_id").cast("int").alias("expected_page")).alias("retrieval"),
     )
-    path = storage.scratch(spark, "golden")
+    path = files.scratch(spark, "golden")
     rows.repartition("item").write.partitionBy("item").json(path)
     return storage.golden_cases(spark, path).select(F.col("item").cast("long").alias("item"), "page_count", "retrieval.query", F.col("retrieval.expected_page").cast("long").alias("expected_page"))
 
@@ -111,7 +111,7 @@ def s05_golden_cases(spark, sf_dir):
 def s06_tenant_table(spark, sf_dir):
     """A table by workspace, of which one tenant's folder is read."""
     rows = fx.table(spark, sf_dir, "documents").select((F.col("doc_id") % 5).cast("string").alias("workspace_id"), "doc_id", "source")
-    path = storage.scratch(spark, "by-workspace")
+    path = files.scratch(spark, "by-workspace")
     storage.write_table(rows, path)
     return storage.read_table(spark, path, "3").select("doc_id", "source")
 
@@ -119,10 +119,10 @@ def s06_tenant_table(spark, sf_dir):
 @_query("SELECT vec_id AS point_id, label + 1 AS label FROM embeddings")
 def s07_rebuilt_collection(spark, sf_dir):
     rows = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), "label")
-    path = storage.scratch(spark, "collection")
-    storage.upsert_collection(spark, rows.withColumn("point_id", F.col("point_id") - 7), path)
-    storage.rebuild_collection(rows.withColumn("label", F.col("label") + 1), path)
-    return storage.read_collection(spark, path).select("point_id", "label")
+    path = files.scratch(spark, "collection")
+    collection.upsert_collection(spark, rows.withColumn("point_id", F.col("point_id") - 7), path)
+    collection.rebuild_collection(rows.withColumn("label", F.col("label") + 1), path)
+    return collection.read_collection(spark, path).select("point_id", "label")
 
 
 # --- projections and filters -------------------------------------------------------------------
@@ -370,14 +370,26 @@ _WEIGHT = (
 )
 
 
-@_query(
-    f"WITH {fx.BLOCKS}, c AS (SELECT *, CASE WHEN x + w / 2 > 0.62 THEN 1 ELSE 0 END AS col FROM blocks), "
-    f"p AS (SELECT l.parse_run_id, l.block_id, r.block_id AS next_id, {_WEIGHT} AS weight, r.page AS rp, r.ord AS ro FROM c l JOIN c r ON l.parse_run_id = r.parse_run_id AND l.block_id <> r.block_id AND {_AFTER}) "
-    "SELECT parse_run_id, block_id, round(min(weight), 6) AS weight FROM p GROUP BY ALL"
-)
+_FOLLOW = f"""{fx.BLOCKS},
+c AS (SELECT *, CASE WHEN x + w / 2 > 0.62 THEN 1 ELSE 0 END AS col FROM blocks),
+near AS (SELECT l.parse_run_id, l.block_id, r.block_id AS next_id, {_WEIGHT} AS weight, r.page AS rp, r.ord AS ro FROM c l JOIN c r ON l.parse_run_id = r.parse_run_id AND l.block_id <> r.block_id AND {_AFTER}),
+follow AS (SELECT parse_run_id, block_id, first(next_id ORDER BY weight, rp, ro) AS next_id, min(weight) AS weight FROM near GROUP BY ALL)"""
+#: Blocks are numbered by baseline order; a step takes the first that waits for none.
+_ORDER = f"""{_FOLLOW},
+base AS (SELECT parse_run_id, block_id, row_number() OVER (PARTITION BY parse_run_id ORDER BY page, col, y, x, ord) AS r FROM c),
+nexts AS (SELECT b.parse_run_id, b.r, coalesce(n.r, 0) AS nr FROM base b LEFT JOIN follow f USING (parse_run_id, block_id) LEFT JOIN base n ON n.parse_run_id = b.parse_run_id AND n.block_id = f.next_id),
+waits AS (SELECT parse_run_id, nr AS r, count(*) AS n FROM nexts WHERE nr > 0 GROUP BY ALL),
+steps AS (SELECT parse_run_id, list(nr ORDER BY r) AS nxt, list(coalesce(n, 0) ORDER BY r) AS deg, CAST([] AS BIGINT[]) AS taken FROM nexts LEFT JOIN waits USING (parse_run_id, r) GROUP BY ALL
+  UNION ALL SELECT parse_run_id, nxt, list_transform(deg, lambda d, i: CASE WHEN i = spot THEN -1 WHEN i = nxt[spot] THEN d - 1 ELSE d END), list_append(taken, spot)
+  FROM (SELECT *, list_position(deg, 0) AS spot FROM steps) WHERE spot > 0),
+orders AS (SELECT parse_run_id, max_by(taken, len(taken)) AS taken, max_by(len(nxt), len(taken)) AS n FROM steps GROUP BY ALL),
+ranks AS (SELECT b.parse_run_id, b.block_id, CAST(CASE WHEN len(taken) = n THEN list_position(taken, r) ELSE r END AS INTEGER) - 1 AS rank FROM base b JOIN orders USING (parse_run_id))"""
+
+
+@_query(f"WITH {_FOLLOW} SELECT parse_run_id, block_id, next_id, round(weight, 6) AS weight FROM follow")
 def j06_successors(spark, sf_dir):
     """J06, W03 and W04."""
-    return assembly.successors(_blocks(spark, sf_dir)).select("parse_run_id", "block_id", r6("weight", "weight"))
+    return assembly.successors(_blocks(spark, sf_dir)).select("parse_run_id", "block_id", "next_id", r6("weight", "weight"))
 
 
 @_query(_FLAGGED + "SELECT parse_run_id, block_id, needs AND NOT page = 0 AS needs_review FROM flagged")
@@ -582,12 +594,34 @@ def w02_baseline_order(spark, sf_dir):
     return assembly.baseline_order(_blocks(spark, sf_dir)).select("parse_run_id", "block_id", F.col("rank_hint").cast("long").alias("rank_hint"))
 
 
-@_query()
+@_query(f"WITH RECURSIVE {_ORDER} SELECT parse_run_id, block_id, rank FROM ranks")
 def w05_reading_order(spark, sf_dir):
     return assembly.reading_order(_blocks(spark, sf_dir)).select("parse_run_id", "block_id", "rank")
 
 
-@_query()
+_SHARP = "trim({}, ' ' || chr(10) || chr(9) || chr(13))"
+#: Pairs of broken paragraphs, every other one of a chain; then tables row by row against the head of their chain.
+_ASSEMBLED = f"""{_ORDER},
+in_order AS (SELECT c.*, rank FROM c JOIN ranks USING (parse_run_id, block_id)),
+led AS (SELECT *, lead(text) OVER o AS next_text, lead(block_id) OVER o AS next_block, coalesce(type = 'paragraph' AND lead(type) OVER o = 'paragraph' AND lead(page) OVER o - page IN (0, 1) AND lead(col) OVER o = col
+  AND regexp_matches({_SHARP.format("text")}, '[-,;]$') AND regexp_matches({_SHARP.format("lead(text) OVER o")}, '^\\p{{Ll}}'), false) AS j FROM in_order WINDOW o AS (PARTITION BY parse_run_id ORDER BY rank)),
+isles AS (SELECT *, coalesce(sum(CASE WHEN j THEN 0 ELSE 1 END) OVER (PARTITION BY parse_run_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS isle FROM led),
+odd AS (SELECT *, j AND row_number() OVER (PARTITION BY parse_run_id, isle ORDER BY rank) % 2 = 1 AS takes FROM isles),
+merged AS (SELECT * FROM (SELECT *, lag(takes) OVER (PARTITION BY parse_run_id ORDER BY rank) AS taken FROM odd) WHERE NOT coalesce(taken, false)),
+joined AS (SELECT parse_run_id, block_id, page, type, w, row_number() OVER (PARTITION BY parse_run_id ORDER BY rank) AS k, CASE WHEN takes THEN [next_block] ELSE [] END AS children,
+  CASE WHEN takes THEN {_SHARP.format("regexp_replace(text, '-+$', '') || ' ' || ltrim(next_text, ' ' || chr(10) || chr(9) || chr(13))")} ELSE text END AS text FROM merged),
+lined AS (SELECT *, {_SHARP.format("string_split(" + _SHARP.format("text") + ", chr(10))[1]")} AS line FROM joined),
+walked AS (SELECT parse_run_id, k, k AS head, type, page, line AS header, w FROM lined WHERE k = 1
+  UNION ALL SELECT parse_run_id, k, CASE WHEN on_ THEN head ELSE k END, type, CASE WHEN on_ THEN head_page ELSE page END, CASE WHEN on_ AND header <> '' THEN header ELSE line END, CASE WHEN on_ THEN head_w ELSE w END
+  FROM (SELECT l.parse_run_id, l.k, s.head, l.type, l.page, s.page AS head_page, s.header, l.line, s.w AS head_w, l.w, l.type = 'table' AND s.type = 'table' AND l.page = s.page + 1
+    AND 0.4::DOUBLE * CASE WHEN s.header = l.line THEN 1 ELSE 0 END + 0.3::DOUBLE * (1 - least(1.0::DOUBLE, abs(s.w - l.w) / greatest(s.w, 1.0::DOUBLE))) + 0.2::DOUBLE * CASE WHEN l.text <> '' THEN 0.8::DOUBLE ELSE 0 END
+      + 0.1::DOUBLE * CASE WHEN contains(lower(l.text), 'continued') THEN 1 ELSE 0 END > 0.7::DOUBLE AS on_ FROM walked s JOIN lined l ON l.parse_run_id = s.parse_run_id AND l.k = s.k + 1)),
+assembled AS (SELECT l.parse_run_id, head, arg_min(l.block_id, l.k) AS block_id, arg_min(l.page, l.k) AS page, arg_min(l.type, l.k) AS type, CASE WHEN count(*) > 1 THEN {_SHARP.format("string_agg(l.text, chr(10) ORDER BY l.k)")} ELSE min(l.text) END AS text,
+  array_to_string(list_concat(arg_min(children, l.k), list(l.block_id ORDER BY l.k)[2:]), ',') AS children FROM walked JOIN lined l USING (parse_run_id, k) GROUP BY ALL),
+numbered_blocks AS (SELECT *, CAST(row_number() OVER (PARTITION BY parse_run_id ORDER BY head) - 1 AS INTEGER) AS reading_order_rank FROM assembled)"""
+
+
+@_query(f"WITH RECURSIVE {_ASSEMBLED} SELECT parse_run_id, block_id, page, type, text, children, reading_order_rank FROM numbered_blocks")
 def w06_assembled_blocks(spark, sf_dir):
     """Order, merged paragraphs, stitched tables, final rank."""
     rows = jobs.corpus_parse(fx.spans(spark, sf_dir))
@@ -865,6 +899,15 @@ def f28_image_similarity(spark, sf_dir):
 # --- retrieval, calibration, evaluation --------------------------------------------------------
 
 
+@_query(f"WITH {_COS}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM scores) SELECT query_id, point_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM k WHERE rank <= 50")
+def r01_packed_signs(spark, sf_dir):
+    """The 50 best pages of every query: packed signs exclude pages by proven bounds, the others are scored."""
+    pages, place = fx.page_vectors(spark, sf_dir), files.scratch(spark, "signs")
+    late.packed(pages).write.parquet(place)
+    found = index.top_hits(late.top_pages(spark.read.parquet(place), pages, fx.query_vectors(spark, sf_dir), 50), 50)
+    return found.select("query_id", "point_id", F.col("rank").cast("long").alias("rank"), r6("score", "score"))
+
+
 @_query(f"WITH {_COS}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM scores) SELECT query_id, point_id, round(score, 6) AS score FROM k WHERE rank <= 20")
 def r01_max_sim(spark, sf_dir):
     """The 20 best pages of every query: tasks only send on their own best."""
@@ -976,35 +1019,55 @@ def t04_dead_letters(spark, sf_dir):
 @_query("SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, sha256(text) AS digest FROM documents")
 def t01_incremental_documents(spark, sf_dir):
     """T01 and T03 (a pattern as path, since a stream can't start at a file): documents as a stream, a job on each micro-batch, its rows upserted into a collection."""
-    name, home = f"{sf_dir}/documents.parque[t]", storage.scratch(spark, "incremental")
+    name, home = f"{sf_dir}/documents.parque[t]", files.scratch(spark, "incremental")
     stream = streams.document_stream(spark, name, fx.table(spark, sf_dir, "documents").schema)
     job = lambda d: d.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.sha2("text", 256).alias("digest"))
     streams.incremental(stream, job, f"{home}/out", f"{home}/progress", "doc_id").awaitTermination()
-    return storage.read_collection(spark, f"{home}/out").select("doc_id", "n_lines", "digest")
+    return collection.read_collection(spark, f"{home}/out").select("doc_id", "n_lines", "digest")
+
+
+_PARSED = f"""WITH RECURSIVE {_ASSEMBLED}, n AS (SELECT parse_run_id, count(*) AS n_blocks, string_agg(block_id || ':' || reading_order_rank || ':' || sha256(text), ',' ORDER BY reading_order_rank) AS blocks FROM numbered_blocks GROUP BY ALL)
+SELECT CAST(doc_id AS VARCHAR) AS parse_run_id, CASE WHEN text IS NULL OR trim(text, ' ' || chr(10)) = '' THEN 'no text' END AS error, coalesce(n_blocks, 0) AS n_blocks, coalesce(blocks, '') AS blocks, coalesce(n_blocks, 0) AS n_cited
+FROM documents LEFT JOIN n ON n.parse_run_id = CAST(doc_id AS VARCHAR)"""
+
+
+@_query(_PARSED)
+def t01_incremental_parse(spark, sf_dir):
+    """Documents as a stream through the whole parse, into four tables that each micro-batch commits together."""
+    name, home = f"{sf_dir}/documents.parque[t]", files.scratch(spark, "parse")
+    stream = streams.document_stream(spark, name, fx.table(spark, sf_dir, "documents").schema, 1)
+    streams.incremental_parse(stream, fx.spans_of, f"{home}/out", f"{home}/progress").awaitTermination()
+    block = F.struct("reading_order_rank", F.concat_ws(":", "block_id", "reading_order_rank", F.sha2("text", 256)).alias("b"))
+    blocks = tables.read(spark, f"{home}/out", "blocks", "parse_run_id", "runs").groupBy("parse_run_id").agg(
+        F.count("*").alias("n_blocks"), F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda x: x.b), ",").alias("blocks")
+    )
+    cited = tables.read(spark, f"{home}/out", "citations", "parse_run_id", "runs").groupBy("parse_run_id").agg(F.countDistinct("block_id").alias("n_cited"))
+    runs_ = tables.read(spark, f"{home}/out", "runs", "parse_run_id")
+    rows = runs_.select("parse_run_id", "error").join(blocks, "parse_run_id", "left").join(cited, "parse_run_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rows.select("parse_run_id", "error", zero("n_blocks"), F.coalesce("blocks", F.lit("")).alias("blocks"), zero("n_cited"))
 
 
 @_query("SELECT vec_id AS point_id, CASE WHEN label = 0 THEN 2 ELSE 0 END AS written, label FROM embeddings")
 def t03_upserted_collection(spark, sf_dir):
     """Last write wins between batches and within one."""
     rows = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), F.lit(0).alias("written"), "label")
-    path, later = storage.scratch(spark, "points"), rows.filter("label = 0")
-    storage.upsert_collection(spark, rows, path, order="written")
+    path, later = files.scratch(spark, "points"), rows.filter("label = 0")
+    collection.upsert_collection(spark, rows, path, order="written")
     twice = later.withColumn("written", F.lit(2)).unionByName(later.withColumn("written", F.lit(1)))
-    storage.upsert_collection(spark, twice, path, order="written")
-    return storage.read_collection(spark, path).select("point_id", "written", "label")
+    collection.upsert_collection(spark, twice, path, order="written")
+    return collection.read_collection(spark, path).select("point_id", "written", "label")
 
 
 @_query(
     f"WITH {fx.EVENTS}, k AS (SELECT parse_run_id, state, ts, row_number() OVER (PARTITION BY parse_run_id ORDER BY state IN ('succeeded', 'failed', 'cancelled') DESC, ts DESC, event_id DESC) AS i FROM run_events) SELECT parse_run_id, state FROM k WHERE i = 1"
 )
 def t02_streamed_run_state(spark, sf_dir):
-    """The same from a stream with a watermark, in complete mode into a memory table."""
-    table = fx.table(spark, sf_dir, "events")
+    """The same from a stream: keyed state with timers, changes in update mode into a collection."""
+    table, home = fx.table(spark, sf_dir, "events"), files.scratch(spark, "states")
     source = streams.document_stream(spark, f"{sf_dir}/events.parque[t]", table.schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"states_{uuid.uuid4().hex}"
-    found = streams.run_states(fx.run_events_of(source), "10 minutes")
-    found.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", storage.scratch(spark, "states")).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("parse_run_id", "state")
+    states.stream_states(fx.run_events_of(source), f"{home}/out", f"{home}/progress").awaitTermination()
+    return states.read_states(spark, f"{home}/out").select("parse_run_id", "state")
 
 
 def queries() -> dict[str, Query]:

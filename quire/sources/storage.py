@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collection import read_collection, rebuild_collection, upsert_collection  # noqa: F401
+from .files import scratch  # noqa: F401
+
 GOLDEN = (
     "doc_type string, page_count int, teds_threshold double, block_types array<string>, "
     "tables array<struct<page:int,html:string,teds_threshold:double>>, extraction map<string,string>, "
@@ -74,92 +74,3 @@ def parsed_log(lines: DataFrame, keys: tuple[str, ...] = LOG_KEYS) -> DataFrame:
 def golden_cases(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(GOLDEN).json(path, multiLine=True)
     return rows.withColumn("case", F.regexp_extract(F.input_file_name(), r"([^/]+)\.expected\.json$", 1))
-
-
-#: Parts of a collection by a hash of the key; fixed for a collection's life.
-BUCKETS = 64
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (a temporary one where none is set, as in tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="quire-")
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def _versions(spark: SparkSession, path: str) -> tuple[int, dict[int, str], list[str]]:
-    """Last version of a collection, the folder that holds each bucket now, and folders that are done with.
-
-    A version is a folder ``v=N`` with the buckets that it wrote, and counts once Spark has committed it
-    (``_SUCCESS``). ``v=N-full`` replaces all that was before.
-    """
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    listed = lambda p: [f.getPath() for f in fs.listStatus(at(p))] if fs.exists(at(p)) else []
-    now: dict[int, str] = {}
-    old: list[str] = []
-    last = 0
-    for folder in sorted(listed(path), key=lambda p: p.getName()):
-        name = folder.getName()
-        if not name.startswith("v=") or not fs.exists(at(folder, "_SUCCESS")):
-            continue
-        last = int(name[2:].split("-")[0])
-        if name.endswith("-full"):
-            old, now = old + list(now.values()), {}
-        for part in listed(folder.toString()):
-            if part.getName().startswith("__bucket="):
-                bucket = int(part.getName().split("=")[1])
-                old += [now[bucket]] if bucket in now else []
-                now[bucket] = part.toString()
-    return last, now, old
-
-
-def read_collection(spark: SparkSession, path: str) -> DataFrame:
-    """A collection as its last committed versions have it."""
-    _, now, _ = _versions(spark, path)
-    if not now:
-        raise FileNotFoundError(f"no collection at {path}")
-    return spark.read.parquet(*now.values())
-
-
-def _bucket(key: str) -> Column:
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS)).cast("int")
-
-
-def _write_version(rows: DataFrame, path: str, name: str) -> None:
-    rows.repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/{name}")
-
-
-def rebuild_collection(points: DataFrame, path: str, key: str = "point_id") -> None:
-    """Replace a whole collection; readers see the old one until the new one is committed."""
-    last, _, _ = _versions(points.sparkSession, path)
-    _write_version(points.withColumn("__bucket", _bucket(key)), path, f"v={last + 1:09d}-full")
-    _clean(points.sparkSession, path)
-
-
-def upsert_collection(spark: SparkSession, points: DataFrame, path: str, key: str = "point_id", order: str | None = None) -> None:
-    """Put points into a collection, last write wins.
-
-    Of points that share a key the one with the greatest ``order`` column counts (without one, or on
-    ties, the greatest hash of the row, so that reruns agree). Only buckets that get points are written
-    again, as a new version beside the old ones; it counts when it is committed as a whole, so a
-    crash at any time leaves the last state. One writer at a time.
-    """
-    columns = points.columns
-    ranks = [F.col(order).desc_nulls_last()] if order else []
-    by_key = Window.partitionBy(key).orderBy(*ranks, F.xxhash64(*columns).desc())
-    new = points.withColumn("__i", F.row_number().over(by_key)).filter("__i = 1").select(*columns, _bucket(key).alias("__bucket"))
-    last, now, _ = _versions(spark, path)
-    rows, touched = new, [r[0] for r in points.select(_bucket(key)).distinct().collect()]  # BUCKETS at most
-    before = [now[b] for b in touched if b in now]
-    if before:
-        kept = spark.read.parquet(*before).join(new.select(key), key, "left_anti").withColumn("__bucket", _bucket(key))
-        rows = kept.select(*columns, "__bucket").unionByName(new)
-    if touched:
-        _write_version(rows, path, f"v={last + 1:09d}")
-        _clean(spark, path)
-
-
-def _clean(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    for folder in _versions(spark, path)[2]:
-        at(folder).getFileSystem(spark._jsc.hadoopConfiguration()).delete(at(folder), True)

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import runs
-from ..sources import storage
+from ..operators import parse, runs
+from ..plans import jobs
+from ..sources import collection
+from . import tables
 
 
 def incremental(stream: DataFrame, job: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str, order: str | None = None) -> StreamingQuery:
@@ -19,7 +21,7 @@ def incremental(stream: DataFrame, job: Callable[[DataFrame], DataFrame], path:
     """
 
     def each(batch: DataFrame, _: int) -> None:
-        storage.upsert_collection(batch.sparkSession, job(batch), path, key, order)
+        collection.upsert_collection(batch.sparkSession, job(batch), path, key, order)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -28,6 +30,31 @@ def document_stream(spark: SparkSession, path: str, schema, files_per_trigger: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def incremental_parse(
+    stream: DataFrame, spans_of: Callable[[DataFrame], DataFrame], root: str, checkpoint: str, key: str = "doc_id", text: str = "text"
+) -> StreamingQuery:
+    """Parse a stream of documents into the tables ``runs``, ``blocks``, ``citations``, ``reviews`` and ``dead_letters`` at ``root``.
+
+    ``spans_of`` gives the spans of documents, with ``key`` as parse_run_id. A document without text is
+    a dead letter and a run with that error. A micro-batch's tables are committed together, and once:
+    a batch that was killed or is replayed leaves nothing twice. A document that comes again in a
+    later batch replaces what the earlier one left; ``tables.read`` does so by the table ``runs``. A document
+    that comes twice in one batch counts once.
+    """
+
+    def work(rows: DataFrame, batch: tables.Batch) -> None:
+        blank = F.col(text).isNull() | (F.trim(F.regexp_replace(text, r"\s+", " ")) == "")
+        good, bad = with_dead_letters(rows.dropDuplicates([key]), F.when(blank, F.lit("no text")))
+        blocks = batch.write("blocks", jobs.corpus_parse(spans_of(good)))
+        batch.write("citations", parse.citation_rows(blocks))
+        batch.write("reviews", parse.review_actions(blocks))
+        bad = batch.write("dead_letters", bad)
+        run = F.col(key).cast("string").alias("parse_run_id")
+        batch.write("runs", good.select(run, F.lit(None).cast("string").alias("error")).unionByName(bad.select(run, "error")))
+
+    return stream.writeStream.foreachBatch(tables.into_tables(root, work)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def run_states(events: DataFrame, late: str | None = None) -> DataFrame:
     """Latest state of each run in update mode; a watermark only bounds the state kept."""
     return runs.latest_state(events.withWatermark("ts", late) if late else events)
