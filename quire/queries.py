@@ -277,14 +277,20 @@ def p20_completed_runs(spark, sf_dir):
 # --- joins -------------------------------------------------------------------------------------
 
 
-@_query(f"WITH {fx.BLOCKS}, {fx.RUNS.strip()} SELECT r.parse_run_id, r.status, b.block_id FROM runs r JOIN blocks b ON r.workspace_id = b.workspace_id AND r.parse_run_id = b.parse_run_id JOIN labels l ON l.doc_id = r.doc_id")
+@_query(
+    f"WITH {fx.BLOCKS}, {fx.RUNS.strip()}, held AS (SELECT r.*, l.doc_id IS NOT NULL AS labelled FROM runs r LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)) "
+    "SELECT r.parse_run_id, r.status, b.block_id, NULL AS missing FROM held r JOIN blocks b ON r.workspace_id = b.workspace_id AND r.parse_run_id = b.parse_run_id WHERE labelled "
+    "UNION ALL SELECT parse_run_id, status, NULL, 'document' FROM held WHERE NOT labelled"
+)
 def j01_runs_documents_blocks(spark, sf_dir):
-    labelled = fx.table(spark, sf_dir, "labels").select("doc_id").distinct()
-    docs = fx.table(spark, sf_dir, "documents").join(labelled, "doc_id", "left_semi").select(
-        (F.col("doc_id") % 5).cast("string").alias("workspace_id"), F.col("doc_id").cast("string").alias("document_id"), "source"
-    ).withColumnRenamed("source", "filename")
-    rows, _ = runs.joined_runs(fx.runs(spark, sf_dir), docs, _blocks(spark, sf_dir))
-    return rows.select("parse_run_id", "status", "block_id")
+    """Every run: with its document and blocks, or, where the document isn't registered (it has no label), in the report."""
+    known = fx.table(spark, sf_dir, "labels").select("doc_id").distinct()
+    docs = fx.table(spark, sf_dir, "documents").join(known, "doc_id", "left_semi").select(
+        (F.col("doc_id") % 5).cast("string").alias("workspace_id"), F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("filename")
+    )
+    rows, missing = runs.joined_runs(fx.runs(spark, sf_dir), docs, _blocks(spark, sf_dir))
+    report = missing.select("parse_run_id", "status", F.lit(None).cast("string").alias("block_id"), F.lit("document").alias("missing"))
+    return rows.select("parse_run_id", "status", "block_id", F.lit(None).cast("string").alias("missing")).unionByName(report)
 
 
 _IOU = "(greatest(0, least(s.x + s.w, r.x + r.w) - greatest(s.x, r.x)) * greatest(0, least(s.y + s.h, r.y + r.h) - greatest(s.y, r.y)))"
@@ -321,14 +327,46 @@ def _fields(spark, sf_dir):
     return extraction.schema_fields(rows)
 
 
-@_query()
+# What follows an alias, up to the next label or end; then a label that follows the value.
+_VALUE_END = r"\s*[:#-]?\s*(.+?)(?:\s+[A-Z][A-Za-z ]{1,30}\s*[:#-]|\n|;|\||$)"
+_CUT = r"^((?s).*?)\s+(?:invoice\s*(?:no|number)|total|date|vendor|amount\s*due|due\s*date)\s*[:#-]\s*"
+
+
+def _after_alias(alias: str) -> str:
+    rule = f"'(?i){alias.replace(' ', chr(92) + 's+')}{_VALUE_END}'"
+    value = _SHARP.format(f"regexp_extract(text, {rule}, 1)")
+    return f"WHEN regexp_matches(text, {rule}) THEN CASE WHEN regexp_matches({value}, '(?i){_CUT}') THEN {_SHARP.format(f"regexp_extract({value}, '(?i){_CUT}', 1)")} ELSE {value} END"
+
+
+_SHARP = "trim({}, ' ' || chr(10) || chr(9) || chr(13))"
+_ALIASES = {"the_of": ("the_of", "the of"), "number": ("number",), "de_la": ("de_la", "de la", "und die"), "license": ("license", "License")}
+_FIELD_VALUE = " ".join(f"WHEN '{f}' THEN CASE {' '.join(map(_after_alias, names))} ELSE {_SHARP.format('text')} END" for f, names in _ALIASES.items())
+_EXTRACTED = f"""WITH {fx.BLOCKS},
+names AS (SELECT * FROM (VALUES {", ".join(f"('{f}', '{a}')" for f, names in _ALIASES.items() for a in names)}) AS v (field_name, alias)),
+told AS (SELECT field_name, list_distinct([w for w in regexp_split_to_array(lower(alias), '[^\\p{{L}}\\p{{N}}_]+') if w <> '']) AS own FROM names),
+tokens AS (SELECT parse_run_id, page, ord, block_id, text, calibrated, list_distinct([w for w in regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+') if w <> '']) AS t FROM blocks),
+scored AS (SELECT parse_run_id, page, ord, block_id, text, calibrated, field_name, greatest(max(len(list_intersect(own, t)) / CAST(len(own) AS DOUBLE)), CASE WHEN field_name = 'number' AND regexp_matches(text, '[0-9]') THEN 1.0 ELSE 0.0 END) AS score FROM tokens, told GROUP BY parse_run_id, page, ord, block_id, text, calibrated, field_name),
+chosen AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY parse_run_id, field_name ORDER BY score DESC, page, ord) = 1),
+valued AS (SELECT *, CASE WHEN field_name = 'number' AND regexp_matches(text, '[0-9]') THEN regexp_extract(text, '[0-9]+') ELSE CASE field_name {_FIELD_VALUE} END END AS value FROM chosen),
+parsed_values AS (SELECT *, CASE WHEN field_name = 'number' THEN coalesce(TRY_CAST(nullif(regexp_extract(replace(value, ',', ''), '-?[0-9]+(?:\\.[0-9]+)?'), '') AS DOUBLE), 0.0::DOUBLE) END AS number,
+  CASE WHEN field_name = 'de_la' THEN array_to_string([trim(x, ' ') for x in regexp_split_to_array(value, '[,;|]') if trim(x, ' ') <> ''], '/') END AS items,
+  CASE WHEN field_name IN ('the_of', 'license') THEN value END AS string FROM valued),
+checked AS (SELECT *, CASE field_name WHEN 'license' THEN 'required:' || CASE WHEN value <> '' THEN 'pass' ELSE 'fail' END
+  WHEN 'number' THEN 'regex:' || CASE WHEN regexp_matches(value, '[0-9]') THEN 'pass' ELSE 'fail' END || ',minimum:' || CASE WHEN number >= 1 THEN 'pass' ELSE 'fail' END
+  ELSE field_name || '_present:' || CASE WHEN value <> '' THEN 'pass' ELSE 'warn' END END AS validators FROM parsed_values)
+SELECT parse_run_id, field_name, value, number, items, string, validators, block_id, round(1 / (1 + exp(-(0.25::DOUBLE * CASE WHEN contains(validators, 'fail') OR contains(validators, 'warn') THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END
+  + 0.30::DOUBLE * CASE WHEN trim(text) = '' THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END + 0.20::DOUBLE * calibrated + 0.15::DOUBLE * 0.75::DOUBLE - 0.10::DOUBLE * CASE WHEN value <> '' THEN 0.0::DOUBLE ELSE 0.25::DOUBLE END))), 6) AS raw_confidence FROM checked"""
+
+
+@_query(_EXTRACTED)
 def j04_extracted_fields(spark, sf_dir):
-    """Fields of every run with value, validators, confidence, citation."""
+    """Fields of every run with value, typed values, validators, confidence, citation."""
     blocks = _blocks(spark, sf_dir).withColumn("schema_id", F.lit(0))
     found = extraction.extract(blocks, _fields(spark, sf_dir))
     return found.select(
-        "parse_run_id", "field_name", "value", F.to_json("typed").alias("typed"), F.to_json("validators").alias("validators"), r6("raw_confidence", "raw_confidence"), "block_id"
-    )
+        "parse_run_id", "field_name", "value", "typed.number", F.array_join("typed.array", "/").alias("items"), "typed.string",
+        F.array_join(F.transform("validators", lambda v: F.concat_ws(":", v["name"], v["status"])), ",").alias("validators"), r6("raw_confidence", "raw_confidence"), "block_id",
+    )
 
 
 @_query(
@@ -599,7 +637,6 @@ def w05_reading_order(spark, sf_dir):
     return assembly.reading_order(_blocks(spark, sf_dir)).select("parse_run_id", "block_id", "rank")
 
 
-_SHARP = "trim({}, ' ' || chr(10) || chr(9) || chr(13))"
 #: Pairs of broken paragraphs, every other one of a chain; then tables row by row against the head of their chain.
 _ASSEMBLED = f"""{_ORDER},
 in_order AS (SELECT c.*, rank FROM c JOIN ranks USING (parse_run_id, block_id)),
@@ -679,18 +716,23 @@ def w11_split_boundaries(spark, sf_dir):
     return packets.boundaries(pages, packets.adjacent_similarity(pages, packets.term_weights(pages)), packets.heading_pages(rows))
 
 
+_SEGMENT_LABEL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(substr(lower(t), 1, 500), '{m}')" for m in marks) + f" THEN '{label}'" for label, marks in text.SEGMENT_LABELS) + " ELSE 'document' END"
+
+
 @_query(
     f"WITH {_BOUND}, seg AS (SELECT p.parse_run_id, p.page, p.text, l.similarity, s.page IS NOT NULL AS st, sum(CASE WHEN s.page IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY p.parse_run_id ORDER BY p.page) AS segment "
     "FROM pages p LEFT JOIN starts s ON s.parse_run_id = p.parse_run_id AND s.page = p.page LEFT JOIN likes l ON l.parse_run_id = p.parse_run_id AND l.page = p.page), "
-    "g AS (SELECT parse_run_id, segment, min(page) AS start_page, max(page) AS last_page, count(*) AS n, avg(CASE WHEN NOT st THEN similarity END) AS m FROM seg GROUP BY ALL), "
-    "e AS (SELECT *, coalesce(lead(start_page) OVER (PARTITION BY parse_run_id ORDER BY segment) - 1, last_page) AS end_page, sum(n) OVER (PARTITION BY parse_run_id) AS np FROM g) "
-    "SELECT parse_run_id, start_page, end_page, end_page - start_page + 1 AS page_count, round(CASE WHEN np = 1 THEN 0.8::DOUBLE WHEN n = 1 THEN 1.0::DOUBLE ELSE least(1.0, greatest(0.0, m)) END, 3) AS confidence, "
-    "round((end_page - start_page + 1) / (max(end_page) OVER (PARTITION BY parse_run_id) + 1), 6) AS share FROM e"
+    "g AS (SELECT parse_run_id, segment, min(page) AS start_page, max(page) AS last_page, count(*) AS n, avg(CASE WHEN NOT st THEN similarity END) AS m, substr(string_agg(text, ' ' ORDER BY page), 1, 1024) AS t FROM seg GROUP BY ALL), "
+    "e AS (SELECT *, coalesce(lead(start_page) OVER (PARTITION BY parse_run_id ORDER BY segment) - 1, last_page) AS end_page, sum(n) OVER (PARTITION BY parse_run_id) AS np FROM g), "
+    "c AS (SELECT *, CASE WHEN np = 1 THEN 0.8::DOUBLE WHEN n = 1 THEN 1.0::DOUBLE ELSE round(least(1.0, greatest(0.0, m)), 4) END AS coherence FROM e) "
+    f"SELECT parse_run_id, start_page, end_page, end_page - start_page + 1 AS page_count, {_SEGMENT_LABEL} AS label, coherence AS confidence, "
+    "CASE WHEN np = 1 THEN 'single page' ELSE 'tfidf semantic coherence=' || CAST(round(CAST(coherence AS DECIMAL(6, 4)), 3) AS VARCHAR) END AS evidence, "
+    "round((end_page - start_page + 1) / (max(end_page) OVER (PARTITION BY parse_run_id) + 1), 6) AS share FROM c"
 )
 def w12_segments(spark, sf_dir):
     """W12, A15, W15 and F16."""
     rows = jobs.split_packets(fx.packets(spark, sf_dir).filter(~text.is_blank(F.col("text"))))
-    return rows.select("parse_run_id", "start_page", "end_page", "page_count", F.round("confidence", 3).alias("confidence"), r6("share", "share"))
+    return rows.select("parse_run_id", "start_page", "end_page", "page_count", "label", "confidence", "evidence", r6("share", "share"))
 
 
 _COS = """pts AS (SELECT vec_id // 8 AS point_id, vec_id, embedding FROM embeddings), qs AS (SELECT vec_id // 100 AS query_id, vec_id AS token, embedding AS q FROM embeddings WHERE vec_id % 100 < 4),
@@ -807,7 +849,20 @@ def f13_html_tables(spark, sf_dir):
     return fx.table(spark, sf_dir, "pages").select("page_id", F.size(found).cast("long").alias("n_tables"), F.array_join(found, "|").alias("tables"))
 
 
-@_query()
+_HTML = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;')"
+#: Lines that begin with a pipe in a row are a table, other lines that aren't blank a paragraph each.
+_TABLES = f"""WITH lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM (SELECT doc_id, regexp_replace(text, '(?m)^(\\S+) (\\S+) ', '| \\1 | \\2 |' || chr(10), 'g') AS t FROM documents)),
+sharp AS (SELECT doc_id, i, {_SHARP.format("line")} AS line FROM lines),
+marked AS (SELECT *, starts_with(line, '|') AS piped, i - row_number() OVER (PARTITION BY doc_id, starts_with(line, '|') ORDER BY i) AS island FROM sharp),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, piped, island ORDER BY i) AS n, [{_SHARP.format("c")} for c in string_split(regexp_replace(line, '^\\|+|\\|+$', '', 'g'), '|')] AS cells FROM marked),
+rows AS (SELECT *, CASE WHEN n = 2 AND len([c for c in cells if NOT regexp_full_match(c, '[-: ]*')]) = 0 THEN '' ELSE '<tr>' || array_to_string(['<' || CASE WHEN n = 1 THEN 'th' ELSE 'td' END || '>' || {_HTML.format("c")} || '</' || CASE WHEN n = 1 THEN 'th' ELSE 'td' END || '>' for c in cells], '') || '</tr>' END AS tr FROM placed),
+parts AS (SELECT doc_id, min(i) AS i, '<table>' || string_agg(tr, '' ORDER BY i) || '</table>' AS part FROM rows WHERE piped GROUP BY doc_id, island
+  UNION ALL SELECT doc_id, i, '<p>' || {_HTML.format("line")} || '</p>' FROM sharp WHERE line <> '' AND NOT starts_with(line, '|')),
+joined AS (SELECT doc_id, string_agg(part, chr(10) ORDER BY i) AS html FROM parts GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(html, '') END AS html FROM documents LEFT JOIN joined USING (doc_id)"""
+
+
+@_query(_TABLES)
 def f14_markdown_tables(spark, sf_dir):
     rows = F.regexp_replace("text", r"(?m)^(\S+) (\S+) ", "| $1 | $2 |\n")
     return fx.table(spark, sf_dir, "documents").select("doc_id", markup.markdown_to_html(rows).alias("html"))
