@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes, text
 from .folds import fold
+from .spatial import overlapping
 
 RUN = ["workspace_id", "document_id", "parse_run_id"]
 
@@ -76,11 +77,11 @@ def detector_regions(detected: DataFrame) -> DataFrame:
 def spans_in_regions(spans: DataFrame, detected: DataFrame, least_iou: float = 0.01) -> DataFrame:
     """Detector regions (parse_run_id, page, ord) with the spans that overlap them, in span order.
 
-    Joined on run and page, so the overlap test only sees spans of the same page; regions without
-    spans stay with an empty array.
+    Boxes meet by page and grid cell (``spatial.overlapping``); regions without spans stay with an
+    empty array.
     """
     s = spans.select("parse_run_id", "page", F.col("ord").alias("span_ord"), "text", F.col("bbox").alias("span_box"))
-    pair = detected.select("parse_run_id", "page", "ord", "bbox").join(s, ["parse_run_id", "page"])
+    pair = overlapping(s, detected.select("parse_run_id", "page", "ord", "bbox"), ["parse_run_id", "page"], "span_box", "bbox")
     pair = pair.filter(boxes.iou(F.col("span_box"), F.col("bbox")) > least_iou)
     found = pair.groupBy("parse_run_id", "page", "ord").agg(
         F.array_sort(F.collect_list(F.struct("span_ord", "text"))).alias("spans")

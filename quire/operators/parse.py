@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes, markup, text
 from .layout import RUN
+from .spatial import overlapping
 
 
 def outcome(route: Column, kind: Column, body: Column, has_spans: Column) -> Column:
@@ -131,7 +132,11 @@ def source_block(citations: DataFrame, blocks: DataFrame) -> DataFrame:
 
     Without any overlap that is the page's first block; pages without blocks give null.
     """
-    b = blocks.select("parse_run_id", "page", "block_id", "ord", F.col("bbox").alias("block_box"))
-    pairs = citations.join(b, ["parse_run_id", "page"], "left")
-    rank = F.struct(F.coalesce(boxes.overlap_area(F.col("block_box"), F.col("bbox")), F.lit(0.0)).alias("shared"), (-F.col("ord")).alias("first"))
-    return pairs.groupBy("parse_run_id", "citation_id", "page").agg(F.max_by("block_id", rank).alias("block_id"), F.max(rank.shared).alias("shared"))
+    keys = ["parse_run_id", "page"]
+    b = blocks.select(*keys, "block_id", "ord", F.col("bbox").alias("block_box"))
+    pairs = overlapping(citations.select(*keys, "citation_id", "bbox"), b, keys, "bbox", "block_box")
+    rank = F.struct(boxes.overlap_area(F.col("block_box"), F.col("bbox")).alias("shared"), (-F.col("ord")).alias("first"))
+    best = pairs.groupBy(*keys, "citation_id").agg(F.max_by("block_id", rank).alias("best_id"), F.max(rank.shared).alias("best"))
+    first = b.groupBy(*keys).agg(F.min_by("block_id", F.struct("ord", "block_id")).alias("first_id"))
+    rows = citations.select(*keys, "citation_id").distinct().join(best, [*keys, "citation_id"], "left").join(first, keys, "left")
+    return rows.select("parse_run_id", "citation_id", "page", F.coalesce("best_id", "first_id").alias("block_id"), F.coalesce("best", F.lit(0.0)).alias("shared"))

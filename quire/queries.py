@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from . import fixtures as fx
 from .functions import boxes, images, markup, text
 from .operators import assembly, evals, extraction, index, late, layout, packets, parse, runs
 from .plans import jobs
-from .sources import collection, files, storage
+from .sources import collection, files, relational, storage
 from .streaming import jobs as streams
 from .streaming import states, tables
 
@@ -116,6 +117,18 @@ def s06_tenant_table(spark, sf_dir):
     return storage.read_table(spark, path, "3").select("doc_id", "source")
 
 
+@_query("SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents")
+def s06_merged_table(spark, sf_dir):
+    """A relational table in the database that Spark ships: written twice, a third of it changed and written twice, read back."""
+    url = f"jdbc:derby:memory:t{uuid.uuid4().hex};create=true"
+    rows = fx.table(spark, sf_dir, "documents").select("doc_id", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    relational.create(spark, url, "docs", "doc_id BIGINT PRIMARY KEY, source VARCHAR(200), n_chars BIGINT")
+    changed = rows.filter("doc_id % 3 = 0").withColumn("n_chars", F.col("n_chars") + 1)
+    for part in (rows, rows, changed, changed):
+        relational.merge(part, url, "docs", ["doc_id"])
+    return relational.read_even(spark, url, "docs", "doc_id", 8).toDF("doc_id", "source", "n_chars")
+
+
 @_query("SELECT vec_id AS point_id, label + 1 AS label FROM embeddings")
 def s07_rebuilt_collection(spark, sf_dir):
     rows = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), "label")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .collection import read_collection, rebuild_collection, upsert_collection  # noqa: F401
@@ -40,6 +40,20 @@ def write_table(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.write.mode(mode).partitionBy("workspace_id").parquet(path)
 
 
+def append_checked(rows: DataFrame, path: str, workspace_id: str) -> int:
+    """Append rows of one workspace to a table by workspace; how many there were.
+
+    A row of another workspace, or of none, fails the job before anything is committed: readers see the
+    table as it was. The counts come from the write itself.
+    """
+    own = F.col("workspace_id").eqNullSafe(F.lit(workspace_id))
+    refused = F.raise_error(F.concat(F.lit(f"a row isn't of workspace {workspace_id}: "), F.coalesce(F.col("workspace_id").cast("string"), F.lit("null"))))
+    count = Observation("checked")
+    checked = rows.withColumn("workspace_id", F.when(own, F.col("workspace_id")).otherwise(refused)).observe(count, F.count("*").alias("n"))
+    checked.write.mode("append").partitionBy("workspace_id").parquet(path)
+    return count.get["n"]
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int, high: int, parts: int = 64, **options: str) -> DataFrame:
     """A relational table read in parallel by ranges of a numeric column."""
     return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts, properties=options)
