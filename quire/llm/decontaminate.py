@@ -4,9 +4,9 @@ Documents and benchmark items are cut into overlapping passages of words. Passag
 over the words of the benchmark that aren't common in the corpus. A randomised SVD, whose one pass
 over the corpus sums ``X'(XO)`` partition by partition for a random O, gives one latent space for the
 whole benchmark; items are rows of X too, as heavy together as all corpus passages. Passages near an item by
-cosine are candidates, and so are passages that share as many of the item's words, common ones too, as
-any accepted passage must; the second kind misses nothing where a group of copies makes words common. A
-longest common subsequence of words, or a shorter one together with the item's answer, confirms
+cosine are candidates. Only for items most of whose words are common in the corpus, as where a large group of
+copies holds them, the space can't tell; their candidates are the passages that share as many of
+their words as any accepted passage must, by exact counts. A longest common subsequence of words, or a shorter one together with the item's answer, confirms
 them, so that paraphrases and spliced items are found and mere likeness isn't enough.
 
 Words are 64-bit hashes, texts are rows of numbers of the benchmark's words, and subsequences of many
@@ -34,6 +34,8 @@ _FOLD = folded(bytes(32 if c < 128 and not chr(c).isalnum() else c for c in rang
 PASSAGE, STEP = 64, 32
 #: Items that are compared with a slice of texts at once; a pass over the documents goes through all of them.
 BLOCK_ITEMS = 200
+#: Words of the items that share a latent space; a larger benchmark has several, each searched for on its own.
+SPACE_WORDS = 200_000
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -330,13 +332,28 @@ def contaminated(
     the whole benchmark. Null and empty texts hold and are nothing; repeated rows of documents are
     reported once for each row; items with equal texts are each reported. Empty tables give an empty result.
 
-    The benchmark is the query set, read on the driver; documents are read three times whatever its
-    size. Inside a task items go by in blocks of BLOCK_ITEMS; an item's result doesn't depend on its block.
+    The benchmark is the query set, read on the driver in parts of about SPACE_WORDS words, which bounds
+    what is sent to tasks; documents are read three times for each part. Inside a task items go by in blocks of
+    BLOCK_ITEMS; an item's result doesn't depend on its block.
     """
+    rows = benchmark.select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator()
+    found, told, size = None, [], 0
+    for r in rows:
+        told.append((r[0], r[1], answer(r[1])))
+        size += len(r[1] or "") // 5  # about
+        if size >= SPACE_WORDS:
+            part = _contaminated(docs, told, rules, rank, most_common)
+            found, told, size = part if found is None else found.unionByName(part), [], 0
+    if told or found is None:
+        part = _contaminated(docs, told, rules, rank, most_common)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _contaminated(docs: DataFrame, told: list[tuple], rules: Rules, rank: int, most_common: float) -> DataFrame:
+    """``contaminated`` for items (item_id, text, answer) that share a latent space."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, common int, n_item int, answered double, cosine double"
-    rows = benchmark.select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator()
-    told = [(r[0], r[1], answer(r[1])) for r in rows]
     h, bounds = words(pa.array([t for _, t, _ in told], pa.string()))
     known = np.unique(h)
     if not len(known):
@@ -349,6 +366,7 @@ def contaminated(
     names, items, answers = ([x[k] for k in filled] for x in ([t[0] for t in told], items, answers))
     df, n = _counts(docs, known)
     counts = df <= max(most_common * n, 1)
+    few = np.array([2 * counts[x].sum() < len(x) for x in map(np.unique, items)])
     for x in items:
         if not counts[x].any():
             counts[x] = True
@@ -366,21 +384,24 @@ def contaminated(
         of = (text >= k) & (text < k + BLOCK_ITEMS)
         own = items[k : k + BLOCK_ITEMS]
         total = np.array([weight[np.unique(x)].sum() for x in own])
-        blocks.append((k, own, answers[k : k + BLOCK_ITEMS], asked[of], text[of] - k, total))
+        blocks.append((k, own, answers[k : k + BLOCK_ITEMS], asked[of], text[of] - k, total, np.flatnonzero(few[k : k + BLOCK_ITEMS])))
     shared = spark.sparkContext.broadcast((space, basis, blocks, names, weight))  # bounded by the benchmark's words and rank
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, basis, blocks, names, weight = shared.value
         n_words = len(space.known)
-        tools = [(Overlap(own, share, n_words), Sequences(said, n_words)) for _, own, said, *_ in blocks]
+        tools = [
+            (Sequences(own, n_words), Sequences(said, n_words), Overlap([own[i] for i in few], share, n_words) if len(few) else None)
+            for _, own, said, *_, few in blocks
+        ]
         for part in (x for b in batches for x in slices(b)):
             ids, bounds = space.numbers(part.column("text"))
             row, word, value, doc, passage = space.rows(ids, bounds)
             x = _times(row, value, basis, word)
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
             best: dict[tuple[int, int], tuple] = {}
-            for (first, own, said, asked, text, total), (overlap, ends) in zip(blocks, tools, strict=True):
-                for found in _hits(ids, bounds, x, doc, passage, own, said, asked, text, total, overlap, ends, weight, rules):
+            for (first, own, _, asked, text, total, few), (wholes, ends, overlap) in zip(blocks, tools, strict=True):
+                for found in _hits(ids, bounds, x, doc, passage, own, asked, text, total, few, wholes, ends, overlap, weight, rules):
                     key = (found[0], first + found[1])
                     best[key] = max(best.get(key, found[2:]), found[2:])
             column = part.column("doc_id").to_pylist()
@@ -392,19 +413,22 @@ def contaminated(
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def _hits(ids, bounds, x, doc, passage, own, said, asked, text, total, overlap, ends, weight, rules) -> Iterator[tuple]:
+def _hits(ids, bounds, x, doc, passage, own, asked, text, total, few, wholes, ends, overlap, weight, rules) -> Iterator[tuple]:
     """(text, item, common, size, answered, cosine) of each passage of some texts that is accepted for one of ``own``."""
-    exact = overlap.candidates(ids, bounds)
-    pairs = [exact]
+    pairs = [np.empty((0, 3), np.int64)]
+    if overlap:  # items that the space can't tell
+        exact = overlap.candidates(ids, bounds)
+        exact[:, 1] = few[exact[:, 1]]
+        pairs.append(exact)
     for k in range(0, len(x), 65_536):
         r, q = np.nonzero(x[k : k + 65_536] @ asked.T >= rules.cosine)
         pairs.append(np.stack([doc[k + r], text[q], passage[k + r]], axis=1))
     d, t, p = np.unique(np.concatenate(pairs), axis=0).T
-    n, want = np.diff(bounds)[d], overlap.sequences.size[t]
+    n, want = np.diff(bounds)[d], wholes.size[t]
     start = bounds[d] + np.maximum(0, p * STEP - want)
     stop = bounds[d] + np.minimum(n, p * STEP + PASSAGE + want)
-    common = overlap.sequences.common(t, ids, start, stop)
-    good = common >= overlap.least[t]
+    common = wholes.common(t, ids, start, stop)
+    good = common >= np.ceil(min(rules.verbatim, rules.paraphrase) * want - 1e-9)
     d, t, p, start, stop, common = (z[good] for z in (d, t, p, start, stop, common))
     told = ends.common(t, ids, start, stop) / ends.size[t]
     key = doc * (int(passage.max(initial=0)) + 1) + passage  # in order
