@@ -175,4 +175,5 @@ def mix(
 def repeated(mixed: DataFrame) -> DataFrame:
     """The rows of ``mix`` as the mixture has them: each as often as its copies, without ``mix``."""
     copy = F.explode(F.when(F.col("mix.copies") > 0, F.sequence(F.lit(1), F.col("mix.copies"))))
-    return mixed.select("*", copy.alias("__copy")).drop("mix", "__copy")
+    rows = mixed.select(F.struct(*[F.col(f"`{c}`") for c in mixed.columns if c != "mix"]).alias("row"), copy.alias("copy"))
+    return rows.select("row.*")

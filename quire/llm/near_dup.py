@@ -263,8 +263,9 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80,
     Texts without words are linked with nothing, so each different one stays. Rows with a null doc_id stay.
     """
     rows = near_duplicates(docs, width, percent, size).filter("kept and doc_id is not null")
-    chosen = rows.groupBy("doc_id", "part").agg(F.min("text_id").alias("__text_id")).select("doc_id", "__text_id").distinct()
-    texts = docs.withColumn("__text_id", _text_id()).join(chosen, ["doc_id", "__text_id"], "left_semi")
-    order = Window.partitionBy("doc_id", "__text_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    first = texts.withColumn("__i", F.row_number().over(order)).filter("__i = 1")
-    return first.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
+    chosen = rows.groupBy("doc_id", "part").agg(F.min("text_id").alias("text_id")).select("doc_id", "text_id").distinct()
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # other columns can't clash with names used here
+    texts = docs.select("doc_id", _text_id().alias("text_id"), whole.alias("row")).join(chosen, ["doc_id", "text_id"], "left_semi")
+    order = Window.partitionBy("doc_id", "text_id").orderBy(F.xxhash64("row"))
+    first = texts.withColumn("i", F.row_number().over(order)).filter("i = 1")
+    return first.select("row.*").unionByName(docs.filter("doc_id is null"))
