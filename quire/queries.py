@@ -638,6 +638,22 @@ def w01_span_groups(spark, sf_dir):
     return layout.group_spans(fx.spans(spark, sf_dir)).select("parse_run_id", "page", "ord", "region")
 
 
+@_query(
+    f"WITH RECURSIVE {fx.SPANS}, moved AS (SELECT parse_run_id, page, ord, x + (ord * 7 % 3) * 0.05::DOUBLE AS x, y - (ord % 2) * 0.012::DOUBLE AS y, h FROM spans), "
+    "sorted AS (SELECT *, row_number() OVER (PARTITION BY parse_run_id, page ORDER BY y, x, ord) AS k FROM moved), "
+    "walk AS (SELECT parse_run_id, page, ord, k, 0 AS region, greatest(0.0::DOUBLE, x) AS l, least(1.0::DOUBLE, y + h) AS b FROM sorted WHERE k = 1 "
+    "UNION ALL SELECT parse_run_id, page, ord, k, CASE WHEN same THEN region ELSE region + 1 END, CASE WHEN same THEN least(l, own_l) ELSE own_l END, CASE WHEN same THEN greatest(b, own_b) ELSE own_b END "
+    "FROM (SELECT s.parse_run_id, s.page, s.ord, s.k, region, l, b, greatest(0.0::DOUBLE, s.x) AS own_l, least(1.0::DOUBLE, s.y + s.h) AS own_b, abs(s.y - b) < 0.035::DOUBLE AND abs(s.x - l) < 0.08::DOUBLE AS same "
+    "FROM walk JOIN sorted s ON s.parse_run_id = walk.parse_run_id AND s.page = walk.page AND s.k = walk.k + 1)) "
+    "SELECT parse_run_id, page, ord, CAST(region AS INT) AS region FROM walk"
+)
+def w01_indented_groups(spark, sf_dir):
+    """W01 where lines are indented and uneven, so that a group's box is not its last line's."""
+    b = F.col("bbox")
+    moved = b.withField("x", b.x + (F.col("ord") * 7 % 3) * F.lit(0.05)).withField("y", b.y - (F.col("ord") % 2) * F.lit(0.012))
+    return layout.group_spans(fx.spans(spark, sf_dir).withColumn("bbox", moved)).select("parse_run_id", "page", "ord", "region")
+
+
 @_query(
     f"WITH {fx.BLOCKS} SELECT parse_run_id, block_id, row_number() OVER (PARTITION BY parse_run_id ORDER BY page, CASE WHEN x + w / 2 > 0.62 THEN 1 ELSE 0 END, y, x, ord) - 1 AS rank_hint FROM blocks"
 )
@@ -812,7 +828,7 @@ _METRICS = "SELECT l_orderkey, l_linenumber, 1 - CAST(l_discount AS DOUBLE) AS s
 
 @_query(
     f"WITH m AS ({_METRICS}), l AS (SELECT *, 0.35::DOUBLE * (1 - ssim) + 0.25::DOUBLE * coalesce(cer, 0.0::DOUBLE) + 0.25::DOUBLE * (1 - iou) + 0.15::DOUBLE * (1 - coalesce(clip, 1.0::DOUBLE)) AS loss FROM m) "
-    "SELECT l_orderkey, l_linenumber, CASE WHEN bad THEN 0.5::DOUBLE ELSE round(round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - loss)), 9), 3) END AS score, bad OR loss > 0.1501::DOUBLE AS flagged FROM l"
+    "SELECT l_orderkey, l_linenumber, CASE WHEN bad THEN 0.5::DOUBLE ELSE round(round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - loss)), 9), 3) END AS score, bad OR loss > 0.15::DOUBLE AS flagged FROM l"
 )
 def f10_verify_loss(spark, sf_dir):
     d, t, n = F.col("l_discount").cast("double"), F.col("l_tax").cast("double"), F.col("l_linenumber")
@@ -820,7 +836,7 @@ def f10_verify_loss(spark, sf_dir):
         "l_orderkey", "l_linenumber", (1 - d).alias("ssim"), F.when(n % 5 != 0, t).alias("cer"), (1 - t * 2).alias("layout_iou"),
         F.when(n % 7 != 0, 1 - d * 3).alias("clip_sim"), (F.col("l_orderkey") % 50 == 0).alias("is_degraded"),
     )
-    out = parse.verified(rows, flag_over=0.1501)
+    out = parse.verified(rows)
     return out.select("l_orderkey", "l_linenumber", F.round("verifier.score", 3).alias("score"), F.col("verifier.flag_for_repair").alias("flagged"))
 
 
