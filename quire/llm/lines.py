@@ -24,9 +24,8 @@ from .common import Scratch, finish, folded, linked, run_hashes, signed, slices,
 
 _SIGNS = bytes(c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _FOLD = folded(_SIGNS)
-#: Most bits in which the SimHashes of two lines that are compared differ, and of two of LONG characters or more, of which
-#: the same share of edits leaves more words as they are; unrelated lines differ in 32 on average.
-BITS, LONG_BITS, LONG = 30, 20, 150
+#: Most bits in which the SimHashes of two lines that are compared differ; unrelated lines differ in 32 on average.
+BITS = 30
 #: Up to so many words a line has so many shares and meets others by so many blocks at once; longer lines have 8 shares,
 #: from 100 words on twice as many for each doubling, and meet others by one block.
 SHARES = ((24, 6, 2),)
@@ -298,8 +297,7 @@ def remove_repeated_lines(docs: DataFrame, similarity: float = 0.9, least_words:
     left = nodes.select(F.col("node").alias("a"), F.col("sim").alias("x"), F.col("chars").alias("nx"))
     right = nodes.select(F.col("node").alias("b"), F.col("sim").alias("y"), F.col("chars").alias("ny"))
     sizes = F.abs(F.col("nx") - F.col("ny")) <= (1 - similarity) * F.greatest("nx", "ny") + 1e-9
-    most = F.when(F.least("nx", "ny") >= LONG, LONG_BITS).otherwise(BITS)
-    possible = sizes & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most)
+    possible = sizes & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= BITS)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "at"), "node")
