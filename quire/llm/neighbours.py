@@ -156,10 +156,10 @@ def _starts(nodes: DataFrame, n: int, tables: int, k: int, seed: int) -> DataFra
     return _best(_alone(nodes).unionByName(_compare(groups, k), allowMissingColumns=True), k)
 
 
-def graph(nodes: DataFrame, k: int = 32, rounds: int = 8, tables: int = 3, settled: float = 0.03, seed: int = 11) -> DataFrame:
+def graph(nodes: DataFrame, k: int = 32, rounds: int = 30, tables: int = 3, settled: float = 0.03, seed: int = 11) -> DataFrame:
     """(node, v, ids, ds, changed): the ``k`` nearest found of each of ``nodes`` (node, v as bytes), nearest first.
 
-    Rounds end when less than ``settled`` of all entries change, or after ``rounds`` of them. A round
+    Rounds end when less than ``settled`` of all entries change; RuntimeError if ``rounds`` of them don't get there. A round
     sends every node with its vector to its neighbours, and what they find back: two exchanges, and a
     small one that counts how many come to a node.
     """
@@ -175,8 +175,8 @@ def graph(nodes: DataFrame, k: int = 32, rounds: int = 8, tables: int = 3, settl
         groups = sent.groupBy("pivot", part.alias("part")).agg(F.collect_list(F.struct("node", "v", "worst")).alias("members"))
         knn = cut(_best(knn.drop("changed").unionByName(_compare(groups, 16), allowMissingColumns=True), k))
         if (knn.agg(F.sum("changed")).first()[0] or 0) <= settled * n * k:
-            break
-    return knn
+            return knn
+    raise RuntimeError(f"the graph did not settle in {rounds} rounds")
 
 
 def _distances(pairs: DataFrame) -> DataFrame:
