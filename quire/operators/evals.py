@@ -42,12 +42,15 @@ def squeezed(value: Column) -> Column:
 
 
 def table_score(text: Column, expected_html: Column) -> Column:
-    """Share of the expected table's tokens found in the text; 0 if there are none."""
+    """Share of the expected table's tokens found in the text; 0 if there are none.
+
+    Text and tokens are bound as an array's element, so that they are made once a row and not again for each token.
+    """
     tokens = F.regexp_extract_all(expected_html, F.lit(r"[A-Za-z0-9.$,]+"), F.lit(0))
     tokens = F.filter(tokens, lambda t: (F.length(t) > 1) & ~F.lower(t).isin("table", "tr", "td", "th"))
-    tokens = F.array_distinct(F.transform(tokens, squeezed))
-    actual = squeezed(text)
-    return F.when(F.size(tokens) > 0, F.size(F.filter(tokens, lambda t: F.contains(actual, t))) / F.size(tokens)).otherwise(0.0)
+    bound = F.array(F.struct(F.array_distinct(F.transform(tokens, squeezed)).alias("tokens"), squeezed(text).alias("actual")))
+    share = lambda b: F.when(F.size(b.tokens) > 0, F.size(F.filter(b.tokens, lambda t: F.contains(b.actual, t))) / F.size(b.tokens)).otherwise(0.0)
+    return F.get(F.transform(bound, share), F.lit(0))
 
 
 def value_present(text: Column, value: Column, number: Column) -> Column:

@@ -290,3 +290,10 @@ def test_storage(spark, tmp_path):
     (tmp_path / "g" / "invoice.expected.json").write_text('{"doc_type": "invoice",\n "page_count": 1, "extraction": {"total": 4250.0}}')
     case = storage.golden_cases(spark, str(tmp_path / "g")).first()
     assert (case.case, case.doc_type) == ("invoice", "invoice")
+
+
+def test_table_scores_make_a_text_once(spark):
+    rows = spark.createDataFrame([("a-b 12.50 qty", "<td>ab</td><td>12.50</td><td>none</td><td>x</td>"), ("a", "<td></td>"), (None, "ab"), ("ab", None)], "text string, expected string")
+    done = rows.select(evals.table_score(F.col("text"), F.col("expected")).alias("v"))
+    assert [round(r.v, 6) for r in done.collect()] == [round(2 / 3, 6), 0.0, 0.0, 0.0]
+    assert "contains(regexp_replace" not in done._jdf.queryExecution().analyzed().toString().lower()
