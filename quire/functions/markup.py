@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from html import unescape
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -50,22 +52,32 @@ MARKS = r"""(?s)<!--.*?(?:-->|$)|<[!?][^>]*>|</?[A-Za-z](?:[^'">]++|"[^"]*+"|'[^
 RAW = "script|style"
 
 
-def _named_signs(text: Column) -> Column:
+#: A character reference that ends in a semicolon.
+_CLOSED = re.compile(r"&#?[A-Za-z0-9]+;")
+
+
+def _named_signs(text: Column, closed: bool) -> Column:
     """Character references as the characters they name; only texts with an ampersand leave the JVM."""
 
+    def one(t: str) -> str:
+        if not closed:
+            return unescape(t)
+        return _CLOSED.sub(lambda m: unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0], t)
+
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(unescape, na_action="ignore")
+        return texts.map(one, na_action="ignore")
 
     return F.when(F.contains(text, F.lit("&")), run(text)).otherwise(text)
 
 
-def html_text(html: Column, skip: tuple[str, ...] = ()) -> Column:
+def html_text(html: Column, skip: tuple[str, ...] = (), closed: bool = False) -> Column:
     """The text of an HTML fragment: what stands between marks, parted and collapsed to single spaces.
 
     ``skip`` names elements that are left out with their content, such as script and style. Marks
     inside other raw elements (RAW) are text. A fragment without text gives what stands outside of angle
-    brackets, which may be a left-out element's content; null gives null.
+    brackets, which may be a left-out element's content; null gives null. A reference without its semicolon, such as
+    ``&amp`` before a mark, names its character as in browsers, unless ``closed``.
     """
     whole_html = html
     if skip:
@@ -76,6 +88,6 @@ def html_text(html: Column, skip: tuple[str, ...] = ()) -> Column:
     outside = F.split(F.regexp_replace(html, raw, "\u0003"), "\u0003")
     padded = F.concat(inside, F.array(F.lit("")))
     whole = F.array_join(F.zip_with(outside, padded, lambda o, i: F.concat(F.regexp_replace(o, MARKS, " "), F.lit(" "), F.coalesce(i, F.lit("")), F.lit(" "))), "")
-    text = _named_signs(F.translate(whole, "\u0001\u0002", "<>"))
+    text = _named_signs(F.translate(whole, "\u0001\u0002", "<>"), closed)
     text = stripped(F.regexp_replace(text, r"(?U)\s+", " "))
     return F.when(text != "", text).otherwise(stripped(F.regexp_replace(whole_html, "<[^>]+>", " ")))

@@ -214,6 +214,8 @@ def test_markup_and_images(spark):
     assert one(spark, markup.html_text(F.lit(raw))) == 'x < &amp; y a < b c var t = "</p>"; d'
     assert one(spark, markup.html_text(F.lit(raw), ("script", "style"))) == "x < &amp; y a < b c d"
     assert one(spark, markup.html_text(F.lit("<script>x</script>"), ("script",))) == "x"
+    assert one(spark, markup.html_text(F.lit("<p>a &amp</p>&amp;lt; &nope; &#65; &ampx;"))) == "a & &lt; &nope; A &x;"
+    assert one(spark, markup.html_text(F.lit("<p>a &amp</p>&amp;lt; &nope; &#65; &ampx;"), closed=True)) == "a &amp &lt; &nope; A &ampx;"
     assert one(spark, markup.one_row_table(F.lit("  "))) == "<table></table>"
     rng = np.random.default_rng(1)
     a = rng.integers(0, 255, (20, 30, 3)).astype(float)
