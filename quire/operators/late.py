@@ -3,9 +3,9 @@
 Queries and pages are tables. A task gets a part of the queries, then streams through a part of the pages, so
 neither has to fit anywhere as a whole. ``top_pages`` reads packed signs instead of vectors first: a patch is
 its signs times their mean size, and the same again for what that leaves, in a few levels of a bit a
-component each, and the length of the last rest. A token is some planes of bits, so its product with signs comes
-from counts of common bits, and with the rest it is at most the rest's length. Pages that these
-bounds can't exclude are scored exactly.
+component each, and the length of the last rest. The product of a token and what the signs say is exact, and with
+the rest it is at most the rest's length. Pages that these bounds can't exclude are scored exactly: a part of the
+queries and the pages that it asks for meet in a task, so no vector is sent once a pair.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that a task holds, pages of a task, planes of bits of a token's component, levels of signs of a patch.
-QUERY_PART, PAGE_PART, PLANES, LEVELS = 2048, 65_536, 8, 4
+#: Queries that a task holds, pages of a task, levels of signs of a patch.
+QUERY_PART, PAGE_PART, LEVELS = 2048, 65_536, 8
 #: What rounding of doubles may add to a bound.
 _SLACK = 1e-9
 _SCORES = "query_id long, point_id long, score double"
@@ -40,21 +40,31 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values.reshape(len(width), -1) if len(width) else values.reshape(0, 0), offsets - offsets[0]
 
 
-def _meeting(pages: DataFrame, queries: DataFrame, page_columns: list[str], work: Callable, schema: str) -> DataFrame:
+def _dealt(key: str, n: int) -> Column:
+    """Which of ``n`` parts a query or page belongs to."""
+    return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(n)).cast("int")
+
+
+def _parts(pages: DataFrame, queries: DataFrame) -> tuple[int, int]:
+    """Into how many parts queries and pages are dealt; 0 where there are none."""
+    rows, asked = pages.count(), queries.count()
+    return -(-asked // QUERY_PART), rows and max(pages.sparkSession.sparkContext.defaultParallelism, -(-rows // PAGE_PART))
+
+
+def _meeting(pages: DataFrame, queries: DataFrame, page_columns: list[str], work: Callable, schema: str, dealt: tuple[int, int] | None = None) -> DataFrame:
     """Rows of ``work(ids, tokens, starts, batches)`` for each part of queries and part of pages.
 
     Queries stand in QUERY_PART at most a part and are sent to every part of pages, and pages
-    to every part of queries; ``batches`` are Arrow batches of ``page_columns``.
+    to every part of queries, or to the one in their column ``part``; ``batches`` are Arrow batches of ``page_columns``.
     """
     spark = pages.sparkSession
-    rows, asked = pages.count(), queries.count()
-    if not rows or not asked:
+    parts, places = dealt or _parts(pages, queries)
+    if not parts or not places:
         return spark.createDataFrame([], schema)
-    parts, places = -(-asked // QUERY_PART), max(spark.sparkContext.defaultParallelism, -(-rows // PAGE_PART))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = queries.select(part("query_id", parts).alias("part"), each(places).alias("place"), F.lit(0).alias("kind"), F.col("query_id").cast("long").alias("id"), F.col("tokens").cast("array<array<double>>").alias("tokens"))
-    right = pages.select(each(parts).alias("part"), part("point_id", places).alias("place"), F.lit(1).alias("kind"), F.col("point_id").cast("long").alias("id"), *page_columns)
+    to = F.col("part") if "part" in pages.columns and dealt else each(parts).alias("part")
+    left = queries.select(_dealt("query_id", parts).alias("part"), each(places).alias("place"), F.lit(0).alias("kind"), F.col("query_id").cast("long").alias("id"), F.col("tokens").cast("array<array<double>>").alias("tokens"))
+    right = pages.select(to, _dealt("point_id", places).alias("place"), F.lit(1).alias("kind"), F.col("point_id").cast("long").alias("id"), *page_columns)
     both = left.unionByName(right, allowMissingColumns=True).select("part", "place", "kind", "id", "tokens", *page_columns)
     both = both.repartition("part", "place").sortWithinPartitions("part", "place", "kind", "id")
 
@@ -128,8 +138,8 @@ def packed(pages: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(point_id, n, signs, sizes, rest) of pages (point_id, patches), which ``top_pages`` scans.
 
     A patch, as a vector of length 1, has ``levels`` times its sign bits in words of 64 and their size, and the
-    length of what they leave, which a level brings down to about 0.6 of what it was. Four levels take a
-    sixteenth of the bytes of doubles and some numbers a patch. A zero vector has sizes and rest 0.
+    length of what they leave, which a level brings down to about 0.6 of what it was. Eight levels take an
+    eighth of the bytes of doubles and some numbers a patch. A zero vector has sizes and rest 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,37 +176,18 @@ class _Bounds:
     """Bounds of the scores of packed pages; what its own lower bounds exclude is left out."""
 
     def __init__(self, k: int, ids: np.ndarray, q: np.ndarray, starts: np.ndarray):
-        self.k, self.ids, self.starts, self.d = k, ids, starts, q.shape[1]
+        self.k, self.ids, self.starts, self.q = k, ids, starts, q
         self.low = np.full((k, len(ids)), -np.inf)
-        # a component is low + step * whole number, rounded by half a step at most
-        lowest = q.min(1, keepdims=True)
-        self.step = np.maximum((q.max(1, keepdims=True) - lowest) / (2**PLANES - 1), 1e-300)
-        whole = np.rint((q - lowest) / self.step).astype(np.int64)
-        self.planes = [_words((whole >> b) & 1 == 1) for b in range(PLANES)]
-        value = lowest + self.step * whole
-        self.total, self.lowest = value.sum(1), lowest[:, 0]
-        self.error = np.abs(q - value).sum(1)
-
-    def _products(self, signs: np.ndarray) -> np.ndarray:
-        """Each token times each row of signs, within ``error``."""
-        ones = np.bitwise_count(signs).sum(1, dtype=np.int64)
-        plus = np.zeros((len(self.total), len(signs)))  # sum of the token's components where the sign is plus
-        for b, plane in enumerate(self.planes):
-            both = sum(np.bitwise_count(plane[:, None, w] & signs[None, :, w]).astype(np.int64) for w in range(signs.shape[1]))
-            plus += float(1 << b) * both
-        return 2 * (self.lowest[:, None] * ones + self.step * plus) - self.total[:, None]
 
     def pages(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in (batch.slice(k, 64) for k in range(0, batch.num_rows, 64)):
             n = part.column("n").to_numpy()
             values = lambda c: part.column(c).flatten().to_numpy().reshape(int(n.sum()), -1)  # noqa: E731, B023
             sizes, rest = values("sizes"), values("rest")[:, 0]
-            levels = values("signs").view(np.uint64).reshape(len(rest), sizes.shape[1], -1)
-            near, spread = np.zeros((len(self.total), len(rest))), np.zeros((len(self.total), len(rest)))
-            for k in range(sizes.shape[1]):
-                near += self._products(np.ascontiguousarray(levels[:, k])) * sizes[:, k]
-                spread += self.error[:, None] * sizes[:, k]
-            spread += rest + _SLACK
+            levels = values("signs").view(np.uint8).reshape(len(rest), sizes.shape[1], -1)
+            plus = np.unpackbits(levels, axis=2)[:, :, : self.q.shape[1]]
+            near = self.q @ np.einsum("nl,nld->nd", sizes, 2.0 * plus - 1.0).T
+            spread = rest + _SLACK
             places = np.cumsum([0, *n])[:-1]
             sums = lambda m: np.add.reduceat(np.maximum.reduceat(m, places, axis=1), self.starts, axis=0).T  # noqa: E731, B023
             upper, lower = sums(np.minimum(near + spread, 1 + _SLACK)), sums(np.maximum(near - spread, -1 - _SLACK))
@@ -211,12 +202,37 @@ class _Bounds:
 
 def bounds(signs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, point_id, upper, lower) of pages of ``packed`` that can be among the ``k`` best of a query."""
-    queries = queries.filter("size(tokens) > 0")
+    queries = queries.filter("size(tokens) > 0").dropDuplicates(["query_id"])  # a repeated query must not count its bounds twice
     found = _meeting(signs, queries, ["n", "signs", "sizes", "rest"], lambda *x: _Bounds(k, *x), "query_id long, point_id long, upper double, lower double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("lower"))
-    kth = found.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= k)
-    floors = kth.groupBy("query_id").agg(F.when(F.max("i") == k, F.min("lower")).otherwise(float("-inf")).alias("floor"))
-    return found.join(floors, "query_id").filter("upper >= floor").select("query_id", "point_id", "upper", "lower")
+    whole = Window.partitionBy("query_id").orderBy(F.desc("lower")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    floor = F.coalesce(F.nth_value("lower", k).over(whole), F.lit(float("-inf")))
+    return found.withColumn("floor", floor).filter("upper >= floor").drop("floor")
+
+
+class _Asked:
+    """Scores of pages for the queries of a part that ask for them."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, starts: np.ndarray):
+        self.order = np.argsort(ids, kind="stable")
+        self.ids, self.q, self.starts, self.sizes = ids[self.order], q, starts[self.order], np.diff([*starts, len(q)])[self.order]
+
+    def pages(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in (batch.slice(k, 64) for k in range(0, batch.num_rows, 64)):
+            d, places = _flat(part.column("patches"))
+            d, asked, found = _unit(d), part.column("asked"), []
+            for i, point in enumerate(part.column("id").to_pylist()):
+                wanted = asked[i].values.to_numpy()
+                at = np.flatnonzero(np.isin(self.ids, wanted))
+                for size in np.unique(self.sizes[at]):  # one small product a pair, so equal pages get equal scores
+                    some = at[self.sizes[at] == size]
+                    tokens = self.q[self.starts[some][:, None] + np.arange(size)]
+                    scores = (tokens @ d[places[i] : places[i + 1]].T).max(2).sum(1)
+                    found.append((self.ids[some], np.full(len(some), point), scores))
+            columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "point_id", "score"])
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        return iter(())
 
 
 def top_pages(signs: DataFrame, pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -225,17 +241,11 @@ def top_pages(signs: DataFrame, pages: DataFrame, queries: DataFrame, k: int) ->
     ``signs`` is ``packed(pages)``, usually a table written with the pages. Only pages whose bounds allow
     it are read as vectors and scored; the bounds are proven, so none of the best is lost, ties included.
     """
-    rows = bounds(signs, queries, k).join(pages.select(F.col("point_id").cast("long").alias("point_id"), F.col("patches").cast("array<array<double>>").alias("patches")), "point_id")
-    rows = rows.join(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("tokens").cast("array<array<double>>").alias("tokens")), "query_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = []
-            d, places = _flat(batch.column("patches"))
-            q, starts = _flat(batch.column("tokens"))
-            d, q = _unit(d), _unit(q)
-            for i in range(batch.num_rows):
-                scores.append(float((q[starts[i] : starts[i + 1]] @ d[places[i] : places[i + 1]].T).max(1).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("point_id"), pa.array(scores, pa.float64())], names=["query_id", "point_id", "score"])
-
-    return rows.select("query_id", "point_id", "patches", "tokens").mapInArrow(run, _SCORES)
+    pages, queries = pages.filter("size(patches) > 0"), queries.filter("size(tokens) > 0")
+    dealt = _parts(pages, queries)
+    if not all(dealt):
+        return pages.sparkSession.createDataFrame([], _SCORES)
+    asked = bounds(signs, queries, k).groupBy(_dealt("query_id", dealt[0]).alias("part"), "point_id").agg(F.collect_set("query_id").alias("asked"))
+    patches = F.col("patches").cast("array<array<double>>").alias("patches")
+    rows = asked.join(pages.select(F.col("point_id").cast("long").alias("point_id"), patches), "point_id")
+    return _meeting(rows, queries, ["patches", "asked"], _Asked, _SCORES, dealt)

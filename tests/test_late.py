@@ -54,6 +54,14 @@ def test_packed_signs_lose_none_of_the_best(spark, seed, d, monkeypatch):
         assert many < len(want) / 2 and many < few
 
 
+def test_bounds_are_close_and_repeated_queries_count_alike(spark):
+    pages, queries, p, q = _tables(spark, 6, 60, 64, 8)
+    width = lambda signs: np.mean([r.upper - r.lower for r in late.bounds(signs, q, 500).collect()])
+    assert width(late.packed(p)) < 0.75 * width(late.packed(p, 4))
+    twice = late.top_pages(late.packed(p), p, q.unionByName(q), 3)
+    assert twice.count() == 2 * twice.distinct().count()
+
+
 def test_partial_best_and_empty_tables(spark):
     pages, queries, p, q = _tables(spark, 5, 40, 6, 4)
     want = _brute(pages, queries)
