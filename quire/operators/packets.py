@@ -20,30 +20,35 @@ def page_text(blocks: DataFrame, joiner: str = " ") -> DataFrame:
     return rows.groupBy(*PAGE).agg(F.array_join(F.transform(parts, lambda p: p.t), joiner).alias("text"))
 
 
-def term_weights(pages: DataFrame, stop: list[str] = text.STOP_WORDS, most_chars: int = 2048) -> DataFrame:
-    """(parse_run_id, page, term, weight): TF-IDF of each run's pages, unit length.
+def _raw_weights(pages: DataFrame, stop: list[str], most_chars: int) -> DataFrame:
+    """(parse_run_id, page, term, v): TF-IDF before scaling, dealt out by run.
 
-    Stays in sparse rows: counts are combined before the shuffles, and stop words are gone before
-    pairs are made, so frequent words don't skew the (run, term) key.
+    Page texts are shuffled by run, once, and their terms, many times as many bytes, not at all: the counts
+    by run, page and term are aggregations and windows within a run's rows, in sorts that can spill.
     """
-    own = pages.select(*PAGE, F.explode(text.terms(F.col("text"), stop, most_chars)).alias("term"))
-    tf = own.groupBy(*PAGE, "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(*KEY, "term").agg(F.count("*").alias("df"))
-    n = pages.groupBy(*KEY).agg(F.count("*").alias("n"))
-    raw = tf.join(df, [*KEY, "term"]).join(n, KEY)
-    raw = raw.withColumn("v", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = raw.groupBy(*PAGE).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return raw.join(norm, PAGE).select(*PAGE, "term", (F.col("v") / F.col("norm")).alias("weight"))
+    own = pages.select(*PAGE, "text").repartition(*KEY).withColumn("n", F.count("*").over(Window.partitionBy(*KEY)))
+    own = own.select(*PAGE, "n", F.explode(text.terms(F.col("text"), stop, most_chars)).alias("term"))
+    tf = own.groupBy(*PAGE, "term").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
+    df = tf.withColumn("df", F.count("*").over(Window.partitionBy(*KEY, "term")))
+    return df.select(*PAGE, "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("v"))
+
+
+def term_weights(pages: DataFrame, stop: list[str] = text.STOP_WORDS, most_chars: int = 2048) -> DataFrame:
+    """(parse_run_id, page, term, weight): TF-IDF of each run's pages, unit length, in sparse rows dealt out by run."""
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(*PAGE)))
+    return _raw_weights(pages, stop, most_chars).select(*PAGE, "term", (F.col("v") / norm).alias("weight"))
 
 
 def adjacent_similarity(pages: DataFrame, weights: DataFrame) -> DataFrame:
-    """(parse_run_id, page, before, similarity): each page but a run's first with the page before it."""
-    order = Window.partitionBy(*KEY).orderBy("page")
-    steps = pages.select(*PAGE, F.lag("page").over(order).alias("before")).filter("before is not null")
-    a = weights.select(*KEY, F.col("page").alias("before"), "term", F.col("weight").alias("w0"))
-    hit = steps.join(weights, PAGE).join(a, [*KEY, "before", "term"])
-    dot = hit.groupBy(*PAGE).agg(F.sum(F.col("weight") * F.col("w0")).alias("dot"))
-    return steps.join(dot, PAGE, "left").select(*PAGE, "before", F.coalesce("dot", F.lit(0.0)).alias("similarity"))
+    """(parse_run_id, page, before, similarity): each page but a run's first with the page before it.
+
+    A term's row meets the one of the page before as its neighbour among the run's rows of that term.
+    """
+    steps = pages.select(*PAGE, F.lag("page").over(Window.partitionBy(*KEY).orderBy("page")).alias("before")).filter("before is not null")
+    order = Window.partitionBy(*KEY, "term").orderBy("page")
+    rows = weights.select(*PAGE, F.lag("page").over(order).alias("before"), (F.col("weight") * F.lag("weight").over(order)).alias("p"))
+    dot = rows.filter("before is not null").groupBy(*PAGE, "before").agg(F.sum("p").alias("dot"))
+    return steps.join(dot, [*PAGE, "before"], "left").select(*PAGE, "before", F.coalesce("dot", F.lit(0.0)).alias("similarity"))
 
 
 def dense_similarity(pages: DataFrame) -> DataFrame:
@@ -162,28 +167,32 @@ def lexical_scores(pages: DataFrame, categories: list[tuple[str, str]], stop: li
     """(parse_run_id, page, ord, label, score): TF-IDF cosine of pages and categories plus keyword boost.
 
     Each run's corpus is its pages and all categories, which stand as pages with numbers under 0.
-    Similarities come from a join on run and term.
+    A term's row gets the weights of the run's categories with that term, at most one a category, by a window.
     """
     cats = category_rows(categories)
     of_run = pages.select(*KEY).distinct().select(*KEY, F.inline(cats))
     kind = pages.schema["page"].dataType
     added = of_run.select(*KEY, (-1 - F.col("ord")).cast(kind).alias("page"), F.concat_ws(" ", "label", "description").alias("text"))
     weights = term_weights(pages.select(*PAGE, "text").unionByName(added), stop, most_chars)
-    cat = weights.filter("page < 0").select(*KEY, (-1 - F.col("page")).cast("int").alias("ord"), "term", F.col("weight").alias("w0"))
-    near = weights.filter("page >= 0").join(cat, [*KEY, "term"]).groupBy(*PAGE, "ord").agg(F.sum(F.col("weight") * F.col("w0")).alias("dot"))
-    pair = pages.select(*PAGE, F.substring("text", 1, most_chars).alias("t"), F.inline(cats)).join(near, [*PAGE, "ord"], "left")
-    boost = keyword_boost(F.col("t"), F.col("label"), F.col("description"))
-    return pair.select(*PAGE, "ord", "label", (F.coalesce("dot", F.lit(0.0)) + boost).alias("score"))
+    told = F.collect_list(F.when(F.col("page") < 0, F.struct((-1 - F.col("page")).cast("int").alias("ord"), F.col("weight").alias("w0"))))
+    near = weights.withColumn("cats", told.over(Window.partitionBy(*KEY, "term"))).filter("page >= 0 and size(cats) > 0")
+    near = near.select(*PAGE, "weight", F.inline("cats")).groupBy(*PAGE, "ord").agg(F.sum(F.col("weight") * F.col("w0")).alias("dot"))
+    pair = pages.select(*PAGE, F.lower(F.substring("text", 1, most_chars)).alias("t"), F.inline(cats))
+    pair = pair.select(*PAGE, "ord", "label", keyword_boost(F.col("t"), F.col("label"), F.col("description")).alias("boost"))
+    return pair.join(near, [*PAGE, "ord"], "left").select(*PAGE, "ord", "label", (F.coalesce("dot", F.lit(0.0)) + F.col("boost")).alias("score"))
 
 
 def keyword_boost(page: Column, label: Column, description: Column) -> Column:
     """.35 for the label in the text, .08 up to .3 for description words over four letters and known words."""
-    low = F.lower(page)
     words = F.array_distinct(F.filter(F.split(F.lower(description), r"(?U)\s+"), lambda w: F.length(w) > 4))
     known = F.create_map(*[x for k, v in text.CATEGORY_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     extra = F.coalesce(F.try_element_at(known, F.lower(label)), F.array().cast("array<string>"))
-    hits = F.size(F.filter(words, lambda w: F.contains(low, w))) + F.size(F.filter(extra, lambda w: F.contains(low, w)))
-    return F.when(F.contains(low, F.lower(label)), 0.35).otherwise(0.0) + F.least(F.lit(0.3), 0.08 * hits)
+
+    def boost(low: Column) -> Column:
+        hits = F.size(F.filter(F.concat(words, extra), lambda w: F.contains(low, w)))
+        return F.when(F.contains(low, F.lower(label)), 0.35).otherwise(0.0) + F.least(F.lit(0.3), 0.08 * hits)
+
+    return F.get(F.transform(F.array(F.lower(page)), boost), F.lit(0))  # in lower case once a page, not once a word
 
 
 def decide(scores: DataFrame, threshold: float) -> DataFrame:

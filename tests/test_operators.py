@@ -299,3 +299,16 @@ def test_table_scores_make_a_text_once(spark):
     done = rows.select(evals.table_score(F.col("text"), F.col("expected")).alias("v"))
     assert [round(r.v, 6) for r in done.collect()] == [round(2 / 3, 6), 0.0, 0.0, 0.0]
     assert "contains(regexp_replace" not in done._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_terms_are_not_shuffled(spark):
+    rows = [("a", 0, "red blue green"), ("a", 1, "red red stone"), ("a", 3, "blue stone"), ("b", 5, "red"), ("c", 1, "of the"), ("c", 2, "sea")]
+    pages = spark.createDataFrame(rows, "parse_run_id string, page int, text string")
+    like = packets.adjacent_similarity(pages, packets.term_weights(pages))
+    scores = packets.lexical_scores(pages, [("red", "red things"), ("sea", "")])
+    for df in (like, scores):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any("Exchange" in line and "term#" in line for line in plan.split("\n"))
+    found = {(r.parse_run_id, r.page): (r.before, r.similarity) for r in like.collect()}
+    assert set(found) == {("a", 1), ("a", 3), ("c", 2)} and found["a", 3][0] == 1 and found["c", 2] == (1, 0.0) and 0 < found["a", 1][1] < 1
+    assert scores.count() == 2 * len(rows)
