@@ -12,7 +12,7 @@ EQUATION_MARKS = ("=", "∑", "\\frac", " equation ")
 NEXT_LABEL = r"(?iu)\s+(?:invoice\s*(?:no|number)|total|date|vendor|amount\s*due|due\s*date)\s*[:#-]\s*"
 
 #: Unicode white space, for trims like Python's.
-SPACE = r"(?U)^\s+|\s+$"
+SPACE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 # Detector labels and the block types they mean.
@@ -48,7 +48,7 @@ STOP_WORDS = (
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, SPACE, "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def is_blank(text: Column) -> Column:
@@ -75,16 +75,19 @@ def block_type_of_label(label: Column) -> Column:
 
 def region_type(text: Column, average_size: Column, y: Column) -> Column:
     """Type of a region by the first rule that holds."""
-    low = F.lower(text)
-    has = lambda *marks: F.greatest(*[F.contains(low, F.lit(m)) for m in marks])
-    starts = F.greatest(*[F.startswith(low, F.lit(w)) for w in HEADER_STARTS])
-    return (
-        F.when(y > 0.92, "footer")
-        .when((average_size >= 16) | starts, "header")
-        .when(has(*TABLE_MARKS), "table")
-        .when(has(*EQUATION_MARKS), "equation")
-        .otherwise("paragraph")
-    )
+    has = lambda low, *marks: F.greatest(*[F.contains(low, F.lit(m)) for m in marks])
+    starts = lambda low: F.greatest(*[F.startswith(low, F.lit(w)) for w in HEADER_STARTS])
+
+    def rules(low: Column) -> Column:
+        return (
+            F.when(y > 0.92, "footer")
+            .when((average_size >= 16) | starts(low), "header")
+            .when(has(low, *TABLE_MARKS), "table")
+            .when(has(low, *EQUATION_MARKS), "equation")
+            .otherwise("paragraph")
+        )
+
+    return F.get(F.transform(F.array(F.lower(text)), rules), F.lit(0))  # in lower case once a text
 
 
 def route(kind: Column, width: Column, has_spans: Column, source_type: Column) -> Column:

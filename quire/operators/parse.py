@@ -10,22 +10,19 @@ from .layout import RUN
 from .spatial import overlapping
 
 
-def outcome(route: Column, kind: Column, body: Column, has_spans: Column) -> Column:
-    """Struct of engine, raw confidence, html and needs_review for a region's native text."""
+def outcome(route: Column, kind: Column, body: Column, has_spans: Column) -> list[Column]:
+    """engine, raw confidence, html and needs_review for a region's native text, apart: what a query doesn't read isn't made."""
     paragraph = F.concat(F.lit("<p>"), text.escaped_html(body), F.lit("</p>"))
     plain = F.when(has_spans, F.lit("native_pdf_anchor")).otherwise("paddleocr_unavailable")
     table = F.when(kind == "table", markup.one_row_table(body)).otherwise(
         F.concat(F.lit("<div>"), text.escaped_html(body), F.lit("</div>"))
     )
-    simple = F.struct(
-        plain.alias("engine"), F.when(has_spans, 0.96).otherwise(0.20).alias("raw"), paragraph.alias("html"), F.lit(False).alias("needs_review")
-    )
-    complex_ = F.struct(F.lit("native_spans_only").alias("engine"), F.lit(0.25).alias("raw"), table.alias("html"), F.lit(False).alias("needs_review"))
-    fallback = F.struct(
-        F.lit("olmocr_native_anchor_fallback").alias("engine"), F.when(body != "", 0.25).otherwise(0.10).alias("raw"),
-        paragraph.alias("html"), F.lit(True).alias("needs_review"),
-    )
-    return F.when(route == "paddleocr", simple).when(route == "mineru", complex_).otherwise(fallback)
+    by = lambda simple, complex_, other: F.when(route == "paddleocr", simple).when(route == "mineru", complex_).otherwise(other)
+    return [
+        by(plain, F.lit("native_spans_only"), F.lit("olmocr_native_anchor_fallback")).alias("engine"),
+        by(F.when(has_spans, 0.96).otherwise(0.20), F.lit(0.25), F.when(body != "", 0.25).otherwise(0.10)).alias("raw"),
+        by(paragraph, table, paragraph).alias("html"), by(F.lit(False), F.lit(False), F.lit(True)).alias("needs_review"),
+    ]
 
 
 def blended(raw: Column, layout: Column) -> Column:
@@ -38,13 +35,14 @@ def citation(page: Column, body: Column, box: Column) -> Column:
 
 def blocks(regions: DataFrame) -> DataFrame:
     """Block rows of all routes in one projection (no union, no second scan)."""
-    out = regions.withColumn("o", outcome(F.col("route"), F.col("type"), F.col("text"), F.col("n_spans") > 0))
-    score = blended(F.col("o.raw"), F.col("layout_confidence"))
+    known = [c for c in regions.columns if c not in ("engine", "raw", "html", "needs_review")]
+    out = regions.select(*known, *outcome(F.col("route"), F.col("type"), F.col("text"), F.col("n_spans") > 0))
+    score = blended(F.col("raw"), F.col("layout_confidence"))
     return out.select(
-        *RUN, "page", "ord", "block_id", "type", "bbox", "text", F.col("o.html").alias("html"), "route",
-        F.col("o.engine").alias("engine"), F.struct(F.col("o.raw").alias("raw"), score.alias("calibrated")).alias("confidence"),
+        *RUN, "page", "ord", "block_id", "type", "bbox", "text", "html", "route",
+        "engine", F.struct("raw", score.alias("calibrated")).alias("confidence"),
         "layout_confidence", F.array().cast("array<string>").alias("children"),
-        F.array(citation(F.col("page"), F.col("text"), F.col("bbox"))).alias("citations"), F.col("o.needs_review").alias("needs_review"),
+        F.array(citation(F.col("page"), F.col("text"), F.col("bbox"))).alias("citations"), "needs_review",
     )
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from quire import fixtures
 from quire.functions import boxes, images, markup, text
 from quire.operators import assembly, evals, extraction, index, layout, packets, parse, runs
 from quire.plans import jobs
@@ -301,6 +302,16 @@ def test_table_scores_make_a_text_once(spark):
     assert "contains(regexp_replace" not in done._jdf.queryExecution().analyzed().toString().lower()
 
 
+def test_blocks_make_no_html_that_is_not_read(spark):
+    spans = fixtures.spans_of(spark.createDataFrame([(1, "Chapter | one\na < b total c\n x ")], "doc_id long, text string"))
+    blocks = jobs.corpus_blocks(spans)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "<td>" in plan(blocks.select("html")) and "<td>" not in plan(blocks.select("confidence.calibrated", "engine", "needs_review"))
+    signs = [chr(c) for c in range(1, 0x3100)]
+    rows = spark.createDataFrame([(c + "a" + c + "b" + c,) for c in signs], "t string")
+    assert rows.filter(~text.stripped(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
+
+
 def test_terms_are_not_shuffled(spark):
     rows = [("a", 0, "red blue green"), ("a", 1, "red red stone"), ("a", 3, "blue stone"), ("b", 5, "red"), ("c", 1, "of the"), ("c", 2, "sea")]
     pages = spark.createDataFrame(rows, "parse_run_id string, page int, text string")
