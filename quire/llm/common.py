@@ -171,9 +171,9 @@ def run_hashes(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return finish((sums[first + n - 1] - sums[first] + terms[first]) * down[first] + n.astype(np.uint64))
 
 
-def slices(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 1 << 22, column: str = "text") -> Iterator[pa.RecordBatch]:
     """A batch in parts of about ``most`` bytes of its texts; a longer text is a part of its own."""
-    ends = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         done = ends[at - 1] if at else 0
@@ -282,7 +282,7 @@ def listed_members(listed: DataFrame) -> DataFrame:
     return listed.join(lists, "v")
 
 
-def linked(members: DataFrame, left: DataFrame, right: DataFrame, possible, confirmed, dense=None, hot: int = 64) -> DataFrame:
+def linked(members: DataFrame, left: DataFrame, right: DataFrame, possible, confirmed, dense=None, hot: int = 64, once: bool = False) -> DataFrame:
     """Components (id, component) of the links among nodes that meet in a list.
 
     ``members`` has (v, node, first): node is in list v, whose smallest member is first (and with ``dense``
@@ -290,7 +290,7 @@ def linked(members: DataFrame, left: DataFrame, right: DataFrame, possible, conf
     ``possible`` looks at; ``confirmed`` keeps the true links of (a, b) rows. Every list first links
     its members to its smallest one, a number of rows in proportion to the lists. Only members that are
     then outside that one's component meet the rest of the list, again only in rows that ``possible``
-    lets out. With ``dense``, lists of more than ``hot`` members never become pairs: nodes that such
+    lets out. With ``once``, for nodes that meet in many lists, a pair comes from the first of its lists only. With ``dense``, lists of more than ``hot`` members never become pairs: nodes that such
     lists connect are a group, and ``dense`` finds the links between the components of a group, given
     (node, part, grp), part being the component so far.
     """
@@ -308,8 +308,14 @@ def linked(members: DataFrame, left: DataFrame, right: DataFrame, possible, conf
     held = small.join(outside.select("v").distinct(), "v", "left_semi")
     one = outside.select("v", F.col("node").alias("a"), F.col("part").alias("part_a")).join(left, "a")
     two = held.select("v", F.col("node").alias("b"), F.col("part").alias("part_b"), F.expr("part <> head").alias("out")).join(right, "b")
+    if once:  # a pair whose components differ has a member outside in each of its lists, so these are all its lists
+        lists = scratch.keep(held.groupBy("node").agg(F.collect_list("v").alias("lists")), "list-lists")
+        one = one.join(lists.select(F.col("node").alias("a"), F.col("lists").alias("lists_a")), "a")
+        two = two.join(lists.select(F.col("node").alias("b"), F.col("lists").alias("lists_b")), "b")
+        possible = possible & (F.array_min(F.array_intersect("lists_a", "lists_b")) == F.col("v"))
     apart = (F.col("part_a") != F.col("part_b")) & (~F.col("out") | (F.col("a") < F.col("b")))
-    rest = scratch.keep(one.join(two, "v").filter(apart & possible).select("a", "b").distinct(), "list-rest")
+    rest = one.join(two, "v").filter(apart & possible).select("a", "b")
+    rest = scratch.keep(rest if once else rest.distinct(), "list-rest")
     more = [] if rest.isEmpty() else [confirmed(rest)]
     large = placed.filter(F.col("often") > hot) if dense else None
     if dense and not large.isEmpty():

@@ -31,6 +31,10 @@ BITS = 30
 SHARES = ((24, 6, 2),)
 #: Edits up to which diagonals are followed.
 FEW_EDITS = 12
+#: Most words of a band of the table that is followed side by side with others, pairs that are, and bytes of their letters.
+MOST_BAND, BAND_PAIRS, BAND_BYTES = 16, 1024, 1 << 21
+#: Fewer pairs than this for each word of their bands are faster one by one.
+FEW_PAIRS = 64
 #: Letters beyond three a word that a key stands on at least, by the blocks that it has.
 LEAST_STRENGTH = {1: 8, 2: 1}
 #: More lines to verify than this are fetched by a join instead of a broadcast of their places.
@@ -108,6 +112,123 @@ def _same(a: str, b: str, i: int, j: int) -> int:
     return n
 
 
+def within(one: list[str], two: list[str], most: np.ndarray) -> np.ndarray:
+    """Which pairs of strings have an edit distance of at most ``most``, many pairs side by side.
+
+    The table of a pair is followed in a band about its diagonal, as wide as ``most`` allows, whose steps up
+    and down are the bits of words of 64. Pairs are set so that the bottom of each band meets its string's end in the same
+    step; which letters of the band are the next letter of the other string is read off the strings.
+    """
+    m, n = (np.fromiter(map(len, x), np.int64, len(x)) for x in (one, two))
+    good = np.zeros(len(m), bool)
+    width = (2 * most + 65) // 64
+    alone = (m <= most) | (width > MOST_BAND)
+    for k in np.flatnonzero(alone).tolist():
+        good[k] = edit_distance(one[k], two[k], int(most[k])) is not None
+    order = np.flatnonzero(~alone & (np.abs(m - n) <= most))
+    if not len(order):
+        return good
+    letters = [np.frombuffer("".join(x).encode("utf-32-le"), "<u4") for x in (one, two)]
+    there = np.zeros(int(max(x.max(initial=0) for x in letters)) + 1, bool)
+    for x in letters:
+        there[x] = True
+    number = np.cumsum(there)
+    kind = np.uint8 if number[-1] < 255 else np.uint16 if number[-1] < 65535 else np.uint32
+    letters = [number.astype(kind)[x] for x in letters]
+    first = [np.cumsum(x) - x for x in (m, n)]
+    order = order[_alike(letters, first, m, n, order) <= most[order]]
+    order = order[np.lexsort((most[order] - m[order], width[order]))]  # of each width, the longest first
+    at = 0
+    while at < len(order):
+        w, longest = int(width[order[at]]), int((m - most)[order[at]])
+        most_pairs = max(1, min(BAND_PAIRS, BAND_BYTES // (longest * 2 + 256 * w)))
+        some = order[at : at + most_pairs]
+        some = some[width[some] == w]
+        at += len(some)
+        if len(some) < FEW_PAIRS * w:
+            good[some] = [edit_distance(one[k], two[k], int(most[k])) is not None for k in some.tolist()]
+            continue
+        good[some] = _bands(w, letters, [x[some] for x in first], m[some], n[some], most[some], kind)
+    return good
+
+
+def _alike(letters: list[np.ndarray], first: list[np.ndarray], m: np.ndarray, n: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Letters that one string of a pair has more often than the other, or the other than the one: no more than their edit distance."""
+    out, bins = np.zeros(len(which), np.int64), min(int(max(x.max() for x in letters)) + 1, 256)
+    for k in range(0, len(which), BAND_PAIRS):
+        some, counts = which[k : k + BAND_PAIRS], []
+        for flat, start, size in zip(letters, first, (m, n), strict=True):
+            each = size[some]
+            row = np.repeat(np.arange(len(some)), each)
+            at = np.arange(len(row)) + np.repeat(start[some] - (np.cumsum(each) - each), each)
+            counts.append(np.bincount(row * bins + flat[at] % bins, minlength=len(some) * bins).reshape(-1, bins))
+        more = counts[0] - counts[1]
+        out[k : k + BAND_PAIRS] = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+    return out
+
+
+def _bands(width: int, letters: list[np.ndarray], first: list[np.ndarray], m: np.ndarray, n: np.ndarray, most: np.ndarray, kind: type) -> np.ndarray:
+    """``within`` for pairs in order of falling ``m - most`` whose bands have ``width`` words."""
+    band, down_for = 64 * width, m - most
+    turn, rest = int(down_for[0]), n - down_for  # steps until the bottoms end, and from there on
+    last = turn + int(rest.max())
+    pattern = np.zeros((len(m), band + last), kind)
+    text = np.full((len(m), last), np.iinfo(kind).max, kind)
+    for table, flat, start, size, to in ((pattern, letters[0], first[0], m, band + turn - m), (text, letters[1], first[1], n, turn - down_for)):
+        row = np.repeat(np.arange(len(m)), size)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        table[row, place + to[row]] = flat[place + start[row]]
+    one, full, top = np.uint64(1), np.uint64(2**64 - 1), np.uint64(63)
+    up, down = [], [np.zeros(len(m), np.uint64) for _ in range(width)]
+    for k in range(width):
+        zeros = np.clip(band - most - 1 - 64 * k, 0, 64)
+        up.append(np.where(zeros == 64, np.uint64(0), full << (zeros & 63).astype(np.uint64)))
+    distance, limit = most.copy(), most + rest
+    begun = np.searchsorted(-down_for, np.arange(last) - turn, "right")  # down_for >= turn - step
+    out, who = np.zeros(len(m), bool), np.arange(len(m))
+    for step in range(last):
+        if step and step % 32 == 0:  # those that can't come back under their limit go
+            stay = distance <= limit
+            if not stay.all():
+                if not stay.any():
+                    return out
+                begun[step:] = np.cumsum(stay)[begun[step:] - 1]
+                who, distance, limit, rest, most, pattern, text = (x[stay] for x in (who, distance, limit, rest, most, pattern, text))
+                up, down = [x[stay] for x in up], [x[stay] for x in down]
+        c = int(begun[step]) if step < turn else len(who)
+        if not c:
+            continue
+        same = np.packbits(pattern[:c, step + 1 : step + 1 + band] == text[:c, step, None], axis=1, bitorder="little").view("<u8")
+        carry, zeros, right, left = None, [], [], []
+        for k in range(width):
+            x, p, q = same[:, k], up[k][:c], down[k][:c]
+            add = x & p
+            total = add + p
+            over = total < add
+            if carry is not None:
+                total = total + carry
+                over |= total < carry
+            carry = over.astype(np.uint64) if k + 1 < width else None
+            zero = (total ^ p) | x | q
+            zeros.append(zero)
+            right.append(q | ~(zero | p))
+            left.append(zero & p)
+        if step < turn:
+            distance[:c] += (~zeros[-1] >> top).astype(np.int64)
+        else:
+            bit = band - 2 - (step - turn)
+            k, bit, going = bit // 64, np.uint64(bit % 64), step - turn < rest
+            distance += np.where(going, (right[k] >> bit & one).astype(np.int64) - (left[k] >> bit & one).astype(np.int64), 0)
+        for k in range(width):
+            moved = zeros[k] >> one
+            if k + 1 < width:
+                moved |= zeros[k + 1] << top
+            up[k][:c] = left[k] | ~(moved | right[k])
+            down[k][:c] = moved & right[k]
+    out[who] = distance <= most
+    return out
+
+
 def shares_of(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of shares, and of blocks in a key, of lines of ``n`` words."""
     shares, blocks = 8 << np.maximum(0, np.log2(np.maximum(n, 1) / 50).astype(np.int64)), np.ones(len(n), np.int64)
@@ -263,11 +384,10 @@ def _near(pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b, la, lb) whose lines have the edit similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = []
-            for one, two in zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist(), strict=True):
-                most = int((1 - similarity) * max(len(one), len(two)) + 1e-9)
-                hit.append(edit_distance(one, two, most) is not None)
+        for batch in (x for b in batches for x in slices(b, 1 << 20, "lb")):
+            longer = np.maximum(*(pc.utf8_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("la", "lb")))
+            most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+            hit = within(batch.column("la").to_pylist(), batch.column("lb").to_pylist(), most)
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     return pairs.select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
@@ -306,7 +426,7 @@ def remove_repeated_lines(docs: DataFrame, similarity: float = 0.9, least_words:
         two = texts.select(F.col("node").alias("b"), F.col("line").alias("lb"))
         return _near(pairs.join(two, "b").join(one, "a"), similarity)
 
-    whole = linked(members, left, right, possible, confirmed)
+    whole = linked(members, left, right, possible, confirmed, once=True)
     grouped = nodes.join(whole.withColumnRenamed("id", "node"), "node", "left").select("node", "at", F.coalesce("component", "node").alias("part"))
     first = grouped.groupBy("part").agg(F.min("at").alias("first"))
     firsts = scratch.keep(grouped.join(first, "part").select("node", "first"), "line-firsts")
@@ -316,17 +436,18 @@ def remove_repeated_lines(docs: DataFrame, similarity: float = 0.9, least_words:
 
     kept = [c for c in docs.columns if c != "lines"]
     texts = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce("text", F.lit("")).alias("text"),
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id"),
     )
     size = gone.agg(F.count("*"), F.sum(F.size("__gone"))).first()
     small = size[0] + (size[1] or 0) <= BROADCAST_LINES
     texts = texts.join(F.broadcast(gone) if small else gone, ["doc_id", "text_id"], "left")
-    lines = F.split("text", "\n")
+    text = F.coalesce("row.text", F.lit(""))  # sent once, in its row
+    lines = F.split(text, "\n")
     gone_or_none = F.coalesce("__gone", F.array().cast("array<int>"))
     stay = F.filter(lines, lambda _, i: ~F.array_contains(gone_or_none, i))
     lines_out = F.struct(
-        F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")).alias("kept_text"),
+        F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(stay, "\n")).alias("kept_text"),
         F.size(lines).cast("long").alias("n_lines"),
         F.size(gone_or_none).cast("long").alias("n_removed"),
     )

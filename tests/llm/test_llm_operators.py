@@ -357,6 +357,45 @@ def slow_distance(a, b):
     return row[-1]
 
 
+def test_edit_distances_side_by_side():
+    r = random.Random(5)
+    one, two, most, want = [], [], [], []
+    for n in [0, 1, 3, 40, 63, 64, 65, 150, 320] * 40:
+        a = "".join(r.choice("abc é漢\U0001f600") for _ in range(n))
+        b = list(a)
+        for _ in range(r.randint(0, n // 6 + 1)):
+            k = r.randint(0, len(b))
+            b[k : k + r.randint(0, 1)] = r.choice(["", "x", "漢"])
+        b = "".join(b)
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        one.append(a)
+        two.append(b)
+        most.append(max(0, row[-1] + r.randint(-2, 2)))
+        want.append(row[-1] <= most[-1])
+    for some in (len(one), 100):  # all side by side, and few enough to go one by one
+        assert lines.within(one[:some], two[:some], np.array(most[:some])).tolist() == want[:some]
+
+
+def test_pairs_of_many_common_lists_come_once(spark):
+    """Two nodes that meet in many lists outside the first one's component are one pair, not one a list."""
+    seen = []
+    members = spark.createDataFrame([(v, node, 1) for v in range(8) for node in (1, 5, 9)], "v long, node long, first long")
+    left, right = (spark.createDataFrame([(x,) for x in (1, 5, 9)], f"{c} long") for c in "ab")
+
+    def confirmed(pairs):
+        seen.append(sorted((r.a, r.b) for r in pairs.collect()))
+        return pairs.filter("a = 5 and b = 9")
+
+    got = common.linked(members, left, right, F.lit(True), confirmed, once=True).collect()
+    assert seen[0] == [(1, 5), (1, 9)]
+    assert sorted(tuple(sorted(p)) for p in seen[1]) == [(1, 5), (1, 9), (5, 9)]
+    assert {r.id: r.component for r in got} == {9: 5}
+
+
 def test_edit_distance():
     r = random.Random(1)
     for _ in range(3000):
