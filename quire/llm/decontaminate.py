@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import folded, in_task, slices, word_hashes
+from .common import folded, in_task, slices, word_hashes, written
 
 _FOLD = folded(bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256)))
 #: Words of a passage, and from one passage's start to the next.
@@ -137,10 +137,15 @@ class Space:
         self.place = np.cumsum(self.idf > 0) - 1  # a word's place among those that count
         self.size = int((self.idf > 0).sum())
 
-    def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's number (that of ``known``, else its length), and where each text's words begin."""
-        h, bounds = words(texts)
-        return numbered(h, self.known), bounds
+    def numbers(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """Slices of rows of ``_numbered``, each word's number and where each text's words begin."""
+        kind = _kind(self.known)
+        for part in (x for b in batches for x in slices(b, (1 << 19) * kind.itemsize, "ids")):
+            ids = part.column("ids")
+            _, ends, data = ids.buffers()
+            bounds = np.frombuffer(ends, np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
+            flat = np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]].view(kind).astype(np.int64)
+            yield part, flat, (bounds - bounds[0]) // kind.itemsize
 
     def rows(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, word, value) of the unit passage vectors in order of row, and each row's text and passage."""
@@ -236,38 +241,80 @@ class Overlap:
         return np.unique(np.concatenate(out), axis=0)
 
 
+def _kind(known: np.ndarray) -> np.dtype:
+    return np.dtype("<u2" if len(known) < 65536 else "<u4")
+
+
+class _Table:
+    """Numbers of many words by one look-up in a table of first bits; only words whose place several known ones share are searched for."""
+
+    def __init__(self, known: np.ndarray):
+        bits = min(22, max(8, len(known).bit_length() + 6))
+        self.known, self.shift = known, np.uint64(64 - bits)
+        place = known >> self.shift
+        self.number = np.zeros(1 << bits, np.int32)
+        self.number[place[::-1]] = np.arange(len(known), dtype=np.int32)[::-1]  # the first of each place
+        self.shared = np.bincount(place.astype(np.int64), minlength=1 << bits) > 1
+
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        place = h >> self.shift
+        number = self.number[place]
+        out = np.where(self.known[number] == h, number, np.int32(len(self.known)))
+        again = np.flatnonzero(self.shared[place])
+        out[again] = numbered(h[again], self.known)
+        return out
+
+
+def _numbered(docs: DataFrame, known: np.ndarray) -> DataFrame:
+    """(doc_id, ids): each word's place among ``known``, or their number, as 16-bit numbers if they fit, else 32-bit ones.
+
+    Written to the shared folder, as three passes read it and words are only hashed once; texts stay where they are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, kind = _Table(known), _kind(known)
+        for part in (x for b in batches for x in slices(b)):
+            h, bounds = words(part.column("text"))
+            ids = table.numbers(h).astype(kind)
+            ends = pa.py_buffer((bounds * kind.itemsize).astype(np.int32))
+            column = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, ends, pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), column], names=["doc_id", "ids"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return written(rows.mapInArrow(run, "doc_id long, ids binary"), "word-numbers")[0]
+
+
 def _counts(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many documents each known word occurs, and how many documents there are."""
+    """For rows of ``_numbered``: in how many documents each known word occurs, and how many documents there are."""
     space = Space(known, np.zeros(len(known)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(known) + 1, np.int64)
-        for part in (x for b in batches for x in slices(b)):
-            ids, bounds = space.numbers(part.column("text"))
+        for part, ids, bounds in space.numbers(batches):
             at = np.flatnonzero(ids < len(known))
             doc = np.searchsorted(bounds, at, "right") - 1
-            once = np.unique(doc * len(known) + ids[at])
-            total[:-1] += np.bincount(once % max(1, len(known)), minlength=len(known))
+            once = np.sort(doc * len(known) + ids[at])
+            total[:-1] += np.bincount(once[_starts(once)] % max(1, len(known)), minlength=len(known))
             total[-1] += part.num_rows
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], names=["i", "n"])
 
     out = np.zeros(len(known) + 1, np.int64)
-    for r in docs.select("text").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("ids").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
         out[r.i] = r.n
     return out[:-1], int(out[-1])
 
 
 def _sketch(docs: DataFrame, space: Space, test: np.ndarray) -> tuple[np.ndarray, float]:
-    """X'(X test) over all passages of ``docs``, and how many those are."""
+    """X'(X test) over all passages of rows of ``_numbered``, and how many those are."""
     v, l = test.shape
     test = test.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((v, l)), 0
         touched = np.zeros(v, bool)
-        for part in (x for b in batches for x in slices(b)):
-            row, word, value, of, _ = space.rows(*space.numbers(part.column("text")))
+        for _, ids, bounds in space.numbers(batches):
+            row, word, value, of, _ = space.rows(ids, bounds)
             if not len(row):
                 continue
             y = _times(row, value, test, word)
@@ -288,7 +335,7 @@ def _sketch(docs: DataFrame, space: Space, test: np.ndarray) -> tuple[np.ndarray
         return pd.DataFrame({"i": group["i"].iloc[:1], "sums": [total.tobytes()]})
 
     out = np.zeros((v + 1, l))
-    for r in docs.select("text").mapInArrow(run, "i long, sums binary").groupBy("i").applyInPandas(add, "i long, sums binary").toLocalIterator():
+    for r in docs.select("ids").mapInArrow(run, "i long, sums binary").groupBy("i").applyInPandas(add, "i long, sums binary").toLocalIterator():
         out[r.i] = np.frombuffer(r.sums)
     return out[:-1], float(out[-1, 0])
 
@@ -333,7 +380,7 @@ def contaminated(
     reported once for each row; items with equal texts are each reported. Empty tables give an empty result.
 
     The benchmark is the query set, read on the driver in parts of about SPACE_WORDS words, which bounds
-    what is sent to tasks; documents are read three times for each part. Inside a task items go by in blocks of
+    what is sent to tasks; for each part, texts are read once and the numbers of their words three times. Inside a task items go by in blocks of
     BLOCK_ITEMS; an item's result doesn't depend on its block.
     """
     rows = benchmark.select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator()
@@ -364,6 +411,7 @@ def _contaminated(docs: DataFrame, told: list[tuple], rules: Rules, rank: int, m
     answers = [x for x in np.split(numbered(h, known), bounds[1:-1])]
     filled = [k for k, x in enumerate(items) if len(x)]
     names, items, answers = ([x[k] for k in filled] for x in ([t[0] for t in told], items, answers))
+    docs = _numbered(docs, known)
     df, n = _counts(docs, known)
     counts = df <= max(most_common * n, 1)
     few = np.array([2 * counts[x].sum() < len(x) for x in map(np.unique, items)])
@@ -394,8 +442,7 @@ def _contaminated(docs: DataFrame, told: list[tuple], rules: Rules, rank: int, m
             (Sequences(own, n_words), Sequences(said, n_words), Overlap([own[i] for i in few], share, n_words) if len(few) else None)
             for _, own, said, *_, few in blocks
         ]
-        for part in (x for b in batches for x in slices(b)):
-            ids, bounds = space.numbers(part.column("text"))
+        for part, ids, bounds in space.numbers(batches):
             row, word, value, doc, passage = space.rows(ids, bounds)
             x = _times(row, value, basis, word)
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
@@ -410,7 +457,7 @@ def _contaminated(docs: DataFrame, told: list[tuple], rules: Rules, rank: int, m
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "common", "n_item", "answered", "cosine"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def _hits(ids, bounds, x, doc, passage, own, asked, text, total, few, wholes, ends, overlap, weight, rules) -> Iterator[tuple]:

@@ -2,6 +2,10 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from quire.llm import decontaminate
 
 
@@ -63,3 +67,21 @@ def test_null_ids(spark):
     text = items[0][1]
     found = _found(spark, [(None, text), (1, text), (1, text), (2, None)], [(None, text), (7, text), (8, None)])
     assert found == {(None, None), (None, 7), (1, None), (1, 7)}
+
+
+@pytest.mark.parametrize("n", [50, 70_000])  # numbers of 16 and of 32 bits
+def test_words_are_numbered_once_for_all_passes(spark, n):
+    texts = ["w1 w2 other, W7", None, "", "w49 " * 3, " ".join(f"w{k}" for k in range(0, 60, 7))]
+    known = np.unique(decontaminate.words(pa.array([" ".join(f"w{k}" for k in range(n))]))[0])
+    known = np.unique(np.concatenate([known, known[:9] + np.uint64(1)]))  # share their places
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = decontaminate._numbered(docs, known)
+    space = decontaminate.Space(known, np.zeros(len(known)))
+    found = {}
+    for batch in rows.toArrow().to_batches():
+        for part, ids, bounds in space.numbers([batch]):
+            for k, d in enumerate(part.column("doc_id").to_pylist()):
+                found[d] = ids[bounds[k] : bounds[k + 1]].tolist()
+    h, bounds = decontaminate.words(pa.array(texts))
+    want = decontaminate.numbered(h, known)
+    assert found == {d: want[bounds[d] : bounds[d + 1]].tolist() for d in range(len(texts))}
