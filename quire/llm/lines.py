@@ -314,7 +314,7 @@ def _occurrences(docs: DataFrame, least_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 1 << 21):
                 lines = pc.split_pattern(part.column("text").fill_null(""), "\n")
                 per, flat = lines.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lines.flatten()
                 sizes: list[np.ndarray] = []
@@ -384,7 +384,7 @@ def _near(pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b, la, lb) whose lines have the edit similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in slices(b, 1 << 20, "lb")):
+        for batch in (x for b in batches for x in slices(b, 1 << 18, "lb")):
             longer = np.maximum(*(pc.utf8_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("la", "lb")))
             most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
             hit = within(batch.column("la").to_pylist(), batch.column("lb").to_pylist(), most)
