@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,8 @@ END_ID = 2
 MOST_BITS = 20
 STRIDE = 1024
 BLOCK_IDS = 65_536
+#: Pieces that a worker keeps, and bytes of the texts that it encodes at once.
+MOST_PIECES, TEXT_BYTES = 500_000, 1 << 22
 
 # White space other than space and line feed.
 _OTHER_SPACE = r"\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -54,7 +57,7 @@ class Encoder:
     if the file has another pre-tokenizer or a normaliser, are encoded whole.
     """
 
-    def __init__(self, path: str, end_id: int = END_ID, most: int = 1_000_000):
+    def __init__(self, path: str, end_id: int = END_ID, most: int = MOST_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -66,7 +69,9 @@ class Encoder:
         self.cuts &= (step.get("type"), step.get("use_regex"), step.get("add_prefix_space")) == ("ByteLevel", True, False)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = "|".join([_NOT_PLAIN, *(re.escape(t) for t in special)])
-        self.model, self.signs = self.tokenizer.model, _byte_signs()
+        signs = _byte_signs()
+        self.model, self.space = self.tokenizer.model, signs[32]
+        self.signs = {c: "".join(signs[b] for b in chr(c).encode()) for c in range(0x370)}
         self.marks = {c: self._ids([c])[0] for c in ".,"}
         self.pieces = self._first_pieces()
 
@@ -91,38 +96,43 @@ class Encoder:
             flat, number = np.frombuffer(b"".join(raw), "<u4"), numbered.indices.to_numpy()
             each = size[number]
             ends = np.cumsum(each)
-            ids = flat[np.arange(ends[-1]) + np.repeat((np.cumsum(size) - size)[number] - (ends - each), each)]
+            kind = np.int32 if max(ends[-1], len(flat)) < 2**31 else np.int64
+            at_id = np.repeat(((np.cumsum(size) - size)[number] - (ends - each)).astype(kind), each)
+            at_id += np.arange(ends[-1], dtype=kind)
+            ids = flat[at_id]
             stops = ends[np.cumsum(parts.value_lengths().to_numpy()) - 1].tolist()
             for i, a, b in zip(at.tolist(), [0, *stops], stops, strict=False):
                 out[i] = ids[a:b].tobytes()
         return out
 
     def _pieces(self, wanted: list[str]) -> list[bytes]:
-        if len(self.pieces) > self.most:
-            self.pieces = self._first_pieces()
         pieces, rest = self.pieces, []
-        for piece in wanted:
-            if piece not in pieces:
-                word = piece[1:] if piece[0] == "\0" else f" {piece}"
-                last = word[-1]
-                stem = word[:-1] if last in ".," else word
-                name = piece[: len(piece) + len(stem) - len(word)]
-                bare = stem.removeprefix(" ")
-                if not (bare.isalpha() and (bare.isascii() or max(bare) < "\u0370")):  # letters to any Unicode version
-                    rest.append((piece, word))
-                    continue
-                if name not in pieces:
-                    pieces[name] = self._word(stem)
-                if name is not piece and name != piece:
-                    pieces[piece] = pieces[name] + self.marks[last]
+        tokenize, pack, space = self.model.tokenize, struct.pack, self.space
+        for piece in [p for p in wanted if p not in pieces]:
+            if piece.isalpha() and piece.isascii():
+                ids = [t.id for t in tokenize(space + piece)]
+                pieces[piece] = pack(f"<{len(ids)}I", *ids)
+                continue
+            word = piece[1:] if piece[0] == "\0" else f" {piece}"
+            last = word[-1]
+            stem = word[:-1] if last in ".," else word
+            bare = stem.removeprefix(" ")
+            if not (bare.isalpha() and (bare.isascii() or max(bare) < "\u0370")):  # letters to any Unicode version
+                rest.append((piece, word))
+                continue
+            name = piece[: len(piece) + len(stem) - len(word)]
+            if name not in pieces:
+                ids = [t.id for t in tokenize(stem.translate(self.signs))]
+                pieces[name] = pack(f"<{len(ids)}I", *ids)
+            if name != piece:
+                pieces[piece] = pieces[name] + self.marks[last]
         for k in range(0, len(rest), 4096):
             some = rest[k : k + 4096]
             pieces.update(zip((p for p, _ in some), self._ids([w for _, w in some]), strict=True))
-        return [pieces[p] for p in wanted]
-
-    def _word(self, word: str) -> bytes:
-        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.signs))
-        return np.array([t.id for t in tokens], "<u4").tobytes()
+        found = [pieces[p] for p in wanted]
+        if len(pieces) > self.most:  # those of these texts stay
+            self.pieces = self._first_pieces() | dict(zip(wanted[: self.most // 2], found, strict=False))
+        return found
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -137,31 +147,49 @@ def encoder(path: str, end_id: int = END_ID) -> Encoder:
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
-    """(part, doc_id, at, ids) in ascending order of doc_id, nulls first, ties by text.
+    """(part, doc_id, at, ids, counts) in ascending order of doc_id, nulls first, ties by text.
 
     ``part`` numbers the range partitions, ``at`` is the ids before the document in its part, and
     ``ids`` holds little-endian 16-bit ids if all fit, else 32-bit ones, with a leading byte 2 or 4.
+    A part ends with a row of its own, which isn't a document: ``at`` is all its ids, and ``counts`` how often
+    each id occurs in it, as little-endian 64-bit integers. Documents have null ``counts``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode, part, at = encoder(vocabulary, end_id).batch, TaskContext.get().partitionId(), 0
-        for batch in (x for b in batches for x in slices(b, 1 << 23)):
-            ids, starts = [], []
-            for raw in encode(batch.column("text")):
+        total = np.zeros(1, "<i8")
+        for batch in (x for b in batches for x in slices(b, TEXT_BYTES)):
+            ids, starts, raws = [], [], encode(batch.column("text"))
+            _add(total, np.bincount(np.frombuffer(b"".join(raws), "<u4")))
+            for raw in raws:
                 x = np.frombuffer(raw, "<u4")
                 ids.append(b"\2" + x.astype("<u2").tobytes() if x.max() < 65536 else b"\4" + x.tobytes())
                 starts.append(at)
                 at += len(x)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(ids), pa.int32()), batch.column("doc_id"), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())],
-                names=["part", "doc_id", "at", "ids"],
-            )
+            yield _packed([part] * len(ids), batch.column("doc_id"), starts, ids, [None] * len(ids))
+        if at:
+            yield _packed([part], [None], [at], [None], [total.tobytes()])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return rows.mapInArrow(run, "part int, doc_id long, at long, ids binary")
+    return rows.mapInArrow(run, _TOKENIZED)
+
+
+_TOKENIZED = "part int, doc_id long, at long, ids binary, counts binary"
+
+
+def _packed(*columns: list) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=["part", "doc_id", "at", "ids", "counts"])
+
+
+def _add(total: np.ndarray, counts: np.ndarray) -> None:
+    if len(counts) > len(total):
+        total.resize(len(counts), refcheck=False)
+    total[: len(counts)] += counts
 
 
 def _unpacked(ids: bytes) -> np.ndarray:
@@ -169,20 +197,17 @@ def _unpacked(ids: bytes) -> np.ndarray:
 
 
 def global_counts(rows: DataFrame) -> dict[int, int]:
-    """How often each id occurs in all rows; as many entries as the vocabulary has at most."""
+    """How often each id occurs in all parts of ``tokenized`` rows; as many entries as the vocabulary has at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, np.int64)
+        total = np.zeros(1, "<i8")
         for batch in batches:
-            for raw in batch.column("ids").to_pylist():
-                c = np.bincount(_unpacked(raw))
-                if len(c) > len(total):
-                    total.resize(len(c), refcheck=False)
-                total[: len(c)] += c
+            for raw in batch.column("counts"):
+                _add(total, np.frombuffer(raw.as_buffer(), "<i8"))
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], names=["id", "n"])
 
-    found = rows.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    found = rows.filter("counts is not null").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return {r.id: r.n for r in found.collect()}
 
 
@@ -280,11 +305,10 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, m
     spark = docs.sparkSession
     place = scratch(spark, "ids")
     tokenized(docs, vocabulary, end_id).write.option("compression", "zstd").parquet(place)
-    rows = spark.read.schema("part int, doc_id long, at long, ids binary").parquet(place)
+    rows = spark.read.schema(_TOKENIZED).parquet(place)
     lengths = code_lengths(global_counts(rows), most_bits)
     spark.createDataFrame(sorted(lengths.items()), "id long, bits int").coalesce(1).write.parquet(f"{folder}/codebook")
-    size = (F.octet_length("ids") - 1) / F.when(F.substring("ids", 1, 1) == b"\2", 2).otherwise(4)
-    totals = rows.groupBy("part").agg(F.sum(size.cast("long")).alias("n")).orderBy("part").collect()
+    totals = rows.filter("counts is not null").select("part", F.col("at").alias("n")).orderBy("part").collect()
     offsets = dict(zip((r.part for r in totals), np.cumsum([0, *(r.n for r in totals)]).tolist(), strict=False))
     shared = spark.sparkContext.broadcast((lengths, offsets))  # bounded by vocabulary and partitions
 
@@ -306,7 +330,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, m
             columns = [*zip(*out, strict=True)] or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _BLOCK_TYPES, strict=True)], names=["start", "n", "payload", "checkpoints", "docs"])
 
-    rows.mapInArrow(run, _BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
+    rows.filter("counts is null").select("part", "doc_id", "at", "ids").mapInArrow(run, _BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
     deleted(spark, place)
 
 

@@ -301,6 +301,29 @@ def test_tokens_of_texts_with_nul():
         assert np.frombuffer(encode.batch(pa.array([text, "x"]))[0], "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_encoder_keeps_a_bounded_number_of_pieces():
+    """However many texts a worker has seen, it keeps ``most`` pieces and those of one slice, and ids stay the same."""
+    from tokenizers import Tokenizer
+
+    t, encode, rng = Tokenizer.from_file(vocabulary()), tokens.Encoder(vocabulary(), most=100), random.Random(5)
+    common_words = [f"{w}{e}" for w in ("the", "größe", "été", "Ab") for e in ("", ".", ",", "!!")]
+    for _ in range(20):
+        words = ["".join(rng.choices("abcdeé", k=7)) for _ in range(40)] + common_words
+        texts = [" ".join(rng.sample(words, 30)) + "\n" + " ".join(rng.sample(words, 9)) for _ in range(3)]
+        got = encode.batch(pa.array(texts))
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+        assert 2 < len(encode.pieces) <= 100  # before, all were dropped, and only with the slice after
+
+
+def test_counts_come_with_the_ids(spark, docs):
+    """Each part ends with how often its ids occur, so ids aren't read once more to count them."""
+    rows = tokens.tokenized(docs, vocabulary())
+    held = rows.filter("counts is null").collect()
+    want = Counter(i for r in held for i in tokens._unpacked(r.ids).tolist())
+    assert tokens.global_counts(rows) == want and len(held) == docs.count()
+    assert sum(r.at for r in rows.filter("counts is not null").collect()) == want.total()
+
+
 def test_code_lengths_are_limited_and_best():
     counts = {i: 2**i for i in range(24)}
     bits = tokens.code_lengths(counts, 8)
