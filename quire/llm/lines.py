@@ -5,7 +5,8 @@ each share has a SimHash of its own, in which longer words weigh more: a block o
 that it left and the one that it came to, so by the pigeonhole principle blocks stay equal while fewer
 shares are touched than there are. Short lines meet in lists keyed by two of their blocks, long ones,
 which have more shares, by one; a line near the limit between two numbers of shares is in both kinds
-of lists. Pairs whose whole SimHashes are far apart are left out, edit similarity confirms the rest.
+of lists. Pairs whose whole SimHashes are far apart are left out, and pairs whose pairs of neighbouring letters
+differ more than the edits allow; edit similarity confirms the rest.
 """
 
 from __future__ import annotations
@@ -41,6 +42,12 @@ LEAST_STRENGTH = {1: 8, 2: 1}
 BROADCAST_LINES = 500_000
 
 
+#: Numbers of 64 bits that hold the parities of a line's pairs of letters, and the bit of each pair.
+GRAMS = 4
+_GRAM = (finish(np.arange(1, 65_537, dtype=np.uint64)) >> np.uint64(56)).astype(np.uint8)
+_SIGN = np.frombuffer(_SIGNS, np.uint8)
+
+
 def normal_line(line: str) -> str:
     """Words of a line: A-Z lower-cased, digits made 0, other ASCII signs dropped."""
     return b" ".join(line.encode().translate(_SIGNS).split()).decode()
@@ -309,8 +316,36 @@ def line_keys(h: np.ndarray, size: np.ndarray, n: np.ndarray, shares: np.ndarray
     return line[new], key[new], whole
 
 
+def letter_pairs(lines: pa.Array) -> np.ndarray:
+    """256 bits a line, as GRAMS numbers: parities of how often each pair of neighbouring letters occurs, by the pair's bit.
+
+    Lines are taken as ``normal_line`` has them with a space before, letters by their first byte. One edit takes
+    away two pairs at most and adds two, so two lines differ in four bits an edit at most.
+    """
+    out = np.zeros((len(lines), GRAMS), np.uint64)
+    for k in range(0, len(lines), 4096):
+        some = lines.slice(k, 4096).cast(pa.large_string()).fill_null("")
+        _, where, data = some.buffers()
+        bounds = np.frombuffer(where, np.int64)[some.offset : some.offset + len(some) + 1]
+        if bounds[-1] == bounds[0]:
+            continue
+        raw, bounds = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+        sign = _SIGN[raw]
+        at = np.flatnonzero((sign != 32) & (raw & 0xC0 != 0x80))
+        if not len(at):
+            continue
+        line, letter = np.repeat(np.arange(len(some), dtype=np.int32), np.diff(bounds))[at], sign[at].astype(np.int32)
+        first = (at == bounds[line]) | (sign[at - 1] == 32)
+        before = np.concatenate([[32], letter[:-1]]).astype(np.int32)
+        last = first & np.concatenate([[False], line[1:] == line[:-1]])  # a word of the line ended before
+        bits = np.bincount(line * 256 + _GRAM[np.where(first, 32, before) << 8 | letter], minlength=256 * len(some))
+        bits += np.bincount(line[last] * 256 + _GRAM[before[last] << 8 | 32], minlength=256 * len(some))
+        out[k : k + len(some)] = np.packbits((bits & 1).astype(np.uint8).reshape(-1, 256), axis=1).view(np.uint64)
+    return out
+
+
 def _occurrences(docs: DataFrame, least_words: int) -> DataFrame:
-    """Each line with words: (doc_id, text_id, no, node, sim, chars, keys)."""
+    """Each line with words: (doc_id, text_id, no, node, sim, chars, keys, g0 to g3)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,17 +379,21 @@ def _occurrences(docs: DataFrame, least_words: int) -> DataFrame:
                 at, keys = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((at, np.int64), (keys, np.uint64)))
                 order = np.argsort(at, kind="stable")
                 ends = np.searchsorted(at[order], np.arange(len(filled) + 1))
-                take = pa.array(row[filled])
+                take, grams = pa.array(row[filled]), np.zeros((len(filled), GRAMS), np.uint64)
+                if fuzzy.any():
+                    grams[fuzzy] = letter_pairs(flat.take(pa.array(filled[fuzzy])))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").take(take), part.column("text_id").take(take), pa.array(no[filled], pa.int32()),
                         pa.array(signed(run_hashes(h, bounds[filled], n))), pa.array(signed(sim)), pa.array(chars.astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(keys[order]))),
+                        *(pa.array(signed(np.ascontiguousarray(grams[:, k]))) for k in range(GRAMS)),
                     ],
-                    names=["doc_id", "text_id", "no", "node", "sim", "chars", "keys"],
+                    names=["doc_id", "text_id", "no", "node", "sim", "chars", "keys", *(f"g{k}" for k in range(GRAMS))],
                 )
 
-    return _named(docs).mapInArrow(run, "doc_id long, text_id long, no int, node long, sim long, chars int, keys array<long>")
+    grams = "".join(f", g{k} long" for k in range(GRAMS))
+    return _named(docs).mapInArrow(run, f"doc_id long, text_id long, no int, node long, sim long, chars int, keys array<long>{grams}")
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -407,17 +446,18 @@ def remove_repeated_lines(docs: DataFrame, similarity: float = 0.9, least_words:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = scratch.keep(_occurrences(docs.filter("doc_id is not null"), least_words), "lines")
-    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_id", "no")).alias("at"), F.first("sim").alias("sim"), F.first("chars").alias("chars"))
+    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_id", "no")).alias("at"), F.first("sim").alias("sim"), F.first("chars").alias("chars"), *(F.first(f"g{k}").alias(f"g{k}") for k in range(GRAMS)))
     nodes = scratch.keep(nodes, "line-nodes")
     by_list = Window.partitionBy("v").orderBy("node")
     listed = rows.select("node", F.explode("keys").alias("v")).withColumn("before", F.lag("node").over(by_list))
     listed = listed.filter("before is null or before <> node").drop("before")
     listed = listed.withColumn("first", F.first("node").over(by_list)).withColumn("next", F.lead("node").over(by_list))
     members = listed.filter("node <> first or next is not null").select("v", "node", "first")  # of lists with two members at least
-    left = nodes.select(F.col("node").alias("a"), F.col("sim").alias("x"), F.col("chars").alias("nx"))
-    right = nodes.select(F.col("node").alias("b"), F.col("sim").alias("y"), F.col("chars").alias("ny"))
-    sizes = F.abs(F.col("nx") - F.col("ny")) <= (1 - similarity) * F.greatest("nx", "ny") + 1e-9
-    possible = sizes & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= BITS)
+    left = nodes.select(F.col("node").alias("a"), F.col("sim").alias("x"), F.col("chars").alias("nx"), *(F.col(f"g{k}").alias(f"x{k}") for k in range(GRAMS)))
+    right = nodes.select(F.col("node").alias("b"), F.col("sim").alias("y"), F.col("chars").alias("ny"), *(F.col(f"g{k}").alias(f"y{k}") for k in range(GRAMS)))
+    edits = (1 - similarity) * F.greatest("nx", "ny") + 1e-9
+    apart = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(1, GRAMS)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
+    possible = (F.abs(F.col("nx") - F.col("ny")) <= edits) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= BITS) & (apart <= 4 * edits)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "at"), "node")

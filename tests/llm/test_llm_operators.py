@@ -419,6 +419,29 @@ def test_pairs_of_many_common_lists_come_once(spark):
     assert {r.id: r.component for r in got} == {9: 5}
 
 
+def test_letter_pairs_bound_the_edit_distance():
+    """Lines differ in four bits an edit at most, and unrelated ones in more than edit similarity 0.9 allows."""
+    rng, alphabet = random.Random(11), "abcdefgh éñ日7.,  "
+    one = ["".join(rng.choices(alphabet, k=rng.randrange(0, 90))) for _ in range(400)]
+    two = []
+    for line in one:
+        letters = list(line)
+        for _ in range(rng.randrange(8)):
+            at = rng.randrange(len(letters) + 1)
+            letters[at : at + rng.randrange(2)] = rng.choices(alphabet, k=rng.randrange(3))
+        two.append("".join(letters))
+    a, b = (lines.letter_pairs(pa.array(["x", *x]).slice(1)) for x in (one, two))
+    bits = np.unpackbits((a ^ b).view(np.uint8), axis=1).sum(axis=1)
+    edits = [lines.edit_distance(lines.normal_line(x), lines.normal_line(y), 10**6) for x, y in zip(one, two, strict=True)]
+    assert all(n <= 4 * e for n, e in zip(bits.tolist(), edits, strict=True)) and any(edits)
+    same = lines.letter_pairs(pa.array(["  A b,c9 ", "a b c0", "", " .", None]))
+    assert (same[0] == same[1]).all() and not same[2:].any()
+    words = [" ".join("".join(rng.choices("etaoinshrdlu", k=5)) for _ in range(20)) for _ in range(200)]
+    x = lines.letter_pairs(pa.array(words))
+    far = np.unpackbits((x[1:] ^ x[:-1]).view(np.uint8), axis=1).sum(axis=1)
+    assert (far > 4 * 0.1 * 119).mean() > 0.99
+
+
 def test_edit_distance():
     r = random.Random(1)
     for _ in range(3000):
