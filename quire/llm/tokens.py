@@ -36,6 +36,9 @@ MOST_PIECES, TEXT_BYTES = 500_000, 1 << 22
 _OTHER_SPACE = r"\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Texts that aren't words parted by single spaces or line feeds, or that hold a mark used below.
 _NOT_PLAIN = rf"\A\z|\A[ \n]|[ \n]\z|[ \n][ \n]|[\x00\x01{_OTHER_SPACE}]"
+#: A word with a full stop or comma at its end.
+_SIGNED_WORD = rf"\A\x00?[{''.join(chr(c) for c in range(0x370) if chr(c).isalpha())}]+[.,]\z"
+_PACKS = [struct.Struct(f"<{n}I").pack for n in range(32)]
 _tokenizers: dict[str, Encoder] = {}
 
 
@@ -91,7 +94,7 @@ class Encoder:
             marked = pc.replace_substring(texts.take(pa.array(at)), "\n", " \n \0")  # \0: no space before the piece; \1: end
             parts = pc.split_pattern(pc.binary_join_element_wise("\0", marked, " \1", ""), " ")
             numbered = parts.flatten().dictionary_encode()
-            raw = self._pieces(numbered.dictionary.to_pylist())
+            raw = self._pieces(numbered.dictionary)
             size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
             flat, number = np.frombuffer(b"".join(raw), "<u4"), numbered.indices.to_numpy()
             each = size[number]
@@ -105,33 +108,34 @@ class Encoder:
                 out[i] = ids[a:b].tobytes()
         return out
 
-    def _pieces(self, wanted: list[str]) -> list[bytes]:
-        pieces, rest = self.pieces, []
-        tokenize, pack, space = self.model.tokenize, struct.pack, self.space
-        for piece in [p for p in wanted if p not in pieces]:
-            if piece.isalpha() and piece.isascii():
-                ids = [t.id for t in tokenize(space + piece)]
-                pieces[piece] = pack(f"<{len(ids)}I", *ids)
-                continue
-            word = piece[1:] if piece[0] == "\0" else f" {piece}"
-            last = word[-1]
-            stem = word[:-1] if last in ".," else word
-            bare = stem.removeprefix(" ")
-            if not (bare.isalpha() and (bare.isascii() or max(bare) < "\u0370")):  # letters to any Unicode version
-                rest.append((piece, word))
-                continue
-            name = piece[: len(piece) + len(stem) - len(word)]
-            if name not in pieces:
-                ids = [t.id for t in tokenize(stem.translate(self.signs))]
-                pieces[name] = pack(f"<{len(ids)}I", *ids)
-            if name != piece:
-                pieces[piece] = pieces[name] + self.marks[last]
+    def _pieces(self, wanted: pa.Array) -> list[bytes]:
+        """Ids of the distinct pieces; a word is kept once, whatever sign follows it."""
+        signed = pc.match_substring_regex(wanted, _SIGNED_WORD)
+        numbered = pc.if_else(signed, pc.utf8_slice_codeunits(wanted, 0, -1), wanted).dictionary_encode()
+        names, pieces, rest = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), self.pieces, []
+        tokenize, space, signs = self.model.tokenize, self.space, self.signs
+        for name in [x for x in names if x not in pieces]:
+            if name.isalpha() and name.isascii():
+                word = space + name
+            else:
+                bare = name[1:] if name[0] == "\0" else name
+                if not (bare.isalpha() and (bare.isascii() or max(bare) < "\u0370")):  # letters to any Unicode version
+                    rest.append(name)
+                    continue
+                word = bare.translate(signs) if bare is not name else space + bare.translate(signs)
+            ids = [t.id for t in tokenize(word)]
+            pieces[name] = _PACKS[len(ids)](*ids) if len(ids) < len(_PACKS) else struct.pack(f"<{len(ids)}I", *ids)
         for k in range(0, len(rest), 4096):
             some = rest[k : k + 4096]
-            pieces.update(zip((p for p, _ in some), self._ids([w for _, w in some]), strict=True))
-        found = [pieces[p] for p in wanted]
+            pieces.update(zip(some, self._ids([x[1:] if x[0] == "\0" else f" {x}" for x in some]), strict=True))
+        found = [pieces[x] for x in names]
         if len(pieces) > self.most:  # those of these texts stay
-            self.pieces = self._first_pieces() | dict(zip(wanted[: self.most // 2], found, strict=False))
+            self.pieces = self._first_pieces() | dict(zip(names[: self.most // 2], found, strict=False))
+        found = [found[k] for k in numbered.indices.to_numpy().tolist()]
+        at = np.flatnonzero(signed.to_numpy(zero_copy_only=False))
+        stops = pc.ends_with(wanted, ".").to_numpy(zero_copy_only=False)[at]
+        for k, stop in zip(at.tolist(), stops.tolist(), strict=True):
+            found[k] += self.marks["." if stop else ","]
         return found
 
     def _ids(self, texts: list[str]) -> list[bytes]:

@@ -301,6 +301,18 @@ def test_tokens_of_texts_with_nul():
         assert np.frombuffer(encode.batch(pa.array([text, "x"]))[0], "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_encoder_keeps_a_word_once_whatever_sign_follows():
+    from tokenizers import Tokenizer
+
+    t, encode = Tokenizer.from_file(vocabulary()), tokens.Encoder(vocabulary())
+    texts = ["xyzzyq xyzzyq. xyzzyq, xyzzyq., a.", "xyzzyq,\nxyzzyq.\nÉléphañt élé. ñandú, \u01c5. \u0345. \u0391. ª, 7. ."]
+    before = len(encode.pieces)
+    got = encode.batch(pa.array(texts))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    assert {"xyzzyq", "\0xyzzyq", "ñandú"} <= set(encode.pieces)
+    assert not {"xyzzyq.", "xyzzyq,", "\0xyzzyq.", "ñandú,"} & set(encode.pieces) and len(encode.pieces) > before
+
+
 def test_encoder_keeps_a_bounded_number_of_pieces():
     """However many texts a worker has seen, it keeps ``most`` pieces and those of one slice, and ids stay the same."""
     from tokenizers import Tokenizer
