@@ -35,7 +35,7 @@ FEW_EDITS = 12
 #: Most words of a band of the table that is followed side by side with others, pairs that are, and bytes of their letters.
 MOST_BAND, BAND_PAIRS, BAND_BYTES = 16, 1024, 1 << 21
 #: Fewer pairs than this for each word of their bands are faster one by one.
-FEW_PAIRS = 64
+FEW_PAIRS = 16
 #: Letters beyond three a word that a key stands on at least, by the blocks that it has.
 LEAST_STRENGTH = {1: 8, 2: 1}
 #: More lines to verify than this are fetched by a join instead of a broadcast of their places.
@@ -423,7 +423,7 @@ def _near(pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b, la, lb) whose lines have the edit similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in slices(b, 1 << 18, "lb")):
+        for batch in (x for b in batches for x in slices(b, 1 << 20, "lb")):
             longer = np.maximum(*(pc.utf8_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("la", "lb")))
             most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
             hit = within(batch.column("la").to_pylist(), batch.column("lb").to_pylist(), most)
@@ -446,13 +446,12 @@ def remove_repeated_lines(docs: DataFrame, similarity: float = 0.9, least_words:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = scratch.keep(_occurrences(docs.filter("doc_id is not null"), least_words), "lines")
-    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_id", "no")).alias("at"), F.first("sim").alias("sim"), F.first("chars").alias("chars"), *(F.first(f"g{k}").alias(f"g{k}") for k in range(GRAMS)))
+    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_id", "no")).alias("at"), F.first("sim").alias("sim"), F.first("chars").alias("chars"), *(F.first(f"g{k}").alias(f"g{k}") for k in range(GRAMS)), F.count("*").alias("often"))
     nodes = scratch.keep(nodes, "line-nodes")
-    by_list = Window.partitionBy("v").orderBy("node")
-    listed = rows.select("node", F.explode("keys").alias("v")).withColumn("before", F.lag("node").over(by_list))
-    listed = listed.filter("before is null or before <> node").drop("before")
-    listed = listed.withColumn("first", F.first("node").over(by_list)).withColumn("next", F.lead("node").over(by_list))
-    members = listed.filter("node <> first or next is not null").select("v", "node", "first")  # of lists with two members at least
+    by_list = Window.partitionBy("v")
+    listed = rows.select("node", F.explode("keys").alias("v"))
+    listed = listed.withColumn("first", F.min("node").over(by_list)).withColumn("last", F.max("node").over(by_list))
+    members = listed.filter("first <> last").select("v", "node", "first").distinct()  # of lists with two members at least
     left = nodes.select(F.col("node").alias("a"), F.col("sim").alias("x"), F.col("chars").alias("nx"), *(F.col(f"g{k}").alias(f"x{k}") for k in range(GRAMS)))
     right = nodes.select(F.col("node").alias("b"), F.col("sim").alias("y"), F.col("chars").alias("ny"), *(F.col(f"g{k}").alias(f"y{k}") for k in range(GRAMS)))
     edits = (1 - similarity) * F.greatest("nx", "ny") + 1e-9
@@ -467,7 +466,10 @@ def remove_repeated_lines(docs: DataFrame, similarity: float = 0.9, least_words:
         return _near(pairs.join(two, "b").join(one, "a"), similarity)
 
     whole = linked(members, left, right, possible, confirmed, once=True)
-    grouped = nodes.join(whole.withColumnRenamed("id", "node"), "node", "left").select("node", "at", F.coalesce("component", "node").alias("part"))
+    parts = whole.select(F.col("id").alias("node"), F.col("component").alias("part"))
+    parts = parts.union(whole.select(F.col("component").alias("node"), F.col("component").alias("part")).distinct())
+    grouped = nodes.join(parts, "node", "left").filter("often > 1 or part is not null")  # all others occur once and are alone
+    grouped = grouped.select("node", "at", F.coalesce("part", "node").alias("part"))
     first = grouped.groupBy("part").agg(F.min("at").alias("first"))
     firsts = scratch.keep(grouped.join(first, "part").select("node", "first"), "line-firsts")
     gone = rows.select("doc_id", "text_id", "no", "node").join(firsts, "node").filter(F.struct("doc_id", "text_id", "no") != F.col("first"))

@@ -462,6 +462,21 @@ def test_edit_distance():
         assert lines.edit_distance(a, b, most) == (d if d <= most else None)
 
 
+def test_lines_that_occur_once_are_not_sent_again(spark, monkeypatch):
+    """Only lines that repeat or have near copies look for their first occurrence."""
+    kept, keep = {}, common.Scratch.keep
+    monkeypatch.setattr(common.Scratch, "keep", lambda self, df, name: kept.setdefault(name, keep(self, df, name)))
+    monkeypatch.setattr(common.Scratch, "drop", lambda self: None)
+    near = "the quick brown fox jumps over the lazy dog near the old stone bridge"
+    texts = ["one alone\nshort", f"{near}\nshort", f"{near}s\ntwo", "three alone\nfour", f"{near}s"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.lines.kept_text for r in lines.remove_repeated_lines(rows).collect()}
+    assert got == {0: "one alone\nshort", 1: near, 2: "two", 3: "three alone\nfour", 4: ""}
+    assert kept["line-nodes"].count() == 7 and kept["line-firsts"].count() == 3
+    members = [(r.v, r.node) for r in kept["list-members"].collect()]
+    assert len(set(members)) == len(members)
+
+
 def test_lines_with_a_changed_sign_are_found(spark):
     """Of pairs of lines of 5 to 80 words that differ in one sign nine in ten are linked at least."""
     r = random.Random(9)
