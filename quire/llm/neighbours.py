@@ -5,7 +5,9 @@ The graph starts from random directions (nodes that share their nearest directio
 bounded size) and gets better by local joins: nodes that have a neighbour in common meet there, in
 blocks of bounded size, and what improves a node's list is merged into it, until little changes. A
 query starts at its own place; all queries go one step of the greedy search at once, in joins of
-ids, and only vectors of nodes that a query hasn't seen are sent.
+ids, and only ids of nodes that aren't on a query's list are sent. How wide a search has to be depends on the
+data and its size: a sample of the queries is also compared with all nodes, and searches go on, twice
+as wide, until they find enough of what that finds.
 """
 
 from __future__ import annotations
@@ -15,15 +17,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, scratch
+from ..operators.sizes import broadcast_if_small
+from .common import cut, deleted, scratch
 
 #: Most members of a block that is compared all with all: of a direction, and of a common neighbour.
 BLOCK, HUB = 512, 128
 #: Larger tables of nodes that very many others have as a neighbour are joined instead of broadcast.
 BROADCAST_HUBS = 500_000
+#: Queries whose true nearest nodes are looked up to see how wide searches must be, and the share of those that must be found.
+PROBES, RECALL = 100, 0.95
 _LISTS = "node long, ids array<long>, ds array<float>"
 
 
@@ -156,16 +161,22 @@ def _starts(nodes: DataFrame, n: int, tables: int, k: int, seed: int) -> DataFra
     return _best(_alone(nodes).unionByName(_compare(groups, k), allowMissingColumns=True), k)
 
 
-def graph(nodes: DataFrame, k: int = 32, rounds: int = 30, tables: int = 3, settled: float = 0.03, seed: int = 11) -> DataFrame:
+def _freed(spark: SparkSession) -> None:
+    """Let Spark remove the shuffles and checkpoints of rounds before, which it does when the driver collects garbage."""
+    spark._jvm.System.gc()
+
+
+def graph(nodes: DataFrame, k: int = 32, tables: int = 3, settled: float = 0.03, seed: int = 11) -> DataFrame:
     """(node, v, ids, ds, changed): the ``k`` nearest found of each of ``nodes`` (node, v as bytes), nearest first.
 
-    Rounds end when less than ``settled`` of all entries change; RuntimeError if ``rounds`` of them don't get there. A round
+    Rounds end when less than ``settled`` of all entries change, however many it takes (more nodes take more); they do end, as an entry
+    only ever gives way to a nearer one. A round
     sends every node with its vector to its neighbours, and what they find back: two exchanges, and a
     small one that counts how many come to a node.
     """
     n = nodes.count()
     knn = cut(_starts(nodes, n, tables, k, seed))
-    for _ in range(rounds):
+    while True:
         worst = F.when(F.size("ids") < k, F.lit(float("inf"))).otherwise(F.array_max("ds")).cast("float")
         sent = knn.select(F.explode(F.concat("ids", F.array("node"))).alias("pivot"), "node", "v", worst.alias("worst"))
         hubs = cut(sent.groupBy("pivot").agg(F.count("*").alias("n")).filter(F.col("n") > HUB))
@@ -176,7 +187,7 @@ def graph(nodes: DataFrame, k: int = 32, rounds: int = 30, tables: int = 3, sett
         knn = cut(_best(knn.drop("changed").unionByName(_compare(groups, 16), allowMissingColumns=True), k))
         if (knn.agg(F.sum("changed")).first()[0] or 0) <= settled * n * k:
             return knn
-    raise RuntimeError(f"the graph did not settle in {rounds} rounds")
+        _freed(nodes.sparkSession)
 
 
 def _distances(pairs: DataFrame) -> DataFrame:
@@ -190,63 +201,115 @@ def _distances(pairs: DataFrame) -> DataFrame:
     return pairs.select("q", "qv", "node", "v").mapInArrow(run, "q long, node long, d float")
 
 
-_SEEN = "q long, qv binary, ids array<long>, ds array<float>, opened array<long>, front array<long>"
+_SEEN = "q long, ids array<long>, ds array<float>, opened array<boolean>, front array<long>"
 
 
 def _advance(rows: DataFrame, width: int) -> DataFrame:
-    """Searches (q, qv, ids, ds, opened) with the nodes to open next: those among the ``width`` nearest that aren't open."""
+    """Searches (q, ids, ds, opened) with the nodes to open next: those among the ``width`` nearest that aren't open.
+
+    Lists keep the nearest ``2 * width``, nearest first: what is farther can't get among the ``width`` nearest any more, nor
+    among those of a search twice as wide.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum([0, *batch.column("ids").value_lengths().to_pylist()]).tolist()
+            ids, ds, opened = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "ds", "opened"))
+            kept, n, fronts, m = [], [], [], []
+            for i, j in zip(ends[:-1], ends[1:], strict=True):
+                order = i + np.lexsort((ids[i:j], ds[i:j]))[: 2 * width]
+                near = order[:width]
+                kept.append(order)
+                fronts.append(near[~opened[near]])
+                n.append(len(order))
+                m.append(len(fronts[-1]))
+            kept, fronts = (np.concatenate([np.empty(0, np.int64), *x]) for x in (kept, fronts))
+            done = opened.copy()
+            done[fronts] = True
+            lists = [_lists(ids[kept], n, pa.int64()), _lists(ds[kept], n, pa.float32()), _lists(done[kept], n, pa.bool_()), _lists(ids[fronts], m, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("q"), *lists], names=["q", "ids", "ds", "opened", "front"])
+
+    return rows.select("q", "ids", "ds", "opened").mapInArrow(run, _SEEN)
+
+
+def _radii(nodes: DataFrame, probes: list[tuple[int, bytes]], top: int) -> DataFrame:
+    """(q, n, radius): how many other nodes, ``top`` at most, are a probe's nearest of all ``nodes``, and how far the last of them is."""
+    shared = nodes.sparkSession.sparkContext.broadcast(probes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            opened, front = [], []
-            for ids, ds, done in zip(*(batch.column(c).to_pylist() for c in ("ids", "ds", "opened")), strict=True):
-                near = [i for _, i in sorted(zip(ds, ids, strict=True))[:width]]
-                new = [i for i in near if i not in {*done}]
-                front.append(new)
-                opened.append(done + new)
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (opened, front)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("q", "qv", "ids", "ds")), *lists], names=["q", "qv", "ids", "ds", "opened", "front"])
+            if not batch.num_rows:
+                continue
+            node, x, out = batch.column("node").to_numpy(), _binary(batch.column("v")), []
+            for q, v in shared.value:
+                d = np.linalg.norm(np.frombuffer(v, "<f4") - x, axis=1)[node != q]
+                out.append(np.partition(d, top - 1)[:top] if len(d) > top else d)
+            q = pa.array([q for q, _ in shared.value], pa.int64())
+            yield pa.RecordBatch.from_arrays([q, _lists(np.concatenate(out), np.array([len(d) for d in out]), pa.float32())], names=["q", "ds"])
 
-    return rows.select("q", "qv", "ids", "ds", "opened").mapInArrow(run, _SEEN)
+    near = nodes.select("node", "v").mapInArrow(run, "q long, ds array<float>").groupBy("q")
+    near = near.agg(F.slice(F.array_sort(F.flatten(F.collect_list("ds"))), 1, top).alias("ds"))
+    return near.select("q", F.size("ds").alias("n"), F.array_max("ds").alias("radius"))
 
 
-def search(knn: DataFrame, queries: DataFrame, width: int = 96, most_rounds: int = 64) -> DataFrame:
+def _share_found(seen: DataFrame, radii: DataFrame) -> float:
+    """Share of the nearest nodes of the probes that their searches have on their lists, by distance, so that ties count alike."""
+    near = F.size(F.filter("ds", lambda d: d <= F.col("radius") * (1 + 1e-6))) - 1  # without the query's own node
+    hits = seen.join(F.broadcast(radii), "q").agg(F.sum(F.least(near, "n")).alias("hits"), F.sum("n").alias("n")).first()
+    return hits.hits / hits.n if hits.n else 1.0
+
+
+def search(knn: DataFrame, queries: DataFrame, width: int = 96, top: int = 10) -> DataFrame:
     """(q, node): the ``width`` nearest nodes that a greedy search from each query node finds.
 
     A query (q, a node of the graph) starts at its own place. Each round opens, for all queries at
-    once, the nodes among its ``width`` nearest that aren't open yet, until none is left. The graph is
-    a table in buckets of nodes, so rounds send queries to it and don't move it.
+    once, the nodes among its ``width`` nearest that aren't open yet, until none is left. If less than RECALL of the ``top``
+    nearest nodes of PROBES of the queries are found when less than one node a query is left, searches go on twice as wide, as long
+    as that finds more. The graph is a table in buckets of nodes, so rounds send queries to it and don't move it.
     """
     spark = knn.sparkSession
-    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"neighbours_{uuid.uuid4().hex}"
+    buckets, name, place = int(spark.conf.get("spark.sql.shuffle.partitions")), f"neighbours_{uuid.uuid4().hex}", scratch(spark, "graph")
     kept = knn.select("node", "v", "ids").repartition(buckets, "node")
-    kept.write.bucketBy(buckets, "node").sortBy("node").option("path", scratch(spark, "graph")).saveAsTable(name)
+    kept.write.bucketBy(buckets, "node").sortBy("node").option("path", place).saveAsTable(name)
     table = spark.table(name)
     start = knn.join(queries.select(F.col("q").alias("node")), "node")
+    asked = cut(start.select(F.col("node").alias("q"), F.col("v").alias("qv")))
+    probes = [(r.q, bytes(r.qv)) for r in asked.orderBy("q").limit(PROBES).collect()]  # ids of nodes are hashes, so this is a sample
+    radii = cut(_radii(knn, probes, top))
+    vectors = broadcast_if_small(asked)
     own = lambda kind, value: F.array(F.lit(value).cast(kind))
     start = start.select(
-        F.col("node").alias("q"), F.col("v").alias("qv"), F.concat(F.array("node"), "ids").alias("ids"),
-        F.concat(own("float", 0.0), "ds").alias("ds"), F.array("node").alias("opened"),
+        F.col("node").alias("q"), F.concat(F.array("node"), "ids").alias("ids"), F.concat(own("float", 0.0), "ds").alias("ds"),
+        F.concat(own("boolean", True), F.transform("ids", lambda _: F.lit(False))).alias("opened"),
     )
-    seen = cut(_advance(start, width))
-    for _ in range(most_rounds):
+    n, seen, wide, before, enough = asked.count(), cut(_advance(start, width)), width, -1.0, False
+    while True:
         front = seen.select("q", F.explode("front").alias("node"))
-        if not front.agg(F.count("*")).first()[0]:
+        left = front.count()
+        if left <= n and not enough:  # nearly done at this width
+            share = _share_found(seen, radii)
+            enough = share >= RECALL or share < before + 0.005
+            if not enough:
+                wide, before = 2 * wide, share
+                seen = cut(_advance(seen, wide))
+                continue
+        if not left:
             break
         reach = front.join(table.select("node", "ids"), "node").groupBy("q").agg(F.flatten(F.collect_list("ids")).alias("reach"))
-        fresh = seen.join(reach, "q").select("q", "qv", F.explode(F.array_except("reach", "ids")).alias("node"))
-        met = _distances(fresh.join(table.select("node", "v"), "node")).groupBy("q").agg(F.collect_list("node").alias("new"), F.collect_list("d").alias("far"))
+        fresh = seen.join(reach, "q").select("q", F.explode(F.array_except("reach", "ids")).alias("node"))
+        met = _distances(fresh.join(table.select("node", "v"), "node").join(vectors, "q"))
+        met = met.groupBy("q").agg(F.collect_list("node").alias("new"), F.collect_list("d").alias("far"))
         both = lambda old, new, kind: F.concat(old, F.coalesce(new, F.array().cast(f"array<{kind}>"))).alias(old)
-        seen = seen.join(met, "q", "left").select("q", "qv", both("ids", "new", "long"), both("ds", "far", "float"), "opened")
-        seen = cut(_advance(seen, width))
-    else:
-        raise RuntimeError(f"searches did not end in {most_rounds} rounds")
+        closed = F.transform("new", lambda _: F.lit(False))
+        seen = seen.join(met, "q", "left").select("q", both("ids", "new", "long"), both("ds", "far", "float"), both("opened", closed, "boolean"))
+        seen = cut(_advance(seen, wide))
+        _freed(spark)
     spark.sql(f"DROP TABLE {name}")
-    near = F.slice(F.array_sort(F.arrays_zip("ds", "ids")), 1, width)
-    return seen.select("q", F.explode(near).alias("x")).select("q", F.col("x.ids").alias("node"))
+    deleted(spark, place)
+    return seen.select("q", F.explode(F.slice("ids", 1, width)).alias("node"))
 
 
-def nearest(rows: DataFrame, top: int = 10, every: int = 100, k: int = 32, rounds: int = 8, width: int = 96) -> DataFrame:
+def nearest(rows: DataFrame, top: int = 10, every: int = 100, k: int = 32, width: int = 96) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` nearest found of each query.
 
     Queries are the rows of ``rows`` (vec_id, embedding) whose vec_id is divisible by ``every``; all
@@ -259,9 +322,9 @@ def nearest(rows: DataFrame, top: int = 10, every: int = 100, k: int = 32, round
     good = usable(rows)
     nodes = cut(good.groupBy("v").agg(F.min("vec_id").alias("least")).select(F.xxhash64("v").alias("node"), "v"))
     ids = good.select(F.xxhash64("v").alias("node"), "vec_id").distinct()
-    knn = graph(cut(_packed(nodes)), max(k, top + 1), rounds)
+    knn = graph(cut(_packed(nodes)), max(k, top + 1))
     asked = cut(ids.filter(F.pmod("vec_id", F.lit(every)) == 0))
-    found = search(knn, asked.select(F.col("node").alias("q")).distinct(), max(width, 2 * top))
+    found = search(knn, asked.select(F.col("node").alias("q")).distinct(), max(width, 2 * top), top)
     first = ids.withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).filter(F.col("i") <= top + 1)
     first = first.select("node", "vec_id")
     original = nodes.select("node", "v")
