@@ -120,9 +120,10 @@ def semantic_gap(left: Column, right: Column) -> Column:
     return F.when(F.coalesce(open_end & lower_start, F.lit(False)), 0.0).otherwise(0.2)
 
 
-def terms(text: Column, stop: list[str], most_chars: int = 2048) -> Column:
-    """Words of two letters or more and pairs of neighbours, lower case, without stop words."""
-    words = F.regexp_extract_all(F.lower(F.substring(text, 1, most_chars)), F.lit(TOKEN), F.lit(0))
+def terms(text: Column, stop: list[str], most_chars: int | None = None) -> Column:
+    """Words of two letters or more and pairs of neighbours, lower case, without stop words; of the first ``most_chars`` only if given."""
+    part = text if most_chars is None else F.substring(text, 1, most_chars)
+    words = F.regexp_extract_all(F.lower(part), F.lit(TOKEN), F.lit(0))
     kept = F.filter(words, lambda w: ~w.isin(stop))
     n = F.greatest(F.size(kept) - 1, F.lit(0))
     pairs = F.zip_with(F.slice(kept, 1, n), F.slice(kept, 2, n), lambda a, b: F.concat_ws(" ", a, b))

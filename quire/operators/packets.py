@@ -20,7 +20,7 @@ def page_text(blocks: DataFrame, joiner: str = " ") -> DataFrame:
     return rows.groupBy(*PAGE).agg(F.array_join(F.transform(parts, lambda p: p.t), joiner).alias("text"))
 
 
-def _raw_weights(pages: DataFrame, stop: list[str], most_chars: int) -> DataFrame:
+def _raw_weights(pages: DataFrame, stop: list[str], most_chars: int | None) -> DataFrame:
     """(parse_run_id, page, term, v): TF-IDF before scaling, dealt out by run.
 
     Page texts are shuffled by run, once, and their terms, many times as many bytes, not at all: the counts
@@ -33,8 +33,11 @@ def _raw_weights(pages: DataFrame, stop: list[str], most_chars: int) -> DataFram
     return df.select(*PAGE, "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("v"))
 
 
-def term_weights(pages: DataFrame, stop: list[str] = text.STOP_WORDS, most_chars: int = 2048) -> DataFrame:
-    """(parse_run_id, page, term, weight): TF-IDF of each run's pages, unit length, in sparse rows dealt out by run."""
+def term_weights(pages: DataFrame, stop: list[str] = text.STOP_WORDS, most_chars: int | None = None) -> DataFrame:
+    """(parse_run_id, page, term, weight): TF-IDF of each run's pages, unit length, in sparse rows dealt out by run.
+
+    Whole texts are read, unless ``most_chars`` says how much of each.
+    """
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(*PAGE)))
     return _raw_weights(pages, stop, most_chars).select(*PAGE, "term", (F.col("v") / norm).alias("weight"))
 
@@ -163,7 +166,7 @@ def category_rows(categories: list[tuple[str, str]]) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(a).alias("label"), F.lit(b or a).alias("description")) for i, (a, b) in enumerate(categories)])
 
 
-def lexical_scores(pages: DataFrame, categories: list[tuple[str, str]], stop: list[str] = text.STOP_WORDS, most_chars: int = 2048) -> DataFrame:
+def lexical_scores(pages: DataFrame, categories: list[tuple[str, str]], stop: list[str] = text.STOP_WORDS) -> DataFrame:
     """(parse_run_id, page, ord, label, score): TF-IDF cosine of pages and categories plus keyword boost.
 
     Each run's corpus is its pages and all categories, which stand as pages with numbers under 0.
@@ -173,11 +176,11 @@ def lexical_scores(pages: DataFrame, categories: list[tuple[str, str]], stop: li
     of_run = pages.select(*KEY).distinct().select(*KEY, F.inline(cats))
     kind = pages.schema["page"].dataType
     added = of_run.select(*KEY, (-1 - F.col("ord")).cast(kind).alias("page"), F.concat_ws(" ", "label", "description").alias("text"))
-    weights = term_weights(pages.select(*PAGE, "text").unionByName(added), stop, most_chars)
+    weights = term_weights(pages.select(*PAGE, "text").unionByName(added), stop)
     told = F.collect_list(F.when(F.col("page") < 0, F.struct((-1 - F.col("page")).cast("int").alias("ord"), F.col("weight").alias("w0"))))
     near = weights.withColumn("cats", told.over(Window.partitionBy(*KEY, "term"))).filter("page >= 0 and size(cats) > 0")
     near = near.select(*PAGE, "weight", F.inline("cats")).groupBy(*PAGE, "ord").agg(F.sum(F.col("weight") * F.col("w0")).alias("dot"))
-    pair = pages.select(*PAGE, F.lower(F.substring("text", 1, most_chars)).alias("t"), F.inline(cats))
+    pair = pages.select(*PAGE, F.lower("text").alias("t"), F.inline(cats))
     pair = pair.select(*PAGE, "ord", "label", keyword_boost(F.col("t"), F.col("label"), F.col("description")).alias("boost"))
     return pair.join(near, [*PAGE, "ord"], "left").select(*PAGE, "ord", "label", (F.coalesce("dot", F.lit(0.0)) + F.col("boost")).alias("score"))
 
