@@ -3,6 +3,7 @@
 import pytest
 
 from quire.operators import packets
+from quire.plans import jobs
 
 #: Words without a meaning for any rule, and stop words, which no vector holds.
 LONG, SILENT = "lorem ipsum " * 300, "the of and " * 300
@@ -23,3 +24,10 @@ def test_category_scores(spark):
     got = {r.label: r.score for r in packets.lexical_scores(pages_of(spark, [(0, SILENT + "invoice total amount")]), cats).collect()}
     short = {r.label: r.score for r in packets.lexical_scores(pages_of(spark, [(0, "invoice total amount")]), cats).collect()}
     assert got == pytest.approx(short) and got["invoice"] > 0.5 and got["letter"] == 0
+
+
+def test_classified_pages_and_run_labels(spark):
+    """j05 and f29: the label that only the end of a page tells."""
+    cats = spark.createDataFrame([(0, "invoice", "bill amount due payment"), (1, "contract", "agreement party")], "ord int, label string, description string")
+    done = jobs.classify_pages(blocks(spark, [(0, LONG + "contract agreement party"), (1, "invoice amount due")]), cats)
+    assert {r.page: r.label for r in done.collect()} == {0: "contract", 1: "invoice"}
