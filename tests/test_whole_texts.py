@@ -31,3 +31,4 @@ def test_classified_pages_and_run_labels(spark):
     cats = spark.createDataFrame([(0, "invoice", "bill amount due payment"), (1, "contract", "agreement party")], "ord int, label string, description string")
     done = jobs.classify_pages(blocks(spark, [(0, LONG + "contract agreement party"), (1, "invoice amount due")]), cats)
     assert {r.page: r.label for r in done.collect()} == {0: "contract", 1: "invoice"}
+    assert packets.run_level(done).first().page_labels == {0: "contract", 1: "invoice"}
