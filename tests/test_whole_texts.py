@@ -18,6 +18,11 @@ def pages_of(spark, pages):
     return spark.createDataFrame([("p", n, t) for n, t in pages], "parse_run_id string, page int, text string")
 
 
+def similarity(spark, *texts):
+    pages = pages_of(spark, enumerate(texts))
+    return packets.adjacent_similarity(pages, packets.term_weights(pages))
+
+
 def test_category_scores(spark):
     """f18: words and the label behind the beginning."""
     cats = [("invoice", "bill with total amount due"), ("letter", "dear sirs")]
@@ -32,3 +37,10 @@ def test_classified_pages_and_run_labels(spark):
     done = jobs.classify_pages(blocks(spark, [(0, LONG + "contract agreement party"), (1, "invoice amount due")]), cats)
     assert {r.page: r.label for r in done.collect()} == {0: "contract", 1: "invoice"}
     assert packets.run_level(done).first().page_labels == {0: "contract", 1: "invoice"}
+
+
+def test_adjacent_similarity(spark):
+    """w10: pages that are alike, or differ, behind the beginning only."""
+    assert similarity(spark, SILENT + "red stone", SILENT + "red stone").first().similarity == pytest.approx(1)
+    other = similarity(spark, LONG + "red " * 2000, LONG + "blue " * 2000).first().similarity
+    assert other < 0.3
