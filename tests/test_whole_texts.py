@@ -44,3 +44,11 @@ def test_adjacent_similarity(spark):
     assert similarity(spark, SILENT + "red stone", SILENT + "red stone").first().similarity == pytest.approx(1)
     other = similarity(spark, LONG + "red " * 2000, LONG + "blue " * 2000).first().similarity
     assert other < 0.3
+
+
+def test_split_boundaries(spark):
+    """w11: a page is cut off where only its end differs from the page before."""
+    rows = blocks(spark, [(0, LONG + "red " * 2000), (1, LONG + "blue " * 2000)])
+    pages = packets.page_text(rows)
+    starts = packets.boundaries(pages, packets.adjacent_similarity(pages, packets.term_weights(pages)), packets.heading_pages(rows))
+    assert sorted(r.page for r in starts.collect()) == [0, 1]
