@@ -101,12 +101,24 @@ def route(kind: Column, width: Column, has_spans: Column, source_type: Column) -
 
 
 def segment_label(text: Column) -> Column:
-    low = F.substring(F.lower(text), 1, 500)
-    result = None
-    for label, marks in SEGMENT_LABELS:
-        hit = F.greatest(*[F.contains(low, F.lit(m)) for m in marks])
-        result = F.when(hit, label) if result is None else result.when(hit, label)
-    return result.otherwise("document")
+    """Label that the first 500 signs of a text tell."""
+    return segment_label_name(segment_label_number(F.substring(F.lower(text), 1, 500)))
+
+
+def segment_label_number(text: Column) -> Column:
+    """Number in SEGMENT_LABELS of the first label with a word in the text; how many there are if none has."""
+
+    def number(low: Column) -> Column:
+        result = F
+        for i, (_, marks) in enumerate(SEGMENT_LABELS):
+            result = result.when(F.greatest(*[F.contains(low, F.lit(m)) for m in marks]), i)
+        return result.otherwise(len(SEGMENT_LABELS))
+
+    return F.get(F.transform(F.array(F.lower(text)), number), F.lit(0))  # in lower case once a text
+
+
+def segment_label_name(number: Column) -> Column:
+    return F.get(F.array(*[F.lit(label) for label, _ in SEGMENT_LABELS], F.lit("document")), number)
 
 
 def confidence_band(score: Column) -> Column:

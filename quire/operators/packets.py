@@ -112,16 +112,20 @@ def boundaries(
 def segments(pages: DataFrame, similarity: DataFrame, starts: DataFrame) -> DataFrame:
     """One row per segment: first and last page, page_count, share of pages, label, confidence, evidence.
 
-    The page count includes page numbers without text. Runs of one page score .8.
+    The page count includes page numbers without text. Runs of one page score .8. A label is told by whole texts: a page
+    is read on into the pages behind it as far as words that begin on it can reach, so no segment's text is put together.
     """
     order = Window.partitionBy(*KEY).orderBy("page")
     rows = pages.join(starts.withColumn("start", F.lit(1)), PAGE, "left").join(similarity.select(*PAGE, "similarity"), PAGE, "left")
     rows = rows.withColumn("segment", F.sum(F.coalesce("start", F.lit(0))).over(order))
     rows = rows.withColumn("inner", F.when(F.col("start").isNull(), F.col("similarity")))
-    parts = F.array_sort(F.collect_list(F.struct("page", "text")))
+    longest = max(len(m) for _, marks in text.SEGMENT_LABELS for m in marks)
+    behind = Window.partitionBy(*KEY, "segment").orderBy("page").rowsBetween(1, longest)
+    ahead = F.array_join(F.collect_list(F.substring("text", 1, longest)).over(behind), " ")
+    rows = rows.withColumn("label", text.segment_label_number(F.concat_ws(" ", "text", F.substring(ahead, 1, longest))))
     out = rows.groupBy(*KEY, "segment").agg(
         F.min("page").alias("start_page"), F.max("page").alias("last_text_page"), F.avg("inner").alias("mean"), F.count("*").alias("n"),
-        F.substring(F.array_join(F.transform(parts, lambda p: p.text), " "), 1, 1024).alias("t"),
+        F.min("label").alias("label"),
     )
     by_run = Window.partitionBy(*KEY)
     nxt = F.lead("start_page").over(by_run.orderBy("segment"))
@@ -130,7 +134,7 @@ def segments(pages: DataFrame, similarity: DataFrame, starts: DataFrame) -> Data
     coherence = F.when(single, 0.8).when(F.col("n") == 1, 1.0).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("mean"))), 4))
     count = F.col("end_page") - F.col("start_page") + 1
     return out.select(
-        *KEY, "start_page", "end_page", count.alias("page_count"), text.segment_label(F.col("t")).alias("label"), coherence.alias("confidence"),
+        *KEY, "start_page", "end_page", count.alias("page_count"), text.segment_label_name(F.col("label")).alias("label"), coherence.alias("confidence"),
         F.when(single, "single page").otherwise(F.format_string("tfidf semantic coherence=%.3f", coherence)).alias("evidence"),
         (count / (F.max("end_page").over(by_run) + 1)).alias("share"),
     )

@@ -1,6 +1,7 @@
 """Page texts are read whole: what stands behind the first 2048 signs counts like what stands before."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.operators import packets
 from quire.plans import jobs
@@ -52,3 +53,17 @@ def test_split_boundaries(spark):
     pages = packets.page_text(rows)
     starts = packets.boundaries(pages, packets.adjacent_similarity(pages, packets.term_weights(pages)), packets.heading_pages(rows))
     assert sorted(r.page for r in starts.collect()) == [0, 1]
+
+
+def test_segments(spark):
+    """w12: the same for segments, and labels that words far behind tell, over the ends of pages too."""
+    got = jobs.split_packets(blocks(spark, [(0, LONG + "red " * 2000), (1, LONG + "blue " * 2000 + "whereas")])).orderBy("start_page").collect()
+    assert [(r.start_page, r.label) for r in got] == [(0, "document"), (1, "contract")]
+    for texts, label in (
+        ([LONG, LONG + "terms", "and", "conditions " + LONG], "contract"), ([LONG + "whereas", LONG + "Bill", "to " + LONG], "invoice"),
+        ([LONG, LONG, LONG + "amount"], "document"),
+    ):
+        pages = pages_of(spark, enumerate(texts))
+        like = pages.filter("page > 0").select("parse_run_id", "page", F.lit(0.9).alias("similarity"))
+        found = packets.segments(pages, like, pages.filter("page = 0").select("parse_run_id", "page")).collect()
+        assert [(r.start_page, r.end_page, r.label) for r in found] == [(0, len(texts) - 1, label)]
