@@ -263,9 +263,9 @@ def search(knn: DataFrame, queries: DataFrame, width: int = 96, top: int = 10) -
     """(q, node): the ``width`` nearest nodes that a greedy search from each query node finds.
 
     A query (q, a node of the graph) starts at its own place. Each round opens, for all queries at
-    once, the nodes among its ``width`` nearest that aren't open yet, until none is left. If less than RECALL of the ``top``
-    nearest nodes of PROBES of the queries are found when less than one node a query is left, searches go on twice as wide, as long
-    as that finds more. The graph is a table in buckets of nodes, so rounds send queries to it and don't move it.
+    once, the nodes among its ``width`` nearest that aren't open yet, until none is left. If then less than RECALL of the
+    ``top`` nearest nodes of PROBES of the queries are found, searches go on twice as wide, as long as that finds more. The graph is
+    a table in buckets of nodes, so rounds send queries to it and don't move it.
     """
     spark = knn.sparkSession
     buckets, name, place = int(spark.conf.get("spark.sql.shuffle.partitions")), f"neighbours_{uuid.uuid4().hex}", scratch(spark, "graph")
@@ -282,19 +282,16 @@ def search(knn: DataFrame, queries: DataFrame, width: int = 96, top: int = 10) -
         F.col("node").alias("q"), F.concat(F.array("node"), "ids").alias("ids"), F.concat(own("float", 0.0), "ds").alias("ds"),
         F.concat(own("boolean", True), F.transform("ids", lambda _: F.lit(False))).alias("opened"),
     )
-    n, seen, wide, before, enough = asked.count(), cut(_advance(start, width)), width, -1.0, False
+    seen, wide, before = cut(_advance(start, width)), width, -1.0
     while True:
         front = seen.select("q", F.explode("front").alias("node"))
-        left = front.count()
-        if left <= n and not enough:  # nearly done at this width
+        if front.isEmpty():
             share = _share_found(seen, radii)
-            enough = share >= RECALL or share < before + 0.005
-            if not enough:
-                wide, before = 2 * wide, share
-                seen = cut(_advance(seen, wide))
-                continue
-        if not left:
-            break
+            if share >= RECALL or share < before + 0.005:
+                break
+            wide, before = 2 * wide, share
+            seen = cut(_advance(seen, wide))
+            continue
         reach = front.join(table.select("node", "ids"), "node").groupBy("q").agg(F.flatten(F.collect_list("ids")).alias("reach"))
         fresh = seen.join(reach, "q").select("q", F.explode(F.array_except("reach", "ids")).alias("node"))
         met = _distances(fresh.join(table.select("node", "v"), "node").join(vectors, "q"))
